@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inodeon.llm import lines, pieces, pii, rules, simhash, sketch
+from inodeon.llm import html, lines, pieces, pii, rules, simhash, sketch
 from inodeon.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_of(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_pii": op3_pii,
+    "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
