@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inodeon.llm import html, lines, mixing, pieces, pii, rules, simhash, sketch
+from inodeon.llm import html, lines, mixing, pieces, pii, rules, simhash, sketch, warc
 from inodeon.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.read_order(table(spark, sf_dir, "documents"))
 
@@ -48,9 +52,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
+    "op6_warc": op6_warc,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": warc.ORACLE_SQL,
+}
