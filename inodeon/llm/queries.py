@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inodeon.llm import html, lines, mixing, pieces, pii, rules, simhash, sketch, warc
+from inodeon.llm import html, lines, mixing, pieces, pii, rules, simhash, sketch, suffixes, warc
 from inodeon.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.read_order(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
     "op6_warc": op6_warc,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
