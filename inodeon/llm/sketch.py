@@ -15,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inodeon.llm.common import cut
+from inodeon.llm.common import cut, small_enough
 
 SHINGLE = 5
 K = 128
 #: Consecutive ids that differ only in so many low bits are ordered together in one bucket.
 BUCKET_BITS = 8
+#: More heads of buckets than this are joined by a shuffle instead of a broadcast.
+MAX_HEADS = 500_000
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -91,7 +93,9 @@ def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("at", F.coalesce("doc_id", low)).withColumn("bucket", F.shiftright("at", BUCKET_BITS))
     heads = cut(_heads(rows.select(F.col("at").alias("doc_id"), "bucket")))
-    copies = rows.join(heads.select(F.col("doc_id").alias("at"), F.col("bucket").alias("to")), "at")
+    heads = heads.select(F.col("doc_id").alias("at"), F.col("bucket").alias("to"))
+    # one narrow row for 2**BUCKET_BITS documents: up to a checked number they go to the texts, beyond it both sides are dealt out
+    copies = rows.join(F.broadcast(heads) if small_enough(heads, MAX_HEADS) else heads, "at")
     copies = copies.groupBy("to").agg(F.min(F.struct("text", "at")).alias("c"))
     ghosts = copies.select(F.lit(None).cast("long").alias("doc_id"), F.col("c.text").alias("text"), F.col("c.at").alias("at"), F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
     every = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts)
