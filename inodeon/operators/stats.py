@@ -42,4 +42,4 @@ def combine_timers(slices: DataFrame, *keys: str) -> DataFrame:
 def payload_size(scan: DataFrame) -> DataFrame:
     """Bytes of the scan payload file of an inventory: header, fixed rows, and names and paths in UTF-16."""
     units = F.coalesce(utf16_units("name"), F.lit(0)) + F.coalesce(utf16_units("path"), F.lit(0))
-    return scan.agg((F.lit(28) + F.lit(48) * F.count("*") + F.lit(2) * F.coalesce(F.sum(units), F.lit(0))).cast("long").alias("bytes"))
+    return scan.agg((F.lit(28) + F.lit(56) * F.count("*") + F.lit(2) * F.coalesce(F.sum(units), F.lit(0))).cast("long").alias("bytes"))

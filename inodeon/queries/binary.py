@@ -1,4 +1,164 @@
-"""Queries over binary images, journals and payloads."""
+"""Queries over binary images, journals and payloads that are written first and read back through the data sources."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inodeon.functions.flags import timestamp_to_filetime
+from inodeon.model import MatchFlags
+from inodeon.operators import match, paths
+from inodeon.plans.virtual import JRN_SQL, PATHS_SQL, VOL_SQL, journal, volume
+from inodeon.sources import frames, mft, scan_payload, synthetic, usn_journal
+
+Query = Callable[[SparkSession, str], DataFrame]
+#: Records of the synthetic image, and entries of a journal segment.
+RECORDS = 1000
+SEGMENT = 2000
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _image(spark: SparkSession) -> str:
+    path = _folder(spark, "image") + "/table.mft"
+    mft.write_synthetic(path, RECORDS)
+    return path
+
+
+
+
+SYNTH_SQL = f"""
+WITH s AS (
+  SELECT i, xor(12345678901::HUGEINT, ((i::HUGEINT * 6364136223846793005::HUGEINT) % 18446744073709551616::HUGEINT + 1) % 18446744073709551616::HUGEINT) AS x0
+  FROM range(0, {RECORDS}) t(i)
+), a AS (SELECT i, xor(x0, (x0 * 8192::HUGEINT) % 18446744073709551616::HUGEINT) AS x FROM s),
+b AS (SELECT i, xor(x, x // 128::HUGEINT) AS x FROM a),
+c AS (SELECT i, xor(x, (x * 131072::HUGEINT) % 18446744073709551616::HUGEINT) AS x FROM b),
+m AS (SELECT i, ((x % 4294967296::HUGEINT) % 100)::BIGINT AS roll FROM c)
+SELECT count(*) FILTER (WHERE i <= 5 OR roll >= 25) AS used, count(*) FILTER (WHERE i > 5 AND roll < 10) AS zeroed,
+       count(*) FILTER (WHERE i > 5 AND roll >= 10 AND roll < 25) AS extensions,
+       count(*) FILTER (WHERE i = 5 OR (i > 5 AND roll >= 25 AND roll < 40)) AS directories
+FROM m
+"""
+
+
+def s21_synth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = synthetic.records(spark, RECORDS)
+    live = ~F.col("zeroed") & (F.col("base_reference") == 0)
+    return rows.agg(
+        F.count_if(live).alias("used"),
+        F.count_if("zeroed").alias("zeroed"),
+        F.count_if(F.col("base_reference") > 0).alias("extensions"),
+        F.count_if(live & (F.col("flags").bitwiseAND(2) != 0)).alias("directories"),
+    )
+
+
+def s05_image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mft.read_image(spark, _image(spark), recordsPerPartition=300)
+
+
+def s08_fixup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mft.read_image(spark, _image(spark)).groupBy("fixup_ok").agg(F.count("*").alias("n"))
+
+
+def p17_image_scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mft.read_image(spark, _image(spark))
+    return match.find_by_name(rows, ".git", MatchFlags.EXACT | MatchFlags.RESOLVE_PATHS).select("record_number", "full_path")
+
+
+def h02_image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mft.read_image(spark, _image(spark))
+    return paths.resolve_paths(rows, rows, plan="doubling").select("record_number", "full_path")
+
+
+def _written_journal(spark: SparkSession, sf_dir: str) -> str:
+    """The virtual journal as segment files, written by tasks; one task a segment."""
+    folder = _folder(spark, "journal")
+    rows = journal(spark, sf_dir).select("usn", "record_number", "parent_record_number", timestamp_to_filetime(F.col("ts").cast("timestamp")).alias("filetime"), "reason", "file_name")
+
+    def write(pdf):
+        entries = [(int(r.record_number), int(r.parent_record_number), int(r.usn), int(r.filetime), int(r.reason), 32, r.file_name) for r in pdf.sort_values("usn").itertuples()]
+        first = int(pdf["segment"].iloc[0]) * SEGMENT
+        usn_journal.append_segment(folder, 43981, first, entries[-1][2] + 1, entries)
+        return pdf[["segment"]].head(1)
+
+    rows.withColumn("segment", F.expr(f"usn div {SEGMENT}")).groupBy("segment").applyInPandas(write, "segment long").count()
+    return folder
+
+
+def s17_journal_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = usn_journal.read_journal(spark, _written_journal(spark, sf_dir), drive="C")
+    return found.select("drive", F.col("journal_id").cast("long").alias("journal_id"), "usn", "record_number", "parent_record_number", "filetime", "reason", "file_name")
+
+
+def s16_journal_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = usn_journal.read_journal(spark, _written_journal(spark, sf_dir), start=500, journal_id=43981)
+    return found.select("usn", "record_number", "reason")
+
+
+def s15_journal_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    journal_id, usn = usn_journal.query_cursor(_written_journal(spark, sf_dir))
+    return spark.createDataFrame([(journal_id, usn)], "journal_id long, next_usn long")
+
+
+def u07_journal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal as a stream, all that is there, into a table."""
+    out = _folder(spark, "stream")
+    stream = usn_journal.stream_journal(spark, _written_journal(spark, sf_dir), start=500, journal_id=43981)
+    query = stream.writeStream.format("parquet").option("path", out + "/rows").option("checkpointLocation", out + "/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out + "/rows").select("usn", "record_number", "reason")
+
+
+def k01_payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = volume(spark, sf_dir)
+    path = _folder(spark, "payload")
+    scan_payload.write(match.inventory(paths.resolve_paths(rows, rows, drive="C", plan="doubling")), path)
+    return scan_payload.read(spark, path).withColumn("size", F.col("size").cast("long"))
+
+
+def c02_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [
+        ("Shutdown", frames.write("Shutdown")),
+        ("StartWatch", frames.write("StartWatch", drives_spec="C")),
+        ("ArmAndScan", frames.write("ArmAndScan", drives_spec="C")),
+        ("EndWatchAck", frames.write("EndWatchAck")),
+    ]
+    return spark.createDataFrame([(k, b.hex()) for k, b in made], "kind string, bytes string")
+
+
+QUERIES: dict[str, Query] = {
+    "s21_synth_counts": s21_synth_counts,
+    "s05_image_scan": s05_image_scan,
+    "s08_fixup": s08_fixup,
+    "p17_image_scanner": p17_image_scanner,
+    "h02_image_paths": h02_image_paths,
+    "s17_journal_decode": s17_journal_decode,
+    "s16_journal_since": s16_journal_since,
+    "s15_journal_cursor": s15_journal_cursor,
+    "u07_journal_stream": u07_journal_stream,
+    "k01_payload_roundtrip": k01_payload_roundtrip,
+    "c02_frames": c02_frames,
+}
+
+_J = f"WITH {JRN_SQL} "
+# What the generator's rules give for an image of 1000 records.
+GIT = ((6, ".git"), (88, ".git"), (183, "tests/.git"), (219, "package.json/.git"), (457, "package.json/.git"), (459, "config.yaml/.git"), (513, ".git"), (537, ".git"), (555, "main.cpp/.git"), (874, ".git"))
+
+ORACLE_SQL: dict[str, str] = {
+    "s21_synth_counts": SYNTH_SQL,
+    "s08_fixup": SYNTH_SQL.replace("SELECT count(*) FILTER (WHERE i <= 5", "SELECT true AS fixup_ok, count(*) FILTER (WHERE i <= 5").replace("AS used,", "AS n,").split("count(*) FILTER (WHERE i > 5 AND roll < 10)")[0].rstrip().rstrip(",") + " FROM m",
+    "p17_image_scanner": "SELECT r::BIGINT AS record_number, replace(p, '/', chr(92)) AS full_path FROM (VALUES " + ", ".join(f"({r}, '{p}')" for r, p in GIT) + ") t(r, p)",
+    "s17_journal_decode": _J + "SELECT 'C' AS drive, 43981::BIGINT AS journal_id, usn, record_number, parent_record_number, epoch_us(ts) * 10 + 116444736000000000 AS filetime, reason, file_name FROM jrn",
+    "s16_journal_since": _J + "SELECT usn, record_number, reason FROM jrn WHERE usn >= 500",
+    "s15_journal_cursor": _J + "SELECT 43981::BIGINT AS journal_id, max(usn) + 1 AS next_usn FROM jrn",
+    "u07_journal_stream": _J + "SELECT usn, record_number, reason FROM jrn WHERE usn >= 500",
+    "k01_payload_roundtrip": f"WITH RECURSIVE {VOL_SQL}, {PATHS_SQL} SELECT v.record_number, v.parent_record_number, 0::BIGINT AS size, 0::BIGINT AS last_write_ticks, v.file_attributes AS attributes, (v.flags & 2) <> 0 AS is_directory, v.file_name AS name, 'C:' || chr(92) || p.path AS path FROM vol v JOIN paths p USING (record_number)",
+    "c02_frames": "SELECT * FROM (VALUES ('Shutdown', '0100000003'), ('StartWatch', '070000000202000000' || '4300'), ('ArmAndScan', '0b0000000102000000' || '4300' || '00000000'), ('EndWatchAck', '010000000a')) t(kind, bytes)",
+}

@@ -438,7 +438,7 @@ def c05(spark, sf):
     return names.select("n_regionkey", tx.quoted_arguments("names").alias("arguments"))
 
 
-@query("k02_payload_size", R + "SELECT (28 + 48 * count(*) + 2 * sum(length(v.file_name) + length(p.path)))::BIGINT AS bytes FROM vol v JOIN paths p USING (record_number)")
+@query("k02_payload_size", R + "SELECT (28 + 56 * count(*) + 2 * sum(length(v.file_name) + length(p.path)))::BIGINT AS bytes FROM vol v JOIN paths p USING (record_number)")
 def k02(spark, sf):
     rows = volume(spark, sf)
     return stats.payload_size(match.inventory(paths.resolve_paths(rows, rows, plan="doubling")))
