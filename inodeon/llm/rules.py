@@ -165,7 +165,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: fl
     held = stats.join(known, "doc_id").select(F.coalesce("lang", F.lit("")).alias("stratum"), "quality", *STATS)
     rows = []
     for rule, value in rule_values().items():
-        level = sum((value > c).cast("int") for c in LADDERS[rule])
+        level = sum((value > c).cast("int") for c in LADDERS[rule])  # exceeds the last so many, strictest, cutoffs
         rows.append(F.struct(F.lit(rule).alias("rule"), level.alias("level")))
     steps = (
         held.select("stratum", "quality", F.explode(F.array(*rows)).alias("r"))
@@ -180,7 +180,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: fl
         out: dict[str, object] = {"stratum": pdf["stratum"].iloc[0]}
         for rule, ladder in LADDERS.items():
             own = pdf[pdf["rule"] == rule]
-            reach = lambda col: [int(own.loc[own["level"] > i, col].sum()) for i in range(len(ladder))]  # noqa: B023, E731
+            reach = lambda col: [int(own.loc[own["level"] >= len(ladder) - i, col].sum()) for i in range(len(ladder))]  # noqa: B023, E731
             at = pick(reach("good"), reach("bad"), int(own["good"].sum()), level, share)
             out[rule] = None if at is None else ladder[at]
         return pd.DataFrame([out]).astype({rule: "float64" for rule in LADDERS})

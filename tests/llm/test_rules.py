@@ -45,9 +45,11 @@ def test_pick_stops_at_the_limit_and_prefers_lenient():
 
 def test_cutoffs_reject_bad_and_limit_false_rejection(spark):
     good = " ".join(f"g{i}" for i in range(30))
-    bad = " ".join(f"b{i}###" for i in range(30))
+    bad = " ".join(f"b{i}" + "#" * (i % 2) for i in range(30))  # half a symbol a word: a cutoff in the middle of the ladder
     docs = [(i, good if i % 10 else bad, "en", "s", 1, "e", "k") for i in range(6000)]
     labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(6000)], "doc_id long, quality int, toxic int")
+    chosen = rules.cutoffs(rules.with_statistics(frame(spark, docs)), labels).collect()
+    assert [(r.stratum, r.symbols) for r in chosen] == [("en", 0.35)]
     out = rules.quality_rules(frame(spark, docs), labels)
     assert {(r.kept, r["count"]) for r in out.groupBy("kept").count().collect()} == {(True, 5400), (False, 600)}
     kept = rules.apply_rules(frame(spark, docs), labels)
