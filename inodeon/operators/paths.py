@@ -7,6 +7,7 @@ seen, one without a name or one that is missing; paths have at most so many comp
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ FRONTIER_ROWS = 200_000
 FRONTIER_STEP = 8
 
 
-def _shared(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Lineage cut in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -66,7 +67,7 @@ def components_by_doubling(hierarchy: DataFrame, max_depth: int = MAX_DEPTH, che
             F.when(F.col("up_names").isNotNull(), F.concat("up_names", "names")).otherwise(F.col("names")).alias("names"),
         )
         if (k + 1) % checkpoint_every == 0 or k + 1 == rounds:
-            at = _shared(at)
+            at = checkpointed(at)
             if at.where("cur is not null").isEmpty():
                 break
     keep = F.least(F.size(F.array_distinct("ids")), F.lit(max_depth))
@@ -75,7 +76,8 @@ def components_by_doubling(hierarchy: DataFrame, max_depth: int = MAX_DEPTH, che
 
 def components_by_frontier(wanted: DataFrame, hierarchy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """The same for the wanted record numbers only: one join a level, and only rows still on their way take part."""
-    step = hierarchy.select(F.col("record_number").alias("cur"), F.col("parent"), F.col("name"))
+    # every level joins the whole hierarchy: read it once, dealt out by record as all of them need it
+    step = hierarchy.select(F.col("record_number").alias("cur"), F.col("parent"), F.col("name")).repartition("cur").persist(StorageLevel.DISK_ONLY)
     none_ids, none_names = F.array().cast("array<bigint>"), F.array().cast("array<string>")
     way = wanted.select("record_number", F.col("record_number").alias("cur"), none_ids.alias("ids"), none_names.alias("names"))
     done: DataFrame | None = None
@@ -91,12 +93,13 @@ def components_by_frontier(wanted: DataFrame, hierarchy: DataFrame, max_depth: i
                 F.when(go, F.concat(F.array("name"), "names")).otherwise(F.col("names")).alias("names"),
             )
             depth += 1
-        way = _shared(way)
+        way = checkpointed(way)
         arrived = way.where("cur is null").select("record_number", F.col("names").alias("components"))
         done = arrived if done is None else done.unionByName(arrived)
         way = way.where("cur is not null")
         if way.isEmpty():
-            return done
+            break
+    step.unpersist()
     return done.unionByName(way.select("record_number", F.col("names").alias("components")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inodeon.functions.text import utf16_units
@@ -13,19 +13,25 @@ def totals(records: DataFrame, used: Column) -> DataFrame:
     return records.agg(F.count("*").alias("total_records"), F.count_if(used).alias("used_records"))
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+def upper_median(df: DataFrame, keys: list[str], value: str, name: str, parts: int = 64) -> DataFrame:
     """``sorted[n div 2]`` of a value by key: the larger of the two middle ones.
 
-    Equal values are counted first, so that what is ranked is the number of different values, not of rows.
+    Exact, without gathering a key's rows: approximate quantiles only cut its values into ranges, counts say which range
+    holds the middle, and only that range is ranked, by counted values.
     """
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    ranged = counted.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
     by = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(by)})
-    at = F.expr("_all div 2")
-    return ranked.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at)).select(*keys, F.col(value).alias(name))
+    before = F.coalesce(F.sum("_size").over(by.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"_before": before, "_at": F.expr("sum(_size) OVER (PARTITION BY " + ", ".join(keys) + ") div 2")})
+    middle = sizes.where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_size")))
+    inside = ranged.join(middle, [*keys, "_range"])
+    upto = F.col("_before") + F.sum("_n").over(by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.withColumn("_upto", upto)
+    return ranked.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at"))).select(*keys, F.col("_v").alias(name))
 
 
 def throughput(records: Column, millis: Column) -> Column:

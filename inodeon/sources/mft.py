@@ -3,7 +3,8 @@
 Options: ``path``; ``layout`` image (default) or volume; ``recordSize`` (1024), ``recordsPerPartition`` (65536), ``drive``;
 ``skipPrefix`` true for images with 20 bytes before the first record. With ``pushFilters`` true, for which
 ``spark.sql.python.filterPushdown.enabled`` must be set, predicates on ``name_fold``, ``in_use``, ``is_directory`` and ``record_number``
-are taken over by the reader.
+are taken over by the reader. Spark keeps what was pushed with the loaded frame, also for other uses of that frame; so load one
+for each predicate then, and resolve paths against another. It is off by default.
 """
 
 from __future__ import annotations
@@ -197,10 +198,9 @@ def write_synthetic(path: str, n: int) -> None:
 
 
 def read_image(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    """The live records of an image or volume; predicates on names and flags are taken over by the reader."""
+    """The live records of an image or volume."""
     spark.dataSource.register(MftSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    reader = spark.read.format("mft").option("path", path).option("pushFilters", "true")
+    reader = spark.read.format("mft").option("path", path)
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
     return reader.load()

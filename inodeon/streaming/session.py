@@ -113,7 +113,7 @@ class WatchSession:
                 rows = mft.read_image(self.spark, drive.image, drive=key, layout=drive.layout)
                 kept = match.keep_profile(rows, drive.profile, self._keep)
                 scan = match.inventory(paths.resolve_paths(kept, rows, drive=key))
-                result.scans[key] = paths._shared(scan)  # read now: the journal is caught up with after the scan
+                result.scans[key] = paths.checkpointed(scan)  # read now: the journal is caught up with after the scan
                 journal, end = usn_journal.query_cursor(drive.journal)
                 entries = usn_journal.read_journal(self.spark, drive.journal, result.armed[key][1], result.armed[key][0], key)
                 result.entries[key] = entries.where(F.col("usn") < end)

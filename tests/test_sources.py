@@ -47,13 +47,17 @@ def test_image_round_trip(spark, image):
 
 
 def test_filters_reach_the_source(spark, image):
-    rows = mft.read_image(spark, image)
-    assert match.find_by_name(rows, "CONFIG", MatchFlags.CONTAINS).count() == 43
-    assert match.find_by_name(rows, "readme.MD").count() == 18
-    found = rows.where("is_directory and record_number >= 500 and record_number < 900")
-    assert found.count() == rows.where((F.col("flags").bitwiseAND(2) != 0) & F.col("record_number").between(500, 899)).count()
-    plan = match.find_by_name(rows, "readme.MD")._jdf.queryExecution().executedPlan().toString()
-    assert "Filter (name_fold" not in plan
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        load = lambda: mft.read_image(spark, image, pushFilters=True)
+        assert match.find_by_name(load(), "CONFIG", MatchFlags.CONTAINS).count() == 43
+        assert match.find_by_name(load(), "readme.MD").count() == 18
+        found = load().where("is_directory and record_number >= 500 and record_number < 900")
+        assert found.count() == mft.read_image(spark, image).where((F.col("flags").bitwiseAND(2) != 0) & F.col("record_number").between(500, 899)).count()
+        plan = match.find_by_name(load(), "readme.MD")._jdf.queryExecution().executedPlan().toString()
+        assert "Filter (name_fold" not in plan
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     spark.dataSource.register(mft.MftSource)
     assert spark.read.format("mft").option("path", image).load().where("name_fold = 'readme.md'").count() == 18
 
