@@ -33,14 +33,27 @@ def _image(spark: SparkSession) -> str:
 
 
 
+# The generator in SQL: 128-bit integers, cut back to 64 bits after each step; u1, u2, u3 are the first three draws.
+_M = "18446744073709551616::HUGEINT"
+
+
+def _draw(source: str, to: str) -> str:
+    names = "i, " + "".join(f"{c}, " for c in ("u1", "u2")[: int(to[1:]) - 1])
+    shift = lambda x, k: f"xor({x}, ({x} * {k}::HUGEINT) % {_M})"
+    a, b, c = f"{to}a", f"{to}b", f"{to}c"
+    return (
+        f"{a} AS (SELECT {names}{shift('x', 8192)} AS x FROM {source}), {b} AS (SELECT {names}xor(x, x // 128::HUGEINT) AS x FROM {a}), "
+        f"{c} AS (SELECT {names}{shift('x', 131072)} AS x FROM {b}), {to} AS (SELECT {names}x % 4294967296::HUGEINT AS {'u' + to[1:]}, x FROM {c})"
+    )
+
+
+GENERATOR_SQL = (
+    f"d0 AS (SELECT i, xor(12345678901::HUGEINT, ((i::HUGEINT * 6364136223846793005::HUGEINT) % {_M} + 1) % {_M}) AS x FROM range(0, {RECORDS}) t(i)), "
+    + ", ".join(_draw(f"d{k - 1}", f"d{k}") for k in (1, 2, 3))
+    + ", m AS (SELECT i, (u1 % 100)::BIGINT AS roll, u2, u3 FROM d3)"
+)
 SYNTH_SQL = f"""
-WITH s AS (
-  SELECT i, xor(12345678901::HUGEINT, ((i::HUGEINT * 6364136223846793005::HUGEINT) % 18446744073709551616::HUGEINT + 1) % 18446744073709551616::HUGEINT) AS x0
-  FROM range(0, {RECORDS}) t(i)
-), a AS (SELECT i, xor(x0, (x0 * 8192::HUGEINT) % 18446744073709551616::HUGEINT) AS x FROM s),
-b AS (SELECT i, xor(x, x // 128::HUGEINT) AS x FROM a),
-c AS (SELECT i, xor(x, (x * 131072::HUGEINT) % 18446744073709551616::HUGEINT) AS x FROM b),
-m AS (SELECT i, ((x % 4294967296::HUGEINT) % 100)::BIGINT AS roll FROM c)
+WITH {GENERATOR_SQL}
 SELECT count(*) FILTER (WHERE i <= 5 OR roll >= 25) AS used, count(*) FILTER (WHERE i > 5 AND roll < 10) AS zeroed,
        count(*) FILTER (WHERE i > 5 AND roll >= 10 AND roll < 25) AS extensions,
        count(*) FILTER (WHERE i = 5 OR (i > 5 AND roll >= 25 AND roll < 40)) AS directories
@@ -48,6 +61,20 @@ FROM m
 """
 
 
+def _list(names: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+IMAGE_SQL = f"""{GENERATOR_SQL}, image AS (
+  SELECT i AS record_number,
+         CASE WHEN i < 5 THEN 0 WHEN i < 100 THEN 5 ELSE (u2 % (i // 2))::BIGINT + 5 END AS parent_record_number,
+         CASE WHEN i = 5 OR (i > 5 AND roll < 40) THEN 3 ELSE 1 END AS flags,
+         CASE WHEN i < 5 THEN '$MFT' WHEN i = 5 THEN '.'
+              ELSE (CASE WHEN roll < 40 THEN {_list(synthetic.DIR_NAMES)} ELSE {_list(synthetic.FILE_NAMES)} END)[((CASE WHEN i < 100 THEN u2 ELSE u3 END) % 16)::INTEGER + 1] END AS file_name
+  FROM m WHERE i <= 5 OR roll >= 25
+)"""
+
+
 def s21_synth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = synthetic.records(spark, RECORDS)
     live = ~F.col("zeroed") & (F.col("base_reference") == 0)
@@ -60,7 +87,7 @@ def s21_synth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s05_image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mft.read_image(spark, _image(spark), recordsPerPartition=300)
+    return mft.read_image(spark, _image(spark), recordsPerPartition=300).select("record_number", "parent_record_number", "flags", "file_name", "fixup_ok")
 
 
 def s08_fixup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +180,14 @@ GIT = ((6, ".git"), (88, ".git"), (183, "tests/.git"), (219, "package.json/.git"
 
 ORACLE_SQL: dict[str, str] = {
     "s21_synth_counts": SYNTH_SQL,
-    "s08_fixup": SYNTH_SQL.replace("SELECT count(*) FILTER (WHERE i <= 5", "SELECT true AS fixup_ok, count(*) FILTER (WHERE i <= 5").replace("AS used,", "AS n,").split("count(*) FILTER (WHERE i > 5 AND roll < 10)")[0].rstrip().rstrip(",") + " FROM m",
+    "s05_image_scan": f"WITH {IMAGE_SQL} SELECT *, true AS fixup_ok FROM image",
+    "s08_fixup": f"WITH {IMAGE_SQL} SELECT true AS fixup_ok, count(*) AS n FROM image",
+    "h02_image_paths": f"""WITH RECURSIVE {IMAGE_SQL}, walk AS (
+      SELECT record_number AS s, parent_record_number AS cur, [record_number] AS ids, file_name AS path, 1 AS d FROM image WHERE record_number <> 5
+      UNION ALL
+      SELECT w.s, f.parent_record_number, list_append(w.ids, f.record_number), f.file_name || chr(92) || w.path, w.d + 1
+      FROM walk w JOIN image f ON f.record_number = w.cur WHERE f.record_number <> 5 AND NOT list_contains(w.ids, f.record_number)
+    ) SELECT s AS record_number, arg_max(path, d) AS full_path FROM walk GROUP BY s UNION ALL SELECT 5::BIGINT, NULL""",
     "p17_image_scanner": "SELECT r::BIGINT AS record_number, replace(p, '/', chr(92)) AS full_path FROM (VALUES " + ", ".join(f"({r}, '{p}')" for r, p in GIT) + ") t(r, p)",
     "s17_journal_decode": _J + "SELECT 'C' AS drive, 43981::BIGINT AS journal_id, usn, record_number, parent_record_number, epoch_us(ts) * 10 + 116444736000000000 AS filetime, reason, file_name FROM jrn",
     "s16_journal_since": _J + "SELECT usn, record_number, reason FROM jrn WHERE usn >= 500",
