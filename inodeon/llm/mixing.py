@@ -92,7 +92,7 @@ def plan(totals: DataFrame, a: float, budget: int | None = None) -> DataFrame:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_source": F.col("source").cast("string"), "_hash": F.xxhash64(F.coalesce("text", F.lit(""))), "_id": F.col("doc_id")})
+    return docs.withColumns({"_source": docs["source"].cast("string"), "_hash": F.xxhash64(F.coalesce(docs["text"], F.lit(""))), "_id": docs["doc_id"]})
 
 
 def schedule(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
@@ -145,5 +145,7 @@ def mix(docs: DataFrame, **target: object) -> DataFrame:
     """The documents, each as often as it is read, with their own columns."""
     plan_of = schedule(docs, **target).withColumnsRenamed({"_source": "_s", "_id": "_i", "_hash": "_h"}).select("_s", "_i", "_h", "repeats")
     same = F.col("_source").eqNullSafe(F.col("_s")) & F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
-    read = _narrow(docs).join(plan_of, same).where("repeats > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
-    return read.select(*(f"`{c}`" for c in docs.columns))
+    # a row's own columns travel in one struct, so that none can clash with those added here
+    rows = _narrow(docs).select("_source", "_id", "_hash", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    read = rows.join(plan_of, same).where("repeats > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return read.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -84,7 +84,14 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     n = len(grams) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    at = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(n)
+    low = np.uint64((1 << 24) - 1)
+    least, width = grams & ~low | np.arange(len(grams), dtype=np.uint64) & low, 1  # of equal hashes the leftmost is least
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    start = np.arange(n, dtype=np.uint64)
+    at = (start + (least - start & low)).astype(np.int64)
     kept = at[np.r_[True, at[1:] != at[:-1]]]
     return kept[kept + REACH <= len(hashes)]
 
@@ -113,40 +120,45 @@ def _texts(batch: pa.RecordBatch, column: int = 1) -> list[bytes]:
 
 
 def narrow_suffixes(docs: DataFrame) -> DataFrame:
-    """``(first, doc_id, pos)`` of all kept suffixes."""
+    """``(first, doc_id)`` of all kept suffixes, once for each row and first words: a run of one word has very many of them."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = WordHashes()
-        parts = [suffixes(t, words) for t in _texts(batch)]
-        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        at, first = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        return pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(at.astype(np.int32))], ["first", "doc_id", "pos"])
+        parts = [np.unique(suffixes(t, words)[1]) for t in _texts(batch)]
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), batch.column(0).take(pa.array(owner))], ["first", "doc_id"])
 
-    return map_arrow(_rows(docs), run, "first long, doc_id long, pos int")
+    return map_arrow(_rows(docs), run, "first long, doc_id long")
 
 
 def wide_suffixes(docs: DataFrame) -> DataFrame:
-    """``(first, cls, sides, doc_id, pos)`` of the suffixes at ``places`` of each document; sides: words behind, then before."""
+    """``(first, cls, sides, doc_id, places)`` of the suffixes whose first words are in ``firsts``; sides: words behind, then before.
+
+    Equal suffixes of one text are one row with all their places.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = WordHashes()
-        parts, owner = [], []
-        for i, (text, places) in enumerate(zip(_texts(batch), batch.column(2).to_pylist())):
+        parts = []
+        for i, (text, firsts) in enumerate(zip(_texts(batch), batch.column(2))):
             at, first, right, left = suffixes(text, words)
-            own = np.isin(at, np.array(places, dtype=np.int64))
-            parts.append((at[own], first[own], np.concatenate([right[own], left[own]], axis=1)))
-            owner += [i] * int(own.sum())
-        at, first, sides = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            own = np.isin(first, firsts.values.to_numpy().view(np.uint64))
+            parts.append((at[own], first[own], np.concatenate([right[own], left[own]], axis=1), np.full(int(own.sum()), i)))
+        at, first, sides, owner = (np.concatenate([p[i] for p in parts]) for i in range(4))
         sides = np.ascontiguousarray(sides)
         with np.errstate(over="ignore"):
             cls = first.copy()
             for column in sides.T:
                 cls = _mixed(cls * _BASE + column.astype(np.uint64))
-        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SIDE), len(at), [None, pa.py_buffer(sides.tobytes())]).cast(pa.binary())
-        ids = batch.column(0).take(pa.array(owner, pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(cls.view(np.int64)), raw, ids, pa.array(at.astype(np.int32))], ["first", "cls", "sides", "doc_id", "pos"])
+        order = np.lexsort((at, cls, owner))
+        at, first, sides, owner, cls = (x[order] for x in (at, first, sides, owner, cls))
+        starts = np.flatnonzero(np.r_[len(at) > 0, (owner[1:] != owner[:-1]) | (cls[1:] != cls[:-1])])
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SIDE), len(starts), [None, pa.py_buffer(sides[starts].tobytes())]).cast(pa.binary())
+        places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)].astype(np.int32)), pa.array(at.astype(np.int32)))
+        ids = batch.column(0).take(pa.array(owner[starts]))
+        return pa.RecordBatch.from_arrays([pa.array(first[starts].view(np.int64)), pa.array(cls[starts].view(np.int64)), raw, ids, places], ["first", "cls", "sides", "doc_id", "places"])
 
-    return map_arrow(docs.select("doc_id", "b", "places"), run, "first long, cls long, sides binary, doc_id long, pos int")
+    return map_arrow(docs.select("doc_id", "b", "firsts"), run, "first long, cls long, sides binary, doc_id long, places array<int>")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -231,9 +243,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     narrow = narrow_suffixes(docs)
     shared = narrow.groupBy("first").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("first")
-    places = narrow.join(shared, "first").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    firsts = narrow.join(cut(shared), "first").groupBy("doc_id").agg(F.collect_set("first").alias("firsts"))
     stored = fresh_dir(spark, "suffixes")
-    wide_suffixes(rows.join(places, "doc_id")).write.parquet(stored)
+    wide_suffixes(rows.join(firsts, "doc_id")).write.parquet(stored)
     wide = spark.read.parquet(stored)
     classes = wide.groupBy("first", "cls").agg(F.first("sides").alias("sides"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     kinds = fresh_dir(spark, "suffix-classes")
@@ -242,7 +254,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     crowds = cut(classes.groupBy("first").count().where(F.col("count") > CROWD).select("first"))
     side = F.broadcast(crowds) if small_enough(crowds, MAX_BROADCAST) else crowds
     found = compare_neighbours(classes.join(side, "first", "left_anti")).unionByName(compare_crowds(classes.join(side, "first", "left_semi")))
-    hits = wide.select("cls", "doc_id", "pos").join(found, "cls")
+    hits = wide.select("cls", "doc_id", "places").join(cut(found), "cls").withColumn("pos", F.explode("places"))
     spans = hits.select("doc_id", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + REACH + F.col("behind")).alias("end")).distinct()
     by = Window.partitionBy("doc_id").orderBy("start", "end")
     spans = spans.withColumn("reach", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
