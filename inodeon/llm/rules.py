@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled thresholds (operator 1).
 
-Each rule rejects a document when a statistic exceeds a cutoff. The cutoffs come from labelled holdouts: per stratum
-(language) and rule, a fixed ladder of cutoffs is walked from lenient to strict, and a cutoff is admissible while the
-exact (Clopper-Pearson) upper bound of its false rejection rate on documents labelled good stays below that rule's
-share of the limit. Walking a fixed order needs no correction within a ladder; over strata and rules the error
-level is divided by their number (Bonferroni), and each rule gets an equal share of the limit, so that all
-rules together reject at most ``LIMIT`` of the good documents of every stratum, with confidence 1 - ``DELTA``. Among the
-admissible cutoffs the most lenient one that still catches nearly all the bad documents that the strictest catches is
-taken. A stratum with too few labels gets no cutoff and keeps everything but base failures.
+Each rule rejects a document when a statistic exceeds a cutoff. The cutoffs come from labelled documents that pass the
+base rules, split in two halves by a hash of the doc_id, per stratum (language). The first half proposes: it orders the rules by the bad documents
+that each newly catches, with the most lenient cutoff that catches nearly all of them, and leaves out rules that gain
+little. The second half, which has no part in that, decides: the proposed rules are tightened one step of their ladder after the
+other, which gives nested sets of rejections, and the walk goes on while the exact (Clopper-Pearson) upper bound of the share of good
+documents that the rules so far reject together stays below ``LIMIT``. Walking a fixed order up to the first failure needs no
+correction within a stratum; over strata the error level is divided by their number (Bonferroni). So the
+rules together reject at most ``LIMIT`` of the good documents of every stratum, with confidence 1 - ``DELTA`` for all strata at once.
+A stratum with too few labels gets no cutoff and keeps everything but base failures.
 
 Edge cases: a null text counts as empty and so has zero words, which fails the base rule; a null language is a stratum
 of its own; repeated rows each get their own verdict; of contradicting labels of one document the lower counts; an
@@ -17,6 +18,7 @@ empty documents or labels table works (no rows, or no cutoffs). Other columns pa
 from __future__ import annotations
 
 import math
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -34,16 +36,20 @@ LIMIT = 0.01
 DELTA = 0.05
 #: Share of the strictest cutoff's catch that a more lenient one must reach to be preferred.
 POWER = 0.99
+#: Share of the bad documents that a rule must catch beyond the others to be proposed.
+MIN_GAIN = 0.01
+SEED = 20240501
 #: Ladders, lenient first: share of words or characters at which a rule rejects.
 LADDERS: dict[str, tuple[float, ...]] = {
     "symbols": (2.0, 1.0, 0.7, 0.5, 0.35, 0.25, 0.18, 0.12, 0.08, 0.05),
     "dup_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3),
     "repeats": (0.28, 0.25, 0.22, 0.2, 0.17, 0.15, 0.12, 0.1),
     "capitals": (0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15),
+    "stutters": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1),
 }
 #: More strata than this are joined by a shuffle instead of a broadcast.
 MAX_STRATA = 10_000
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stutters")
 
 _SPACE = b" \t\n\x0b\f\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -87,6 +93,7 @@ def statistics(text: bytes) -> tuple[int, ...]:
         repeated_words(words),
         len(lines),
         len(text) - len(text.translate(None, _CAPITALS)),
+        sum(map(eq, words, words[1:])),
     )
 
 
@@ -110,9 +117,14 @@ def rule_values() -> dict[str, F.Column]:
         "dup_lines": per("n_dup_lines", "n_lines"),
         "repeats": per("n_repeat_words", "n_words"),
         "capitals": per("n_capitals", "word_chars"),
+        "stutters": per("n_stutters", "n_words"),
     }
 
 
+def fails_base() -> F.Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def beta_share(x: float, a: float, b: float) -> float:
     """The regularised incomplete beta function, by its continued fraction in the modified Lentz form."""
     if x <= 0.0 or x >= 1.0:
@@ -147,46 +159,76 @@ def binomial_upper(k: int, n: int, level: float) -> float:
     return high
 
 
-def pick(good: list[int], bad: list[int], n_good: int, level: float, limit: float) -> int | None:
-    """Index of the chosen cutoff; good and bad count the rejections at each step of a ladder, lenient first."""
-    admissible = []
-    for i, k in enumerate(good):
-        if n_good == 0 or k > limit * n_good or binomial_upper(k, n_good, level) > limit:
-            break
-        admissible.append(i)
-    if not admissible:
-        return None
-    return next(i for i in admissible if bad[i] >= POWER * bad[admissible[-1]])
+def _beyond(levels: np.ndarray, rule: int, step: int) -> np.ndarray:
+    """Which rows exceed a rule's cutoff; a level counts the cutoffs exceeded, from the strict end of the ladder."""
+    return levels[:, rule] >= len(list(LADDERS.values())[rule]) - step
+
+
+def proposed(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """``(rule, step of its ladder)`` in the order of what each newly catches; rows are weighted by good and bad."""
+    out = np.zeros(len(good), dtype=bool)
+    steps: list[tuple[int, int]] = []
+    while True:
+        best = (0.0, -1, -1)
+        for rule, ladder in enumerate(LADDERS.values()):
+            if any(rule == r for r, _ in steps):
+                continue
+            hits = [_beyond(levels, rule, i) for i in range(len(ladder))]
+            fine = [i for i, hit in enumerate(hits) if good[out | hit].sum() <= limit * good.sum()]
+            caught = [bad[hit & ~out].sum() for hit in hits]
+            if fine:
+                i = next(i for i in fine if caught[i] >= POWER * max(caught[i] for i in fine))
+                worth = caught[i] * good.sum() > good[hits[i] & ~out].sum() * bad.sum()
+                if worth and caught[i] >= MIN_GAIN * bad.sum():
+                    best = max(best, (caught[i], -rule, i))
+        if not best[0]:
+            return steps
+        rule, i = -best[1], best[2]
+        steps.append((rule, i))
+        out |= _beyond(levels, rule, i)
+
+
+def certified(steps: list[tuple[int, int]], levels: np.ndarray, good: np.ndarray, level: float, limit: float) -> dict[int, int]:
+    """The strictest step of each rule up to which all rules together keep within the limit."""
+    out = np.zeros(len(good), dtype=bool)
+    n, chosen = int(good.sum()), {}
+    for rule, last in steps:
+        for i in range(last + 1):
+            if binomial_upper(int(good[out | _beyond(levels, rule, i)].sum()), n, level) > limit:
+                return chosen
+            chosen[rule] = i
+        out |= _beyond(levels, rule, last)
+    return chosen
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
-    """``(stratum, <rule>...)``: the cutoff of every rule, null where none is admissible."""
+    """``(stratum, <rule>...)``: the cutoff of every rule, null where none is certified.
+
+    Labelled documents are counted by the steps they reach, so that a stratum's task gets at most a row for every
+    combination of steps, however many documents there are.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = stats.join(known, "doc_id").select(F.coalesce("lang", F.lit("")).alias("stratum"), "quality", *STATS)
-    rows = []
-    for rule, value in rule_values().items():
-        level = sum((value > c).cast("int") for c in LADDERS[rule])  # exceeds the last so many, strictest, cutoffs
-        rows.append(F.struct(F.lit(rule).alias("rule"), level.alias("level")))
-    steps = (
-        held.select("stratum", "quality", F.explode(F.array(*rows)).alias("r"))
-        .groupBy("stratum", "r.rule", "r.level")
+    held = stats.where(~fails_base()).join(known, "doc_id")
+    levels = [sum((value > c).cast("int") for c in LADDERS[rule]).alias(rule) for rule, value in rule_values().items()]
+    counts = (
+        held.select(F.coalesce("lang", F.lit("")).alias("stratum"), (F.xxhash64("doc_id", F.lit(SEED)) % 2 == 0).alias("decides"), "quality", *levels)
+        .groupBy("stratum", "decides", *LADDERS)
         .agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     )
-    steps = cut(steps)
-    tests = max(1, steps.select("stratum").distinct().count()) * len(LADDERS)
-    level, share = delta / tests, limit / len(LADDERS)
+    counts = cut(counts)
+    level = delta / max(1, counts.select("stratum").distinct().count())
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, second = pdf[~pdf["decides"]], pdf[pdf["decides"]]
+        numbers = lambda half: (half[list(LADDERS)].to_numpy(), half["good"].to_numpy())
+        steps = proposed(*numbers(first), first["bad"].to_numpy(), limit)
+        chosen = certified(steps, *numbers(second), level, limit)
         out: dict[str, object] = {"stratum": pdf["stratum"].iloc[0]}
-        for rule, ladder in LADDERS.items():
-            own = pdf[pdf["rule"] == rule]
-            reach = lambda col: [int(own.loc[own["level"] >= len(ladder) - i, col].sum()) for i in range(len(ladder))]  # noqa: B023, E731
-            at = pick(reach("good"), reach("bad"), int(own["good"].sum()), level, share)
-            out[rule] = None if at is None else ladder[at]
+        out |= {rule: ladder[chosen[r]] if r in chosen else None for r, (rule, ladder) in enumerate(LADDERS.items())}
         return pd.DataFrame([out]).astype({rule: "float64" for rule in LADDERS})
 
     schema = "stratum string, " + ", ".join(f"{rule} double" for rule in LADDERS)
-    return steps.groupBy("stratum").applyInPandas(choose, schema)
+    return counts.groupBy("stratum").applyInPandas(choose, schema)
 
 
 def verdicts(stats: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -197,8 +239,7 @@ def verdicts(stats: DataFrame, chosen: DataFrame) -> DataFrame:
     rejected = F.lit(False)
     for rule, value in rule_values().items():
         rejected = rejected | F.coalesce(value > F.col(f"_{rule}"), F.lit(False))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected).drop(*chosen.columns)
+    return joined.withColumn("base_failed", fails_base()).withColumn("kept", ~fails_base() & ~rejected).drop(*chosen.columns)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

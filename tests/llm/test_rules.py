@@ -1,6 +1,8 @@
 import math
 import re
 
+import numpy as np
+
 from inodeon.llm import rules
 
 from .cases import awkward, frame
@@ -37,10 +39,47 @@ def test_binomial_bound():
     assert rules.binomial_upper(7, 7, 0.05) == 1.0
 
 
-def test_pick_stops_at_the_limit_and_prefers_lenient():
-    assert rules.pick([0, 0, 0, 500], [10, 90, 90, 99], 10_000, 0.01, 0.01) == 1
-    assert rules.pick([0], [5], 20, 0.01, 0.01) is None
-    assert rules.pick([], [], 0, 0.01, 0.01) is None
+def levels(*rows):
+    """Level rows by rule name, with their counts of good and bad documents."""
+    names = list(rules.LADDERS)
+    return np.array([[r.get(n, 0) for n in names] for r, _, _ in rows]), np.array([g for _, g, _ in rows]), np.array([b for _, _, b in rows])
+
+
+def test_proposals_prefer_lenient_cutoffs_that_catch_nearly_all():
+    names, steps = list(rules.LADDERS), len(rules.LADDERS["symbols"])
+    at, good, bad = levels(({}, 10_000, 10), ({"symbols": steps}, 0, 10), ({"symbols": steps - 2}, 0, 80), ({"symbols": 1}, 500, 9), ({"repeats": 1}, 50, 0))
+    assert rules.proposed(at, good, bad, 0.01) == [(names.index("symbols"), 2)]
+    assert rules.proposed(at[:0], good[:0], bad[:0], 0.01) == []
+
+
+def test_certificates_stop_at_the_limit():
+    symbols = list(rules.LADDERS).index("symbols")
+    steps = len(rules.LADDERS["symbols"])
+    at, good, _ = levels(({}, 10_000, 0), ({"symbols": steps}, 0, 0), ({"symbols": steps - 3}, 500, 0))
+    assert rules.certified([(symbols, 5)], at, good, 0.01, 0.01) == {symbols: 2}
+    assert rules.certified([(symbols, 5)], at, good // 100, 0.01, 0.01) == {}  # too few labels for any cutoff
+    assert rules.certified([(symbols, 5)], at[:0], good[:0], 0.01, 0.01) == {}
+
+
+def test_false_rejection_stays_within_the_limit_on_fresh_rows():
+    rng = np.random.default_rng(3)
+    over = 0
+    for _ in range(60):  # a rule that rejects 2 % of good documents at its strictest step, 0.4 % before
+        draw = lambda: rng.multinomial(4000, [0.98, 0.016, 0.004])
+        at = levels(({}, 0, 0), ({"symbols": 1}, 0, 0), ({"symbols": 2}, 0, 0))[0]
+        found = rules.certified([(0, len(rules.LADDERS["symbols"]) - 1)], at, draw(), 0.05, 0.01)
+        over += found.get(0, 0) == len(rules.LADDERS["symbols"]) - 1
+    assert over <= 60 * 0.05
+
+
+def test_halves_and_base_failures(spark):
+    """Good documents that fail the base rules anyway don't count against a cutoff."""
+    good = " ".join(f"g{i}" for i in range(30))
+    stutter = "mm mm mm # " * 3
+    docs = [(i, good if i % 2 else stutter, "en", "s", 1, "e", "k") for i in range(4000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4000)], "doc_id long, quality int, toxic int")
+    chosen = rules.cutoffs(rules.with_statistics(frame(spark, docs)), labels).first()
+    assert [chosen[r] for r in rules.LADDERS] == [None] * len(rules.LADDERS)
 
 
 def test_cutoffs_reject_bad_and_limit_false_rejection(spark):
