@@ -45,6 +45,12 @@ def combine_timers(slices: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def run_bytes(runs: DataFrame, clusters: str, cluster_size: int, record_size: int, *keys: str) -> DataFrame:
+    """Bytes of all runs, and the number of whole records in them."""
+    total = F.sum(F.col(clusters).cast("long") * cluster_size)
+    return runs.groupBy(*keys).agg(total.alias("bytes")).withColumn("records", F.expr(f"bytes div {record_size}"))
+
+
 def payload_size(scan: DataFrame) -> DataFrame:
     """Bytes of the scan payload file of an inventory: header, fixed rows, and names and paths in UTF-16."""
     units = F.coalesce(utf16_units("name"), F.lit(0)) + F.coalesce(utf16_units("path"), F.lit(0))

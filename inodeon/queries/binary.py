@@ -31,8 +31,6 @@ def _image(spark: SparkSession) -> str:
     return path
 
 
-
-
 # The generator in SQL: 128-bit integers, cut back to 64 bits after each step; u1, u2, u3 are the first three draws.
 _M = "18446744073709551616::HUGEINT"
 
@@ -94,6 +92,12 @@ def s08_fixup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mft.read_image(spark, _image(spark)).groupBy("fixup_ok").agg(F.count("*").alias("n"))
 
 
+def p01_live_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base records in use with a name, out of all slots."""
+    rows = synthetic.records(spark, RECORDS).withColumn("magic_ok", ~F.col("zeroed"))
+    return match.live_records(rows).select("record_number", "file_name")
+
+
 def p17_image_scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mft.read_image(spark, _image(spark))
     return match.find_by_name(rows, ".git", MatchFlags.EXACT | MatchFlags.RESOLVE_PATHS).select("record_number", "full_path")
@@ -164,6 +168,7 @@ QUERIES: dict[str, Query] = {
     "s21_synth_counts": s21_synth_counts,
     "s05_image_scan": s05_image_scan,
     "s08_fixup": s08_fixup,
+    "p01_live_records": p01_live_records,
     "p17_image_scanner": p17_image_scanner,
     "h02_image_paths": h02_image_paths,
     "s17_journal_decode": s17_journal_decode,
@@ -175,20 +180,20 @@ QUERIES: dict[str, Query] = {
 }
 
 _J = f"WITH {JRN_SQL} "
-# What the generator's rules give for an image of 1000 records.
-GIT = ((6, ".git"), (88, ".git"), (183, "tests/.git"), (219, "package.json/.git"), (457, "package.json/.git"), (459, "config.yaml/.git"), (513, ".git"), (537, ".git"), (555, "main.cpp/.git"), (874, ".git"))
+_WALK = f"""WITH RECURSIVE {IMAGE_SQL}, walk AS (
+  SELECT record_number AS s, parent_record_number AS cur, [record_number] AS ids, file_name AS path, 1 AS d FROM image WHERE record_number <> 5
+  UNION ALL
+  SELECT w.s, f.parent_record_number, list_append(w.ids, f.record_number), f.file_name || chr(92) || w.path, w.d + 1
+  FROM walk w JOIN image f ON f.record_number = w.cur WHERE f.record_number <> 5 AND NOT list_contains(w.ids, f.record_number)
+) """
 
 ORACLE_SQL: dict[str, str] = {
     "s21_synth_counts": SYNTH_SQL,
     "s05_image_scan": f"WITH {IMAGE_SQL} SELECT *, true AS fixup_ok FROM image",
     "s08_fixup": f"WITH {IMAGE_SQL} SELECT true AS fixup_ok, count(*) AS n FROM image",
-    "h02_image_paths": f"""WITH RECURSIVE {IMAGE_SQL}, walk AS (
-      SELECT record_number AS s, parent_record_number AS cur, [record_number] AS ids, file_name AS path, 1 AS d FROM image WHERE record_number <> 5
-      UNION ALL
-      SELECT w.s, f.parent_record_number, list_append(w.ids, f.record_number), f.file_name || chr(92) || w.path, w.d + 1
-      FROM walk w JOIN image f ON f.record_number = w.cur WHERE f.record_number <> 5 AND NOT list_contains(w.ids, f.record_number)
-    ) SELECT s AS record_number, arg_max(path, d) AS full_path FROM walk GROUP BY s UNION ALL SELECT 5::BIGINT, NULL""",
-    "p17_image_scanner": "SELECT r::BIGINT AS record_number, replace(p, '/', chr(92)) AS full_path FROM (VALUES " + ", ".join(f"({r}, '{p}')" for r, p in GIT) + ") t(r, p)",
+    "p01_live_records": f"WITH {IMAGE_SQL} SELECT record_number, file_name FROM image",
+    "h02_image_paths": _WALK + "SELECT s AS record_number, arg_max(path, d) AS full_path FROM walk GROUP BY s UNION ALL SELECT 5::BIGINT, NULL",
+    "p17_image_scanner": _WALK + "SELECT s AS record_number, arg_max(path, d) AS full_path FROM walk WHERE s IN (SELECT record_number FROM image WHERE file_name = '.git') GROUP BY s",
     "s17_journal_decode": _J + "SELECT 'C' AS drive, 43981::BIGINT AS journal_id, usn, record_number, parent_record_number, epoch_us(ts) * 10 + 116444736000000000 AS filetime, reason, file_name FROM jrn",
     "s16_journal_since": _J + "SELECT usn, record_number, reason FROM jrn WHERE usn >= 500",
     "s15_journal_cursor": _J + "SELECT 43981::BIGINT AS journal_id, max(usn) + 1 AS next_usn FROM jrn",

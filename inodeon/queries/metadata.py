@@ -127,6 +127,18 @@ def p14_files(spark, sf):
     return match.find_files(volume(spark, sf), "ORDER#100")
 
 
+@query("p06_reference_strip", "SELECT o_orderkey, o_custkey::BIGINT AS record_number FROM orders")
+def p06(spark, sf):
+    """Record numbers of references whose high 16 bits count how often a slot was used."""
+    reference = F.shiftleft((F.col("o_orderkey") % 32768).cast("long"), 48).bitwiseOR(F.col("o_custkey").cast("long"))
+    return read(spark, sf, "orders").select("o_orderkey", fl.record_of(reference).alias("record_number"))
+
+
+@query("p15_cli_search", V + f"SELECT record_number, file_name FROM vol WHERE length(file_name) > 0 AND contains({FOLD}, 'an')")
+def p15(spark, sf):
+    return match.find_by_name(volume(spark, sf).where(F.length("file_name") > 0), "AN", MatchFlags.CONTAINS).select("record_number", "file_name")
+
+
 @query("p16_first_names", V + "SELECT record_number, file_name FROM vol WHERE length(file_name) > 0 ORDER BY record_number LIMIT 25")
 def p16(spark, sf):
     return match.first_names(volume(spark, sf))
@@ -324,6 +336,14 @@ def j03(spark, sf):
     return read(spark, sf, "customer").join(names, "c_nationkey").select("c_custkey", "drive")
 
 
+@query("j04_parent_join", V + "SELECT c.record_number, c.file_name, p.file_name AS parent_name FROM vol c LEFT JOIN vol p ON p.record_number = c.parent_record_number WHERE c.record_number <> 5")
+def j04(spark, sf):
+    """One level of the hierarchy: records with their parent's name."""
+    rows = volume(spark, sf)
+    parents = rows.select(F.col("record_number").alias("parent_record_number"), F.col("file_name").alias("parent_name"))
+    return rows.where("record_number <> 5").join(parents, "parent_record_number", "left").select("record_number", "file_name", "parent_name")
+
+
 @query("j05_keep_semi", V + "SELECT record_number, file_name FROM vol WHERE upper(file_name) IN (SELECT upper(n_name) FROM nation)")
 def j05(spark, sf):
     keep = read(spark, sf, "nation").select(F.upper("n_name").alias("k"))
@@ -361,6 +381,13 @@ def a04(spark, sf):
     return stats.combine_timers(rows, "o_custkey")
 
 
+@query("a05_run_bytes", "SELECT l_orderkey, sum(l_linenumber * 4096)::BIGINT AS bytes, (sum(l_linenumber * 4096) // 1024)::BIGINT AS records FROM lineitem GROUP BY l_orderkey")
+def a05(spark, sf):
+    """Bytes of a table's data runs, and the records that they hold; an order stands for a table, its lines for the runs."""
+    runs = read(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("clusters"))
+    return stats.run_bytes(runs, "clusters", 4096, 1024, "l_orderkey")
+
+
 @query("a06_distinct_numbers", J + "SELECT count(*) AS n_rows, count(DISTINCT record_number) AS n_records FROM jrn")
 def a06(spark, sf):
     return journal(spark, sf).agg(F.count("*").alias("n_rows"), F.count_distinct("record_number").alias("n_records"))
