@@ -65,4 +65,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": warc.ORACLE_SQL,
+    "op7_repeated_passages": suffixes.ORACLE_SQL,
 }

@@ -12,7 +12,7 @@ Equal suffixes (as far as extensions reach) are one class with its smallest and
 by content, so that a passage in many documents is one entry of the array. Where more than ``CROWD`` classes share their first words, because a
 common passage ends there, the same comparison is done by counting keys instead, which spreads them over all tasks.
 
-First words are compared by 64-bit hashes, extensions word by word by 16 bits.
+First words are compared by 64-bit hashes, words behind them one by one and those before them by a running hash, of 16 bits a word.
 
 Edge cases: null texts and those under MIN_WORDS words have no spans; what repeats only within one document, or in
 repeated rows of one doc_id, is no match; rows without a doc_id count as one document; an empty table gives an empty result; other columns are ignored.
@@ -187,17 +187,30 @@ def _sides(column: pa.Array) -> np.ndarray:
 
 
 def _matches(first: np.ndarray, cls: np.ndarray, sides: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    """``(cls, before, behind)`` of the classes that match, for classes of whole groups of equal first words."""
-    keys = window_keys(first, sides)
-    before, behind = np.full(len(first), -1), np.full(len(first), -1)
+    """``(cls, before, behind)`` of the classes that match, for sorted classes of whole groups of equal first words.
+
+    Neighbours are compared word by word on what follows. A run of neighbours that have SIDE - a words in common there is
+    extended left: its classes that also have a words in common before match, if they are in two documents.
+    """
+    n = len(first)
+    behind_words, before_words = sides[:, :SIDE], sides[:, SIDE:].astype(np.uint64)
+    agree = np.concatenate([behind_words[1:] == behind_words[:-1], np.zeros((n - 1, 1), dtype=bool)], axis=1).argmin(axis=1)
+    common = np.where(first[1:] == first[:-1], agree, -1)  # words that a class has in common with the one above
+    room_behind, room_before = ((np.c_[w, np.zeros(n)] == 0).argmax(axis=1) for w in (behind_words, before_words))
+    before, behind = np.full(n, -1), np.full(n, -1)
+    left = np.zeros(n, dtype=np.uint64)  # a hash of the a words before
     for a in range(SIDE + 1):
-        order = np.argsort(keys[:, a], kind="stable")
-        k = keys[order, a]
-        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        run = np.r_[0, np.cumsum(common < SIDE - a)]
+        order = np.lexsort((left, run))
+        starts = np.flatnonzero(np.r_[True, (run[order][1:] != run[order][:-1]) | (left[order][1:] != left[order][:-1])])
         across = np.minimum.reduceat(low[order], starts) != np.maximum.reduceat(high[order], starts)
-        hit = order[np.repeat(across, np.diff(np.r_[starts, len(k)])) & (k > 0)]
+        hit = order[np.repeat(across, np.diff(np.r_[starts, n]))]
+        hit = hit[(room_behind[hit] >= SIDE - a) & (room_before[hit] >= a)]
         before[hit] = a
         behind[hit] = np.maximum(behind[hit], SIDE - a)
+        if a < SIDE:
+            with np.errstate(over="ignore"):
+                left = _mixed(left * _BASE + before_words[:, a])
     hit = before >= 0
     return pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array(before[hit].astype(np.int32)), pa.array(behind[hit].astype(np.int32))], ["cls", "before", "behind"])
 
@@ -262,3 +275,32 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     merged = spans.groupBy("doc_id", "span").agg(F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"))
     doc_id = F.when(F.col("doc_id") > -(2**63), F.col("doc_id")).alias("doc_id")
     return merged.select(doc_id, "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+
+
+def _oracle_sql() -> str:
+    """All windows of MIN_WORDS words by doubling, those in two documents, and the union of each document's."""
+    steps, have = ["k1 AS (SELECT doc_id, pos, n, hash(word) AS h FROM words)"], 1
+    lead = "lead(h, {}) OVER (PARTITION BY doc_id ORDER BY pos)"
+    while have < MIN_WORDS:
+        step = min(have, MIN_WORDS - have)
+        steps.append(f"k{have + step} AS (SELECT doc_id, pos, n, hash(h, {lead.format(step)}) AS h FROM k{have})")
+        have += step
+    return f"""
+WITH texts AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos, len(w) AS n FROM texts WHERE len(w) >= {MIN_WORDS}
+), {', '.join(steps)}, shared AS (
+  SELECT h FROM k{MIN_WORDS} WHERE pos + {MIN_WORDS} <= n GROUP BY h HAVING min(doc_id) <> max(doc_id)
+), hits AS (
+  SELECT doc_id, pos, pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + {MIN_WORDS} AS fresh
+  FROM k{MIN_WORDS} JOIN shared USING (h) WHERE pos + {MIN_WORDS} <= n
+), spans AS (
+  SELECT doc_id, pos, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM hits
+)
+SELECT doc_id, min(pos)::BIGINT AS start_word, (max(pos) + {MIN_WORDS})::BIGINT AS end_word, (max(pos) + {MIN_WORDS} - min(pos))::BIGINT AS n_words
+FROM spans GROUP BY doc_id, span
+"""
+
+
+ORACLE_SQL = _oracle_sql()

@@ -1,8 +1,9 @@
 import random
 from collections import defaultdict
 
-from inodeon.llm import suffixes
+from inodeon.llm import queries, suffixes
 
+from ..oracle import differences
 from .cases import awkward, frame
 
 
@@ -72,3 +73,8 @@ def test_awkward_rows(spark):
     got = spans(suffixes.repeated_spans(frame(spark, rows)))
     assert got == brute(rows) and got
     assert suffixes.repeated_spans(frame(spark, [])).count() == 0
+
+
+def test_same_as_sql(spark):
+    name = "op7_repeated_passages"
+    assert differences(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name], "/root/testdata/sf0.001") is None
