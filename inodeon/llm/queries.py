@@ -64,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_pii": pii.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op7_repeated_passages": suffixes.ORACLE_SQL,
 }
