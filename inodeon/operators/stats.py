@@ -34,6 +34,24 @@ def upper_median(df: DataFrame, keys: list[str], value: str, name: str, parts: i
     return ranked.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at"))).select(*keys, F.col("_v").alias(name))
 
 
+def positions(rows: DataFrame, number: str, name: str = "position", bits: int = 12) -> DataFrame:
+    """The rows with their place in the order of a number without repeats, from 1 on.
+
+    Rows are ranked within ranges of ``2**bits`` numbers, ranges within ranges of ranges; only sums of the latter, one for
+    ``4**bits`` numbers, meet in one task.
+    """
+    ranged = rows.withColumns({"_fine": F.shiftright(number, bits), "_coarse": F.shiftright(number, 2 * bits)})
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranged.groupBy("_coarse", "_fine").agg(F.count("*").alias("_n"))
+    tops = sizes.groupBy("_coarse").agg(F.sum("_n").alias("_n"))
+    tops = tops.select("_coarse", before(Window.orderBy("_coarse")).alias("_base"))
+    bases = sizes.withColumn("_inner", before(Window.partitionBy("_coarse").orderBy("_fine"))).join(tops, "_coarse")
+    bases = bases.select("_fine", (F.col("_base") + F.col("_inner")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_fine").orderBy(number))
+    placed = ranged.withColumn("_rank", rank).join(bases, "_fine")
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_rank")).cast("long").alias(name))
+
+
 def throughput(records: Column, millis: Column) -> Column:
     return F.when(millis > 0, records / (millis / 1000.0))
 

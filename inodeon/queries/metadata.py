@@ -49,14 +49,7 @@ def r02(spark, sf):
 
 @query("r03_record_order", V + "SELECT record_number, row_number() OVER (ORDER BY record_number) AS position FROM vol WHERE (flags & 2) <> 0")
 def r03(spark, sf):
-    """Positions in record order: ranks within ranges of record numbers, on top of the ranges' sizes."""
-    from pyspark.sql import Window
-
-    dirs = volume(spark, sf).where(fl.is_directory("flags")).select("record_number", F.shiftright("record_number", 12).alias("range"))
-    sizes = dirs.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy("range").orderBy("record_number"))
-    return dirs.withColumn("rank", rank).join(before, "range").select("record_number", (F.col("base") + F.col("rank")).cast("long").alias("position"))
+    return stats.positions(volume(spark, sf).where(fl.is_directory("flags")).select("record_number"), "record_number")
 
 
 @query("p07_flags", V + "SELECT flags, (flags & 1) <> 0 AS in_use, (flags & 2) <> 0 AS is_directory, count(*) AS n FROM vol GROUP BY flags")
