@@ -31,3 +31,17 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
 def test_eleven_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "pii", "mix_sources", "sentencepiece"]
+
+
+def test_stages_on_empty_tables_and_on_nulls(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    nothing = spark.createDataFrame([], schema)
+    nulls = spark.createDataFrame([(None,) * 5] * 3 + [(7, None, None, None, None), (8, "", "", "", 0)], schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        last = k + 1 == len(corpus_pipeline.STAGES)
+        out = stage(spark, nothing, str(tmp_path))
+        assert out.count() == 0 and (last or out.columns == list(corpus_pipeline.COLUMNS)), name
+        got = stage(spark, nulls, str(tmp_path)).collect()
+        want = {"quality_rules": [], "simhash_near_dedup": [7, None, None, None]}.get(name, [7, 8, None, None, None])  # too short; equal fingerprints
+        assert sorted((r.doc_id for r in got), key=lambda i: (i is None, i)) == want, name
