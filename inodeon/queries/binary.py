@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inodeon.functions.flags import timestamp_to_filetime
 from inodeon.model import MatchFlags
 from inodeon.operators import match, paths
-from inodeon.plans.virtual import JRN_SQL, PATHS_SQL, VOL_SQL, journal, volume
-from inodeon.sources import frames, mft, scan_payload, synthetic, usn_journal
+from inodeon.plans.virtual import JRN_SQL, PATHS_SQL, VOL_SQL, journal, read, volume
+from inodeon.sources import frames, mft, ntfs, scan_payload, synthetic, usn_journal
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Records of the synthetic image, and entries of a journal segment.
@@ -92,6 +93,25 @@ def s08_fixup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mft.read_image(spark, _image(spark)).groupBy("fixup_ok").agg(F.count("*").alias("n"))
 
 
+def s09_data_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run lists of non-resident attributes, one for each order: a first run, and one a little before it."""
+    byte = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    cluster = F.col("o_custkey") % 4_000_000
+    head = "80000000" + "50000000" + "01" + "00" * 23 + "4000" + "00" * 30  # type, length, not resident, place of the runs
+    first = F.concat(F.lit("31"), byte(F.col("o_orderkey") % 200 + 1), *(byte(F.shiftright(cluster.cast("long"), k).bitwiseAND(F.lit(255))) for k in (0, 8, 16)))
+    second = F.concat(F.lit("1107"), byte(255 - F.col("o_orderkey") % 100), F.lit("00"))
+    attributes = read(spark, sf_dir, "orders").select("o_orderkey", F.unhex(F.concat(F.lit(head), first, second)).alias("attribute"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [ntfs.data_runs(raw, 0) for raw in batch.column(1).to_pylist()]
+            flat = [(key, k + 1, *one) for key, runs in zip(batch.column(0).to_pylist(), found) for k, one in enumerate(runs)]
+            columns = list(zip(*flat)) if flat else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.bool_()))], ["o_orderkey", "position", "cluster", "clusters", "sparse"])
+
+    return attributes.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "attribute").mapInArrow(run, "o_orderkey long, position long, cluster long, clusters long, sparse boolean")
+
+
 def p01_live_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base records in use with a name, out of all slots."""
     rows = synthetic.records(spark, RECORDS).withColumn("magic_ok", ~F.col("zeroed"))
@@ -168,6 +188,7 @@ QUERIES: dict[str, Query] = {
     "s21_synth_counts": s21_synth_counts,
     "s05_image_scan": s05_image_scan,
     "s08_fixup": s08_fixup,
+    "s09_data_runs": s09_data_runs,
     "p01_live_records": p01_live_records,
     "p17_image_scanner": p17_image_scanner,
     "h02_image_paths": h02_image_paths,
@@ -191,6 +212,7 @@ ORACLE_SQL: dict[str, str] = {
     "s21_synth_counts": SYNTH_SQL,
     "s05_image_scan": f"WITH {IMAGE_SQL} SELECT *, true AS fixup_ok FROM image",
     "s08_fixup": f"WITH {IMAGE_SQL} SELECT true AS fixup_ok, count(*) AS n FROM image",
+    "s09_data_runs": "SELECT o_orderkey::BIGINT AS o_orderkey, 1::BIGINT AS position, (o_custkey % 4000000)::BIGINT AS cluster, (o_orderkey % 200 + 1)::BIGINT AS clusters, false AS sparse FROM orders UNION ALL SELECT o_orderkey, 2, o_custkey % 4000000 - o_orderkey % 100 - 1, 7, false FROM orders",
     "p01_live_records": f"WITH {IMAGE_SQL} SELECT record_number, file_name FROM image",
     "h02_image_paths": _WALK + "SELECT s AS record_number, arg_max(path, d) AS full_path FROM walk GROUP BY s UNION ALL SELECT 5::BIGINT, NULL",
     "p17_image_scanner": _WALK + "SELECT s AS record_number, arg_max(path, d) AS full_path FROM walk WHERE s IN (SELECT record_number FROM image WHERE file_name = '.git') GROUP BY s",
