@@ -11,7 +11,7 @@ from inodeon.functions.text import fold_ascii
 from inodeon.model import MatchFlags, ScanProfile
 from inodeon.operators.paths import resolve_paths
 
-#: Longer keep lists become a semi-join with a broadcast table of names.
+#: Longer keep lists are joined as a table of names, which Spark broadcasts if its size allows.
 MAX_INLINE = 64
 
 
@@ -76,7 +76,7 @@ def keep_profile(records: DataFrame, profile: ScanProfile, keep: Iterable[str] =
     if len(names) <= MAX_INLINE:
         return records.where(F.col(directory) | F.upper(name).isin(names)) if names else records.where(directory)
     table = records.sparkSession.createDataFrame([(k,) for k in names], "_keep string")
-    marked = records.join(F.broadcast(table.withColumn("_kept", F.lit(True))), F.upper(name) == F.col("_keep"), "left")
+    marked = records.join(table.withColumn("_kept", F.lit(True)), F.upper(name) == F.col("_keep"), "left")
     return marked.where(F.col(directory) | F.col("_kept").isNotNull()).drop("_keep", "_kept")
 
 

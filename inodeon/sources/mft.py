@@ -13,8 +13,8 @@ import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan, StringContains, WriterCommitMessage
 
@@ -89,31 +89,28 @@ class MftReader(DataSourceReader):
             yield self._batch(ntfs.decode(raw, part.first + at, self.record_size))
 
     def _batch(self, found: dict) -> pa.RecordBatch:
-        names = found["file_name"]
-        fold = [n.translate(_FOLD) for n in names]
         flags = found["flags"]
         columns = {
-            "drive": pa.array([self.drive] * len(names), pa.string()),
+            "drive": pa.repeat(pa.scalar(self.drive, pa.string()), len(flags)),
             "record_number": pa.array(found["record_number"], pa.int64()),
             "parent_record_number": pa.array(found["parent_record_number"], pa.int64()),
             "flags": pa.array(flags, pa.int32()),
             "in_use": pa.array((flags & 1) != 0),
             "is_directory": pa.array((flags & 2) != 0),
             "file_attributes": pa.array(found["file_attributes"], pa.int64()),
-            "file_name": pa.array(names, pa.string()),
-            "name_fold": pa.array(fold, pa.string()),
+            "file_name": found["file_name"],
+            "name_fold": found["name_fold"],
             "fixup_ok": pa.array(found["fixup_ok"], pa.bool_()),
         }
         batch = pa.RecordBatch.from_pydict(columns)
-        keep = np.ones(len(names), dtype=bool)
         for f in self.filters:
-            column = f.attribute[0]
+            column = batch.column(f.attribute[0])
             if isinstance(f, StringContains):
-                keep &= np.array([f.value in x for x in fold], dtype=bool)
+                keep = pc.match_substring(column, f.value)
             else:
-                values = np.array(fold, dtype=object) if column == "name_fold" else batch.column(column).to_numpy(zero_copy_only=False)
-                keep &= values == f.value if isinstance(f, EqualTo) else values >= f.value if isinstance(f, GreaterThanOrEqual) else values < f.value
-        return batch if keep.all() else batch.filter(pa.array(keep))
+                keep = (pc.equal if isinstance(f, EqualTo) else pc.greater_equal if isinstance(f, GreaterThanOrEqual) else pc.less)(column, f.value)
+            batch = batch.filter(keep)
+        return batch
 
 
 class PushingReader(MftReader):
@@ -130,9 +127,6 @@ class PushingReader(MftReader):
                 yield f
 
 
-_FOLD = {u: u + 32 for u in range(0x41, 0x5B)}
-
-
 def volume_extents(path: str, record_size: int = RECORD_SIZE) -> list[tuple[int, int]]:
     """Where a volume keeps its table: the data runs of record 0 and of the records that its attribute list names."""
     boot = files.read_range(path, 0, 512)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 
 from inodeon.model import RECORD_SIZE, REFERENCE_MASK
 
@@ -48,6 +49,15 @@ def apply_fixups(records: np.ndarray) -> np.ndarray:
     return ok
 
 
+def strings(units: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings that are laid end to end as UTF-16 units; plain ASCII needs no work by string."""
+    ends = np.cumsum(lengths)
+    if units.max(initial=0) < 0x80:
+        return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(units.astype(np.uint8)))
+    raw = units.astype("<u2").tobytes()
+    return pa.array([raw[2 * (e - n) : 2 * e].decode("utf-16-le", "replace") for n, e in zip(lengths.tolist(), ends.tolist())], pa.string())
+
+
 def decode(raw: bytes, first: int, record_size: int = RECORD_SIZE) -> dict[str, object]:
     """Columns of the live records among ``raw``: base records in use that have a name outside the DOS namespace.
 
@@ -55,18 +65,14 @@ def decode(raw: bytes, first: int, record_size: int = RECORD_SIZE) -> dict[str,
     from the name.
     """
     n = len(raw) // record_size
-    records = np.frombuffer(raw, dtype=np.uint8, count=n * record_size).reshape(n, record_size).copy()
-    number = np.arange(first, first + n, dtype=np.int64)
+    records = np.frombuffer(raw, dtype=np.uint8, count=n * record_size).reshape(n, record_size)
     magic = (records[:, :4] == np.frombuffer(b"FILE", dtype=np.uint8)).all(axis=1)
-    keep = np.flatnonzero(magic)
-    records, number = records[keep], number[keep]
+    flags = _word(records, np.full(n, 0x16), 2).astype(np.int64)  # none of these words ends a sector
+    base = _word(records, np.full(n, 0x20), 8) & np.uint64(REFERENCE_MASK)
+    live = np.flatnonzero(magic & ((flags & 1) != 0) & (base == 0))
+    records, number, flags = records[live], first + live, flags[live]
     fixed = apply_fixups(records) if len(records) else np.zeros(0, dtype=bool)
     m = len(records)
-    flags = _word(records, np.full(m, 0x16), 2).astype(np.int64)
-    base = _word(records, np.full(m, 0x20), 8) & np.uint64(REFERENCE_MASK)
-    live = ((flags & 1) != 0) & (base == 0)
-    records, number, fixed, flags = records[live], number[live], fixed[live], flags[live]
-    m = len(records)
     at = _word(records, np.full(m, 0x14), 2).astype(np.int64) if m else np.zeros(0, dtype=np.int64)
     name_at, standard = np.full(m, -1), np.full(m, -1, dtype=np.int64)
     going = np.arange(m)
@@ -91,18 +97,24 @@ def decode(raw: bytes, first: int, record_size: int = RECORD_SIZE) -> dict[str,
         at[going] = p + length
         going = going[~long_enough]
     has = np.flatnonzero(name_at >= 0)
-    records, number, fixed, flags, name_at, standard = records[has], number[has], fixed[has], flags[has], name_at[has], standard[has]
+    if len(has) < m:
+        records, number, fixed, flags, name_at, standard = records[has], number[has], fixed[has], flags[has], name_at[has], standard[has]
     m = len(records)
     parent = (_word(records, name_at, 8) & np.uint64(REFERENCE_MASK)).astype(np.int64) if m else np.zeros(0, dtype=np.int64)
     own = _word(records, name_at + 56, 4).astype(np.int64) if m else np.zeros(0, dtype=np.int64)
-    units = records[np.arange(m), name_at + 64]
-    names = [r[a + 66 : a + 66 + 2 * int(u)].tobytes().decode("utf-16-le", "replace") for r, a, u in zip(records, name_at, units)]
+    lengths = records[np.arange(m), name_at + 64].astype(np.int64)
+    before = np.cumsum(lengths) - lengths
+    place = np.repeat(np.arange(m) * record_size + name_at + 66 - 2 * before, lengths) + 2 * np.arange(int(lengths.sum()))
+    flat = records.reshape(-1)
+    units = flat[place] | flat[place + 1].astype(np.uint16) << np.uint16(8)
+    folded = np.where((units >= 0x41) & (units <= 0x5A), units + np.uint16(32), units)
     return {
         "record_number": number,
         "parent_record_number": parent,
         "flags": flags.astype(np.int32),
         "file_attributes": np.where(standard >= 0, standard, own),
-        "file_name": names,
+        "file_name": strings(units, lengths),
+        "name_fold": strings(folded, lengths),
         "fixup_ok": fixed,
     }
 

@@ -282,3 +282,10 @@ def test_paths_of_the_image(spark, image):
     got = {r.record_number: r.full_path for r in paths.resolve_paths(rows, rows, plan="doubling").collect()}
     assert got[0] == "$MFT" and got[1] == got[4] == "$MFT\\$MFT" and got[5] is None
     assert got[545] == "cache\\setup.py\\tests\\build.gradle" and got[685] == "test.go\\icon.png\\style.css\\obj"
+
+
+@pytest.mark.parametrize("names", [[], [""], ["Abc", "", "README.md"], ["nöte.txt", "", "\U0001f600x", "plain"]])
+def test_strings_of_units(names):
+    units = np.frombuffer("".join(names).encode("utf-16-le"), dtype="<u2").astype(np.uint16)
+    lengths = np.array([len(n.encode("utf-16-le")) // 2 for n in names], dtype=np.int64)
+    assert ntfs.strings(units, lengths).to_pylist() == names
