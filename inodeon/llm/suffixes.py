@@ -105,7 +105,7 @@ def suffixes(text: bytes, words: WordHashes) -> tuple[np.ndarray, np.ndarray, np
     if len(found) < MIN_WORDS:
         none = np.zeros((0, SIDE), dtype=">u2")
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), none, none
-    hashes = np.fromiter((words[w] for w in found), dtype=np.uint64, count=len(found))
+    hashes = np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=len(found))
     with np.errstate(over="ignore"):
         at = anchors(hashes)
         first = _grams(hashes, REACH)[at]
@@ -254,7 +254,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """``(doc_id, start_word, end_word, n_words)``: maximal spans of words that are covered by matches, end exclusive."""
     spark = docs.sparkSession
     rows = _rows(docs)
-    narrow = narrow_suffixes(docs)
+    kept = fresh_dir(spark, "suffix-firsts")
+    narrow_suffixes(docs).write.parquet(kept)  # used twice, and finding the positions is most of the work
+    narrow = spark.read.parquet(kept)
     shared = narrow.groupBy("first").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("first")
     firsts = narrow.join(cut(shared), "first").groupBy("doc_id").agg(F.collect_set("first").alias("firsts"))
     stored = fresh_dir(spark, "suffixes")
