@@ -36,7 +36,7 @@ SEED = 20240501
 #: Longer words are filtered one by one in logarithms, which can't underflow.
 LONG = 64
 #: Bytes of text whose distinct words are filtered at once.
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 #: Trie steps for the most frequent characters of the vocabulary are looked up in a table, the others by bisection.
 TABLE = 128
 _WORD = re.compile(rb" +[^ \n]*|\n|[^ \n]+")
@@ -79,7 +79,7 @@ class Lattice:
         weight = np.zeros(self.size + 1)
         rank = np.arange(self.size) - usable[0][0]
         weight[: self.size] = (1.0 / (np.maximum(rank, 0) + 1.0)) ** alpha
-        self.weight = weight  # the last one, for no piece, stays 0
+        self.weight = np.r_[weight, 1.0]  # for no piece 0; byte pieces are the only way over their character, so that any weight will do
         children: list[dict[str, int]] = [{}]
         ends = [self.size]
         for i, piece in usable:
@@ -150,8 +150,7 @@ class Lattice:
         return out
 
     def weights(self, pieces: np.ndarray) -> np.ndarray:
-        """Byte pieces are the only way over their character, so that any weight will do."""
-        return np.where(pieces > self.size, 1.0, self.weight[np.minimum(pieces, self.size)])
+        return self.weight[np.minimum(pieces, self.size + 1)]
 
     def filtered(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For words laid end to end: ``matches`` and, by last character and length, the running sums of path weights."""
