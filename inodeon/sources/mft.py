@@ -176,11 +176,11 @@ class ImageWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Part:
         last = ""
-        for row in rows:
-            last = f"{self.path}/part-{row.first:012d}.mft"
+        for first, count in rows:
+            last = f"{self.path}/part-{first:012d}.mft"
             with files.create(last) as out:
-                for at in range(row.first, row.first + row.count, CHUNK):
-                    out.write(synthetic.image(at, min(at + CHUNK, row.first + row.count)))
+                for at in range(first, first + count, CHUNK):
+                    out.write(synthetic.image(at, min(at + CHUNK, first + count)))
         return Part(last)
 
 

@@ -289,3 +289,11 @@ def test_strings_of_units(names):
     units = np.frombuffer("".join(names).encode("utf-16-le"), dtype="<u2").astype(np.uint16)
     lengths = np.array([len(n.encode("utf-16-le")) // 2 for n in names], dtype=np.int64)
     assert ntfs.strings(units, lengths).to_pylist() == names
+
+
+def test_image_writer_makes_parts(spark, tmp_path):
+    spark.dataSource.register(mft.MftSource)
+    parts = spark.createDataFrame([(0, 600), (600, 400)], "first long, count long")
+    parts.write.format("mft").option("path", str(tmp_path)).mode("append").save()
+    raw = b"".join(p.read_bytes() for p in sorted(tmp_path.glob("part-*.mft")))
+    assert raw == synthetic.image(0, 600) + synthetic.image(600, 1000)
