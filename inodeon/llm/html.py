@@ -9,6 +9,8 @@ field learns layout instead of taste.
 Scripts, styles, heads, templates, form controls and comments of the markup are never text. Character references are decoded, white space
 inside a block becomes one space, blocks are joined by an empty line.
 
+Tags may be of any length, with any number of attributes.
+
 Edge cases: a null or empty page, and one without main text, gives an empty text; tags need not be closed; repeated rows
 get equal texts; an empty table gives an empty result; other columns are ignored.
 """
@@ -34,7 +36,9 @@ from inodeon.llm.common import map_arrow
 TRAIN_PAGES = 400
 SEED = 11
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}'){0,256}+)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)", re.S)
+#: What matters inside a tag: its end, the start of another one, or an opening quote of a value.
+_STOP = re.compile(r"[<>]|=\s*+[\"']")
 _HINT = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: Elements whose content is not text of the page, up to their closing tag.
@@ -70,6 +74,22 @@ class Block:
     linked: int
 
 
+def _attributes(page: str, at: int) -> tuple[int, bool, bool]:
+    """Where the attributes of a tag end, whether '>' follows, and whether a quoted value is among them.
+
+    Every character is looked at once, whatever the length and number of values; a quote that nothing closes is an ordinary character.
+    """
+    quoted = False
+    while (stop := _STOP.search(page, at)) is not None:
+        mark = stop[0][-1]
+        if mark in "<>":
+            return stop.start(), mark == ">", quoted
+        quoted = True
+        close = page.find(mark, stop.end())
+        at = stop.end() if close < 0 else close + 1
+    return len(page), False, quoted
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order; every one has some text."""
     stack: list[tuple[str, frozenset[str]]] = []
@@ -115,6 +135,13 @@ def leaf_blocks(page: str) -> list[Block]:
         tag = (token[2] or "").lower()
         if not tag:
             continue
+        at, whole, quoted = _attributes(page, token.end())
+        attributes = page[token.end() : at]
+        if whole:
+            at += 1
+        elif not quoted:  # a less-than sign before a word; what has a quoted value is a tag, even if cut off
+            put(page[token.start() : at])
+            continue
         if token[1]:
             if tag not in INLINE:
                 end()
@@ -145,9 +172,9 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag == "body" and any(t == "head" for t, _ in stack):
                 while stack and stack[-1][0] != "html":
                     pop()
-        if tag in VOID or token[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
-        hints = frozenset(_HINT_OF[w] for m in _HINT.finditer(token[3]) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()) if w in _HINT_OF) if "=" in token[3] else frozenset()
+        hints = frozenset(_HINT_OF[w] for m in _HINT.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()) if w in _HINT_OF) if "=" in attributes else frozenset()
         stack.append((tag, hints))
         hidden += tag in HIDDEN
         links += tag == "a"

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from inodeon.llm import crf, html
@@ -31,3 +33,19 @@ def test_extraction(spark):
     got = sorted(html.extract(spark.createDataFrame(rows, PAGES)).collect(), key=lambda r: r.page_id)
     assert [r.text for r in got] == ["Title here\n\nFirst é one.\n\nSecond two."] * 2 + ["", "", ""]
     assert all(r.n_chars == len(r.text) for r in got) and html.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_long_tags_are_tags():
+    data = "QUJD" * 25_000
+    many = " ".join(f'data-k{i}="v>{i}"' for i in range(1000))
+    article = f"<article><h1>Title here</h1><p>First one, <img src=\"data:image/png;base64,{data}\"> and on.</p><div {many} class='ad'>Buy now.</div><p style='{data}'>Second one.</p></article>"
+    blocks = html.leaf_blocks(article)
+    assert [b.text for b in blocks] == ["Title here", "First one, and on.", "Buy now.", "Second one."]
+    assert [b.path for b in blocks] == [("article", "h1"), ("article", "p"), ("article", "div"), ("article", "p")]
+    assert [b.hints for b in blocks] == [frozenset(), frozenset(), frozenset({"advert"}), frozenset()]
+    assert [b.text for b in html.leaf_blocks(f"<p>a < b <c d<p>e<img src='{data}")] == ["a < b <c d", "e"]
+    odd = ['<a b="' * 50_000, '<a b="<a" ' * 50_000 + "<", "<a b='\"" * 50_000, "<a =" * 50_000]
+    start = time.process_time()
+    for page in odd:
+        html.leaf_blocks(page)
+    assert time.process_time() - start < 20
