@@ -6,7 +6,8 @@ decodes them. The field is trained on labelled pages, which ``labelled_pages`` c
 labels for all their blocks: their articles have plain, shouting, symbol-laden and link-laden paragraphs, so that the
 field learns layout instead of taste.
 
-Scripts, styles, heads, templates, form controls and comments of the markup are never text. Character references are decoded, white space
+Scripts, styles, heads, templates, form controls, drawings, fallbacks of media and comments of the markup are never text; formulas are.
+A drawing, medium or template that is closed by '/>' or not at all has no content. Character references are decoded, white space
 inside a block becomes one space, blocks are joined by an empty line.
 
 Tags may be of any length, with any number of attributes.
@@ -41,14 +42,18 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]
 _STOP = re.compile(r"[<>]|=\s*+[\"']")
 _HINT = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
-#: Elements whose content is not text of the page, up to their closing tag.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video".split())
-HIDDEN = frozenset("head select option datalist button".split())
+#: Elements whose content is raw text and not text of the page, up to their closing tag.
+RAW = frozenset("script style noscript textarea title iframe".split())
+#: Elements whose content is drawn or a fallback and not text of the page; without a closing tag of their own they have none.
+MEDIA = frozenset("svg object canvas audio video template".split())
+HIDDEN = frozenset("head select option datalist button".split()) | MEDIA
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input".split())
+INLINE |= frozenset("svg object canvas audio video".split())
+INLINE |= frozenset("math mrow mi mo mn ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose maction msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd semantics annotation annotation-xml".split())
 #: A new one of these closes an open one of the same group.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}
-SCOPES = frozenset("html body article section main div nav aside header footer ul ol dl table form blockquote figure details".split())
+SCOPES = frozenset("html body article section main div nav aside header footer ul ol dl table form blockquote figure details".split()) | MEDIA
 TAGS = "article main section nav header footer aside form ul li table figure blockquote pre p h1 h2 h3 div a address details dialog".split()
 HINTS = {
     "advert": ("ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner", "outbrain", "taboola"),
@@ -90,12 +95,52 @@ def _attributes(page: str, at: int) -> tuple[int, bool, bool]:
     return len(page), False, quoted
 
 
+@dataclass
+class Tag:
+    start: int
+    end: int
+    closing: bool
+    name: str
+    attributes: str
+    paired: bool = False
+
+
+def _tags(page: str) -> list[Tag]:
+    """The tags of a page in order, comments as tags without a name; raw content belongs to its tag."""
+    out: list[Tag] = []
+    unclosed: dict[str, list[Tag]] = {name: [] for name in MEDIA}
+    at, n = 0, len(page)
+    while (token := _TOKEN.search(page, at)) is not None:
+        at = token.end()
+        name = (token[2] or "").lower()
+        attributes = ""
+        if name:
+            at, whole, quoted = _attributes(page, token.end())
+            attributes = page[token.end() : at]
+            if whole:
+                at += 1
+            elif not quoted:  # a less-than sign before a word; what has a quoted value is a tag, even if cut off
+                continue
+        tag = Tag(token.start(), at, bool(token[1]), name, attributes)
+        single = attributes.endswith("/")
+        if name in RAW and not tag.closing and not (single and unclosed["svg"]):
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            tag.end = at = close.end() if close else n
+        elif name in MEDIA and tag.closing:
+            if unclosed[name]:
+                unclosed[name].pop().paired = True
+        elif name in MEDIA and not single:
+            unclosed[name].append(tag)
+        out.append(tag)
+    return out
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order; every one has some text."""
     stack: list[tuple[str, frozenset[str]]] = []
     blocks: list[Block] = []
     parts: list[str] = []
-    linked = hidden = links = 0
+    linked = hidden = media = links = 0
     where: list[tuple[str, frozenset[str]]] | None = None
 
     def put(raw: str) -> None:
@@ -119,49 +164,41 @@ def leaf_blocks(page: str) -> list[Block]:
         parts, linked, where = [], 0, None
 
     def pop() -> None:
-        nonlocal hidden, links
+        nonlocal hidden, media, links
         tag, _ = stack.pop()
         hidden -= tag in HIDDEN
+        media -= tag in MEDIA
         links -= tag == "a"
 
-    at, n = 0, len(page)
-    while at < n:
-        token = _TOKEN.search(page, at)
-        if token is None:
-            put(page[at:])
-            break
-        put(page[at : token.start()])
-        at = token.end()
-        tag = (token[2] or "").lower()
+    at = 0
+    for token in _tags(page):
+        put(page[at : token.start])
+        at = token.end
+        tag, attributes = token.name, token.attributes
         if not tag:
             continue
-        at, whole, quoted = _attributes(page, token.end())
-        attributes = page[token.end() : at]
-        if whole:
-            at += 1
-        elif not quoted:  # a less-than sign before a word; what has a quoted value is a tag, even if cut off
-            put(page[token.start() : at])
-            continue
-        if token[1]:
-            if tag not in INLINE:
-                end()
+        # tags inside a drawing or a fallback don't end the block around it
+        muted = next((i for i, (t, _) in enumerate(stack) if t in MEDIA), None) if media else None
+        if token.closing:
             depth = len(stack) - 1
             while depth >= 0 and stack[depth][0] != tag and (tag in SCOPES or stack[depth][0] not in SCOPES):
                 depth -= 1
-            if depth >= 0 and stack[depth][0] == tag:
+            found = depth >= 0 and stack[depth][0] == tag
+            if tag not in INLINE and (muted is None or (found and depth < muted)):
+                end()
+            if found:
                 while len(stack) > depth:
                     pop()
             continue
         if tag in RAW:
-            if tag not in INLINE:
+            if tag not in INLINE and muted is None:
                 end()
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
             continue
         if tag in ("br", "hr"):
             put(" ")
         if tag not in INLINE:
-            end()
+            if muted is None:
+                end()
             closes = CLOSES.get(tag, ("p",) if tag not in INLINE else ())
             depth = len(stack) - 1
             while depth >= 0 and (stack[depth][0] not in SCOPES or stack[depth][0] in closes) and stack[depth][0] not in closes:
@@ -172,12 +209,14 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag == "body" and any(t == "head" for t, _ in stack):
                 while stack and stack[-1][0] != "html":
                     pop()
-        if tag in VOID or attributes.endswith("/"):
+        if tag in VOID or attributes.endswith("/") or (tag in MEDIA and not token.paired):
             continue
         hints = frozenset(_HINT_OF[w] for m in _HINT.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()) if w in _HINT_OF) if "=" in attributes else frozenset()
         stack.append((tag, hints))
         hidden += tag in HIDDEN
+        media += tag in MEDIA
         links += tag == "a"
+    put(page[at:])
     end()
     return blocks
 

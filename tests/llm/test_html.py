@@ -49,3 +49,17 @@ def test_long_tags_are_tags():
     for page in odd:
         html.leaf_blocks(page)
     assert time.process_time() - start < 20
+
+
+def texts(page):
+    return [b.text for b in html.leaf_blocks(page)]
+
+
+def test_only_raw_text_skips_to_its_closing_tag():
+    for lone in ("<svg class='i'/>", "<math/>", "<object data='x'/>", "<canvas/>", "<audio src='x'>", "<video src='x'>", "<template>", "<svg>", "<object data='x'>", "<canvas>"):
+        assert texts(f"<div>{lone}</div><article><p>One.</p>{lone}<p>Two.</p></article><p>Three.") == ["One.", "Two.", "Three."], lone
+        assert texts(f"<p>a {lone}b</p><video>no</video><p>c") == (["a b", "c"] if lone != "<template>" else ["a", "b", "c"]), lone
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> hold.</p>") == ["Let x=12 hold."]
+    assert texts("<p>a <svg><title/><title>t</title><g><text>no</text></g><path d='x'/></svg>b <video><p>no<div>no</video>c</p><p>d") == ["a b c", "d"]
+    assert texts("<div>a<object><object>no</object>no</object>b<audio>no</div>c</audio>") == ["ab", "c"]
+    assert texts("<p>a<script>if (1 < 2) '<p>'</script><style>p</style><iframe>no</iframe><noscript>no</noscript><template><p>no</p></template>b") == ["a", "b"]
