@@ -56,9 +56,14 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.
     return df.mapInArrow(run, schema)
 
 
-def text_bytes(col: str = "text") -> F.Column:
+def text_bytes(col: str | F.Column = "text") -> F.Column:
     """The UTF-8 bytes of a text column; null counts as empty."""
-    return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
+    return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit("")).cast("binary")
+
+
+def text_hash(col: str | F.Column = "text") -> F.Column:
+    """A hash that tells texts apart where doc_id doesn't; null counts as empty."""
+    return F.xxhash64(text_bytes(col))
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:

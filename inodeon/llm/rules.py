@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inodeon.llm.common import cut, map_arrow, small_enough, text_bytes
+from inodeon.llm.common import cut, map_arrow, small_enough, text_bytes, text_hash
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -97,17 +97,19 @@ def statistics(text: bytes) -> tuple[int, ...]:
     )
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """``(doc_id, lang, STATS...)``."""
+def with_statistics(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """``(doc_id, lang, STATS...)``, with ``text_hash`` after lang if asked for."""
+    keys = ["doc_id", "lang", *(["text_hash"] if hashed else [])]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [statistics(t.as_buffer().to_pybytes()) for t in batch.column(2)]
+        rows = [statistics(t.as_buffer().to_pybytes()) for t in batch.column(len(keys))]
         columns = list(zip(*rows)) if rows else [()] * len(STATS)
         arrays = [pa.array(c, pa.int64()) for c in columns]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "lang", *STATS])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *arrays], [*keys, *STATS])
 
-    schema = "doc_id long, lang string, " + ", ".join(f"{s} long" for s in STATS)
-    return map_arrow(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_bytes().alias("b")), run, schema)
+    schema = "doc_id long, lang string, " + ("text_hash long, " if hashed else "") + ", ".join(f"{s} long" for s in STATS)
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_hash().alias("text_hash"), text_bytes().alias("b"))
+    return map_arrow(rows.select(*keys, "b"), run, schema)
 
 
 def rule_values() -> dict[str, F.Column]:
@@ -251,8 +253,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns.
 
-    Verdicts are joined back by doc_id; of repeated doc_ids all rows go if one of them is rejected. Rows without a
-    doc_id stay only if each of them passes.
+    Verdicts are joined back by what they follow from, the text's hash and the language, and by doc_id, all null-safely: every
+    row has its own verdict, also without a doc_id or with one that others have too.
     """
-    rejected = quality_rules(docs, labels).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+    stats = cut(with_statistics(docs, hashed=True))
+    rejected = verdicts(stats, cut(cutoffs(stats, labels))).where(~F.col("kept")).select("doc_id", "lang", "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(rejected["doc_id"]) & docs["lang"].cast("string").eqNullSafe(rejected["lang"])
+    return docs.join(rejected, same & (text_hash(docs["text"]) == rejected["text_hash"]), "left_anti")

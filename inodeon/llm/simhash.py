@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inodeon.llm.common import cut, map_arrow, text_bytes
+from inodeon.llm.common import cut, map_arrow, text_bytes, text_hash
 from inodeon.llm.graph import connected_components
 
 SHINGLE = 3
@@ -51,14 +51,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``: fp holds the 64 bits in a long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """``(doc_id, fp)``, with ``text_hash`` between them if asked for: fp holds the 64 bits in a long."""
+    keys = ["doc_id", *(["text_hash"] if hashed else [])]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprint(t.as_buffer().to_pybytes(), shingle) for t in batch.column(1)], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = np.array([fingerprint(t.as_buffer().to_pybytes(), shingle) for t in batch.column(len(keys))], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found.view(np.int64))], [*keys, "fp"])
 
-    return map_arrow(docs.select("doc_id", text_bytes().alias("b")), run, "doc_id long, fp long")
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), text_bytes().alias("b"))
+    return map_arrow(rows.select(*keys, "b"), run, ", ".join(f"{c} long" for c in (*keys, "fp")))
 
 
 def postings(fps: DataFrame) -> DataFrame:
@@ -140,11 +142,15 @@ def links(fps: DataFrame) -> DataFrame:
     return index.mapInArrow(run, "a long, b long").distinct()
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """``(fp, first, root)`` from the distinct fingerprints ``(fp, first)``; those that links connect have one root."""
+    roots = connected_components(links(nodes.select("fp")))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def components(prints: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)`` from ``(doc_id, fp)``; component_id is the smallest doc_id reachable by links."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(nodes.select("fp")))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"))))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
@@ -157,15 +163,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id.
+    """The documents without near copies: of each component the row with the smallest doc_id, then hash of the text.
 
-    Of repeated rows of that doc_id any one stays; rows without a doc_id can't be told apart by it and all stay.
+    Of repeated rows of that doc_id and text any one stays. One doc_id on unrelated texts stays with each component of which it is the
+    smallest; rows without a doc_id all stay.
     """
-    prints = cut(fingerprints(docs, shingle))
-    kept = cut(components(prints).where("doc_id = component_id").select("doc_id"))
-    out = docs.join(kept.distinct(), "doc_id", "left_semi")
-    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    prints = cut(fingerprints(docs, shingle, hashed=True))
+    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    named = _rooted(cut(prints.groupBy("fp").agg(F.min(known).alias("first"))))
+    first = named.groupBy("root").agg(F.min("first").alias("first")).where("first is not null")
+    kept = cut(first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")))
+    key = text_hash(docs["text"])
+    out = docs.join(kept, (docs["doc_id"] == kept["doc_id"]) & (key == kept["text_hash"]), "left_semi")
+    if not prints.join(kept, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        # a row's own columns travel in one struct, so that none can clash with the key
+        rows = out.select("doc_id", text_hash().alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        out = rows.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
     if not prints.where("doc_id is null").isEmpty():
         out = out.unionByName(docs.where("doc_id is null"))
-    return out.select(docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -98,3 +98,11 @@ def test_cutoffs_reject_bad_and_limit_false_rejection(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int")
     assert rules.quality_rules(frame(spark, []), empty).count() == 0
+
+
+def test_every_row_has_its_own_verdict(spark):
+    good = [" ".join(f"g{k}x{i}" for i in range(30)) for k in range(3)]
+    rows = [(i, t, "en", "s", 1, "e", "k") for i in (None, 7) for t in (*good, good[0], "junk", "", None)]
+    kept = rules.apply_rules(frame(spark, rows), spark.createDataFrame([], "doc_id long, quality int")).collect()
+    want = [(i, t) for i, t, *_ in rows if t in good]
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)

@@ -82,3 +82,11 @@ def test_keep_one(spark):
     comp = groups({r[0]: plain(r[1]) for r in rows})
     assert sorted(i for i in ids if i is not None) == sorted({c for c in comp.values()}) and ids.count(None) == 1
     assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    texts = [" ".join(f"t{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (9, texts[1]), (7, texts[2]), (3, texts[2]), (None, texts[0]), (None, texts[3]), (None, texts[3])]
+    kept = simhash.keep_one(frame(spark, [(i, t, "en", "s", 1, "e", "k") for i, t in rows])).collect()
+    want = [(7, texts[0]), (7, texts[1]), (3, texts[2]), (None, texts[0]), (None, texts[3]), (None, texts[3])]
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
