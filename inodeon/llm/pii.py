@@ -7,6 +7,9 @@ information content IC(e) = log2(N / n(e)). Terms whose share PMI / IC reaches `
 from ``GENERALISE_AT`` on are replaced by a placeholder, as are the identifiers themselves. A pair counts only if it occurs in
 ``MIN_SUPPORT`` different texts, since a term seen once always seems to reveal its neighbour.
 
+``sanitise`` counts pairs over whole documents and replaces every occurrence of a revealing term in the documents that hold its
+entity. ``spans_of`` reports the terms within ``REACH`` of an entity, counted within it, as its SQL does.
+
 Everything is DataFrame expressions. Patterns use possessive quantifiers and look-behind anchors: the matches are the
 same as those of the plain patterns, without recursion or restarts inside a run, so that very long texts are safe.
 
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inodeon.llm.common import cut
+from inodeon.llm.common import cut, text_hash
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -29,7 +32,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]{3,}+"
-#: Code points on either side of an entity in which a term counts as occurring with it.
+#: Code points on either side of an entity in which ``spans_of`` counts a term as occurring with it.
 REACH = 64
 MIN_SUPPORT = 3
 GENERALISE_AT = 0.8
@@ -166,24 +169,99 @@ def spans_of(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.concat(base, "terms")).alias("spans"))
 
 
+def _pieces() -> Column:
+    """``array<struct<head, inner, tail, kind>>``: what stands between the identifiers of ``base`` in ``body``, and the kind of the one that follows.
+
+    Head and tail are parts of words that an identifier cuts, and so no terms.
+    """
+    word = r"[\p{L}\p{N}]"
+    body = F.col("body")
+    spans = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.struct(acc["at"].alias("start"), s["start"].alias("end"), s["kind"].alias("kind"))
+        fresh = s["start"] >= acc["at"]  # what overlaps an earlier span goes with that one
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.array_append(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+    def last(acc: Column) -> Column:
+        return F.array_append(acc["out"], F.struct(acc["at"].alias("start"), F.length(body).alias("end"), F.lit(None).cast("string").alias("kind")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
+    gaps = F.aggregate(spans, start, step, last)
+
+    def part(g: Column) -> Column:
+        before = (g["start"] > 0) & F.substring(body, g["start"], F.lit(1)).rlike(word)
+        after = F.substring(body, g["end"] + 1, F.lit(1)).rlike(word)
+        return F.struct(F.substring(body, g["start"] + 1, g["end"] - g["start"]).alias("part"), before.alias("before"), after.alias("after"), g["kind"].alias("kind"))
+
+    def headed(g: Column) -> Column:
+        head = F.when(g["before"], F.regexp_extract(g["part"], f"^{word}++", 0)).otherwise("")
+        return F.struct(head.alias("head"), g["part"].alias("part"), g["after"].alias("after"), g["kind"].alias("kind"))
+
+    def tailed(g: Column) -> Column:
+        rest = F.substring(g["part"], F.length(g["head"]) + 1, F.length(g["part"]))
+        tail = F.when(g["after"], F.regexp_extract(rest, rf"(?<!{word}){word}++\z", 0)).otherwise("")
+        return F.struct(g["head"].alias("head"), rest.alias("rest"), tail.alias("tail"), g["kind"].alias("kind"))
+
+    def whole(g: Column) -> Column:
+        inner = F.substring(g["rest"], F.lit(1), F.length(g["rest"]) - F.length(g["tail"]))
+        return F.struct(g["head"].alias("head"), inner.alias("inner"), g["tail"].alias("tail"), g["kind"].alias("kind"))
+
+    return F.transform(F.transform(F.transform(F.transform(gaps, part), headed), tailed), whole)
+
+
+def _terms(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower)
+
+
+def revealing_terms(docs: DataFrame) -> DataFrame:
+    """``(h, swaps)`` of the texts with revealing terms: by the hash of the text, what replaces each of the terms in it.
+
+    Pairs are counted over rows, whatever the distance; texts of equal rows are looked at once. An entity or a pair in too few
+    texts leaves before its terms are spread or joined.
+    """
+    body = docs.select(F.coalesce("text", F.lit("")).alias("body"))
+    spotted = with_base_spans(body, "body").where(F.size("base") > 0)
+    names = F.array_distinct(F.transform("base", _entity))
+    terms = F.array_distinct(F.flatten(F.transform("pieces", lambda p: _terms(p["inner"]))))
+    spotted = spotted.withColumn("pieces", _pieces()).select(text_hash("body").alias("h"), names.alias("entities"), terms.alias("terms"))
+    texts = cut(spotted.groupBy("h").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
+    held = texts.select("h", "copies", F.explode("entities").alias("entity"))
+    n = docs.count()
+    often = held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts"))
+    often = often.where((F.col("texts") >= MIN_SUPPORT) & (F.col("n_entity") < n)).drop("texts")
+    held = cut(held.join(often, "entity"))
+    near = held.join(texts.select("h", F.explode("terms").alias("term")), "h")
+    pairs = near.groupBy("entity", "term").agg(F.sum("copies").alias("n_pair"), F.count("*").alias("texts"), F.first("n_entity").alias("n_entity"))
+    pairs = cut(pairs.where(F.col("texts") >= MIN_SUPPORT))
+    words = body.select(F.explode(F.array_distinct(_terms(F.col("body")))).alias("term"))
+    of_term = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    share = F.log2(F.lit(float(n)) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(float(n)) / F.col("n_entity"))
+    strong = pairs.join(of_term, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE_AT)
+    kind = F.when(F.col("share") >= REMOVE_AT, F.lit("removed")).otherwise(F.lit("term"))
+    hits = near.join(strong, ["entity", "term"]).groupBy("h", "term").agg(F.min(kind).alias("kind"))
+    swap = F.when(F.col("kind") == "removed", F.lit(PLACEHOLDERS["removed"])).otherwise(F.lit(PLACEHOLDERS["term"]))
+    return hits.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("term", swap.alias("swap")))).alias("swaps"))
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with identifiers and revealing terms generalised or removed; n_chars, where there is one, follows the text."""
+    swaps = cut(revealing_terms(docs)).withColumnRenamed("h", "_h")
     # a row's own columns travel in one struct, so that none can clash with those added here
-    found = find(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
-    body = F.coalesce(F.col("text"), F.lit(""))
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    spans = F.array_sort(F.concat(base, terms))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("body"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    # texts without identifiers meet no swaps: they are dealt out evenly
+    key = F.when(F.size("base") > 0, text_hash("body")).otherwise(F.monotonically_increasing_id())
+    rows = with_base_spans(rows, "body").withColumn("h", key)
+    found = rows.join(swaps, rows["h"] == swaps["_h"], "left")
     names = F.create_map(*(F.lit(x) for item in PLACEHOLDERS.items() for x in item))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]  # what overlaps an earlier span goes with that one
-        piece = F.when(fresh, F.concat(F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), names[s["kind"]])).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], piece).alias("out"))
+    def swapped(inner: Column) -> Column:
+        parts = F.zip_with(F.split(inner, TERM, -1), F.regexp_extract_all(inner, F.lit(TERM), 0), lambda g, m: F.concat(g, F.coalesce(F.try_element_at("swaps", F.lower(m)), m, F.lit(""))))
+        return F.when(F.col("swaps").isNull(), inner).otherwise(F.array_join(parts, ""))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))))
-    out = found.select("row", F.when(F.size(spans) > 0, clean).otherwise(F.col("text")).alias("text"))
+    found = found.withColumn("pieces", F.when(F.size("base") > 0, _pieces()))
+    clean = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], swapped(p["inner"]), p["tail"], F.coalesce(names[p["kind"]], F.lit("")))), "")
+    out = found.select("row", F.when(F.col("pieces").isNotNull(), clean).otherwise(F.col("row.text")).alias("text"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 

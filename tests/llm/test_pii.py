@@ -96,3 +96,16 @@ def test_same_as_sql(spark, tmp_path):
     name = "op3_pii"
     assert queries.QUERIES[name](spark, str(tmp_path)).where("spans like '%removed%' or spans like '%term%'").count() > 4
     assert differences(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name], str(tmp_path)) is None
+
+
+def test_terms_reveal_over_whole_documents(spark):
+    far = " ".join(["and so on"] * 30)
+    texts = [f"Zorbulon {far} zo@example.com 10.0.0.1abc {i} {far} by ZORBULON, 1.2.3.{i}" for i in range(2)]
+    texts += [f"{i} zo@example.com from Zorbulon {far} 10.0.0.1abc xabc" for i in range(2)]
+    texts += [f"{far} number {i} abc" for i in range(40)] + ["", None, "a@b.cc and so on"]
+    rows = [(i if i % 2 else None, t, "en", "s", 1, "e", "k") for i, t in enumerate(texts)]
+    got = sorted(str(r.text) for r in pii.sanitise(frame(spark, rows + rows[-2:])).collect())
+    want = [f" {far} <EMAIL> <IP>abc {i} {far} by , <IP>" for i in range(2)]
+    want += [f"{i} <EMAIL> from  {far} <IP>abc xabc" for i in range(2)]
+    want += texts[4:-1] + ["<EMAIL> and so on"] + [None, "<EMAIL> and so on"]
+    assert got == sorted(map(str, want))
