@@ -5,24 +5,29 @@ one has none). It is a plain ``array<long>`` in ascending order, so sketches of
 their union, and three estimates follow from one or two sketches: resemblance, containment and the number of distinct shingles. All of
 it is DataFrame expressions; a sketch of fewer than K hashes is complete and its estimates are exact.
 
+Neighbours in the order of ids are found without a global sort of texts: keys alone are dealt out in ranges and every so many of them heads a
+bucket; texts then go to their buckets in one shuffle, and the text of each head also to the bucket before. Buckets have a bounded number of
+rows however sparse, dense or repeated the ids are.
+
 Edge cases: a null text counts as empty; two empty sketches have resemblance 1, an empty and a non-empty one 0; equal
-texts have equal sketches; repeated rows are rows of their own, ordered among themselves by text; an empty table gives an empty result;
-other columns are ignored. Rows without a doc_id come last in the descending order.
+texts have equal sketches; repeated rows are rows of their own; rows of one doc_id are ordered among themselves by a hash of the text; an empty
+table gives an empty result; other columns are ignored. Rows without a doc_id come last in the descending order.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inodeon.llm.common import cut, small_enough
+from inodeon.llm.common import cut, text_hash
 
 SHINGLE = 5
 K = 128
-#: Consecutive ids that differ only in so many low bits are ordered together in one bucket.
-BUCKET_BITS = 8
-#: More heads of buckets than this are joined by a shuffle instead of a broadcast.
-MAX_HEADS = 500_000
+#: Different rows of a bucket, about, and buckets at most: their heads' keys, 24 bytes each, are what every task gets.
+BUCKET_ROWS = 512
+MAX_HEADS = 65_536
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -71,36 +76,65 @@ def written(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
-def _heads(ids: DataFrame) -> DataFrame:
-    """``(doc_id, bucket)``: for every bucket, the id that follows its last one in descending order, wrapping around."""
-    tops = ids.groupBy("bucket").agg(F.max("doc_id").alias("top")).withColumn("outer", F.shiftright("bucket", BUCKET_BITS))
-    within = Window.partitionBy("outer").orderBy(F.desc("bucket"))
-    tops = cut(tops.withColumn("next", F.lead("top").over(within)))
-    firsts = tops.groupBy("outer").agg(F.max("top").alias("top"))
-    # one row for 65,536 ids: what is left fits one ordered task
-    ordered = Window.orderBy(F.desc("outer"))
-    firsts = firsts.withColumn("wrap", F.first("top").over(ordered)).withColumn("after", F.coalesce(F.lead("top").over(ordered), "wrap"))
-    return tops.join(firsts.select("outer", "after"), "outer").select(F.coalesce("next", "after").alias("doc_id"), "bucket")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, d, h)``: in ascending order of (d, h) the doc_ids fall."""
+    at = F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumns({"d": at, "h": text_hash("text")})
+
+
+def _heads(keys: DataFrame, bucket_rows: int) -> DataFrame:
+    """``(d, h, parts)``: every ``bucket_rows``-th different key in order, and each key of so many rows that it takes several parts."""
+    different = cut(keys.groupBy("d", "h").agg(F.count("*").alias("n")))
+    rows = max(bucket_rows, -(-(different.agg(F.sum("n")).first()[0] or 0) // MAX_HEADS))
+    # the low 33 bits of this number count the rows of a partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = different.repartitionByRange("d", "h").sortWithinPartitions("d", "h").withColumn("place", place)
+    parts = F.greatest(F.floor(F.col("n") / rows), F.lit(1)).cast("int")
+    return cut(ranged.where((F.col("place") % rows == 0) | (F.col("n") >= 2 * rows)).select("d", "h", parts.alias("parts")))
+
+
+def _bucketed(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows with ``spot``: struct<bucket, parts, head>, the number of the last head that isn't behind the row, its parts, and whether it has the row's key."""
+    steps = F.sequence(F.lit(1), F.lit(MAX_HEADS.bit_length() + 8))
+    # at most half as many again as MAX_HEADS, and one for each partition; as a constant, tasks get them with their code
+    listed = sorted((r["d"], r["h"], r["parts"]) for r in heads.collect())
+    every = F.from_json(F.lit(json.dumps([dict(zip(("d", "h", "parts"), r)) for r in listed])), "array<struct<d:long,h:long,parts:int>>")
+
+    def search(known: Column) -> Column:
+        def half(at: Column, _: Column) -> Column:
+            middle = F.floor((at["low"] + at["high"] + 1) / 2).cast("int")
+            head = F.get(known, middle - 1)
+            not_behind = (head["d"] < F.col("d")) | ((head["d"] == F.col("d")) & (head["h"] <= F.col("h")))
+            return F.when(not_behind, F.struct(middle.alias("low"), at["high"].alias("high"))).otherwise(F.struct(at["low"].alias("low"), (middle - 1).alias("high")))
+
+        last = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(known).alias("high")), half, lambda at: at["low"])
+        return F.element_at(F.transform(F.array(last), lambda i: F.struct(i.alias("bucket"), F.get(known, i - 1).alias("at"), F.size(known).alias("of"), F.get(known, (i - 2 + F.size(known)) % F.size(known))["parts"].alias("before"))), 1)
+
+    found = F.element_at(F.transform(F.array(every), search), 1)
+    return rows.withColumn("spot", found).withColumn("head", (F.col("spot.at.d") == F.col("d")) & (F.col("spot.at.h") == F.col("h")))
 
 
-def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows ``(doc_id, text, sk, bucket)`` with next_text and next_sk, those of the next row in descending order.
+def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows ``(doc_id, text, sk)`` with next_text and next_sk, those of the next row in descending order of doc_id, around the end.
 
-    Rows are ordered within buckets of 2**BUCKET_BITS ids; the first row of the bucket below is copied into each bucket,
-    so that one shuffle of the texts is enough and no task holds more than some buckets.
+    Of rows with equal keys, which are alike, all but one are followed by their like. A key of very many rows is spread over the parts of
+    its bucket.
     """
-    low = F.lit(-(2**63))
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("at", F.coalesce("doc_id", low)).withColumn("bucket", F.shiftright("at", BUCKET_BITS))
-    heads = cut(_heads(rows.select(F.col("at").alias("doc_id"), "bucket")))
-    heads = heads.select(F.col("doc_id").alias("at"), F.col("bucket").alias("to"))
-    # one narrow row for 2**BUCKET_BITS documents: up to a checked number they go to the texts, beyond it both sides are dealt out
-    copies = rows.join(F.broadcast(heads) if small_enough(heads, MAX_HEADS) else heads, "at")
-    copies = copies.groupBy("to").agg(F.min(F.struct("text", "at")).alias("c"))
-    ghosts = copies.select(F.lit(None).cast("long").alias("doc_id"), F.col("c.text").alias("text"), F.col("c.at").alias("at"), F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
-    every = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts)
-    every = with_sketch(every, "text", "sk")
-    order = Window.partitionBy("bucket").orderBy("ghost", F.desc("at"), "text")
+    rows = _keyed(docs)
+    spots = _bucketed(rows, _heads(rows.select("d", "h"), bucket_rows))
+    parts = F.col("spot.at.parts")
+    part = F.when(F.col("head") & (parts > 1), F.floor(F.rand(7) * parts).cast("int")).otherwise(parts - 1)
+    own = spots.select("doc_id", "text", "d", "h", F.col("spot.bucket").alias("bucket"), part.alias("part"), F.lit(0).alias("ghost"))
+    # a head's text also goes to the last part of the bucket before, and to all but the last part of its own
+    one = spots.where("head").groupBy("d", "h").agg(F.first("text").alias("text"), F.first("spot").alias("spot"))
+    wrapped = F.when(F.col("spot.bucket") > 1, F.col("spot.bucket") - 1).otherwise(F.col("spot.of"))
+    before = F.struct(wrapped.alias("bucket"), (F.col("spot.before") - 1).alias("part"))
+    repeats = F.when(parts > 1, F.transform(F.sequence(F.lit(0), parts - 2), lambda i: F.struct(F.col("spot.bucket").alias("bucket"), i.alias("part"))))
+    ghosts = one.select("d", "h", "text", F.explode(F.concat(F.array(before), F.coalesce(repeats, F.array().cast("array<struct<bucket:int,part:int>>")))).alias("to"))
+    ghosts = ghosts.select(F.lit(None).cast("long").alias("doc_id"), "text", "d", "h", F.col("to.bucket").alias("bucket"), F.col("to.part").alias("part"), F.lit(1).alias("ghost"))
+    every = with_sketch(own.unionByName(ghosts), "text", "sk")
+    order = Window.partitionBy("bucket", "part").orderBy("ghost", "d", "h")
     nexts = every.withColumns({"next_text": F.lead("text").over(order), "next_sk": F.lead("sk").over(order)})
     return nexts.where("ghost = 0").select("doc_id", "text", "sk", "next_text", "next_sk")
 

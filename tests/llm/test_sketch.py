@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -30,15 +31,28 @@ def test_edits_against_brute_force(spark):
         assert len(r.fingerprint) == 16 * min(128, len(shingles(text)))
 
 
+def against_order(spark, rows, bucket_rows):
+    """Compares with the order of a plain sort; rows: (doc_id, text), the same text for equal doc_ids."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r.doc_id, r.text, r.next_text) for r in sketch.with_next(docs, bucket_rows).collect())
+    down = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    want = Counter((i, t, n) for (i, t), (_, n) in zip(down, down[1:] + down[:1]))
+    assert got == want
+
+
 def test_order_over_buckets_and_gaps(spark):
-    ids = [0, 1, 255, 256, 70_000, 70_001, 9_000_000, -5]
-    rows = [(i, f"text of {i} and some more words", "en", "s", 1, "e", "k") for i in ids]
-    got = {r.doc_id: r.edited_sha256 for r in sketch.fingerprint_edits(frame(spark, rows)).collect()}
-    down = sorted(ids, reverse=True)
-    for i, n in zip(down, down[1:] + down[:1]):
-        text, after = f"text of {i} and some more words", f"text of {n} and some more words"
-        half = len(text) // 2
-        assert got[i] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+    text = lambda i: f"text of {i} and some more words"
+    ids = [0, 1, 255, 256, 70_000, 70_001, 9_000_000, -5, 2**62, -(2**62)]
+    against_order(spark, [(i, text(i)) for i in ids], 3)
+    against_order(spark, [(5, "alone")], 4)
+    hashed = [hash((i, "x")) for i in range(3000)]
+    against_order(spark, [(i, text(i)) for i in hashed], 64)
+
+
+def test_a_third_of_the_rows_alike(spark):
+    rows = [(i * i, f"text {i}") for i in range(400)]
+    against_order(spark, rows + [(77, "one id")] * 300 + [(None, "no id")] * 200 + [(3, "two")] * 2, 16)
+    against_order(spark, [(None, "no id")] * 50, 4)
 
 
 def test_merge_containment_and_count(spark):
