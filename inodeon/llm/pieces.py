@@ -10,6 +10,9 @@ No piece crosses from a non-space to a space, so a lattice falls apart into word
 once by columns of equal position, and all occurrences are sampled at once. Characters outside the vocabulary, the piece symbol
 itself among them, become their UTF-8 byte pieces; so decoding returns every text byte for byte.
 
+A very long word (one without any spaces, such as encoded binary data) is filtered segment by segment: the sums at the segments' starts are kept,
+and on the way back each segment is filtered again from there, so that memory holds one segment's lattice, not the word's.
+
 The model file of a BPE vocabulary holds merge ranks instead of probabilities; a piece of rank r weighs 1 / (r + 1).
 
 Edge cases: null and empty texts have no pieces and decode to an empty text; a null key counts as 0; repeated rows get
@@ -33,8 +36,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 ALPHA = 0.5
 SEED = 20240501
-#: Longer words are filtered one by one in logarithms, which can't underflow.
+#: Longer words are filtered one by one, in logarithms between their parts, which can't underflow.
 LONG = 64
+#: Characters of a very long word whose lattice is held at once; a power of two.
+SEGMENT = 1 << 16
 #: Bytes of text whose distinct words are filtered at once.
 CHUNK = 4 << 20
 #: Trie steps for the most frequent characters of the vocabulary are looked up in a table, the others by bisection.
@@ -170,23 +175,53 @@ class Lattice:
             before = np.concatenate([run[:, -1:], before[:n, :-1]], axis=1)
         return pieces, sums
 
-    def filtered_long(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for one word of any length."""
-        left = len(codes) - np.arange(len(codes))
-        pieces = self.matches(codes, left)
-        sums = np.zeros((len(codes), self.longest), dtype=np.float32)
+    def filtered_long(self, codes: np.ndarray, start: int = 0, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for characters ``start`` to ``start + SEGMENT`` of one word, and the logarithms of the path weights behind them.
+
+        ``state``: those before ``start``, latest first. Parts of the segment are taken together, each from all states alike first, then
+        from the state that the parts before lead to. The last state is that of a whole segment only.
+        """
+        back = min(start, self.longest - 1)  # pieces may begin before the segment
+        own = codes[start - back : start + SEGMENT].astype(np.int64)
+        pieces = self.matches(own, len(own) - np.arange(len(own)))[back:]
+        n, k = len(pieces), self.longest
+        part = max(16, 1 << n.bit_length() // 2)  # divides whole segments
+        parts = -(-n // part)
+        weights = np.zeros((parts * part, k))
+        weights[:n] = self.weights(pieces)
+        weights[n:, 0] = 1.0
+        weights = weights.reshape(parts, part, k)
+
+        ways, scale = np.broadcast_to(np.eye(k), (parts, k, k)).copy(), np.zeros((parts, k))
+        for t in range(part):
+            new = np.einsum("pij,pj->pi", ways, weights[:, t])
+            ways = np.concatenate([new[:, :, None], ways[:, :, :-1]], axis=2)
+            if t % 16 == 15 or t == part - 1:  # as many steps can't underflow
+                top = ways.max(axis=2)
+                top[top == 0] = 1.0
+                ways /= top[:, :, None]
+                scale += np.log(top)
+        if state is None:
+            state = np.full(k, -np.inf)
+            state[0] = 0.0
+        before = np.zeros((parts, k))
         with np.errstate(divide="ignore"):
-            logs = np.log(self.weights(pieces))
-        before = np.full(self.longest, -np.inf)
-        before[0] = 0.0
-        for t in range(len(codes)):
-            paths = before + logs[t]
+            logs = np.log(ways)
+        for i in range(parts):
+            before[i] = np.exp(state - state.max())
+            paths = (state + scale[i])[:, None] + logs[i]
             top = paths.max()
-            run = np.cumsum(np.exp(paths - top))
-            sums[t] = run / run[-1]
-            before[1:] = before[:-1]
-            before[0] = top + np.log(run[-1])
-        return pieces, sums
+            with np.errstate(divide="ignore"):
+                state = top + np.log(np.exp(paths - top).sum(axis=0))
+
+        sums = np.zeros((parts, part, k), dtype=np.float32)
+        for t in range(part):
+            run = np.cumsum(before * weights[:, t], axis=1)
+            sums[:, t] = run / run[:, -1:]
+            before = np.concatenate([run[:, -1:], before[:, :-1]], axis=1)
+            if t % 16 == 15:
+                before /= before.max(axis=1, keepdims=True)
+        return pieces, sums.reshape(-1, k)[:n], state
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -221,29 +256,29 @@ def encode_batch(texts: list[bytes], keys: np.ndarray, lat: Lattice, seed: int)
 
     distinct = [w.decode() for w in index]
     lengths = np.array([len(w) for w in distinct], dtype=np.int64)
-    codes = np.frombuffer("".join(distinct).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    starts = np.cumsum(lengths) - lengths
-    short = lengths <= LONG
+    huge = lengths > SEGMENT
+    held = np.where(huge, 0, lengths)
+    codes = np.frombuffer("".join(w for w, far in zip(distinct, huge) if not far).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    starts = np.cumsum(held) - held
+    short = held <= LONG
     if short.all():
-        pieces, sums = lat.filtered(codes, lengths)
+        pieces, sums = lat.filtered(codes, held)
     else:
         pieces = np.zeros((len(codes), lat.longest), dtype=np.int32)
         sums = np.zeros((len(codes), lat.longest), dtype=np.float32)
-        of_short = np.repeat(short, lengths)
-        pieces[of_short], sums[of_short] = lat.filtered(codes[of_short], lengths[short])
+        of_short = np.repeat(short, held)
+        pieces[of_short], sums[of_short] = lat.filtered(codes[of_short], held[short])
         for w in np.flatnonzero(~short):
             at = slice(starts[w], starts[w] + lengths[w])
-            pieces[at], sums[at] = lat.filtered_long(codes[at])
+            pieces[at], sums[at], _ = lat.filtered_long(codes[at])
 
     rest = lengths[word]
-    active = np.arange(len(word))
+    active = np.flatnonzero(~huge[word])
     taken: list[tuple[np.ndarray, np.ndarray]] = []
     while len(active):
         r = rest[active]
-        with np.errstate(over="ignore"):
-            u = (_mixed(stream[active] + r.astype(np.uint64) * _GOLDEN) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
         at = starts[word[active]] + r - 1
-        length = (sums[at] > u[:, None]).argmax(axis=1)
+        length = (sums[at] > _uniform(stream[active], r)[:, None]).argmax(axis=1)
         taken.append((active, pieces[at, length]))
         rest[active] = r - length - 1
         active = active[r > length + 1]
@@ -251,16 +286,51 @@ def encode_batch(texts: list[bytes], keys: np.ndarray, lat: Lattice, seed: int)
     per_word = np.zeros(len(word), dtype=np.int64)
     for tokens, _ in taken:
         per_word[tokens] += 1
+    long_ones = {t: ids for w in np.flatnonzero(huge) for t, ids in _sampled_long(distinct[w], np.flatnonzero(word == w), stream, lat)}
+    for t, ids in long_ones.items():
+        per_word[t] = len(ids)
     last = np.cumsum(per_word) - 1
     out = np.zeros(int(per_word.sum()), dtype=np.int32)
     for s, (tokens, ids) in enumerate(taken):
         out[last[tokens] - s] = ids
+    for t, ids in long_ones.items():
+        out[last[t] - len(ids) + 1 : last[t] + 1] = ids
     of_doc = np.repeat(doc, per_word)
     if (spelt := np.flatnonzero(out > lat.size)).size:
         out, of_doc = _bytes_of(out, of_doc, spelt, lat)
     return out, np.bincount(of_doc, minlength=len(texts))
 
 
+def _uniform(stream: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The random number of each stream with so many characters left."""
+    with np.errstate(over="ignore"):
+        return (_mixed(stream + rest.astype(np.uint64) * _GOLDEN) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+
+
+def _sampled_long(text: str, tokens: np.ndarray, stream: np.ndarray, lat: Lattice) -> list[tuple[int, np.ndarray]]:
+    """The pieces of each occurrence of one very long word."""
+    own = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    states: list[np.ndarray | None] = [None]
+    for start in range(0, len(own) - SEGMENT, SEGMENT):
+        states.append(lat.filtered_long(own, start, states[-1])[2])
+    rest = {int(t): len(own) for t in tokens}
+    found: dict[int, list[np.ndarray]] = {t: [] for t in rest}
+    for i in range(len(states) - 1, -1, -1):
+        low = i * SEGMENT
+        pieces, sums, _ = lat.filtered_long(own, low, states[i])
+        for t, r in rest.items():
+            # what each place would take is drawn for all at once, then followed from the back
+            back = (sums[: r - low] > _uniform(stream[t], np.arange(low + 1, r + 1))[:, None]).argmax(axis=1)
+            steps, way = back.tolist(), []
+            at = r - low - 1
+            while at >= 0:
+                way.append(at)
+                at -= steps[at] + 1
+            found[t].append(pieces[way, back[way]])
+            rest[t] = low + at + 1
+    return [(t, np.concatenate(parts)[::-1]) for t, parts in found.items()]
+
+
 def _bytes_of(out: np.ndarray, of_doc: np.ndarray, spelt: np.ndarray, lat: Lattice) -> tuple[np.ndarray, np.ndarray]:
     """``out`` with the byte pieces of the characters at ``spelt``."""
     codes = out[spelt] - lat.size - 1

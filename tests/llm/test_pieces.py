@@ -67,11 +67,56 @@ def test_samples_follow_the_distribution():
         assert abs(seen.get(k, 0) / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-4
 
 
-def test_long_words_have_the_same_sums():
+def test_long_words_have_the_same_sums(monkeypatch):
     lat = lattice()
-    codes = np.array([ord(c) for c in " internationalisation"], dtype=np.int64)
-    a, b = lat.filtered(codes, np.array([len(codes)])), lat.filtered_long(codes)
-    assert (a[0] == b[0]).all() and np.allclose(a[1], b[1], atol=1e-5)
+    rng = np.random.default_rng(3)
+    for text in (" internationalisation", " " + "".join(map(chr, rng.integers(97, 123, 3000))), " " + "aé\u65e5" * 500):
+        codes = np.array([ord(c) for c in text], dtype=np.int64)
+        b = lat.filtered_long(codes)
+        if len(codes) < 100:
+            a = lat.filtered(codes, np.array([len(codes)]))
+            assert (a[0] == b[0]).all() and np.allclose(a[1], b[1], atol=1e-5)
+        # in segments, from the state behind the segment before
+        monkeypatch.setattr(pieces, "SEGMENT", 512)
+        state, parts = None, []
+        for start in range(0, len(codes), 512):
+            found = lat.filtered_long(codes, start, state)
+            parts.append(found[:2])
+            state = found[2]
+        monkeypatch.undo()
+        assert (np.concatenate([p for p, _ in parts]) == b[0]).all()
+        assert np.allclose(np.concatenate([q for _, q in parts]), b[1], atol=1e-5)
+
+
+def test_very_long_word_in_segments(monkeypatch):
+    lat = lattice()
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(97, 123, 5000))).encode() + "日本".encode() * 300
+    batch = [text, b"short words", text, text + b"x"]
+    keys = np.arange(4)
+    whole, n_whole = pieces.encode_batch(batch, keys, lat, 7)
+    monkeypatch.setattr(pieces, "SEGMENT", 512)
+    parts, n_parts = pieces.encode_batch(batch, keys, lat, 7)
+    ends = np.cumsum(n_parts)
+    assert [pieces.decode(parts[e - n : e], lat) for e, n in zip(ends, n_parts)] == batch
+    assert (parts[: n_parts[0]] != parts[ends[1] : ends[1] + n_parts[0]][: n_parts[0]]).any()  # another key, another sample
+    same = sum(int(a == b) for a, b in zip(whole, parts))
+    assert n_whole.tolist() == n_parts.tolist() and same > 0.999 * len(whole)
+
+
+def test_two_million_characters_without_a_space():
+    import time
+    import tracemalloc
+
+    text = bytes(np.random.default_rng(2).integers(65, 91, 2_000_000).astype(np.uint8))
+    lat = lattice()
+    tracemalloc.start()
+    start = time.time()
+    ids, counts = pieces.encode_batch([text], np.array([1]), lat, 7)
+    assert pieces.decode(ids, lat) == text and counts[0] == len(ids)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20  # some 128 bytes a character would be 256 MB
+    tracemalloc.stop()
+    assert time.time() - start < 120
 
 
 def test_empty_table_and_null_key(spark):
