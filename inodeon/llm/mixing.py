@@ -2,13 +2,15 @@
 
 Every source's token share is raised to an exponent between 0 (all sources alike) and 1 (as they are) and normalised. The exponent is the
 largest one that meets the target: an entropy of at least ``target_entropy`` bits, or no less than it takes for ``max_repeats``, the
-smallest exponent at which no source is read more than so many times; it is found by bisection. The
+smallest exponent at which no source is read more than so many times; it is found by bisection, into 32 parts a round instead of two, so
+that six jobs over the sources' totals do. The
 budget is the total at which the source with the fewest repeats is read exactly once, or ``budget`` tokens.
 
-Weights become documents by block permutations: a source's documents fall into blocks by hash, its blocks are ordered by a
-seeded hash, and epoch after epoch is read in that order until the source's share of the budget is met. Whole blocks
-need only their totals; documents are counted one by one in the one block of a source where the budget ends. Hot sources thus spread
-over as many blocks as their size asks for.
+Weights become documents by block permutations: a source's documents fall into blocks by hash, every epoch orders the blocks anew by a
+seeded hash, a block's documents have a place by another one, and epoch after epoch is read in that order until the source's share of the
+budget is met. Whole blocks need only their totals; documents are counted one by one in the one block of a source where the budget ends. Hot
+sources thus spread over as many blocks as their size asks for. ``read_order`` has all of it, so that its rows sorted by source, epoch, block_rank,
+block, place and doc_id are the reads in their order.
 
 Edge cases: a null source is a source of its own; null and empty texts count no tokens and go with their block; sources
 without any tokens are read once; repeated rows are rows of their own; an empty table gives an empty result; other columns pass through
@@ -95,8 +97,16 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_source": docs["source"].cast("string"), "_hash": F.xxhash64(F.coalesce(docs["text"], F.lit(""))), "_id": docs["doc_id"]})
 
 
+def _block_rank(epoch: Column, seed: int) -> Column:
+    return F.xxhash64("_source", "block", F.lit(seed + 1), epoch.cast("long"))
+
+
+def _place(seed: int) -> Column:
+    return F.xxhash64("_id", "_hash", F.lit(seed + 2))
+
+
 def schedule(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """``(_source, _id, _hash, n_tokens, block, block_rank, repeats)``: how often each different document is read."""
+    """``(_source, _id, _hash, n_tokens, block, repeats)``: how often each different document is read."""
     rows = _narrow(docs).select("_source", "_id", "_hash", tokens().alias("_tokens"))
     units = cut(rows.groupBy("_source", "_id", "_hash").agg(F.sum("_tokens").alias("_tokens"), F.max("_tokens").alias("n_tokens")))
     totals = cut(units.groupBy("_source").agg(F.sum("_tokens").alias("n_tokens"), F.count("*").alias("n_rows")))
@@ -107,38 +117,38 @@ def schedule(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_en
     units = cut(units.withColumn("block", F.pmod(F.xxhash64("_id", "_hash", F.lit(seed)), F.col("n_blocks"))))
 
     blocks = units.groupBy("_source", "block", "total", "quota").agg(F.sum("_tokens").alias("size"))
-    # blocks are read by rank; running sums go over the ranks' high bits first, so that no source's blocks all meet in one task
-    blocks = blocks.withColumn("block_rank", F.xxhash64("_source", "block", F.lit(seed + 1))).withColumn("part", F.shiftright("block_rank", 52))
+    full = F.when(F.col("total") > 0, F.expr("quota div total")).otherwise(F.lit(1).cast("long"))
+    # the last epoch's blocks are read by rank; running sums go over the ranks' high bits first, so that no source's blocks all meet in one task
+    blocks = blocks.withColumn("full", full).withColumn("block_rank", _block_rank(F.col("full"), seed)).withColumn("part", F.shiftright("block_rank", 52))
     blocks = cut(blocks)
     before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     parts = blocks.groupBy(F.col("_source").alias("_s"), F.col("part").alias("_p")).agg(F.sum("size").alias("in_part"))
     parts = parts.withColumn("base", F.coalesce(F.sum("in_part").over(before("_s").orderBy("_p")), F.lit(0))).drop("in_part")
     blocks = blocks.withColumn("inner", F.coalesce(F.sum("size").over(before("_source", "part").orderBy("block_rank", "block")), F.lit(0)))
     blocks = blocks.join(parts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
-    full = F.when(F.col("total") > 0, F.expr("quota div total")).otherwise(F.lit(1))
-    left = F.when(F.col("total") > 0, F.col("quota") - full * F.col("total") - F.col("base") - F.col("inner")).otherwise(F.lit(0))
-    blocks = blocks.select(F.col("_source").alias("_s"), F.col("block").alias("_b"), "block_rank", "size", full.alias("full"), left.alias("left"))
+    left = F.when(F.col("total") > 0, F.col("quota") - F.col("full") * F.col("total") - F.col("base") - F.col("inner")).otherwise(F.lit(0))
+    blocks = blocks.select(F.col("_source").alias("_s"), F.col("block").alias("_b"), "size", "full", left.alias("left"))
     blocks = cut(blocks)
 
     side = F.broadcast(blocks) if small_enough(blocks, MAX_BROADCAST) else blocks
     units = units.join(side, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     partial = (F.col("left") > 0) & (F.col("left") < F.col("size"))
     extra = F.when(F.col("left") >= F.greatest("size", F.lit(1)), 1).otherwise(0)
-    in_order = before("_source", "block").orderBy(F.xxhash64("_id", "_hash", F.lit(seed + 2)), "_id", "_hash")
+    in_order = before("_source", "block").orderBy(_place(seed), "_id", "_hash")
     whole = units.where(~partial).withColumn("repeats", F.col("full") + extra)
     split = units.where(partial).withColumn("prior", F.coalesce(F.sum("_tokens").over(in_order), F.lit(0)))
     split = split.withColumn("repeats", F.col("full") + F.when(F.col("prior") < F.col("left"), 1).otherwise(0)).drop("prior")
     both = whole.unionByName(split)
-    return both.select("_source", "_id", "_hash", "n_tokens", "block", "block_rank", F.col("repeats").cast("int").alias("repeats"))
+    return both.select("_source", "_id", "_hash", "n_tokens", "block", F.col("repeats").cast("int").alias("repeats"))
 
 
-def read_order(docs: DataFrame, **target: object) -> DataFrame:
-    """One row for every time a document is read: ``(doc_id, source, n_tokens, epoch, block, block_rank)``, without texts."""
-    plan_of = schedule(docs, **target)
+def read_order(docs: DataFrame, seed: int = SEED, **target: object) -> DataFrame:
+    """One row for every time a document is read: ``(doc_id, source, n_tokens, epoch, block, block_rank, place)``, without texts."""
+    plan_of = schedule(docs, seed=seed, **target)
     keys = _narrow(docs).select(F.col("_source").alias("source"), F.col("_id").alias("doc_id"), F.col("_hash").alias("h"))
     same = keys["source"].eqNullSafe(plan_of["_source"]) & keys["doc_id"].eqNullSafe(plan_of["_id"]) & (keys["h"] == plan_of["_hash"])
     read = keys.join(plan_of, same).where("repeats > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
-    return read.select("doc_id", "source", "n_tokens", "epoch", "block", "block_rank")
+    return read.select("doc_id", "source", "n_tokens", "epoch", "block", _block_rank(F.col("epoch"), seed).alias("block_rank"), _place(seed).alias("place"))
 
 
 def mix(docs: DataFrame, **target: object) -> DataFrame:

@@ -54,6 +54,38 @@ def test_budget_takes_whole_blocks_in_a_fixed_order(spark):
     assert blocks <= 6  # of 12
 
 
+def test_reads_in_order_against_a_plain_loop(spark):
+    """Reads document after document in the order that the output states, until the source's quota is met."""
+    rows = docs_of({"big": 3000, "mid": 700, "small": 60})
+    rows = [(i, " ".join(t.split()[: 1 + i % 7]), *rest) for i, t, *rest in rows]
+    docs = frame(spark, rows)
+    size = {i: 1 + i % 7 for i, *_ in rows}
+    source_of = {r[0]: r[3] for r in rows}
+    total = {s: sum(size[i] for i in size if source_of[i] == s) for s in ("big", "mid", "small")}
+    a = 1 - math.log(3) / math.log(total["big"] / total["small"])
+    quota = {s: round(total["big"] * (n / total["big"]) ** a) for s, n in total.items()}
+    read = mixing.read_order(docs, max_repeats=3.0).collect()
+    of = {r.doc_id: (r.block, r.place) for r in read}  # every document is read at least once
+    assert of.keys() == size.keys() and any(r.epoch > 1 for r in read)
+    ranks = {(r.source, r.epoch, r.block): r.block_rank for r in read}
+    assert len(set(ranks.values())) == len(ranks)  # each epoch has an order of its own
+    got = sorted((r.source, r.epoch, r.block_rank, r.block, r.place, r.doc_id) for r in read)
+    want = []
+    for s, left in quota.items():
+        own = [i for i in size if source_of[i] == s]
+        epoch = 0
+        while left > 0:
+            rank = lambda b: spark.sql(f"select xxhash64('{s}', {b}L, {mixing.SEED + 1}, {epoch}L) h").first().h  # noqa: B023, E731
+            ranked = {b: rank(b) for b in {of[i][0] for i in own}}
+            for i in sorted(own, key=lambda i: (ranked[of[i][0]], of[i])):  # noqa: B023
+                if left <= 0:
+                    break
+                want.append((s, epoch, ranked[of[i][0]], *of[i], i))
+                left -= size[i]
+            epoch += 1
+    assert got == sorted(want)
+
+
 def test_awkward_rows(spark):
     rows = awkward()
     docs = frame(spark, [*rows, rows[20], (None, "no id", None, None, 1, "e", "k")])
