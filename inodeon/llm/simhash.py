@@ -30,7 +30,7 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 #: Postings up to this size are verified pair by pair, so many pairs at once; larger ones by looking up each one's ball.
-PAIRWISE = 32768
+PAIRWISE = 8192
 CELLS = 1 << 20
 
 
