@@ -16,11 +16,13 @@ BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if not folder:
+        if current.isEmpty() and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else "/tmp/checkpoints"
     if current.isEmpty():
         sc.setCheckpointDir(folder)
