@@ -8,7 +8,7 @@ seen, one without a name or one that is missing; paths have at most so many comp
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inodeon.functions.text import SEPARATOR, utf16_units
@@ -20,11 +20,20 @@ FRONTIER_ROWS = 200_000
 FRONTIER_STEP = 8
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs on this machine, one of our own."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or "/tmp/checkpoints").rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Lineage cut in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -49,58 +58,81 @@ def capped_path(components: Column, max_units: int | None = MAX_UNITS) -> Column
     return F.array_join(F.slice(components, F.lit(1), F.aggregate(components, start, step, lambda acc: acc["n"])), SEPARATOR)
 
 
-def components_by_doubling(hierarchy: DataFrame, max_depth: int = MAX_DEPTH, checkpoint_every: int = 3) -> DataFrame:
+def _with_own(rows: DataFrame, chains: DataFrame, max_depth: int | None) -> DataFrame:
+    """``(record_number, components)``: what leads to a record's parent, and its own name.
+
+    ``chains`` has ``(start, ids, names)`` of parents, root to leaf. A record that its parent's chain comes back to cuts the chain there.
+    """
+    joined = rows.join(chains.withColumnRenamed("start", "parent"), "parent", "left")
+    kept = F.size("ids") - F.array_position("ids", F.col("record_number")).cast("int")
+    kept = kept if max_depth is None else F.least(kept, F.lit(max_depth - 1))
+    above = F.when(F.col("ids").isNotNull() & (kept > 0), F.slice("names", F.greatest(F.size("ids") - kept + 1, F.lit(1)), kept)).otherwise(F.array().cast("array<string>"))
+    return joined.select("record_number", F.array_append(above, F.col("name")).alias("components"))
+
+
+def components_by_doubling(hierarchy: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
     """``(record_number, components)`` for every named record but the root.
 
-    After k rounds a row holds its lowest 2**k ancestors and a pointer to the next one. Ids are carried along, so that what lies
-    before the first repeated id in a cycle can be cut off at the end.
+    Only records that are somebody's parent take part in the rounds; files join theirs once at the end. After k rounds a row holds its lowest
+    2**k ancestors and a pointer to the next one; rows that have arrived, or go round in a cycle, leave the left side of the joins, and
+    those below the root, which may be very many, never meet on its key. Without a ``max_depth`` the rounds go on until all have left.
     """
-    at = hierarchy.select("record_number", F.col("parent").alias("cur"), F.array("record_number").alias("ids"), F.array("name").alias("names"))
-    rounds = max(1, (max_depth - 1).bit_length())
-    for k in range(rounds):
-        up = at.select(F.col("record_number").alias("cur"), F.col("cur").alias("next"), F.col("ids").alias("up_ids"), F.col("names").alias("up_names"))
-        joined = at.join(up, "cur", "left")
-        at = joined.select(
+    parents = hierarchy.where(F.col("parent") != ROOT).select(F.col("parent").alias("record_number")).distinct()
+    up = F.when(F.col("parent") != ROOT, F.col("parent"))
+    at = checkpointed(hierarchy.join(parents, "record_number", "left_semi").select("record_number", up.alias("cur"), F.array("record_number").alias("ids"), F.array("name").alias("names")))
+    rounds = 64 if max_depth is None else max(1, (max_depth - 1).bit_length())
+    for _ in range(rounds):
+        going = F.col("cur").isNotNull() & (F.size("ids") == F.size(F.array_distinct("ids")))
+        way = at.where(going)
+        if way.isEmpty():
+            break
+        next_up = at.select(F.col("record_number").alias("cur"), F.col("cur").alias("next"), F.col("ids").alias("up_ids"), F.col("names").alias("up_names"))
+        moved = way.join(next_up, "cur", "left").select(
             "record_number",
             F.col("next").alias("cur"),
             F.when(F.col("up_ids").isNotNull(), F.concat("up_ids", "ids")).otherwise(F.col("ids")).alias("ids"),
             F.when(F.col("up_names").isNotNull(), F.concat("up_names", "names")).otherwise(F.col("names")).alias("names"),
         )
-        if (k + 1) % checkpoint_every == 0 or k + 1 == rounds:
-            at = checkpointed(at)
-            if at.where("cur is not null").isEmpty():
-                break
-    keep = F.least(F.size(F.array_distinct("ids")), F.lit(max_depth))
-    return at.select("record_number", F.slice("names", -keep, keep).alias("components"))
+        at = checkpointed(moved.unionByName(at.where(~going)))
+    # the walk stops before the first id that comes again: of a cycle, as many as there are different ones
+    kept = F.size(F.array_distinct("ids"))
+    chains = at.select(F.col("record_number").alias("start"), F.slice("ids", -kept, kept).alias("ids"), F.slice("names", -kept, kept).alias("names"))
+    return _with_own(hierarchy, chains, max_depth)
 
 
 def components_by_frontier(wanted: DataFrame, hierarchy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The same for the wanted record numbers only: one join a level, and only rows still on their way take part."""
-    # every level joins the whole hierarchy: read it once, dealt out by record as all of them need it
-    step = hierarchy.select(F.col("record_number").alias("cur"), F.col("parent"), F.col("name")).repartition("cur").persist(StorageLevel.DISK_ONLY)
-    none_ids, none_names = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-    way = wanted.select("record_number", F.col("record_number").alias("cur"), none_ids.alias("ids"), none_names.alias("names"))
-    done: DataFrame | None = None
-    depth = 0
+    """The same for the wanted record numbers only: one join a level for their different parents, which carry ids; names come last."""
+    # every level joins the whole hierarchy: read it once, dealt out by record as all of them need it; without the names where ids do
+    step = hierarchy.select(F.col("record_number").alias("cur"), "parent", "name").repartition("cur").persist(StorageLevel.DISK_ONLY)
+    own = checkpointed(wanted.select(F.col("record_number").alias("cur")).join(step, "cur").withColumnRenamed("cur", "record_number"))
+    way = own.where(F.col("parent") != ROOT).select(F.col("parent").alias("start")).distinct()
+    way = way.select("start", F.col("start").alias("cur"), F.array().cast("array<bigint>").alias("ids"))
+    links = step.select("cur", "parent")
+    chains: DataFrame | None = None
+    depth = 1
     while depth < max_depth:
         for _ in range(min(FRONTIER_STEP, max_depth - depth)):
-            joined = way.join(step, "cur", "left")
-            go = F.col("name").isNotNull() & ~F.array_contains("ids", F.col("cur"))
+            joined = way.join(links, "cur", "left")
+            go = F.col("parent").isNotNull() & ~F.array_contains("ids", F.col("cur"))
             way = joined.select(
-                "record_number",
-                F.when(go, F.col("parent")).alias("cur"),
+                "start",
+                F.when(go & (F.col("parent") != ROOT), F.col("parent")).alias("cur"),
                 F.when(go, F.concat(F.array("cur"), "ids")).otherwise(F.col("ids")).alias("ids"),
-                F.when(go, F.concat(F.array("name"), "names")).otherwise(F.col("names")).alias("names"),
             )
             depth += 1
         way = checkpointed(way)
-        arrived = way.where("cur is null").select("record_number", F.col("names").alias("components"))
-        done = arrived if done is None else done.unionByName(arrived)
+        arrived = way.where("cur is null").select("start", "ids")
+        chains = arrived if chains is None else chains.unionByName(arrived)
         way = way.where("cur is not null")
         if way.isEmpty():
             break
+    chains = way.select("start", "ids") if chains is None else chains.unionByName(way.select("start", "ids"))
+    each = chains.select("start", F.posexplode("ids").alias("pos", "cur"))
+    names = each.select("cur").distinct().join(step.select("cur", "name"), "cur")
+    named = each.join(names, "cur").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "cur", "name"))).alias("all"))
+    found = checkpointed(_with_own(own, named.select("start", F.col("all.cur").alias("ids"), F.col("all.name").alias("names")), max_depth))
     step.unpersist()
-    return done.unionByName(way.select("record_number", F.col("names").alias("components")))
+    return found
 
 
 def components_by_recursion(wanted: DataFrame, hierarchy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -139,7 +171,7 @@ def resolve_paths(wanted: DataFrame, records: DataFrame, drive: str = "", plan:
     return wanted.join(found, "record_number", "left")
 
 
-def managed_paths(starts: DataFrame, records: DataFrame, drive: str, max_depth: int = 1 << 14) -> DataFrame:
+def managed_paths(starts: DataFrame, records: DataFrame, drive: str, max_depth: int | None = None) -> DataFrame:
     """``(record_number, path)`` without caps; every path begins with the drive, also of a record that is unknown."""
     hierarchy = lookup(records)
     found = components_by_doubling(hierarchy, max_depth)
