@@ -21,6 +21,11 @@ def size(path: str) -> int:
     return info.size
 
 
+def is_folder(path: str) -> bool:
+    fs, p = _split(path)
+    return fs.get_file_info(p).type == pafs.FileType.Directory
+
+
 def read_range(path: str, offset: int, length: int) -> bytes:
     fs, p = _split(path)
     with fs.open_input_file(p) as f:

@@ -1,7 +1,8 @@
 """Data source ``mft``: file record tables in image files and volumes, read in parallel by ranges of records.
 
-Options: ``path``; ``layout`` image (default) or volume; ``recordSize`` (1024), ``recordsPerPartition`` (65536), ``drive``;
-``skipPrefix`` true for images with 20 bytes before the first record. With ``pushFilters`` true, for which
+Options: ``path``, a file or a folder of ``part-<first record>.mft`` files; ``layout`` image (default) or volume; ``recordSize`` (1024),
+``recordsPerPartition`` (65536), ``drive``; ``skipPrefix`` true for images with 20 bytes before the first record, auto to look whether there
+are. With ``pushFilters`` true, for which
 ``spark.sql.python.filterPushdown.enabled`` must be set, predicates on ``name_fold``, ``in_use``, ``is_directory`` and ``record_number``
 are taken over by the reader. Spark keeps what was pushed with the loaded frame, also for other uses of that frame; so load one
 for each predicate then, and resolve paths against another. It is off by default.
@@ -10,9 +11,11 @@ for each predicate then, and resolve paths against another. It is off by default
 from __future__ import annotations
 
 import struct
+import time
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +30,12 @@ CHUNK = 8192
 
 @dataclass
 class Slice(InputPartition):
-    """Records first..first+count-1, stored from an offset on."""
+    """Records first..first+count-1, stored in a file from an offset on."""
 
     first: int
     count: int
     offset: int
+    path: str
 
 
 class MftSource(DataSource):
@@ -59,34 +63,41 @@ class MftReader(DataSourceReader):
         self.record_size = int(get("recordsize", str(RECORD_SIZE)))
         self.per_partition = int(get("recordsperpartition", "65536"))
         self.drive = get("drive", "")
-        self.skip = get("skipprefix", "false").lower() == "true"
+        self.skip = get("skipprefix", "false").lower()
         self.filters: list[Filter] = []
 
-    def extents(self) -> list[tuple[int, int]]:
-        """``(offset, bytes)`` of the table's pieces, in record order."""
-        if self.layout == "image":
-            start = PREFIX if self.skip else 0
-            return [(start, files.size(self.path) - start)]
-        if self.layout != "volume":
+    def extents(self) -> list[tuple[str, int | None, int, int]]:
+        """``(file, first record, offset, bytes)`` of the table's pieces, in record order; None goes on from the piece before."""
+        if self.layout == "volume":
+            return [(self.path, None, offset, length) for offset, length in volume_extents(self.path, self.record_size)]
+        if self.layout != "image":
             raise ValueError(f"unknown layout {self.layout!r}")
-        return volume_extents(self.path, self.record_size)
+        if files.is_folder(self.path):
+            names = files.names(self.path, ".mft")
+            return [(f"{self.path}/{n}", int(n.removeprefix("part-").removesuffix(".mft")), 0, files.size(f"{self.path}/{n}")) for n in names]
+        start = PREFIX if self.skip == "true" or self.skip == "auto" and has_prefix(self.path) else 0
+        return [(self.path, None, start, files.size(self.path) - start)]
 
     def partitions(self) -> list[Slice]:
-        out, first = [], 0
-        for offset, length in self.extents():
+        out, after = [], 0
+        for path, first, offset, length in self.extents():
+            first = after if first is None else first
             total = length // self.record_size
             for at in range(0, total, self.per_partition):
-                out.append(Slice(first + at, min(self.per_partition, total - at), offset + at * self.record_size))
-            first += total
+                out.append(Slice(first + at, min(self.per_partition, total - at), offset + at * self.record_size, path))
+            after = first + total
         return out
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         for at in range(0, part.count, CHUNK):
             n = min(CHUNK, part.count - at)
-            raw = files.read_range(self.path, part.offset + at * self.record_size, n * self.record_size)
-            if len(raw) != n * self.record_size:
-                raise OSError(f"{self.path}: {n} records from {part.first + at} on can't be read")
-            yield self._batch(ntfs.decode(raw, part.first + at, self.record_size))
+            yield self._batch(ntfs.decode(self._raw(part, at, n), part.first + at, self.record_size))
+
+    def _raw(self, part: Slice, at: int, n: int) -> bytes:
+        raw = files.read_range(part.path, part.offset + at * self.record_size, n * self.record_size)
+        if len(raw) != n * self.record_size:
+            raise OSError(f"{part.path}: {n} records from {part.first + at} on can't be read")
+        return raw
 
     def _batch(self, found: dict) -> pa.RecordBatch:
         flags = found["flags"]
@@ -127,6 +138,12 @@ class PushingReader(MftReader):
                 yield f
 
 
+def has_prefix(path: str) -> bool:
+    """Whether a record's mark stands behind a prefix and none at the start."""
+    head = files.read_range(path, 0, PREFIX + 4)
+    return head[:4] != b"FILE" and head[PREFIX:] == b"FILE"
+
+
 def volume_extents(path: str, record_size: int = RECORD_SIZE) -> list[tuple[int, int]]:
     """Where a volume keeps its table: the data runs of record 0 and of the records that its attribute list names."""
     boot = files.read_range(path, 0, 512)
@@ -169,10 +186,15 @@ class Part(WriterCommitMessage):
 
 
 class ImageWriter(DataSourceWriter):
-    """Synthetic images: rows ``(first long, count long)``, one file ``part-<first>.mft`` for each."""
+    """Synthetic images: rows ``(first long, count long)``, one file ``part-<first>.mft`` for each.
+
+    With ``tornEvery`` k, every k-th record has a torn sector: its last word isn't the record's mark.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"]
+        get = {k.lower(): v for k, v in options.items()}.get
+        self.path = get("path") or ""
+        self.torn = int(get("tornevery", "0"))
 
     def write(self, rows: Iterator) -> Part:
         last = ""
@@ -180,7 +202,11 @@ class ImageWriter(DataSourceWriter):
             last = f"{self.path}/part-{first:012d}.mft"
             with files.create(last) as out:
                 for at in range(first, first + count, CHUNK):
-                    out.write(synthetic.image(at, min(at + CHUNK, first + count)))
+                    raw = bytearray(synthetic.image(at, min(at + CHUNK, first + count)))
+                    if self.torn:
+                        for i in range(-(at + 1) % self.torn, len(raw) // RECORD_SIZE, self.torn):
+                            raw[i * RECORD_SIZE + 510] ^= 0xFF
+                    out.write(raw)
         return Part(last)
 
 
@@ -191,6 +217,42 @@ def write_synthetic(path: str, n: int) -> None:
             out.write(synthetic.image(at, min(at + CHUNK, n)))
 
 
+def write_image(spark: SparkSession, folder: str, n: int, per_file: int = CHUNK, **options: object) -> None:
+    """A folder of image files with n synthetic records, one task for each file."""
+    spark.dataSource.register(MftSource)
+    ranges = spark.range(0, n, per_file, max(1, -(-n // per_file))).selectExpr("id as first", f"least({per_file}L, {n} - id) as count")
+    writer = ranges.write.format("mft").option("path", folder)
+    for k, v in options.items():
+        writer = writer.option(k, str(v))
+    writer.mode("append").save()
+
+
+def timed_scan(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """``(first, records, used, io_ms, fixup_ms, parse_ms)`` by slice of a scan: what its reads, its fixups and all its decoding took."""
+    reader = MftReader({"path": path, **{k: str(v) for k, v in options.items()}})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, count, offset, file in zip(*(c.to_pylist() for c in batch.columns)):
+                part, spent, used = Slice(first, count, offset, file), [0.0, 0.0, 0.0], 0
+                for at in range(0, count, CHUNK):
+                    n = min(CHUNK, count - at)
+                    marks = [time.perf_counter()]
+                    raw = reader._raw(part, at, n)
+                    marks.append(time.perf_counter())
+                    ntfs.apply_fixups(np.frombuffer(raw, dtype=np.uint8).reshape(n, -1).copy())
+                    marks.append(time.perf_counter())
+                    used += len(ntfs.decode(raw, first + at, reader.record_size)["record_number"])
+                    marks.append(time.perf_counter())
+                    spent = [s + b - a for s, a, b in zip(spent, marks, marks[1:])]
+                values = [first, count, used, *(s * 1000 for s in spent)]
+                yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(("first", "records", "used", "io_ms", "fixup_ms", "parse_ms"), values)})
+
+    slices = [(s.first, s.count, s.offset, s.path) for s in reader.partitions()]
+    frame = spark.createDataFrame(slices, "first long, records long, offset long, path string").repartition(max(1, len(slices)), "first")
+    return frame.mapInArrow(run, "first long, records long, used long, io_ms double, fixup_ms double, parse_ms double")
+
+
 def read_image(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """The live records of an image or volume."""
     spark.dataSource.register(MftSource)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from inodeon.model import REFERENCE_MASK, USN_ENTRIES, JournalError, JournalNotActive, JournalWrapped
+from inodeon.model import REFERENCE_MASK, USN_ENTRIES, JournalDeleting, JournalError, JournalNotActive, JournalWrapped
 from inodeon.sources import files
 
 HEADER = 60
@@ -63,7 +63,9 @@ class Segment:
 
 
 def segments(folder: str) -> list[Segment]:
-    """Segments in USN order; all must belong to one journal."""
+    """Segments in USN order, those of the newest journal; a file ``<journal id>.deleting`` says that the journal is being deleted."""
+    if files.names(folder, ".deleting"):
+        raise JournalDeleting(f"{folder}: the journal is being deleted")
     found = []
     for name in files.names(folder, ".usn"):
         journal, _, first = name.removesuffix(".usn").partition("-")
@@ -172,6 +174,24 @@ class UsnStreamReader(_Reading, DataSourceStreamReader):
         pass
 
 
+def read_drives(spark: SparkSession, drives: dict[str, tuple[str, int, int]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """Entries of several drives, ``(folder, journal id, start)`` by letter, and by drive what kept it from being read.
+
+    Whether a cursor still holds shows from the names of a journal's segments, so that a drive that fails is left out before any is read.
+    """
+    found, errors = None, {}
+    for drive, (folder, journal_id, start) in drives.items():
+        try:
+            query_cursor(folder)
+            UsnReader({"path": folder, "journalId": str(journal_id), "startingUsn": str(start)}).partitions()
+        except (JournalError, OSError) as e:
+            errors[drive] = f"{type(e).__name__}: {e}"
+            continue
+        own = read_journal(spark, folder, start, journal_id, drive)
+        found = own if found is None else found.unionByName(own)
+    return found, errors
+
+
 def read_journal(spark: SparkSession, folder: str, start: int = 0, journal_id: int = 0, drive: str = "") -> DataFrame:
     """Entries from the cursor on."""
     spark.dataSource.register(UsnSource)

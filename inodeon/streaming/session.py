@@ -8,6 +8,7 @@ are delivered at least once, with the cursor behind them; consumers that upsert
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -15,6 +16,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from inodeon.functions.text import SEPARATOR
 from inodeon.model import CURSORS, ScanProfile, SessionState
@@ -63,12 +65,36 @@ class ScanResult:
         return spark.createDataFrame([(k, Decimal(journal), usn) for k, (journal, usn) in self.advanced.items()], CURSORS)
 
 
+class _Faults(StreamingQueryListener):
+    """Latches the fault of a session's stream as soon as it ends, whether or not somebody waits for it."""
+
+    def __init__(self, session: WatchSession) -> None:
+        self.session = session
+
+    def onQueryStarted(self, event: Any) -> None:
+        pass
+
+    def onQueryProgress(self, event: Any) -> None:
+        pass
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        if event.exception and str(event.id) in self.session.query_ids:
+            self.session.latch(RuntimeError(event.exception))
+
+
 class WatchSession:
-    """Parked until watched, parked again when stopped; a fault or disposal ends it."""
+    """Parked until watched, parked again when stopped; a fault or disposal ends it.
+
+    Streams keep their checkpoints in a folder of the session's own, so that another session with the same folder goes on from
+    the cursors it is given and not from what this one had read.
+    """
 
     def __init__(self, spark: SparkSession, checkpoint_dir: str) -> None:
         self.spark = spark
-        self.checkpoint_dir = checkpoint_dir.rstrip("/")
+        self.checkpoint_dir = f"{checkpoint_dir.rstrip('/')}/session-{uuid.uuid4().hex}"
         self.state = SessionState.PARKED
         self.latest: ScanResult | None = None
         self.cursors: dict[str, Cursor] = {}
@@ -79,6 +105,9 @@ class WatchSession:
         self._faulted: list[Callable[[BaseException], None]] = []
         self._lock = threading.RLock()
         self._runs = 0
+        self.query_ids: set[str] = set()
+        self._listener = _Faults(self)
+        spark.streams.addListener(self._listener)
 
     def _need(self, *states: SessionState) -> None:
         if self.state not in states:
@@ -88,9 +117,11 @@ class WatchSession:
         """Arm, scan and catch up; drives that fail are in ``errors``."""
         with self._lock:
             self._need(SessionState.PARKED)
-            self._drives = {drive_key(d.letter): d for d in drives}
-            self._keep = tuple(keep)
-            result = self._scan()
+            known = {drive_key(d.letter): d for d in drives}
+            result = self._scan(known, tuple(keep))
+            if known and not result.advanced:  # nothing to go on with: what was known before stays
+                raise RuntimeError("; ".join(f"{k}: {e}" for k, e in result.errors.items()))
+            self._drives, self._keep = known, tuple(keep)
             self.latest, self.cursors = result, dict(result.advanced)
             return result
 
@@ -105,13 +136,13 @@ class WatchSession:
         """Another start; arguments left out are those of the last one."""
         return self.start(list(self._drives.values()) if drives is None else drives, self._keep if keep is None else keep)
 
-    def _scan(self) -> ScanResult:
+    def _scan(self, drives: dict[str, Drive], keep: tuple[str, ...]) -> ScanResult:
         result = ScanResult()
-        for key, drive in self._drives.items():
+        for key, drive in drives.items():
             try:
                 result.armed[key] = usn_journal.query_cursor(drive.journal)
                 rows = mft.read_image(self.spark, drive.image, drive=key, layout=drive.layout)
-                kept = match.keep_profile(rows, drive.profile, self._keep)
+                kept = match.keep_profile(rows, drive.profile, keep)
                 scan = match.inventory(paths.resolve_paths(kept, rows, drive=key))
                 result.scans[key] = paths.checkpointed(scan)  # read now: the journal is caught up with after the scan
                 journal, end = usn_journal.query_cursor(drive.journal)
@@ -129,9 +160,16 @@ class WatchSession:
             if not self.cursors:
                 raise RuntimeError("No drives to watch")
             self._runs += 1
-            for key, (journal, usn) in self.cursors.items():
-                self._queries[key] = self._start_stream(key, journal, usn, deliver, trigger or {"processingTime": "1 second"})
+            try:
+                for key, (journal, usn) in self.cursors.items():
+                    self._queries[key] = self._start_stream(key, journal, usn, deliver, trigger or {"processingTime": "1 second"})
+            except Exception:  # all streams or none
+                self._end_streams()
+                raise
             self.state = SessionState.WATCHING
+            for q in self._queries.values():  # what ended before its id was known
+                if q.exception():
+                    self.latch(q.exception())
 
     def _start_stream(self, key: str, journal: int, usn: int, deliver: Deliver, trigger: dict[str, Any]) -> Any:
         drive = self._drives[key]
@@ -146,7 +184,14 @@ class WatchSession:
             self.cursors[key] = cursor
 
         place = f"{self.checkpoint_dir}/{key}-{self._runs}"
-        return stream.writeStream.foreachBatch(each).option("checkpointLocation", place).trigger(**trigger).start()
+        query = stream.writeStream.foreachBatch(each).option("checkpointLocation", place).trigger(**trigger).start()
+        self.query_ids.add(str(query.id))
+        return query
+
+    def _end_streams(self) -> None:
+        for q in self._queries.values():
+            q.stop()
+        self._queries.clear()
 
     def query(self, drive: str) -> Any:
         """The streaming query of a drive that is watched."""
@@ -161,7 +206,7 @@ class WatchSession:
             try:
                 q.awaitTermination(timeout)
             except Exception as e:  # noqa: BLE001 - kept for subscribers that come later
-                self._latch(e)
+                self.latch(e)
         if self.fault:
             raise self.fault
 
@@ -172,9 +217,10 @@ class WatchSession:
             if self.fault:
                 call(self.fault)
 
-    def _latch(self, e: BaseException) -> None:
+    def latch(self, e: BaseException) -> None:
+        """Keeps the first fault, for subscribers that come later too."""
         with self._lock:
-            if self.fault is None:
+            if self.fault is None and self.state is not SessionState.DISPOSED:
                 self.fault, self.state = e, SessionState.FAULTED
                 for call in self._faulted:
                     call(e)
@@ -183,15 +229,13 @@ class WatchSession:
         """Ends the streams; their cursors are where the next watch goes on."""
         with self._lock:
             self._need(SessionState.WATCHING)
-            for q in self._queries.values():
-                q.stop()
-            self._queries.clear()
+            self._end_streams()
             self.state = SessionState.PARKED
             return dict(self.cursors)
 
     def dispose(self) -> None:
         with self._lock:
-            for q in self._queries.values():
-                q.stop()
-            self._queries.clear()
+            self._end_streams()
+            if self.state is not SessionState.DISPOSED:
+                self.spark.streams.removeListener(self._listener)
             self.state = SessionState.DISPOSED

@@ -297,3 +297,75 @@ def test_image_writer_makes_parts(spark, tmp_path):
     parts.write.format("mft").option("path", str(tmp_path)).mode("append").save()
     raw = b"".join(p.read_bytes() for p in sorted(tmp_path.glob("part-*.mft")))
     assert raw == synthetic.image(0, 600) + synthetic.image(600, 1000)
+
+
+def test_folder_of_parts_with_torn_sectors(spark, tmp_path):
+    folder = str(tmp_path / "image")
+    mft.write_image(spark, folder, 1000, 300, tornEvery=7)
+    got = {r.record_number: r for r in mft.read_image(spark, folder, recordsPerPartition=170).collect()}
+    r = synthetic.rows(0, 1000)
+    live = np.flatnonzero(~r["zeroed"] & (r["base_reference"] == 0))
+    assert sorted(got) == live.tolist()
+    assert all(got[i].fixup_ok == (i % 7 != 6) for i in live) and got[int(live[-1])].file_name == r["file_name"][live[-1]]
+    timed = mft.timed_scan(spark, folder, recordsPerPartition=250).collect()
+    assert sum(t.records for t in timed) == 1000 and sum(t.used for t in timed) == len(live) and all(t.parse_ms > 0 for t in timed)
+
+
+def test_prefix_is_found(spark, image, tmp_path):
+    raw = open(image, "rb").read()
+    (tmp_path / "p.mft").write_bytes(b"x" * 20 + raw)
+    for path in (image, str(tmp_path / "p.mft")):
+        assert mft.read_image(spark, path, skipPrefix="auto").count() == 750
+
+
+def test_second_session_in_the_same_folder_keeps_to_its_cursors(spark, image, tmp_path):
+    journal = str(tmp_path / "journal")
+    usn_journal.append_segment(journal, 7, 0, 10, [(6, 5, i, 1, 2, 0, "x") for i in range(10)])
+    got = []
+    for start in (2, 6):
+        s = WatchSession(spark, str(tmp_path / "watch"))
+        s.warm_start([Drive("C", image, journal)], {"C": (7, start)})
+        s.watch(lambda d, df, c: got.append((df.count(), c)), {"availableNow": True})
+        s.await_end()
+        s.dispose()
+    assert got == [(8, (7, 10)), (4, (7, 10))]
+
+
+def test_all_streams_start_or_none(spark, image, tmp_path):
+    journal = str(tmp_path / "journal")
+    usn_journal.append_segment(journal, 7, 0, 10, [(6, 5, i, 1, 2, 0, "x") for i in range(10)])
+    s = WatchSession(spark, str(tmp_path / "watch"))
+    s.warm_start([Drive("C", image, journal)], {"C": (7, 2), "Z": (7, 2)})  # Z is no drive of the session
+    with pytest.raises(KeyError):
+        s.watch(lambda *a: None)
+    assert s.state is SessionState.PARKED and not [q for q in spark.streams.active if str(q.id) in s.query_ids]
+    with pytest.raises(RuntimeError, match="no journal"):
+        s.rescan([Drive("Y", image, str(tmp_path / "nowhere"))])
+    assert set(s._drives) == {"C"} and s.cursors["C"] == (7, 2)
+    s.dispose()
+
+
+def test_faults_are_latched_without_waiting(spark, image, tmp_path):
+    import time
+
+    journal = str(tmp_path / "journal")
+    usn_journal.append_segment(journal, 7, 0, 10, [(6, 5, i, 1, 2, 0, "x") for i in range(10)])
+    s = WatchSession(spark, str(tmp_path / "watch"))
+    s.warm_start([Drive("C", image, journal)], {"C": (8, 2)})  # of a journal that was created anew
+    faults = []
+    s.on_fault(faults.append)
+    s.watch(lambda *a: None)
+    for _ in range(100):
+        if faults:
+            break
+        time.sleep(0.2)
+    assert len(faults) == 1 and s.state is SessionState.FAULTED and "created anew" in str(faults[0])
+    s.dispose()
+
+
+def test_journal_that_is_being_deleted(spark, tmp_path):
+    journal = str(tmp_path / "journal")
+    usn_journal.append_segment(journal, 7, 0, 10, [(6, 5, i, 1, 2, 0, "x") for i in range(10)])
+    (tmp_path / "journal" / "7.deleting").write_text("")
+    found, errors = usn_journal.read_drives(spark, {"C": (journal, 7, 0)})
+    assert found is None and errors["C"].startswith("JournalDeleting")
