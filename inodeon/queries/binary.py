@@ -10,25 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inodeon.functions.flags import timestamp_to_filetime
-from inodeon.model import MatchFlags
+from inodeon.model import MatchFlags, ScanProfile
 from inodeon.operators import match, paths
 from inodeon.plans.virtual import JRN_SQL, PATHS_SQL, VOL_SQL, journal, read, volume
-from inodeon.sources import frames, mft, ntfs, scan_payload, synthetic, usn_journal
+from inodeon.sources import files, frames, mft, ntfs, scan_payload, synthetic, usn_journal
+from inodeon.streaming.session import Drive, WatchSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Records of the synthetic image, and entries of a journal segment.
-RECORDS = 1000
+#: Entries of a journal segment, and every so many-th record that has a torn sector.
 SEGMENT = 2000
+TORN = 7
+JOURNAL_ID = 43981
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{paths.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _image(spark: SparkSession) -> str:
-    path = _folder(spark, "image") + "/table.mft"
-    mft.write_synthetic(path, RECORDS)
+def _image(spark: SparkSession, sf_dir: str, **options: object) -> str:
+    """A synthetic image with as many records as there are orders, written and read in parts."""
+    path = _folder(spark, "image")
+    mft.write_image(spark, path, read(spark, sf_dir, "orders").count(), **options)
     return path
 
 
@@ -47,7 +49,7 @@ def _draw(source: str, to: str) -> str:
 
 
 GENERATOR_SQL = (
-    f"d0 AS (SELECT i, xor(12345678901::HUGEINT, ((i::HUGEINT * 6364136223846793005::HUGEINT) % {_M} + 1) % {_M}) AS x FROM range(0, {RECORDS}) t(i)), "
+    f"d0 AS (SELECT i, xor(12345678901::HUGEINT, ((i::HUGEINT * 6364136223846793005::HUGEINT) % {_M} + 1) % {_M}) AS x FROM (SELECT unnest(range(0, n)) AS i FROM (SELECT count(*) AS n FROM orders))), "
     + ", ".join(_draw(f"d{k - 1}", f"d{k}") for k in (1, 2, 3))
     + ", m AS (SELECT i, (u1 % 100)::BIGINT AS roll, u2, u3 FROM d3)"
 )
@@ -75,7 +77,7 @@ IMAGE_SQL = f"""{GENERATOR_SQL}, image AS (
 
 
 def s21_synth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = synthetic.records(spark, RECORDS)
+    rows = synthetic.records(spark, read(spark, sf_dir, "orders").count())
     live = ~F.col("zeroed") & (F.col("base_reference") == 0)
     return rows.agg(
         F.count_if(live).alias("used"),
@@ -86,11 +88,29 @@ def s21_synth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s05_image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mft.read_image(spark, _image(spark), recordsPerPartition=300).select("record_number", "parent_record_number", "flags", "file_name", "fixup_ok")
+    return mft.read_image(spark, _image(spark, sf_dir), recordsPerPartition=3000).select("record_number", "parent_record_number", "flags", "file_name", "fixup_ok")
 
 
 def s08_fixup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mft.read_image(spark, _image(spark)).groupBy("fixup_ok").agg(F.count("*").alias("n"))
+    """Live records by whether their sectors are whole; every seventh record of the image was torn."""
+    rows = mft.read_image(spark, _image(spark, sf_dir, tornEvery=TORN))
+    return rows.groupBy((F.col("record_number") % 10).alias("digit"), "fixup_ok").agg(F.count("*").alias("n"), F.max("record_number").alias("last"))
+
+
+def r06_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of a scan, with what they took; times differ from run to run, so only their order is compared."""
+    timed = mft.timed_scan(spark, _image(spark, sf_dir), recordsPerPartition=4096)
+    whole = (F.col("io_ms") >= 0) & (F.col("fixup_ms") > 0) & (F.col("parse_ms") > 0)
+    return timed.select("first", "records", "used", whole.alias("timed"))
+
+
+def s22_skip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image behind a prefix of 20 bytes, found by looking."""
+    path = _folder(spark, "prefixed") + "/table.mft"
+    n = min(mft.CHUNK, read(spark, sf_dir, "supplier").count())
+    with files.create(path) as out:
+        out.write(b"\0" * mft.PREFIX + synthetic.image(0, n))
+    return mft.read_image(spark, path, skipPrefix="auto").select("record_number", "file_name")
 
 
 def s09_data_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,29 +134,29 @@ def s09_data_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p01_live_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base records in use with a name, out of all slots."""
-    rows = synthetic.records(spark, RECORDS).withColumn("magic_ok", ~F.col("zeroed"))
+    rows = synthetic.records(spark, read(spark, sf_dir, "orders").count()).withColumn("magic_ok", ~F.col("zeroed"))
     return match.live_records(rows).select("record_number", "file_name")
 
 
 def p17_image_scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mft.read_image(spark, _image(spark))
+    rows = mft.read_image(spark, _image(spark, sf_dir))
     return match.find_by_name(rows, ".git", MatchFlags.EXACT | MatchFlags.RESOLVE_PATHS).select("record_number", "full_path")
 
 
 def h02_image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mft.read_image(spark, _image(spark))
+    rows = mft.read_image(spark, _image(spark, sf_dir))
     return paths.resolve_paths(rows, rows, plan="doubling").select("record_number", "full_path")
 
 
-def _written_journal(spark: SparkSession, sf_dir: str) -> str:
-    """The virtual journal as segment files, written by tasks; one task a segment."""
-    folder = _folder(spark, "journal")
-    rows = journal(spark, sf_dir).select("usn", "record_number", "parent_record_number", timestamp_to_filetime(F.col("ts").cast("timestamp")).alias("filetime"), "reason", "file_name")
+def _written_journal(spark: SparkSession, sf_dir: str, where: str = "true", folder: str = "") -> str:
+    """The virtual journal, or a part of it, as segment files, written by tasks; one task a segment."""
+    folder = folder or _folder(spark, "journal")
+    rows = journal(spark, sf_dir).where(where).select("usn", "record_number", "parent_record_number", timestamp_to_filetime(F.col("ts").cast("timestamp")).alias("filetime"), "reason", "file_name")
 
     def write(pdf):
         entries = [(int(r.record_number), int(r.parent_record_number), int(r.usn), int(r.filetime), int(r.reason), 32, r.file_name) for r in pdf.sort_values("usn").itertuples()]
         first = int(pdf["segment"].iloc[0]) * SEGMENT
-        usn_journal.append_segment(folder, 43981, first, entries[-1][2] + 1, entries)
+        usn_journal.append_segment(folder, JOURNAL_ID, max(first, entries[0][2]), entries[-1][2] + 1, entries)
         return pdf[["segment"]].head(1)
 
     rows.withColumn("segment", F.expr(f"usn div {SEGMENT}")).groupBy("segment").applyInPandas(write, "segment long").count()
@@ -174,14 +194,71 @@ def k01_payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_payload.read(spark, path).withColumn("size", F.col("size").cast("long"))
 
 
+def u08_stream_with_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal as a stream in two runs: each batch with its cursor, the second from where the first one's checkpoint stands."""
+    folder, out = _folder(spark, "journal"), _folder(spark, "stream")
+    half = journal(spark, sf_dir).agg(F.expr("max(usn) div 2")).first()[0]
+
+    def put(batch: DataFrame, number: int) -> None:
+        found = batch.agg(F.count("*").alias("n_entries"), (F.max("usn") + 1).alias("next_usn")).where("n_entries > 0")
+        found.select(F.lit(number).cast("long").alias("batch"), "n_entries", "next_usn").write.mode("append").parquet(f"{out}/rows")
+
+    for part in (f"usn <= {half}", f"usn > {half}"):
+        _written_journal(spark, sf_dir, part, folder)
+        stream = usn_journal.stream_journal(spark, folder, journal_id=JOURNAL_ID).writeStream.foreachBatch(put)
+        stream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+def u11_session_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drives are armed, scanned and watched: what comes after the scan is delivered once, by drive."""
+    image, out = _image(spark, sf_dir), _folder(spark, "delivered")
+    half = journal(spark, sf_dir).agg(F.expr("max(usn) div 2")).first()[0]
+    letters = {"C": "record_number % 2 = 0", "D": "record_number % 2 = 1"}
+    folders = {k: _written_journal(spark, sf_dir, f"{w} and usn <= {half}") for k, w in letters.items()}
+    session = WatchSession(spark, out)
+    try:
+        session.start([Drive(k, image, f, ScanProfile.DIRECTORY_INDEX) for k, f in folders.items()])
+        for k, w in letters.items():
+            _written_journal(spark, sf_dir, f"{w} and usn > {half}", folders[k])
+        session.watch(lambda key, batch, cursor: batch.select("drive", "usn", "record_number", "file_name").write.mode("append").parquet(f"{out}/rows"), {"availableNow": True})
+        session.await_end()
+    finally:
+        session.dispose()
+    return spark.read.parquet(f"{out}/rows")
+
+
+def u12_error_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four drives, one of whose journals lost its beginning and one of which has none: they have a message, the others their entries."""
+    half = journal(spark, sf_dir).agg(F.expr("max(usn) div 2")).first()[0]
+    drives = {}
+    for i, letter in enumerate("CDEF"):
+        where = f"record_number % 4 = {i}" + (f" and usn >= {half}" if letter == "D" else "")
+        drives[letter] = (_written_journal(spark, sf_dir, where) if letter != "F" else _folder(spark, "none"), JOURNAL_ID, int(letter == "D"))
+    entries, errors = usn_journal.read_drives(spark, drives)
+    read_well = entries.groupBy("drive").agg(F.count("*").alias("n_entries"), F.lit(None).cast("string").alias("message"))
+    failed = spark.createDataFrame([(k, 0, m.partition(":")[0]) for k, m in errors.items()], "drive string, n_entries long, message string")
+    return read_well.unionByName(failed)
+
+
 def c02_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = [
-        ("Shutdown", frames.write("Shutdown")),
-        ("StartWatch", frames.write("StartWatch", drives_spec="C")),
-        ("ArmAndScan", frames.write("ArmAndScan", drives_spec="C")),
-        ("EndWatchAck", frames.write("EndWatchAck")),
-    ]
-    return spark.createDataFrame([(k, b.hex()) for k, b in made], "kind string, bytes string")
+    """The journal's entries packed into batch frames and read back, a hundred to a frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for at in range(0, len(rows), 100):
+                part = [(*r[:5], 32, r[5]) for r in rows[at : at + 100]]
+                raw = frames.write("JournalBatch", drive="C", journal_id=JOURNAL_ID, next_usn=part[-1][2] + 1, entries=part)
+                kind, values, size = frames.read(raw + b"\0")
+                if kind != "JournalBatch" or size != len(raw):
+                    raise frames.InvalidFrame(f"{kind} of {size} bytes")
+                columns = list(zip(*values["entries"]))
+                names = ("record_number", "parent_record_number", "usn", "filetime", "reason", "attributes", "file_name")
+                yield pa.RecordBatch.from_pydict({n: pa.array(list(c), pa.string() if n == "file_name" else pa.int64()) for n, c in zip(names, columns)})
+
+    rows = journal(spark, sf_dir).select("record_number", "parent_record_number", "usn", timestamp_to_filetime(F.col("ts").cast("timestamp")).alias("filetime"), "reason", "file_name")
+    return rows.mapInArrow(run, "record_number long, parent_record_number long, usn long, filetime long, reason long, attributes long, file_name string")
 
 
 QUERIES: dict[str, Query] = {
@@ -198,6 +275,11 @@ QUERIES: dict[str, Query] = {
     "u07_journal_stream": u07_journal_stream,
     "k01_payload_roundtrip": k01_payload_roundtrip,
     "c02_frames": c02_frames,
+    "r06_timings": r06_timings,
+    "s22_skip_prefix": s22_skip_prefix,
+    "u08_stream_with_cursor": u08_stream_with_cursor,
+    "u11_session_watch": u11_session_watch,
+    "u12_error_isolation": u12_error_isolation,
 }
 
 _J = f"WITH {JRN_SQL} "
@@ -211,7 +293,12 @@ _WALK = f"""WITH RECURSIVE {IMAGE_SQL}, walk AS (
 ORACLE_SQL: dict[str, str] = {
     "s21_synth_counts": SYNTH_SQL,
     "s05_image_scan": f"WITH {IMAGE_SQL} SELECT *, true AS fixup_ok FROM image",
-    "s08_fixup": f"WITH {IMAGE_SQL} SELECT true AS fixup_ok, count(*) AS n FROM image",
+    "s08_fixup": f"WITH {IMAGE_SQL} SELECT record_number % 10 AS digit, record_number % {TORN} <> {TORN - 1} AS fixup_ok, count(*) AS n, max(record_number) AS last FROM image GROUP BY 1, 2",
+    "r06_timings": f"WITH {IMAGE_SQL} SELECT s.first, least(4096, n - s.first)::BIGINT AS records, (SELECT count(*) FROM image WHERE record_number // 4096 = s.first // 4096) AS used, true AS timed FROM (SELECT unnest(range(0, n, 4096)) AS first, n FROM (SELECT count(*) AS n FROM orders)) s",
+    "s22_skip_prefix": f"WITH {IMAGE_SQL} SELECT record_number, file_name FROM image WHERE record_number < (SELECT count(*) FROM supplier)",
+    "u08_stream_with_cursor": _J + "SELECT batch, count(*) AS n_entries, max(usn) + 1 AS next_usn FROM (SELECT usn, (usn > (SELECT max(usn) // 2 FROM jrn))::BIGINT AS batch FROM jrn) GROUP BY batch",
+    "u11_session_watch": _J + "SELECT CASE record_number % 2 WHEN 0 THEN 'C' ELSE 'D' END AS drive, usn, record_number, file_name FROM jrn WHERE usn > (SELECT max(usn) // 2 FROM jrn)",
+    "u12_error_isolation": _J + "SELECT chr((67 + record_number % 4)::INTEGER) AS drive, count(*) AS n_entries, NULL::VARCHAR AS message FROM jrn WHERE record_number % 4 IN (0, 2) GROUP BY 1 UNION ALL VALUES ('D', 0, 'JournalWrapped'), ('F', 0, 'JournalNotActive')",
     "s09_data_runs": "SELECT o_orderkey::BIGINT AS o_orderkey, 1::BIGINT AS position, (o_custkey % 4000000)::BIGINT AS cluster, (o_orderkey % 200 + 1)::BIGINT AS clusters, false AS sparse FROM orders UNION ALL SELECT o_orderkey, 2, o_custkey % 4000000 - o_orderkey % 100 - 1, 7, false FROM orders",
     "p01_live_records": f"WITH {IMAGE_SQL} SELECT record_number, file_name FROM image",
     "h02_image_paths": _WALK + "SELECT s AS record_number, arg_max(path, d) AS full_path FROM walk GROUP BY s UNION ALL SELECT 5::BIGINT, NULL",
@@ -221,5 +308,5 @@ ORACLE_SQL: dict[str, str] = {
     "s15_journal_cursor": _J + "SELECT 43981::BIGINT AS journal_id, max(usn) + 1 AS next_usn FROM jrn",
     "u07_journal_stream": _J + "SELECT usn, record_number, reason FROM jrn WHERE usn >= 500",
     "k01_payload_roundtrip": f"WITH RECURSIVE {VOL_SQL}, {PATHS_SQL} SELECT v.record_number, v.parent_record_number, 0::BIGINT AS size, 0::BIGINT AS last_write_ticks, v.file_attributes AS attributes, (v.flags & 2) <> 0 AS is_directory, v.file_name AS name, 'C:' || chr(92) || p.path AS path FROM vol v JOIN paths p USING (record_number)",
-    "c02_frames": "SELECT * FROM (VALUES ('Shutdown', '0100000003'), ('StartWatch', '070000000202000000' || '4300'), ('ArmAndScan', '0b0000000102000000' || '4300' || '00000000'), ('EndWatchAck', '010000000a')) t(kind, bytes)",
+    "c02_frames": _J + "SELECT record_number, parent_record_number, usn, epoch_us(ts) * 10 + 116444736000000000 AS filetime, reason, 32::BIGINT AS attributes, file_name FROM jrn",
 }
