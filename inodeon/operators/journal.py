@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inodeon.functions.flags import is_close, is_create, is_delete, is_rename
+from inodeon.functions.flags import is_close, is_create, is_delete, is_rename, record_of
 from inodeon.functions.text import SEPARATOR
 
 
@@ -19,6 +19,24 @@ def read_since(entries: DataFrame, start: int, end: int | None = None) -> DataFr
     return found if end is None else found.where(F.col("usn") < end)
 
 
+#: Fields of an entry with what stands for one that isn't given.
+DEFAULTS = {"drive": ("string", ""), "journal_id": ("decimal(20,0)", 0), "record_number": ("long", 0), "parent_record_number": ("long", 0), "usn": ("long", 0), "filetime": ("long", 0), "reason": ("long", 0), "file_attributes": ("long", 0), "file_name": ("string", "")}
+
+
+def create_entries(rows: DataFrame, **given: Column | str) -> DataFrame:
+    """Change entries from decoded values: the columns given by field, and defaults for the others; references lose their sequence bits."""
+    unknown = set(given) - set(DEFAULTS)
+    if unknown:
+        raise ValueError(f"an entry has no {sorted(unknown)}")
+
+    def value(name: str) -> Column:
+        kind, default = DEFAULTS[name]
+        found = F.coalesce(F.col(given[name]) if isinstance(given[name], str) else given[name], F.lit(default)) if name in given else F.lit(default)
+        return (record_of(found) if name.endswith("record_number") else found).cast(kind).alias(name)
+
+    return rows.select(*(value(name) for name in DEFAULTS))
+
+
 def next_cursor(entries: DataFrame, *keys: str) -> DataFrame:
     """The cursor after the last entry, by key."""
     return entries.groupBy(*keys).agg((F.max("usn") + 1).alias("next_usn"))

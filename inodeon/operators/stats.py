@@ -56,6 +56,12 @@ def throughput(records: Column, millis: Column) -> Column:
     return F.when(millis > 0, records / (millis / 1000.0))
 
 
+def report(rows: DataFrame, title: str, records: str, millis: str) -> DataFrame:
+    """``(line)``: one line of a text report for each row, with its records, its time and its rate."""
+    rate = F.coalesce(F.format_string("%d rec/s", throughput(F.col(records), F.col(millis)).cast("long")), F.lit("-"))
+    return rows.select(F.concat(F.col(title).cast("string"), F.lit(": "), F.format_string("%d records in %d ms, ", F.col(records).cast("long"), F.col(millis).cast("long")), rate).alias("line"))
+
+
 def combine_timers(slices: DataFrame, *keys: str) -> DataFrame:
     """Timers of parallel slices: the longest fixup counts, parsing is what is left of the elapsed time, reads add up."""
     return slices.groupBy(*keys).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +105,45 @@ def r06_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.select("first", "records", "used", whole.alias("timed"))
 
 
+def s04_volume_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A volume: boot sector, table in runs out of order, some of which only an extension record names."""
+    path = _folder(spark, "volume") + "/disk.img"
+    mft.write_volume(path, read(spark, sf_dir, "customer").count())
+    rows = mft.read_image(spark, path, layout="volume", recordsPerPartition=100)
+    return rows.select("record_number", "parent_record_number", "flags", "file_name", "fixup_ok")
+
+
+def p22_utf16_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names laid end to end as UTF-16 units, some beyond ASCII and beyond 16 bits, and read back with their ASCII letters folded."""
+    tail = F.element_at(F.array(F.lit(""), F.lit("\u00dcn\u00efx"), F.lit("\U0001f600")), (F.col("c_custkey") % 3 + 1).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [n.encode("utf-16-le") for n in batch.column(1).to_pylist()]
+            units = np.frombuffer(b"".join(raw), dtype="<u2")
+            lengths = np.array([len(r) // 2 for r in raw], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ntfs.strings(units, lengths), pa.array(lengths)], ["c_custkey", "name", "units"])
+
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.concat("c_name", tail).alias("name"))
+    return rows.mapInArrow(run, "c_custkey long, name string, units long")
+
+
+def u17_warm_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cursors kept in a table start a session without a scan; it watches from there."""
+    out, folder = _folder(spark, "warm"), _written_journal(spark, sf_dir)
+    half = journal(spark, sf_dir).agg(F.expr("max(usn) div 2")).first()[0]
+    spark.range(1).select(F.lit("c:\\").alias("drive"), F.lit(JOURNAL_ID).cast("decimal(20,0)").alias("journal_id"), F.lit(half).cast("long").alias("next_usn")).write.parquet(f"{out}/cursors")
+    kept = {r.drive: (int(r.journal_id), r.next_usn) for r in spark.read.parquet(f"{out}/cursors").collect()}
+    session = WatchSession(spark, out)
+    try:
+        session.warm_start([Drive("C", "", folder)], kept)
+        session.watch(lambda key, batch, cursor: batch.select("drive", "usn", F.lit(cursor[1]).alias("next_usn")).write.mode("append").parquet(f"{out}/rows"), {"availableNow": True})
+        session.await_end()
+    finally:
+        session.dispose()
+    return spark.read.parquet(f"{out}/rows")
+
+
 def s22_skip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An image behind a prefix of 20 bytes, found by looking."""
     path = _folder(spark, "prefixed") + "/table.mft"
@@ -229,12 +269,18 @@ def u11_session_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def u12_error_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four drives, one of whose journals lost its beginning and one of which has none: they have a message, the others their entries."""
+    """Six drives: of one the journal's beginning is gone, one has none, one was created anew and one is being deleted.
+
+    These have a message, the others their entries.
+    """
     half = journal(spark, sf_dir).agg(F.expr("max(usn) div 2")).first()[0]
     drives = {}
-    for i, letter in enumerate("CDEF"):
-        where = f"record_number % 4 = {i}" + (f" and usn >= {half}" if letter == "D" else "")
-        drives[letter] = (_written_journal(spark, sf_dir, where) if letter != "F" else _folder(spark, "none"), JOURNAL_ID, int(letter == "D"))
+    for i, letter in enumerate("CDEFGH"):
+        where = f"record_number % 6 = {i}" + (f" and usn >= {half}" if letter == "D" else "")
+        folder = _written_journal(spark, sf_dir, where) if letter != "F" else _folder(spark, "none")
+        drives[letter] = (folder, JOURNAL_ID - (letter == "G"), int(letter == "D"))
+    with files.create(f"{drives['H'][0]}/{JOURNAL_ID}.deleting"):
+        pass
     entries, errors = usn_journal.read_drives(spark, drives)
     read_well = entries.groupBy("drive").agg(F.count("*").alias("n_entries"), F.lit(None).cast("string").alias("message"))
     failed = spark.createDataFrame([(k, 0, m.partition(":")[0]) for k, m in errors.items()], "drive string, n_entries long, message string")
@@ -275,6 +321,9 @@ QUERIES: dict[str, Query] = {
     "u07_journal_stream": u07_journal_stream,
     "k01_payload_roundtrip": k01_payload_roundtrip,
     "c02_frames": c02_frames,
+    "s04_volume_scan": s04_volume_scan,
+    "p22_utf16_names": p22_utf16_names,
+    "u17_warm_start": u17_warm_start,
     "r06_timings": r06_timings,
     "s22_skip_prefix": s22_skip_prefix,
     "u08_stream_with_cursor": u08_stream_with_cursor,
@@ -298,7 +347,10 @@ ORACLE_SQL: dict[str, str] = {
     "s22_skip_prefix": f"WITH {IMAGE_SQL} SELECT record_number, file_name FROM image WHERE record_number < (SELECT count(*) FROM supplier)",
     "u08_stream_with_cursor": _J + "SELECT batch, count(*) AS n_entries, max(usn) + 1 AS next_usn FROM (SELECT usn, (usn > (SELECT max(usn) // 2 FROM jrn))::BIGINT AS batch FROM jrn) GROUP BY batch",
     "u11_session_watch": _J + "SELECT CASE record_number % 2 WHEN 0 THEN 'C' ELSE 'D' END AS drive, usn, record_number, file_name FROM jrn WHERE usn > (SELECT max(usn) // 2 FROM jrn)",
-    "u12_error_isolation": _J + "SELECT chr((67 + record_number % 4)::INTEGER) AS drive, count(*) AS n_entries, NULL::VARCHAR AS message FROM jrn WHERE record_number % 4 IN (0, 2) GROUP BY 1 UNION ALL VALUES ('D', 0, 'JournalWrapped'), ('F', 0, 'JournalNotActive')",
+    "u12_error_isolation": _J + "SELECT chr((67 + record_number % 6)::INTEGER) AS drive, count(*) AS n_entries, NULL::VARCHAR AS message FROM jrn WHERE record_number % 6 IN (0, 2) GROUP BY 1 UNION ALL VALUES ('D', 0, 'JournalWrapped'), ('F', 0, 'JournalNotActive'), ('G', 0, 'JournalError'), ('H', 0, 'JournalDeleting')",
+    "s04_volume_scan": f"WITH {IMAGE_SQL} SELECT *, true AS fixup_ok FROM image WHERE record_number < (SELECT count(*) FROM customer)",
+    "p22_utf16_names": "SELECT c_custkey::BIGINT AS c_custkey, c_name || ['', 'Ünïx', '😀'][(c_custkey % 3 + 1)::INTEGER] AS name, (length(c_name) + [0, 4, 2][(c_custkey % 3 + 1)::INTEGER])::BIGINT AS units FROM customer",
+    "u17_warm_start": _J + "SELECT 'C' AS drive, usn, (SELECT max(usn) + 1 FROM jrn) AS next_usn FROM jrn WHERE usn >= (SELECT max(usn) // 2 FROM jrn)",
     "s09_data_runs": "SELECT o_orderkey::BIGINT AS o_orderkey, 1::BIGINT AS position, (o_custkey % 4000000)::BIGINT AS cluster, (o_orderkey % 200 + 1)::BIGINT AS clusters, false AS sparse FROM orders UNION ALL SELECT o_orderkey, 2, o_custkey % 4000000 - o_orderkey % 100 - 1, 7, false FROM orders",
     "p01_live_records": f"WITH {IMAGE_SQL} SELECT record_number, file_name FROM image",
     "h02_image_paths": _WALK + "SELECT s AS record_number, arg_max(path, d) AS full_path FROM walk GROUP BY s UNION ALL SELECT 5::BIGINT, NULL",

@@ -367,6 +367,20 @@ def a03(spark, sf):
     return sums.withColumn("per_second", stats.throughput(F.col("records"), F.col("millis")))
 
 
+@query("k06_report", "SELECT l_suppkey::VARCHAR || ': ' || count(*)::VARCHAR || ' records in ' || sum(l_linenumber)::VARCHAR || ' ms, ' || floor(count(*) / (sum(l_linenumber) / 1000.0::DOUBLE))::BIGINT::VARCHAR || ' rec/s' AS line FROM lineitem GROUP BY l_suppkey")
+def k06(spark, sf):
+    sums = read(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("records"), F.sum("l_linenumber").alias("millis"))
+    return stats.report(sums, "l_suppkey", "records", "millis")
+
+
+@query("u04_create_entries", "SELECT 'C' AS drive, 0::DECIMAL(20,0) AS journal_id, o_custkey::BIGINT AS record_number, 0::BIGINT AS parent_record_number, o_orderkey::BIGINT AS usn, 0::BIGINT AS filetime, CASE WHEN o_orderkey % 2 = 0 THEN 256 ELSE 0 END::BIGINT AS reason, 0::BIGINT AS file_attributes, 'Order#' || o_orderkey::VARCHAR AS file_name FROM orders")
+def u04(spark, sf):
+    """Entries from decoded values; the reference has sequence bits, and half the reasons are missing."""
+    reference = F.shiftleft((F.col("o_orderkey") % 32768).cast("long"), 48).bitwiseOR(F.col("o_custkey").cast("long"))
+    name = F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string"))
+    return jr.create_entries(read(spark, sf, "orders"), drive=F.lit("C"), record_number=reference, usn="o_orderkey", reason=F.when(F.col("o_orderkey") % 2 == 0, 256), file_name=name)
+
+
 @query("a04_combine_timers", "SELECT o_custkey, sum(n)::BIGINT AS io_ms, max(m)::BIGINT AS fixup_ms, (max(e) - max(m))::BIGINT AS parse_ms FROM (SELECT o_custkey, o_orderkey % 97 AS n, o_orderkey % 13 AS m, o_orderkey % 101 + 13 AS e FROM orders) GROUP BY o_custkey")
 def a04(spark, sf):
     rows = read(spark, sf, "orders").selectExpr("o_custkey", "o_orderkey % 97 as io_ms", "o_orderkey % 13 as fixup_ms", "o_orderkey % 101 + 13 as elapsed_ms")

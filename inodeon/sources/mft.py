@@ -253,6 +253,45 @@ def timed_scan(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return frame.mapInArrow(run, "first long, records long, used long, io_ms double, fixup_ms double, parse_ms double")
 
 
+def write_volume(path: str, n: int) -> None:
+    """A volume of n synthetic records whose table lies in four runs out of order, the last two of them named by an extension record."""
+    cluster, total = 4096, -(-n * RECORD_SIZE // 4096)
+    lengths = [max(25, total // 4)] * 3
+    lengths.append(max(1, total - sum(lengths)))
+    slots = [0, 2, 1, 3]  # where each run lies among the runs on disk
+    starts = [0] * 4
+    at = 16
+    for slot in range(4):
+        run = slots.index(slot)
+        starts[run] = at
+        at += lengths[run] + 5
+    first = synthetic.rows(0, 100)
+    extension = int(np.flatnonzero(first["base_reference"] > 0)[0])
+    runs = list(zip(starts, lengths))
+    special = {
+        0: ntfs.with_attributes(synthetic.image(0, 1), [ntfs.list_attribute([extension]), ntfs.data_attribute(runs[:2])]),
+        extension: ntfs.with_attributes(synthetic.image(extension, extension + 1), [ntfs.data_attribute(runs[2:])]),
+    }
+    boot = bytearray(cluster)
+    boot[3:7] = b"NTFS"
+    struct.pack_into("<HB", boot, 0x0B, 512, cluster // 512)
+    struct.pack_into("<Q", boot, 0x30, starts[0])
+    per = cluster // RECORD_SIZE
+    with files.create(path) as out:
+        out.write(bytes(boot) + b"\xaa" * (15 * cluster))
+        for slot in range(4):
+            run = slots.index(slot)
+            low = sum(lengths[:run]) * per
+            for a in range(low, low + lengths[run] * per, CHUNK):
+                z = min(a + CHUNK, low + lengths[run] * per)
+                raw = bytearray(synthetic.image(a, max(a, min(z, n)))).ljust((z - a) * RECORD_SIZE, b"\0")
+                for number, record in special.items():
+                    if a <= number < z:
+                        raw[(number - a) * RECORD_SIZE : (number - a + 1) * RECORD_SIZE] = record
+                out.write(raw)
+            out.write(b"\xaa" * (5 * cluster))
+
+
 def read_image(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """The live records of an image or volume."""
     spark.dataSource.register(MftSource)

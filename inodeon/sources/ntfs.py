@@ -159,6 +159,44 @@ def fixed_record(raw: bytes) -> bytes:
     return records.tobytes()
 
 
+def with_attributes(raw: bytes, added: list[bytes]) -> bytes:
+    """A record with attributes behind its own ones, its update sequence words in place again."""
+    record = bytearray(fixed_record(raw))
+    at = struct.unpack_from("<H", record, 0x14)[0]
+    while struct.unpack_from("<I", record, at)[0] != END:
+        at += struct.unpack_from("<I", record, at + 4)[0]
+    for one in added:
+        record[at : at + len(one)] = one
+        at += len(one)
+    struct.pack_into("<I", record, at, END)
+    array = struct.unpack_from("<H", record, 4)[0]
+    for s in range(len(record) // SECTOR):
+        end = (s + 1) * SECTOR
+        record[array + 2 * (s + 1) : array + 2 * (s + 2)] = record[end - 2 : end]
+        record[end - 2 : end] = record[array : array + 2]
+    return bytes(record)
+
+
+def data_attribute(runs: list[tuple[int, int]]) -> bytes:
+    """A non-resident data attribute of ``(cluster, count)`` runs, each four bytes long in count and offset."""
+    body, last = b"", 0
+    for cluster, count in runs:
+        body += b"\x44" + count.to_bytes(4, "little") + (cluster - last).to_bytes(4, "little", signed=True)
+        last = cluster
+    size = (0x40 + len(body) + 1 + 7) // 8 * 8
+    out = bytearray(size)
+    struct.pack_into("<IIB", out, 0, DATA, size, 1)
+    struct.pack_into("<H", out, 0x20, 0x40)
+    out[0x40 : 0x40 + len(body)] = body
+    return bytes(out)
+
+
+def list_attribute(segments: list[int]) -> bytes:
+    """A resident attribute list that names other records as holders of data."""
+    content = b"".join(struct.pack("<IHBBQQ", DATA, 32, 0, 0, 0, s).ljust(32, b"\0") for s in segments)
+    return struct.pack("<IIBBHHHIHH", LIST, 24 + len(content), 0, 0, 0, 0, 0, len(content), 24, 0) + content
+
+
 def listed_segments(content: bytes) -> list[int]:
     """Other records of an attribute list, in order of first appearance."""
     out: dict[int, None] = {}
