@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from inodeon.llm import lines, mixing, pieces, pii, rules, simhash, sketch, suffixes
+from inodeon.llm import html, lines, mixing, pieces, pii, rules, simhash, sketch, suffixes, warc
 
 from .cases import awkward, frame
 
@@ -36,3 +36,13 @@ def test_results_don_t_depend_on_extra_columns(spark):
     ):
         a, b = (sorted(map(repr, run(d).collect())) for d in (plain, docs))
         assert a == b
+
+
+def test_pages_with_extra_columns(spark):
+    rows = [(i, f"http://x/{i}", f"<article><h1>Page {i % 3}</h1><p>{'Some words of text here. ' * 60}</p></article>" if i else None) for i in range(12)]
+    plain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    names = ("text", "n_chars", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest", "file", "offset", "b")
+    crowded = plain.withColumns({n: F.lit(f"own {n}") for n in names})
+    for run in (html.extract, warc.page_records):
+        a, b = (sorted(map(repr, run(d).collect())) for d in (plain, crowded))
+        assert a == b and len(a) == 12
