@@ -102,8 +102,8 @@ def components_by_doubling(hierarchy: DataFrame, max_depth: int | None = MAX_DEP
 
 def components_by_frontier(wanted: DataFrame, hierarchy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """The same for the wanted record numbers only: one join a level for their different parents, which carry ids; names come last."""
-    # every level joins the whole hierarchy: read it once, dealt out by record as all of them need it; without the names where ids do
-    step = hierarchy.select(F.col("record_number").alias("cur"), "parent", "name").repartition("cur").persist(StorageLevel.DISK_ONLY)
+    # every level joins the whole hierarchy: read it once, dealt out and sorted by record as all of them need it; without the names where ids do
+    step = hierarchy.select(F.col("record_number").alias("cur"), "parent", "name").repartition("cur").sortWithinPartitions("cur").persist(StorageLevel.DISK_ONLY)
     own = checkpointed(wanted.select(F.col("record_number").alias("cur")).join(step, "cur").withColumnRenamed("cur", "record_number"))
     way = own.where(F.col("parent") != ROOT).select(F.col("parent").alias("start")).distinct()
     way = way.select("start", F.col("start").alias("cur"), F.array().cast("array<bigint>").alias("ids"))
@@ -156,7 +156,10 @@ def resolve_paths(wanted: DataFrame, records: DataFrame, drive: str = "", plan:
     """``wanted`` with ``full_path``: null for the root, with ``X:\\`` in front if the drive is known."""
     hierarchy = lookup(records)
     if plan == "auto":
-        plan = "frontier" if wanted.limit(FRONTIER_ROWS + 1).count() <= FRONTIER_ROWS else "doubling"
+        # few rows are kept, so that what finds them runs once
+        few = checkpointed(wanted.limit(FRONTIER_ROWS + 1))
+        plan = "frontier" if few.count() <= FRONTIER_ROWS else "doubling"
+        wanted = few if plan == "frontier" else wanted
     if plan == "frontier":
         found = components_by_frontier(wanted.select("record_number").where(F.col("record_number") != ROOT).distinct(), hierarchy, max_depth)
     elif plan == "recursion":
