@@ -1,4 +1,4 @@
-"""Data source ``scan_payload``: inventories as compact binary files, one a partition.
+"""Data source ``scan_payload``: inventories as compact binary files, one or more a partition, read back in ranges of rows.
 
 A file is a header (magic, version, number of rows, bytes of the table and of the heap), rows of 56 bytes, and a heap of UTF-16 names and paths
 whose absolute offsets stand in the rows.
@@ -10,18 +10,25 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from decimal import Decimal
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from inodeon.model import SCAN_RECORDS
-from inodeon.sources import files
+from inodeon.sources import files, ntfs
 
 # Fixed values of the format.
 MAGIC, VERSION = 0x4D4C5343, 1
 HEADER, ROW = struct.Struct("<IiiQQ"), struct.Struct("<QQQqIIiiii")
+FIELDS = np.dtype([("record", "<u8"), ("parent", "<u8"), ("size", "<u8"), ("ticks", "<i8"), ("attributes", "<u4"), ("directory", "<u4"), ("name_at", "<i4"), ("name", "<i4"), ("path_at", "<i4"), ("path", "<i4")])
 LIMIT = 2**31 - 1
+#: Rows of a file at most, and rows that are read at once.
+FILE_ROWS = 1 << 19
+SLICE_ROWS = 1 << 16
+_SCHEMA = pa.schema([("record_number", pa.int64()), ("parent_record_number", pa.int64()), ("size", pa.decimal128(20, 0)), ("last_write_ticks", pa.int64()), ("attributes", pa.int64()), ("is_directory", pa.bool_()), ("name", pa.string()), ("path", pa.string())])
 
 
 def encode(rows: list[tuple]) -> bytes:
@@ -40,24 +47,51 @@ def encode(rows: list[tuple]) -> bytes:
     return HEADER.pack(MAGIC, VERSION, len(rows), len(table), len(heap)) + table + heap
 
 
-def decode(raw: bytes) -> Iterator[tuple]:
-    magic, _, count, _, _ = HEADER.unpack_from(raw)
+def _texts(heap: bytes, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Texts of so many bytes at places of the heap; what lies beyond its end is cut off."""
+    units = np.clip(np.minimum(size, len(heap) - at), 0, None) // 2
+    place = np.repeat(at - 2 * (np.cumsum(units) - units), units) + 2 * np.arange(int(units.sum()))
+    data = np.frombuffer(heap, dtype=np.uint8)
+    return ntfs.strings(data[place] | data[place + 1].astype(np.uint16) << np.uint16(8), units)
+
+
+def row_count(path: str) -> int:
+    magic, _, count, _, _ = HEADER.unpack(files.read_range(path, 0, HEADER.size))
     if magic != MAGIC:
-        raise ValueError("not a scan payload")
-    for i in range(count):
-        record, parent, size, ticks, attributes, directory, name_at, name, path_at, path = ROW.unpack_from(raw, HEADER.size + i * ROW.size)
-        text = lambda at, n: raw[at : at + n].decode("utf-16-le", "replace")
-        yield record, parent, Decimal(size), ticks, attributes, bool(directory), text(name_at, name), text(path_at, path)
+        raise ValueError(f"{path} is not a scan payload")
+    return count
+
+
+def decode(path: str, first: int, count: int) -> pa.RecordBatch:
+    """Rows of a file; only they and the part of the heap with their texts are read."""
+    rows = np.frombuffer(files.read_range(path, HEADER.size + first * ROW.size, count * ROW.size), dtype=FIELDS)
+    at = np.concatenate([rows["name_at"], rows["path_at"]]).astype(np.int64)
+    end = at + np.concatenate([rows["name"], rows["path"]])
+    low = int(at.min()) if count else 0
+    heap = files.read_range(path, low, int(end.max()) - low) if count else b""
+    columns = [
+        pa.array(rows["record"].astype(np.int64)),
+        pa.array(rows["parent"].astype(np.int64)),
+        pa.array(rows["size"].astype(np.uint64)).cast(pa.decimal128(20, 0)),
+        pa.array(rows["ticks"].astype(np.int64)),
+        pa.array(rows["attributes"].astype(np.int64)),
+        pa.array(rows["directory"] != 0),
+        _texts(heap, rows["name_at"].astype(np.int64) - low, rows["name"].astype(np.int64)),
+        _texts(heap, rows["path_at"].astype(np.int64) - low, rows["path"].astype(np.int64)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
 
 @dataclass
-class File(InputPartition):
+class Slice(InputPartition):
     path: str
+    first: int
+    count: int
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    paths: list[str]
 
 
 class PayloadSource(DataSource):
@@ -79,11 +113,12 @@ class PayloadReader(DataSourceReader):
     def __init__(self, path: str) -> None:
         self.path = path.rstrip("/")
 
-    def partitions(self) -> list[File]:
-        return [File(f"{self.path}/{n}") for n in files.names(self.path, ".scan")]
+    def partitions(self) -> list[Slice]:
+        found = [f"{self.path}/{n}" for n in files.names(self.path, ".scan")]
+        return [Slice(p, at, min(SLICE_ROWS, n - at)) for p in found for n in [row_count(p)] for at in range(0, n, SLICE_ROWS)]
 
-    def read(self, part: File) -> Iterator[tuple]:
-        yield from decode(files.read_range(part.path, 0, files.size(part.path)))
+    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+        yield decode(part.path, part.first, part.count)
 
 
 class PayloadWriter(DataSourceWriter):
@@ -93,21 +128,22 @@ class PayloadWriter(DataSourceWriter):
         self.path = path.rstrip("/")
 
     def write(self, rows: Iterator) -> Written:
-        raw = encode([tuple(r) for r in rows])
-        path = f"{self.path}/{uuid.uuid4().hex}.scan.tmp"
-        with files.create(path) as out:
-            out.write(raw)
-        return Written(path)
+        paths, own = [], True
+        while own:
+            own = [tuple(r) for r in islice(rows, FILE_ROWS)]
+            if own or not paths:
+                paths.append(f"{self.path}/{uuid.uuid4().hex}.scan.tmp")
+                with files.create(paths[-1]) as out:
+                    out.write(encode(own))
+        return Written(paths)
 
     def commit(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m and m.path:
-                files.rename(m.path, m.path.removesuffix(".tmp"))
+        for path in (p for m in messages if m for p in m.paths):
+            files.rename(path, path.removesuffix(".tmp"))
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m and m.path:
-                files.delete(m.path)
+        for path in (p for m in messages if m for p in m.paths):
+            files.delete(path)
 
 
 def write(scan: DataFrame, path: str) -> None:

@@ -210,12 +210,18 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
 SCAN = [(5, 5, 0, 0, 0x10, True, "C:", "C:\\"), (100, 5, 2048, 638000000000000000, 0x20, False, "nöte.txt", "C:\\nöte.txt"), (7, 5, 2**64 - 1, 1, 0x20, False, "\U0001f600", "")]
 
 
-def test_payload(spark, tmp_path):
+def test_payload(spark, tmp_path, monkeypatch):
     assert len(scan_payload.encode([(1, 0, 512, 100, 0x20, False, "ab", "X:\\ab")])) == 98
-    assert [tuple(int(v) if k == 2 else v for k, v in enumerate(r)) for r in scan_payload.decode(scan_payload.encode(SCAN))] == SCAN
-    assert list(scan_payload.decode(scan_payload.encode([]))) == []
+    place = tmp_path / "one.scan"
+    place.write_bytes(scan_payload.encode(SCAN))
+    rows = lambda first, count: [tuple(int(v) if k == 2 else v for k, v in enumerate(r.values())) for r in scan_payload.decode(str(place), first, count).to_pylist()]
+    assert scan_payload.row_count(str(place)) == len(SCAN) and rows(0, len(SCAN)) == SCAN
+    assert rows(1, 2) == SCAN[1:3] and rows(0, 0) == []
+    monkeypatch.setattr(scan_payload, "SLICE_ROWS", 2)
+    assert len(scan_payload.PayloadReader(str(tmp_path)).partitions()) == -(-len(SCAN) // 2)
+    place.write_bytes(b"\0" * 40)
     with pytest.raises(ValueError, match="not a scan payload"):
-        list(scan_payload.decode(b"\0" * 40))
+        scan_payload.row_count(str(place))
 
 
 def test_frames():
