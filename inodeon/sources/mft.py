@@ -301,6 +301,31 @@ def read_image(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return reader.load()
 
 
+class Volume:
+    """An image or volume that is open until it is closed; then nothing can be read from it."""
+
+    def __init__(self, spark: SparkSession, path: str, **options: object) -> None:
+        self.path = path
+        self._open: tuple[SparkSession, dict[str, object]] | None = (spark, options)
+        MftReader({"path": path, **{k: str(v) for k, v in options.items()}}).extents()  # what can't be opened shows at once
+
+    def records(self) -> DataFrame:
+        """The live records."""
+        if self._open is None:
+            raise RuntimeError(f"{self.path} is closed")
+        spark, options = self._open
+        return read_image(spark, self.path, **options)
+
+    def close(self) -> None:
+        self._open = None
+
+    def __enter__(self) -> Volume:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
 def total_records(path: str, record_size: int = RECORD_SIZE) -> int:
     """All slots of an image; a tail shorter than a record doesn't count."""
     return files.size(path) // record_size

@@ -105,6 +105,7 @@ class WatchSession:
         self._faulted: list[Callable[[BaseException], None]] = []
         self._lock = threading.RLock()
         self._runs = 0
+        self._kept: list[tuple[str, str]] = []
         self.query_ids: set[str] = set()
         self._listener = _Faults(self)
         spark.streams.addListener(self._listener)
@@ -153,8 +154,11 @@ class WatchSession:
                 result.errors[key] = str(e)
         return result
 
-    def watch(self, deliver: Deliver, trigger: dict[str, Any] | None = None) -> None:
-        """One stream a drive, from its cursor; ``deliver(drive, entries, cursor)`` for every batch that has entries."""
+    def watch(self, deliver: Deliver | None = None, trigger: dict[str, Any] | None = None) -> None:
+        """One stream a drive, from its cursor; ``deliver(drive, entries, cursor)`` for every batch that has entries.
+
+        Without ``deliver``, batches are kept in a table in the session's folder, each once, for ``delivered``.
+        """
         with self._lock:
             self._need(SessionState.PARKED)
             if not self.cursors:
@@ -171,16 +175,29 @@ class WatchSession:
                 if q.exception():
                     self.latch(q.exception())
 
-    def _start_stream(self, key: str, journal: int, usn: int, deliver: Deliver, trigger: dict[str, Any]) -> Any:
+    def delivered(self, drive: str) -> DataFrame | None:
+        """What a watch without ``deliver`` has kept of a drive so far, whenever it is asked for; a latched fault is raised."""
+        if self.fault:
+            raise self.fault
+        kept = [path for key, path in self._kept if key == drive_key(drive)]
+        return self.spark.read.parquet(*kept) if kept else None
+
+    def _start_stream(self, key: str, journal: int, usn: int, deliver: Deliver | None, trigger: dict[str, Any]) -> Any:
         drive = self._drives[key]
         stream = usn_journal.stream_journal(self.spark, drive.journal, usn, journal, key, latest=journal == 0)
 
-        def each(batch: DataFrame, _: int) -> None:
+        def each(batch: DataFrame, number: int) -> None:
             last = batch.agg(F.max("usn").alias("usn"), F.max("journal_id").alias("journal_id")).first()
             if last["usn"] is None:
                 return
             cursor = (int(last["journal_id"]), last["usn"] + 1)
-            deliver(key, batch, cursor)
+            if deliver:
+                deliver(key, batch, cursor)
+            else:  # a batch that comes again takes its own place
+                path = f"{place}-entries/{number}"
+                batch.write.mode("overwrite").parquet(path)
+                if (key, path) not in self._kept:
+                    self._kept.append((key, path))
             self.cursors[key] = cursor
 
         place = f"{self.checkpoint_dir}/{key}-{self._runs}"

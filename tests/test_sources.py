@@ -375,3 +375,44 @@ def test_journal_that_is_being_deleted(spark, tmp_path):
     (tmp_path / "journal" / "7.deleting").write_text("")
     found, errors = usn_journal.read_drives(spark, {"C": (journal, 7, 0)})
     assert found is None and errors["C"].startswith("JournalDeleting")
+
+
+def test_closed_volume(spark, image, tmp_path):
+    with mft.Volume(spark, image, drive="C") as v:
+        assert v.records().count() == 750
+    with pytest.raises(RuntimeError, match="closed"):
+        v.records()
+    with pytest.raises(FileNotFoundError):
+        mft.Volume(spark, str(tmp_path / "none"))
+
+
+def test_late_subscriber_gets_what_was_kept(spark, image, tmp_path):
+    journal = str(tmp_path / "journal")
+    usn_journal.append_segment(journal, 7, 0, 10, [(6, 5, i, 1, 2, 0, "x") for i in range(10)])
+    s = WatchSession(spark, str(tmp_path / "watch"))
+    s.warm_start([Drive("C", image, journal), Drive("D", image, journal)], {"C": (7, 4), "D": (7, 9)})
+    assert s.delivered("C") is None
+    s.watch(trigger={"availableNow": True})
+    s.await_end()
+    s.stop()
+    usn_journal.append_segment(journal, 7, 10, 12, [(6, 5, i, 1, 2, 0, "x") for i in range(10, 12)])
+    s.watch(trigger={"availableNow": True})
+    s.await_end()
+    assert sorted(r.usn for r in s.delivered("c:").collect()) == list(range(4, 12)) and sorted(r.usn for r in s.delivered("D").collect()) == [9, 10, 11]
+    s.latch(RuntimeError("gone"))
+    with pytest.raises(RuntimeError, match="gone"):
+        s.delivered("C")
+    s.dispose()
+
+
+def test_command_line(spark, image, tmp_path):
+    from inodeon import __main__ as cli
+
+    cli.main([image, ".git", "--exact", "--paths", "--drive", "C", "--out", str(tmp_path / "out")])
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == COUNTS[1000][4] and got.where("full_path like 'C:%.git'").count() == got.count()
+    assert cli.result(spark, cli.arguments([image, "config"])).count() == COUNTS[1000][5]
+    assert cli.result(spark, cli.arguments([image])).count() == 25
+    assert "1000 records in" in cli.result(spark, cli.arguments([image, "--report"])).first().line
+    with pytest.raises(SystemExit):
+        cli.arguments([])
