@@ -276,13 +276,14 @@ def _term_spans() -> Column:
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, counts by kind, base_sha256, spans (identifiers by kind, then terms by kind and start)."""
+    """Per row: doc_id, counts by kind, base_sha256, spans (identifiers by kind, then terms by kind and start), n_spans."""
     plain, found = _with_swaps(docs, docs["doc_id"])
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     none = [F.lit(0).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    plain = plain.select(F.col("row").alias("doc_id"), *none, F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"))
+    plain = plain.select(F.col("row").alias("doc_id"), *none, F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_spans"))
     counts = [_count(kind) for kind in KINDS]
-    found = found.select(F.col("row").alias("doc_id"), *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.concat(base, _term_spans())).alias("spans"))
+    found = found.select("row", "base", F.concat(base, _term_spans()).alias("all"))
+    found = found.select(F.col("row").alias("doc_id"), *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"))
     return plain.unionByName(found)
 
 
@@ -359,9 +360,9 @@ hits AS (
   SELECT doc_id, s, e, min(CASE WHEN share >= {REMOVE_AT} THEN 'removed' ELSE 'term' END) AS kind
   FROM found JOIN held USING (doc_id) JOIN strong USING (entity, term) WHERE share >= {GENERALISE_AT} GROUP BY doc_id, s, e
 ),
-counts AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS written FROM base GROUP BY doc_id),
-more AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY kind, s, e) AS added FROM hits GROUP BY doc_id)
-SELECT doc_id, {zeros}, sha256(coalesce(written, '')) AS base_sha256, concat_ws(',', written, added) AS spans
+counts AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS written, count(*) AS n_base FROM base GROUP BY doc_id),
+more AS (SELECT doc_id, count(*) AS n_more, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY kind, s, e) AS added FROM hits GROUP BY doc_id)
+SELECT doc_id, {zeros}, sha256(coalesce(written, '')) AS base_sha256, concat_ws(',', written, added) AS spans, (coalesce(n_base, 0) + coalesce(n_more, 0))::BIGINT AS n_spans
 FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
