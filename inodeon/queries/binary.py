@@ -77,6 +77,29 @@ IMAGE_SQL = f"""{GENERATOR_SQL}, image AS (
 )"""
 
 
+def _attributes_sql() -> str:
+    """Up to eleven draws of each record; three of them, after those for parent, name, times and size, decide on the attribute bits."""
+    steps = [f"e0 AS (SELECT i, x, []::HUGEINT[] AS xs FROM d0)"]
+    shift = lambda k: f"xor(x, (x * {k}::HUGEINT) % {_M})"
+    for k in range(1, 12):
+        steps.append(f"e{k}a AS (SELECT i, xs, {shift(8192)} AS x FROM e{k - 1}), e{k}b AS (SELECT i, xs, xor(x, x // 128::HUGEINT) AS x FROM e{k}a)")
+        steps.append(f"e{k}c AS (SELECT i, xs, {shift(131072)} AS x FROM e{k}b), e{k} AS (SELECT i, x, list_append(xs, x) AS xs FROM e{k}c)")
+    d0 = GENERATOR_SQL.partition("), ")[0] + ")"
+    assert d0.startswith("d0 AS (")
+    return f"""
+WITH {d0}, {', '.join(steps)},
+kinds AS (SELECT i, xs, (xs[1] % 4294967296::HUGEINT % 100)::BIGINT AS roll FROM e11),
+live AS (SELECT i, xs, i > 5 AS named, i = 5 OR (i > 5 AND roll < 40) AS folder FROM kinds WHERE i <= 5 OR roll >= 25),
+placed AS (SELECT i, xs, folder, (1 + (named AND i >= 100)::INTEGER + named::INTEGER + 4 + (NOT folder)::INTEGER)::INTEGER AS k FROM live)
+SELECT i AS record_number, (CASE WHEN folder THEN 16 ELSE 32 END + CASE WHEN xs[k + 1] % 20 = 0 THEN 2 ELSE 0 END
+  + CASE WHEN xs[k + 2] % 50 = 0 THEN 4 ELSE 0 END + CASE WHEN xs[k + 3] % 10 = 0 THEN 1 ELSE 0 END)::BIGINT AS file_attributes
+FROM placed
+"""
+
+
+ATTRIBUTES_SQL = _attributes_sql()
+
+
 def s21_synth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = synthetic.records(spark, read(spark, sf_dir, "orders").count())
     live = ~F.col("zeroed") & (F.col("base_reference") == 0)
@@ -113,6 +136,11 @@ def s04_volume_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_number", "parent_record_number", "flags", "file_name", "fixup_ok")
 
 
+def p05_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of the live records, from their standard information."""
+    return mft.read_image(spark, _image(spark, sf_dir)).select("record_number", "file_attributes")
+
+
 def p22_utf16_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names laid end to end as UTF-16 units, some beyond ASCII and beyond 16 bits, and read back with their ASCII letters folded."""
     tail = F.element_at(F.array(F.lit(""), F.lit("\u00dcn\u00efx"), F.lit("\U0001f600")), (F.col("c_custkey") % 3 + 1).cast("int"))
@@ -128,6 +156,36 @@ def p22_utf16_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(run, "c_custkey long, name string, units long")
 
 
+def u13_late_subscriber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drives' changes are kept by drive; who asks for one of them after the watch gets them all."""
+    letters = {"C": "record_number % 2 = 0", "D": "record_number % 2 = 1"}
+    folders = {k: _written_journal(spark, sf_dir, w) for k, w in letters.items()}
+    session = WatchSession(spark, _folder(spark, "late"))
+    try:
+        session.warm_start([Drive(k, "", f) for k, f in folders.items()], {k: (JOURNAL_ID, 0) for k in folders})
+        session.watch(trigger={"availableNow": True})
+        session.await_end()
+        return session.delivered("d:").select("drive", "usn", "record_number")
+    finally:
+        session.dispose()
+
+
+def u16_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second scan with the drives of the first: its cursor is behind what came in between, and its inventory has the directories."""
+    half = journal(spark, sf_dir).agg(F.expr("max(usn) div 2")).first()[0]
+    folder = _written_journal(spark, sf_dir, f"usn <= {half}")
+    session = WatchSession(spark, _folder(spark, "rescan"))
+    try:
+        session.start([Drive("C", _image(spark, sf_dir), folder, ScanProfile.DIRECTORY_INDEX)])
+        first = session.cursors["C"][1]
+        _written_journal(spark, sf_dir, f"usn > {half}", folder)
+        found = session.rescan()
+        counts = found.records.groupBy("drive").agg(F.count("*").alias("directories"))
+        return counts.withColumns({"first_usn": F.lit(first).cast("long"), "next_usn": F.lit(found.advanced["C"][1]).cast("long")})
+    finally:
+        session.dispose()
+
+
 def u17_warm_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursors kept in a table start a session without a scan; it watches from there."""
     out, folder = _folder(spark, "warm"), _written_journal(spark, sf_dir)
@@ -322,7 +380,10 @@ QUERIES: dict[str, Query] = {
     "k01_payload_roundtrip": k01_payload_roundtrip,
     "c02_frames": c02_frames,
     "s04_volume_scan": s04_volume_scan,
+    "p05_attributes": p05_attributes,
     "p22_utf16_names": p22_utf16_names,
+    "u13_late_subscriber": u13_late_subscriber,
+    "u16_rescan": u16_rescan,
     "u17_warm_start": u17_warm_start,
     "r06_timings": r06_timings,
     "s22_skip_prefix": s22_skip_prefix,
@@ -349,6 +410,9 @@ ORACLE_SQL: dict[str, str] = {
     "u11_session_watch": _J + "SELECT CASE record_number % 2 WHEN 0 THEN 'C' ELSE 'D' END AS drive, usn, record_number, file_name FROM jrn WHERE usn > (SELECT max(usn) // 2 FROM jrn)",
     "u12_error_isolation": _J + "SELECT chr((67 + record_number % 6)::INTEGER) AS drive, count(*) AS n_entries, NULL::VARCHAR AS message FROM jrn WHERE record_number % 6 IN (0, 2) GROUP BY 1 UNION ALL VALUES ('D', 0, 'JournalWrapped'), ('F', 0, 'JournalNotActive'), ('G', 0, 'JournalError'), ('H', 0, 'JournalDeleting')",
     "s04_volume_scan": f"WITH {IMAGE_SQL} SELECT *, true AS fixup_ok FROM image WHERE record_number < (SELECT count(*) FROM customer)",
+    "p05_attributes": ATTRIBUTES_SQL,
+    "u13_late_subscriber": _J + "SELECT 'D' AS drive, usn, record_number FROM jrn WHERE record_number % 2 = 1",
+    "u16_rescan": f"WITH {IMAGE_SQL}, {JRN_SQL} SELECT 'C' AS drive, (SELECT count(*) FROM image WHERE (flags & 2) <> 0 AND record_number <> 5) AS directories, (SELECT max(usn) // 2 + 1 FROM jrn) AS first_usn, (SELECT max(usn) + 1 FROM jrn) AS next_usn",
     "p22_utf16_names": "SELECT c_custkey::BIGINT AS c_custkey, c_name || ['', 'Ünïx', '😀'][(c_custkey % 3 + 1)::INTEGER] AS name, (length(c_name) + [0, 4, 2][(c_custkey % 3 + 1)::INTEGER])::BIGINT AS units FROM customer",
     "u17_warm_start": _J + "SELECT 'C' AS drive, usn, (SELECT max(usn) + 1 FROM jrn) AS next_usn FROM jrn WHERE usn >= (SELECT max(usn) // 2 FROM jrn)",
     "s09_data_runs": "SELECT o_orderkey::BIGINT AS o_orderkey, 1::BIGINT AS position, (o_custkey % 4000000)::BIGINT AS cluster, (o_orderkey % 200 + 1)::BIGINT AS clusters, false AS sparse FROM orders UNION ALL SELECT o_orderkey, 2, o_custkey % 4000000 - o_orderkey % 100 - 1, 7, false FROM orders",
