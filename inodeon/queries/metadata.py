@@ -317,7 +317,8 @@ def j01_anti(spark, sf):
 @query("j02_journal_full_path", f"WITH RECURSIVE {VOL_SQL}, {PATHS_SQL}, {JRN_SQL} SELECT j.usn, p.path || chr(92) || j.file_name AS full_path FROM jrn j JOIN paths p ON j.parent_record_number = p.record_number")
 def j02(spark, sf):
     rows, entries = volume(spark, sf), journal(spark, sf)
-    found = paths.resolve_paths(rows.where("record_number <> 5"), rows, plan="doubling").select("record_number", "full_path")
+    parents = entries.select(F.col("parent_record_number").alias("record_number")).distinct()
+    found = paths.resolve_paths(rows.join(parents, "record_number", "left_semi"), rows).select("record_number", "full_path")
     return jr.with_full_path(entries, found).select("usn", "full_path")
 
 
