@@ -309,6 +309,8 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str
         if rng.random() < 0.1:
             body += f'<div class="byline">{word()} {word()}</div>'
             labels.append(0)
+        if rng.random() < 0.15:
+            body = f"<header>{body}</header>"  # an article's own header, with its title
         loose = rng.random() < 0.3
         for k in range(rng.choice([1, 2, 3, 5, 8, 15])):
             roll = rng.random()

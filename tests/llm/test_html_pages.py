@@ -49,6 +49,32 @@ PAGES = {
 <figure><img src="a.jpg"><figcaption>The northern basin at low tide, seen from the old lighthouse.</figcaption></figure><p>{P3}</p></article><div class="ads">Buy a boat today!</div></body>""",
         ["Old piers", f"{P1} {P2}", "The northern basin at low tide, seen from the old lighthouse.", P3],
     ),
+    "own header": (
+        f"""<body><header><a href="/">The Gazette</a></header><article><header><h1>Old piers</h1><div class="byline">Ann Lee, 3 May</div></header><p>{P1}</p>
+<aside class="related"><p>Read also: the story of the lighthouse and its keeper.</p></aside><p>{P2}</p>
+<form class="newsletter"><p>Sign up for our newsletter and never miss a story again.</p><input name="mail"></form><p>{P3}</p></article>
+<section class="comments"><div><p>{P4}</p></div></section></body>""",
+        ["Old piers", P1, P2, P3],
+    ),
+    "sidebar of prose": (
+        f"""<body><div id="header"><div class="logo">The Gazette</div></div><div id="main"><h1>Old piers</h1><p>{P1}</p><p>{P2}</p></div>
+<div id="sidebar"><h3>Popular</h3><p>{P3}</p></div><div id="footer"><p>All rights reserved by the Gazette, which has been printed here since 1901.</p></div></body>""",
+        ["Old piers", P1, P2],
+    ),
+    "consent": (
+        f"""<body><div class="notice" role="dialog"><p>We and our partners use cookies and similar technologies to store and access information on a device, such as identifiers.</p>
+<p>You can change your settings at any time.</p></div><main><h1>Old piers</h1><p>{P1}</p><pre>x = 1
+y = 2</pre><dl><dt>Pier</dt><dd>{P3}</dd></dl><h2>Second part</h2><p>Short.</p></main></body>""",
+        ["Old piers", P1, "x = 1 y = 2", "Pier", P3, "Second part", "Short."],
+    ),
+    "shouting": (
+        f"<body><nav><a href=/>Home</a></nav><article><h1>BUY NOW</h1><p>{P1.upper()}!!!</p><p>### $$$ *** {P2}</p></article><div class='sidebar'><ul><li>{P3}</li></ul></div><footer><p>{P4}</p></footer></body>",
+        ["BUY NOW", f"{P1.upper()}!!!", f"### $$$ *** {P2}"],
+    ),
+    "nested comments": (
+        f"<body><article><h1>Old piers</h1><p>{P1}</p><p>{P2}</p><div id='disqus_thread'><div class='comment'><p>{P3}</p></div><div class='comment reply'><p>{P4}</p></div></div></article></body>",
+        ["Old piers", P1, P2],
+    ),
     "empty": ("<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>About us</a></li></ul></nav><div class='ad'>Buy now.</div><footer>&copy; Gazette</footer></body></html>", []),
 }
 
