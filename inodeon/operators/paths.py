@@ -101,10 +101,16 @@ def components_by_doubling(hierarchy: DataFrame, max_depth: int | None = MAX_DEP
 
 
 def components_by_frontier(wanted: DataFrame, hierarchy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The same for the wanted record numbers only: one join a level for their different parents, which carry ids; names come last."""
+    """The same for the wanted records only: one join a level for their different parents, which carry ids; names come last.
+
+    ``wanted`` has record numbers, or with ``parent`` and ``name`` what the hierarchy says of them.
+    """
     # every level joins the whole hierarchy: read it once, dealt out and sorted by record as all of them need it; without the names where ids do
     step = hierarchy.select(F.col("record_number").alias("cur"), "parent", "name").repartition("cur").sortWithinPartitions("cur").persist(StorageLevel.DISK_ONLY)
-    own = checkpointed(wanted.select(F.col("record_number").alias("cur")).join(step, "cur").withColumnRenamed("cur", "record_number"))
+    if {"parent", "name"} <= set(wanted.columns):
+        own = wanted.select("record_number", "parent", "name")
+    else:
+        own = checkpointed(wanted.select(F.col("record_number").alias("cur")).join(step, "cur").withColumnRenamed("cur", "record_number"))
     way = own.where(F.col("parent") != ROOT).select(F.col("parent").alias("start")).distinct()
     way = way.select("start", F.col("start").alias("cur"), F.array().cast("array<bigint>").alias("ids"))
     links = step.select("cur", "parent")
@@ -161,7 +167,10 @@ def resolve_paths(wanted: DataFrame, records: DataFrame, drive: str = "", plan:
         plan = "frontier" if few.count() <= FRONTIER_ROWS else "doubling"
         wanted = few if plan == "frontier" else wanted
     if plan == "frontier":
-        found = components_by_frontier(wanted.select("record_number").where(F.col("record_number") != ROOT).distinct(), hierarchy, max_depth)
+        # records bring their own parent and name, so that these need no look up
+        known = {"parent_record_number", "file_name"} <= set(wanted.columns)
+        starts = lookup(wanted) if known else wanted.select("record_number").where(F.col("record_number") != ROOT)
+        found = components_by_frontier(starts.distinct(), hierarchy, max_depth)
     elif plan == "recursion":
         found = components_by_recursion(wanted.select("record_number").distinct(), hierarchy, max_depth)
     elif plan == "doubling":
