@@ -345,7 +345,8 @@ def _bytes_of(out: np.ndarray, of_doc: np.ndarray, spelt: np.ndarray, lat: Latti
 def decode(ids: np.ndarray, lat: Lattice) -> bytes:
     """The text of a row's pieces: their spellings, without the leading space."""
     spelled = lat.spelled
-    return b"".join([spelled[i] for i in ids.tolist()])[1:]
+    # a list of numbers takes some forty bytes each, so only so many are made at once
+    return b"".join([b"".join([spelled[i] for i in ids[at : at + SEGMENT].tolist()]) for at in range(0, len(ids), SEGMENT)])[1:]
 
 
 def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
