@@ -22,6 +22,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -55,6 +56,7 @@ INLINE |= frozenset("math mrow mi mo mn ms mtext mspace mfrac msqrt mroot mstyle
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}
 SCOPES = frozenset("html body article section main div nav aside header footer ul ol dl table form blockquote figure details".split()) | MEDIA
 TAGS = "article main section nav header footer aside form ul li table figure blockquote pre p h1 h2 h3 div a address details dialog".split()
+_TAGS = frozenset(TAGS)
 HINTS = {
     "advert": ("ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner", "outbrain", "taboola"),
     "notice": ("cookie", "cookies", "consent", "notice", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "alert", "paywall"),
@@ -71,13 +73,42 @@ _HINT_OF = {word: group for group, words in HINTS.items() for word in words}
 _PARAGRAPH_END = re.compile(r"[.!?…:;\"'”»)]$")
 
 
+@dataclass(frozen=True)
+class Element:
+    """An open element: its tag, the one around it, and what is known of all around it; so pages may be nested to any depth."""
+
+    tag: str
+    around: Element | None
+    tags: frozenset[str]
+    hints: frozenset[str]
+    depth: int
+
+    def inside(self, tag: str, hints: frozenset[str]) -> Element:
+        tags = self.tags | {tag} if tag in _TAGS and tag not in self.tags else self.tags
+        return Element(tag, self, tags, self.hints if hints <= self.hints else self.hints | hints, self.depth + 1)
+
+
+_PAGE = Element("", None, frozenset(), frozenset(), 0)
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
-    hints: frozenset[str]
+    where: Element
     linked: int
 
+    @property
+    def hints(self) -> frozenset[str]:
+        return self.where.hints
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self.where
+        while at.around is not None:
+            out.append(at.tag)
+            at = at.around
+        return tuple(reversed(out))
+
 
 def _attributes(page: str, at: int) -> tuple[int, bool, bool]:
     """Where the attributes of a tag end, whether '>' follows, and whether a quoted value is among them.
@@ -137,11 +168,13 @@ def _tags(page: str) -> list[Tag]:
 
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order; every one has some text."""
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Element] = []
+    open_tags: Counter[str] = Counter()
+    media_at: list[int] = []  # places of media in the stack
     blocks: list[Block] = []
     parts: list[str] = []
-    linked = hidden = media = links = 0
-    where: list[tuple[str, frozenset[str]]] | None = None
+    linked = hidden = links = 0
+    where: Element | None = None
 
     def put(raw: str) -> None:
         nonlocal linked, where
@@ -150,7 +183,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if where is None:
             if raw.isspace():
                 return
-            where = list(stack)
+            where = stack[-1] if stack else _PAGE
         parts.append(raw)
         if links:
             linked += len(raw)
@@ -160,14 +193,16 @@ def leaf_blocks(page: str) -> list[Block]:
         if where is not None:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, tuple(t for t, _ in where), frozenset().union(*(h for _, h in where)), linked))
+                blocks.append(Block(text, where, linked))
         parts, linked, where = [], 0, None
 
     def pop() -> None:
-        nonlocal hidden, media, links
-        tag, _ = stack.pop()
+        nonlocal hidden, links
+        tag = stack.pop().tag
+        open_tags[tag] -= 1
         hidden -= tag in HIDDEN
-        media -= tag in MEDIA
+        if tag in MEDIA:
+            media_at.pop()
         links -= tag == "a"
 
     at = 0
@@ -178,12 +213,12 @@ def leaf_blocks(page: str) -> list[Block]:
         if not tag:
             continue
         # tags inside a drawing or a fallback don't end the block around it
-        muted = next((i for i, (t, _) in enumerate(stack) if t in MEDIA), None) if media else None
+        muted = media_at[0] if media_at else None
         if token.closing:
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] != tag and (tag in SCOPES or stack[depth][0] not in SCOPES):
+            depth = len(stack) - 1 if open_tags[tag] else -1
+            while depth >= 0 and stack[depth].tag != tag and (tag in SCOPES or stack[depth].tag not in SCOPES):
                 depth -= 1
-            found = depth >= 0 and stack[depth][0] == tag
+            found = depth >= 0 and stack[depth].tag == tag
             if tag not in INLINE and (muted is None or (found and depth < muted)):
                 end()
             if found:
@@ -200,21 +235,23 @@ def leaf_blocks(page: str) -> list[Block]:
             if muted is None:
                 end()
             closes = CLOSES.get(tag, ("p",) if tag not in INLINE else ())
-            depth = len(stack) - 1
-            while depth >= 0 and (stack[depth][0] not in SCOPES or stack[depth][0] in closes) and stack[depth][0] not in closes:
+            depth = len(stack) - 1 if any(open_tags[t] for t in closes) else -1
+            while depth >= 0 and (stack[depth].tag not in SCOPES or stack[depth].tag in closes) and stack[depth].tag not in closes:
                 depth -= 1
-            if depth >= 0 and stack[depth][0] in closes:
+            if depth >= 0 and stack[depth].tag in closes:
                 while len(stack) > depth:
                     pop()
-            if tag == "body" and any(t == "head" for t, _ in stack):
-                while stack and stack[-1][0] != "html":
+            if tag == "body" and open_tags["head"]:
+                while stack and stack[-1].tag != "html":
                     pop()
         if tag in VOID or attributes.endswith("/") or (tag in MEDIA and not token.paired):
             continue
         hints = frozenset(_HINT_OF[w] for m in _HINT.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()) if w in _HINT_OF) if "=" in attributes else frozenset()
-        stack.append((tag, hints))
+        stack.append((stack[-1] if stack else _PAGE).inside(tag, hints))
+        open_tags[tag] += 1
         hidden += tag in HIDDEN
-        media += tag in MEDIA
+        if tag in MEDIA:
+            media_at.append(len(stack) - 1)
         links += tag == "a"
     put(page[at:])
     end()
@@ -226,7 +263,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     n = max(1, len(blocks))
     for i, b in enumerate(blocks):
         text, size = b.text, len(b.text)
-        tags = set(b.path)
+        tags = b.where.tags
         row = [float(t in tags) for t in TAGS]
         row += [float(h in b.hints) for h in HINTS]
         words = text.count(" ") + 1
@@ -241,8 +278,8 @@ def features(blocks: list[Block]) -> np.ndarray:
             i / n,
             float(i == 0),
             float(i == n - 1),
-            min(len(b.path), 12) / 12,
-            float(b.path[-1] in ("p", "h1", "h2", "h3", "blockquote", "pre", "li", "td") if b.path else 0),
+            min(b.where.depth, 12) / 12,
+            float(b.where.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", "li", "td")),
         ]
         out[i] = row
     return out

@@ -63,3 +63,13 @@ def test_only_raw_text_skips_to_its_closing_tag():
     assert texts("<p>a <svg><title/><title>t</title><g><text>no</text></g><path d='x'/></svg>b <video><p>no<div>no</video>c</p><p>d") == ["a b c", "d"]
     assert texts("<div>a<object><object>no</object>no</object>b<audio>no</div>c</audio>") == ["ab", "c"]
     assert texts("<p>a<script>if (1 < 2) '<p>'</script><style>p</style><iframe>no</iframe><noscript>no</noscript><template><p>no</p></template>b") == ["a", "b"]
+
+
+def test_deep_pages_take_time_in_proportion():
+    n = 30_000
+    odd = [t * n for t in ("<div>text ", "<h1>text ", "<font>text ", "<div>text</span></section>", "<b><p>x", "<svg>", "<li><ul>y")]
+    start = time.process_time()
+    for page in odd:
+        html.leaf_blocks(page)
+    assert time.process_time() - start < 40
+    assert html.leaf_blocks("<div>" * n + "x")[0].where.depth == n
