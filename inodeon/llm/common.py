@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits on exactly these.
@@ -71,3 +71,40 @@ def text_hash(col: str | F.Column = "text") -> F.Column:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a frame has at most so many rows, looking at no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def in_order(df: DataFrame, *order: F.Column) -> DataFrame:
+    """The rows with ``place``: their number, from 1, in an order over all of them.
+
+    Ranges of the order are sorted by themselves and written once, so that every later use sees the same ranges; only their
+    sizes, one row a range, are added up in one place.
+    """
+    spark = df.sparkSession
+    # the low 33 bits of this number count the rows of a partition
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_row": row})
+    out = fresh_dir(spark, "ordered")
+    ranged.write.parquet(out)
+    ranged = spark.read.parquet(out)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    numbered = ranged.join(F.broadcast(starts), "_range").withColumn("place", F.col("_start") + F.col("_row") + 1)
+    return numbered.drop("_range", "_row", "_size", "_start")
+
+
+def running(rows: DataFrame, key: list[str], at: str, values: dict[str, tuple[Callable[[F.Column], F.Column], Callable[[F.Column, F.Column], F.Column]]]) -> DataFrame:
+    """The rows with each named column replaced by its aggregate over the rows of its key up to its own, in the order of ``at``.
+
+    A value is an aggregate function and a function that puts two aggregates together, both null-tolerant. ``at`` is a long of
+    its own for each row of a key. A key's rows are worked on in blocks of 4,096 numbers, so a key of any length is spread over many tasks;
+    one row a block is then carried on.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(at) / 4096))
+    inside = Window.partitionBy(*key, "_block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*key, "_block").agg(*(agg(F.col(c)).alias(c) for c, (agg, _) in values.items()))
+    carried = sums.select(*key, "_block", F.lag("_block").over(Window.partitionBy(*key).orderBy("_block")).alias("_last"), *(agg(F.col(c)).over(before).alias(f"_{c}") for c, (agg, _) in values.items()))
+    carried = carried.where("_last is not null").drop("_last")
+    rows = rows.withColumns({c: agg(F.col(c)).over(inside) for c, (agg, _) in values.items()}).join(carried, [*key, "_block"], "left")
+    return rows.withColumns({c: both(F.col(f"_{c}"), F.col(c)) for c, (_, both) in values.items()}).drop("_block", *(f"_{c}" for c in values))

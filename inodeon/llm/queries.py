@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inodeon.llm import html, lines, mixing, pieces, pii, rules, simhash, sketch, suffixes, warc
+from inodeon.llm import html, lines, mixing, pieces, pii, resampling, rules, simhash, sketch, suffixes, warc
 from inodeon.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -61,10 +65,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_pii": pii.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op7_repeated_passages": suffixes.ORACLE_SQL,
+    "op13_importance_resampling": resampling.ORACLE_SQL,
 }
