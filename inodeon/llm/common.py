@@ -100,7 +100,7 @@ def running(rows: DataFrame, key: list[str], at: str, values: dict[str, tuple[Ca
     its own for each row of a key. A key's rows are worked on in blocks of 4,096 numbers, so a key of any length is spread over many tasks;
     one row a block is then carried on.
     """
-    rows = rows.withColumn("_block", F.floor(F.col(at) / 4096))
+    rows = rows.withColumn("_block", F.shiftright(at, 12))
     inside = Window.partitionBy(*key, "_block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*key, "_block").agg(*(agg(F.col(c)).alias(c) for c, (agg, _) in values.items()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inodeon.llm import html, lines, mixing, pieces, pii, resampling, rules, simhash, sketch, suffixes, warc
+from inodeon.llm import html, lines, minhash, mixing, pieces, pii, resampling, rules, simhash, sketch, suffixes, trie, warc
 from inodeon.llm.common import table
 
 
@@ -50,6 +50,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -72,5 +82,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_pii": pii.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op7_repeated_passages": suffixes.ORACLE_SQL,
+    "op11_minhash_near_dedup": minhash.ORACLE_SQL,
+    "op12_conversation_trie": trie.ORACLE_SQL,
     "op13_importance_resampling": resampling.ORACLE_SQL,
 }
