@@ -33,13 +33,14 @@ SEED = 7
 MIN_WORDS = 20
 PERCENT = 25
 #: A block ends with the document that brings it to so many entries or rows.
-BLOCK_ENTRIES = 262_144
-BLOCK_ROWS = 4096
+BLOCK_ENTRIES = 65_536
+BLOCK_ROWS = 1024
 #: Words counted at once; longer texts go through in pieces.
 PIECE = 65_536
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
-BLOCK = "doc_ids array<long>, n_words array<long>, ends array<int>, buckets array<int>, counts array<long>"
+#: Of a block's rows the ids, the words and where their entries end; of its entries the buckets and the counts, as plain little-endian arrays.
+BLOCK = "doc_ids array<long>, n_words array<long>, ends array<int>, buckets binary, counts binary"
 
 
 def row_of(text: bytes, buckets: int = BUCKETS) -> tuple[int, np.ndarray, np.ndarray]:
@@ -63,6 +64,10 @@ def row_of(text: bytes, buckets: int = BUCKETS) -> tuple[int, np.ndarray, np.nda
     return n, at.astype(np.int32), total[at]
 
 
+def _kind(buckets: int) -> str:
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
 def count_matrix(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The matrix of ``docs`` (doc_id, text), as blocks: ids and words of the rows, where each row's entries end, and the entries."""
 
@@ -70,9 +75,9 @@ def count_matrix(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         ids, words, ends, at, counts = [], [], [0], [], []
 
         def block() -> pa.RecordBatch:
-            values = (pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(ends[1:], pa.int32()), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(counts), pa.int64()))
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
-            return pa.RecordBatch.from_arrays(lists, ["doc_ids", "n_words", "ends", "buckets", "counts"])
+            lists = [pa.array([v], pa.list_(kind)) for v, kind in ((ids, pa.int64()), (words, pa.int64()), (ends[1:], pa.int32()))]
+            entries = [pa.array([np.concatenate(v).astype(kind).tobytes()]) for v, kind in ((at, _kind(buckets)), (counts, "<u4"))]
+            return pa.RecordBatch.from_arrays([*lists, *entries], ["doc_ids", "n_words", "ends", "buckets", "counts"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -99,7 +104,9 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            np.add.at(total, batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy())
+            for at, counts in zip(batch.column(0), batch.column(1)):
+                at, counts = np.frombuffer(at.as_buffer(), _kind(buckets)), np.frombuffer(counts.as_buffer(), "<u4")
+                total += np.bincount(at, counts, buckets).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
@@ -121,8 +128,9 @@ def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, words, ends, at, counts = (batch.column(c)[k].values for c in range(5))
-                sums = np.r_[0, np.cumsum(gain[at.to_numpy()] * counts.to_numpy())][np.r_[0, ends.to_numpy()]]
+                ids, words, ends = (batch.column(c)[k].values for c in range(3))
+                at, counts = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in ((3, _kind(len(gain))), (4, "<u4")))
+                sums = np.r_[0, np.cumsum(gain[at] * counts)][np.r_[0, ends.to_numpy()]]
                 n = words.to_numpy()
                 features = n + np.maximum(n - 1, 0)
                 weight = np.where(n > 0, np.diff(sums) // np.maximum(features, 1), 0)
