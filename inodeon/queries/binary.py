@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from inodeon.model import MatchFlags, ScanProfile
 from inodeon.operators import match, paths
 from inodeon.plans.virtual import JRN_SQL, PATHS_SQL, VOL_SQL, journal, read, volume
 from inodeon.sources import files, frames, mft, ntfs, scan_payload, synthetic, usn_journal
+from inodeon.streaming.batchlog import BatchLog
 from inodeon.streaming.session import Drive, WatchSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEGMENT = 2000
 TORN = 7
 JOURNAL_ID = 43981
+DRIVES = 200
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -248,16 +251,21 @@ def h02_image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written_journal(spark: SparkSession, sf_dir: str, where: str = "true", folder: str = "") -> str:
     """The virtual journal, or a part of it, as segment files, written by tasks; one task a segment."""
+    return _written_journals(spark, sf_dir, F.lit(""), where, folder)
+
+
+def _written_journals(spark: SparkSession, sf_dir: str, drive: F.Column, where: str = "true", folder: str = "") -> str:
+    """The same in a folder of each drive's own below one folder, all drives by one job."""
     folder = folder or _folder(spark, "journal")
     rows = journal(spark, sf_dir).where(where).select("usn", "record_number", "parent_record_number", timestamp_to_filetime(F.col("ts").cast("timestamp")).alias("filetime"), "reason", "file_name")
 
     def write(pdf):
         entries = [(int(r.record_number), int(r.parent_record_number), int(r.usn), int(r.filetime), int(r.reason), 32, r.file_name) for r in pdf.sort_values("usn").itertuples()]
         first = int(pdf["segment"].iloc[0]) * SEGMENT
-        usn_journal.append_segment(folder, JOURNAL_ID, max(first, entries[0][2]), entries[-1][2] + 1, entries)
+        usn_journal.append_segment(f"{folder}/{pdf['drive'].iloc[0]}", JOURNAL_ID, max(first, entries[0][2]), entries[-1][2] + 1, entries)
         return pdf[["segment"]].head(1)
 
-    rows.withColumn("segment", F.expr(f"usn div {SEGMENT}")).groupBy("segment").applyInPandas(write, "segment long").count()
+    rows.withColumns({"segment": F.expr(f"usn div {SEGMENT}"), "drive": drive}).groupBy("drive", "segment").applyInPandas(write, "segment long").count()
     return folder
 
 
@@ -319,11 +327,100 @@ def u11_session_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
         session.start([Drive(k, image, f, ScanProfile.DIRECTORY_INDEX) for k, f in folders.items()])
         for k, w in letters.items():
             _written_journal(spark, sf_dir, f"{w} and usn > {half}", folders[k])
-        session.watch(lambda key, batch, cursor: batch.select("drive", "usn", "record_number", "file_name").write.mode("append").parquet(f"{out}/rows"), {"availableNow": True})
+        session.watch(lambda key, batch, cursor: batch.select("drive", "usn", "record_number", "file_name").write.mode("append").parquet(f"{out}/rows/{key}"), {"availableNow": True})
         session.await_end()
     finally:
         session.dispose()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.parquet(*(f"{out}/rows/{k}" for k in letters))
+
+
+def u14_many_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred drives in one stream of bounded batches: one fails at once, one after its first batch, one after its second; all others are read whole."""
+    step = journal(spark, sf_dir).agg(F.expr("max(usn) div 4")).first()[0]
+    key = F.concat(F.lit("D"), F.lpad((F.col("record_number") % DRIVES).cast("string"), 3, "0"))
+    folder = _written_journals(spark, sf_dir, key)
+    drives = {f"D{i:03d}": (JOURNAL_ID - (i == 7), 0) for i in range(DRIVES)}
+    session = WatchSession(spark, _folder(spark, "many"))
+
+    def deliver(drive: str, batch: DataFrame, cursor: tuple[int, int]) -> None:
+        seen[drive] = seen.get(drive, 0) + 1
+        if drive == "D050" and seen[drive] == 1:  # its journal begins to be deleted
+            with files.create(f"{folder}/{drive}/{JOURNAL_ID}.deleting"):
+                pass
+        if drive == "D120" and seen[drive] == 2:  # its journal is created anew
+            usn_journal.append_segment(f"{folder}/{drive}", JOURNAL_ID + 1, 0, 1, [(6, 5, 0, 1, 2, 0, "x")])
+
+    seen: dict[str, int] = {}
+    try:
+        session.warm_start([Drive(k, "", f"{folder}/{k}") for k in drives], drives)
+        session.watch(deliver, {"availableNow": True}, max_usn=step)
+        session.await_end()
+        counts = session.kept().groupBy("drive").agg(F.count("*").alias("n_entries"), (F.max("usn") + 1).alias("next_usn"))
+        failed = spark.createDataFrame([(k, str(e).partition(":")[0]) for k, e in session.faults.items()], "drive string, message string")
+        return counts.join(failed, "drive", "full").select("drive", F.coalesce("n_entries", F.lit(0)).alias("n_entries"), "next_usn", "message")
+    finally:
+        session.dispose()
+
+
+def u07_bounded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal in batches of bounded size, in two runs: the first one dies in its third batch, the second goes on from the checkpoint."""
+    out, folder = _folder(spark, "bounded"), _written_journal(spark, sf_dir)
+    step = journal(spark, sf_dir).agg(F.expr("max(usn) div 7 + 1")).first()[0]
+
+    def put(batch: DataFrame, number: int) -> None:
+        if number == 2 and not died:
+            died.append(number)
+            raise RuntimeError("killed")
+        ends = batch.agg(F.count("*").alias("n_entries"), F.min("usn").alias("first_usn"), (F.max("usn") + 1).alias("next_usn")).where("n_entries > 0")
+        ends.select(F.lit(number).cast("long").alias("batch"), "n_entries", "first_usn", "next_usn").write.mode("overwrite").parquet(f"{out}/rows/{number}")
+
+    died: list[int] = []
+    for _ in range(2):
+        stream = usn_journal.stream_journal(spark, folder, 1, JOURNAL_ID, max_usn=step, position=f"{out}/position.json")
+        query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").trigger(processingTime="0 seconds").start()
+        try:
+            usn_journal.drain(query)
+        except StreamingQueryException:
+            pass
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{out}/rows")
+
+
+def k05_committed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and cursors of two drives in one log: a batch that was committed is repeated after a crash, one that was half written too; each row is there once."""
+    out = _folder(spark, "log")
+    key = F.when(F.col("record_number") % 2 == 0, "C").otherwise("D")
+    folder = _written_journals(spark, sf_dir, key)
+    step = journal(spark, sf_dir).agg(F.expr("max(usn) div 5 + 1")).first()[0]
+    drives = {k: (f"{folder}/{k}", JOURNAL_ID, 0) for k in "CD"}
+    log = BatchLog(spark, f"{out}/log", list(drives))
+
+    def put(batch: DataFrame, number: int) -> None:
+        if number == 1 and len(died) == 0:  # rows without a manifest
+            died.append(number)
+            batch.withColumn("slot", F.lit(0)).write.partitionBy("slot").parquet(f"{out}/log/rows/{number:020d}-half")
+            raise RuntimeError("killed")
+        log.commit(number, batch)
+        if number == 2 and len(died) == 1:  # a manifest, but Spark doesn't know yet
+            died.append(number)
+            raise RuntimeError("killed")
+
+    died: list[int] = []
+    for _ in range(3):
+        stream = usn_journal.stream_drives(spark, drives, f"{out}/position.json", step)
+        query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").trigger(processingTime="0 seconds").start()
+        try:
+            usn_journal.drain(query)
+        except StreamingQueryException:
+            pass
+    again = BatchLog(spark, f"{out}/log", list(drives))  # nothing is kept in the driver's memory
+    cursors = spark.createDataFrame([(k, usn) for k, (_, usn) in again.cursors().items()], "drive string, cursor long")
+    return again.rows().select("drive", "usn", "record_number", "file_name").join(F.broadcast(cursors), "drive")
+
+
+def s17_split_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of the journal is read in ranges of 4 KB by different tasks."""
+    found = usn_journal.read_journal(spark, _written_journal(spark, sf_dir), drive="C", range_bytes=4096)
+    return found.select("drive", F.col("journal_id").cast("long").alias("journal_id"), "usn", "record_number", "parent_record_number", "filetime", "reason", "file_name")
 
 
 def u12_error_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,6 +487,10 @@ QUERIES: dict[str, Query] = {
     "u08_stream_with_cursor": u08_stream_with_cursor,
     "u11_session_watch": u11_session_watch,
     "u12_error_isolation": u12_error_isolation,
+    "u14_many_drives": u14_many_drives,
+    "u07_bounded_batches": u07_bounded_batches,
+    "k05_committed_batches": k05_committed_batches,
+    "s17_split_segment": s17_split_segment,
 }
 
 _J = f"WITH {JRN_SQL} "
@@ -424,5 +525,15 @@ ORACLE_SQL: dict[str, str] = {
     "s15_journal_cursor": _J + "SELECT 43981::BIGINT AS journal_id, max(usn) + 1 AS next_usn FROM jrn",
     "u07_journal_stream": _J + "SELECT usn, record_number, reason FROM jrn WHERE usn >= 500",
     "k01_payload_roundtrip": f"WITH RECURSIVE {VOL_SQL}, {PATHS_SQL} SELECT v.record_number, v.parent_record_number, 0::BIGINT AS size, 0::BIGINT AS last_write_ticks, v.file_attributes AS attributes, (v.flags & 2) <> 0 AS is_directory, v.file_name AS name, 'C:' || chr(92) || p.path AS path FROM vol v JOIN paths p USING (record_number)",
+    "u14_many_drives": _J + f""", own AS (
+  SELECT 'D' || lpad((record_number % {DRIVES})::VARCHAR, 3, '0') AS drive, usn, (SELECT max(usn) // 4 FROM jrn) AS step FROM jrn
+), firsts AS (SELECT drive, min(usn) AS first FROM own GROUP BY 1),
+kept AS (SELECT drive, usn FROM own JOIN firsts USING (drive) WHERE CASE drive WHEN 'D007' THEN false WHEN 'D050' THEN usn < first + step WHEN 'D120' THEN usn < first + 2 * step ELSE true END)
+SELECT d.drive, count(usn) AS n_entries, max(usn) + 1 AS next_usn,
+  CASE WHEN any_value(first) IS NULL THEN 'JournalNotActive' WHEN d.drive = 'D050' THEN 'JournalDeleting' WHEN d.drive IN ('D007', 'D120') THEN 'JournalError' END AS message
+FROM (SELECT 'D' || lpad(i::VARCHAR, 3, '0') AS drive FROM (SELECT unnest(range({DRIVES})) AS i)) d LEFT JOIN firsts USING (drive) LEFT JOIN kept USING (drive) GROUP BY d.drive""",
+    "u07_bounded_batches": _J + "SELECT (usn - 1) // (SELECT max(usn) // 7 + 1 FROM jrn) AS batch, count(*) AS n_entries, min(usn) AS first_usn, max(usn) + 1 AS next_usn FROM jrn WHERE usn >= 1 GROUP BY 1",
+    "k05_committed_batches": _J + "SELECT CASE record_number % 2 WHEN 0 THEN 'C' ELSE 'D' END AS drive, usn, record_number, file_name, max(usn) OVER (PARTITION BY record_number % 2) + 1 AS cursor FROM jrn",
+    "s17_split_segment": _J + "SELECT 'C' AS drive, 43981::BIGINT AS journal_id, usn, record_number, parent_record_number, epoch_us(ts) * 10 + 116444736000000000 AS filetime, reason, file_name FROM jrn",
     "c02_frames": _J + "SELECT record_number, parent_record_number, usn, epoch_us(ts) * 10 + 116444736000000000 AS filetime, reason, 32::BIGINT AS attributes, file_name FROM jrn",
 }

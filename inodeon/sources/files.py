@@ -45,6 +45,18 @@ def names(folder: str, suffix: str) -> list[str]:
     return sorted(i.base_name for i in found if i.type == pafs.FileType.File and i.base_name.endswith(suffix))
 
 
+def sizes(folder: str, suffix: str) -> list[tuple[str, int]]:
+    """Names and sizes of the files with a suffix, sorted; none if the folder is missing."""
+    fs, p = _split(folder)
+    found = fs.get_file_info(pafs.FileSelector(p, allow_not_found=True))
+    return sorted((i.base_name, i.size) for i in found if i.type == pafs.FileType.File and i.base_name.endswith(suffix))
+
+
+def exists(path: str) -> bool:
+    fs, p = _split(path)
+    return fs.get_file_info(p).type == pafs.FileType.File
+
+
 def rename(old: str, new: str) -> None:
     fs, a = _split(old)
     fs.move(a, _split(new)[1])

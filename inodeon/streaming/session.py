@@ -1,8 +1,10 @@
 """Snapshot, catch-up and live watch of several drives without gaps.
 
 A session arms each drive's cursor before it scans the drive, reads the journal from there to its end once the scan is done, and then watches from where
-that read stopped. Every drive is a streaming query of its own; what fails on one is reported and doesn't stop the others. Batches
-are delivered at least once, with the cursor behind them; consumers that upsert by (drive, usn) see each change once.
+that read stopped. All drives are watched by one streaming query, whose offset holds every drive's cursor. What fails on one drive is that drive's
+fault: its cursor stays where it was, its subscribers are told, and the others go on. The session as a whole faults when its query does, or
+when no drive is left. Batches are kept in a log, rows and cursors together, and delivered at least once, drive by drive, one
+after another; consumers that upsert by (drive, usn) see each change once.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from inodeon.functions.text import SEPARATOR
-from inodeon.model import CURSORS, ScanProfile, SessionState
+from inodeon.model import CURSORS, JournalError, ScanProfile, SessionState
 from inodeon.operators import match, paths
 from inodeon.sources import mft, usn_journal
+from inodeon.streaming.batchlog import BatchLog, Committed, Cursor
 
-Cursor = tuple[int, int]
 Deliver = Callable[[str, DataFrame, Cursor], None]
 
 
@@ -86,10 +88,10 @@ class _Faults(StreamingQueryListener):
 
 
 class WatchSession:
-    """Parked until watched, parked again when stopped; a fault or disposal ends it.
+    """Parked until watched, parked again when stopped; a fault of the whole session or disposal ends it.
 
-    Streams keep their checkpoints in a folder of the session's own, so that another session with the same folder goes on from
-    the cursors it is given and not from what this one had read.
+    Checkpoints and logs are kept in a folder of the session's own, so that another session with the same folder goes on from
+    the cursors it is given and not from what this one had read. ``faults`` has the drives that have failed.
     """
 
     def __init__(self, spark: SparkSession, checkpoint_dir: str) -> None:
@@ -101,11 +103,14 @@ class WatchSession:
         self.fault: BaseException | None = None
         self._drives: dict[str, Drive] = {}
         self._keep: tuple[str, ...] = ()
-        self._queries: dict[str, Any] = {}
+        self.faults: dict[str, BaseException] = {}
+        self._query: Any = None
+        self._watched: set[str] = set()
+        self._drains = False
         self._faulted: list[Callable[[BaseException], None]] = []
+        self._drive_faulted: list[Callable[[str, BaseException], None]] = []
         self._lock = threading.RLock()
-        self._runs = 0
-        self._kept: list[tuple[str, str]] = []
+        self._logs: list[BatchLog] = []
         self.query_ids: set[str] = set()
         self._listener = _Faults(self)
         spark.streams.addListener(self._listener)
@@ -123,7 +128,7 @@ class WatchSession:
             if known and not result.advanced:  # nothing to go on with: what was known before stays
                 raise RuntimeError("; ".join(f"{k}: {e}" for k, e in result.errors.items()))
             self._drives, self._keep = known, tuple(keep)
-            self.latest, self.cursors = result, dict(result.advanced)
+            self.latest, self.cursors, self.faults = result, dict(result.advanced), {}
             return result
 
     def warm_start(self, drives: list[Drive], cursors: dict[str, Cursor]) -> None:
@@ -131,7 +136,7 @@ class WatchSession:
         with self._lock:
             self._need(SessionState.PARKED)
             self._drives = {drive_key(d.letter): d for d in drives}
-            self.cursors = {drive_key(k): c for k, c in cursors.items()}
+            self.cursors, self.faults = {drive_key(k): c for k, c in cursors.items()}, {}
 
     def rescan(self, drives: list[Drive] | None = None, keep: tuple[str, ...] | None = None) -> ScanResult:
         """Another start; arguments left out are those of the last one."""
@@ -154,79 +159,121 @@ class WatchSession:
                 result.errors[key] = str(e)
         return result
 
-    def watch(self, deliver: Deliver | None = None, trigger: dict[str, Any] | None = None) -> None:
-        """One stream a drive, from its cursor; ``deliver(drive, entries, cursor)`` for every batch that has entries.
+    def watch(self, deliver: Deliver | None = None, trigger: dict[str, Any] | None = None, max_usn: int = 0) -> None:
+        """One stream of all drives that haven't failed, from their cursors; ``deliver(drive, entries, cursor)`` for each drive of a batch.
 
-        Without ``deliver``, batches are kept in a table in the session's folder, each once, for ``delivered``.
+        Deliveries come one after another, after the batch is committed to the session's log; what ``deliver`` raises is that drive's fault.
+        Entries of a batch span at most ``max_usn`` USNs of each drive if given, also with the trigger ``availableNow``.
         """
         with self._lock:
             self._need(SessionState.PARKED)
             if not self.cursors:
                 raise RuntimeError("No drives to watch")
-            self._runs += 1
+            given = {k: (self._drives[k].journal, *c) for k, c in self.cursors.items() if k not in self.faults}
+            for key, (folder, journal, usn) in list(given.items()):
+                if journal == 0:  # from the journal's end
+                    try:
+                        given[key] = (folder, *usn_journal.query_cursor(folder))
+                    except (JournalError, OSError) as e:
+                        del given[key]
+                        self.latch_drive(key, e)
+            if not given:
+                raise self.fault or RuntimeError("No drives to watch")
+            place = f"{self.checkpoint_dir}/run-{len(self._logs)}"
+            log = BatchLog(self.spark, f"{place}/log", list(given))
+            stream = usn_journal.stream_drives(self.spark, given, f"{place}/position.json", max_usn)
+            self._watched, self._logs = set(given), [*self._logs, log]
+            # Spark asks a source once with availableNow; bounded batches are drained instead
+            self._drains = bool(max_usn and (trigger or {}).get("availableNow"))
+            trigger = {"processingTime": "0 seconds"} if self._drains else trigger or {"processingTime": "1 second"}
+            each = lambda batch, number: self._each(log, batch, number, deliver)
+            self.state = SessionState.WATCHING
             try:
-                for key, (journal, usn) in self.cursors.items():
-                    self._queries[key] = self._start_stream(key, journal, usn, deliver, trigger or {"processingTime": "1 second"})
-            except Exception:  # all streams or none
-                self._end_streams()
+                self._query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{place}/checkpoint").trigger(**trigger).start()
+            except Exception:
+                self.state = SessionState.PARKED
                 raise
-            self.state = SessionState.WATCHING
-            for q in self._queries.values():  # what ended before its id was known
-                if q.exception():
-                    self.latch(q.exception())
+            self.query_ids.add(str(self._query.id))
+            if self._query.exception():  # what ended before its id was known
+                self.latch(self._query.exception())
+
+    def _each(self, log: BatchLog, batch: DataFrame, number: int, deliver: Deliver | None) -> None:
+        done = log.commit(number, batch)
+        for key, message in done.errors.items():
+            self.latch_drive(key, JournalError(message))
+        for key, cursor in done.cursors.items():
+            if key in self.faults and key not in done.errors:
+                continue
+            try:
+                if deliver:
+                    deliver(key, log.rows([done], key), (cursor[0], cursor[1]))
+            except Exception as e:  # noqa: BLE001 - a consumer of one drive
+                self.latch_drive(key, e)
+                continue
+            if key not in self.faults:
+                self.cursors[key] = (cursor[0], cursor[1])
+
+    def batches(self) -> list[Committed]:
+        """What has been committed so far, in order."""
+        return [b for log in self._logs for b in log.batches()]
 
     def delivered(self, drive: str) -> DataFrame | None:
-        """What a watch without ``deliver`` has kept of a drive so far, whenever it is asked for; a latched fault is raised."""
-        if self.fault:
-            raise self.fault
-        kept = [path for key, path in self._kept if key == drive_key(drive)]
-        return self.spark.read.parquet(*kept) if kept else None
-
-    def _start_stream(self, key: str, journal: int, usn: int, deliver: Deliver | None, trigger: dict[str, Any]) -> Any:
-        drive = self._drives[key]
-        stream = usn_journal.stream_journal(self.spark, drive.journal, usn, journal, key, latest=journal == 0)
-
-        def each(batch: DataFrame, number: int) -> None:
-            last = batch.agg(F.max("usn").alias("usn"), F.max("journal_id").alias("journal_id")).first()
-            if last["usn"] is None:
-                return
-            cursor = (int(last["journal_id"]), last["usn"] + 1)
-            if deliver:
-                deliver(key, batch, cursor)
-            else:  # a batch that comes again takes its own place
-                path = f"{place}-entries/{number}"
-                batch.write.mode("overwrite").parquet(path)
-                if (key, path) not in self._kept:
-                    self._kept.append((key, path))
-            self.cursors[key] = cursor
-
-        place = f"{self.checkpoint_dir}/{key}-{self._runs}"
-        query = stream.writeStream.foreachBatch(each).option("checkpointLocation", place).trigger(**trigger).start()
-        self.query_ids.add(str(query.id))
-        return query
+        """What has been committed of a drive so far, whenever it is asked for; a fault of the drive or of the session is raised."""
+        key = drive_key(drive)
+        if key in self.faults or self.fault:
+            raise self.faults.get(key) or self.fault
+        return self.kept(drive)
+
+    def kept(self, drive: str | None = None) -> DataFrame | None:
+        """The same without raising, of a drive that has failed what came before; of all drives if none is given."""
+        out = None
+        for log in self._logs:
+            rows = log.rows(drive=drive and drive_key(drive))
+            out = rows if out is None or rows is None else out.unionByName(rows)
+        return out
 
     def _end_streams(self) -> None:
-        for q in self._queries.values():
-            q.stop()
-        self._queries.clear()
+        if self._query is not None:
+            self._query.stop()
+            self._query = None
 
     def query(self, drive: str) -> Any:
-        """The streaming query of a drive that is watched."""
+        """The streaming query that watches a drive."""
         self._need(SessionState.WATCHING)
-        if drive_key(drive) not in self._queries:
+        if drive_key(drive) not in self._watched:
             raise ValueError(f"drive {drive} is not watched")
-        return self._queries[drive_key(drive)]
+        return self._query
 
     def await_end(self, timeout: float | None = None) -> None:
-        """Waits for the streams (with a trigger that ends) or for the timeout; the first fault is latched and raised."""
-        for q in list(self._queries.values()):
-            try:
-                q.awaitTermination(timeout)
-            except Exception as e:  # noqa: BLE001 - kept for subscribers that come later
-                self.latch(e)
+        """Waits for the stream (with a trigger that ends) or for the timeout; a fault of the session is raised, those of drives are in ``faults``."""
+        try:
+            if self._query is not None and self._drains:
+                usn_journal.drain(self._query)
+            elif self._query is not None:
+                self._query.awaitTermination(timeout)
+        except Exception as e:  # noqa: BLE001 - kept for subscribers that come later
+            self.latch(e)
         if self.fault:
             raise self.fault
 
+    def on_drive_fault(self, call: Callable[[str, BaseException], None]) -> None:
+        """Called with a drive and its fault, at once for those that are there already."""
+        with self._lock:
+            self._drive_faulted.append(call)
+            for key, e in self.faults.items():
+                call(key, e)
+
+    def latch_drive(self, key: str, e: BaseException) -> None:
+        """Keeps a drive's first fault; when no watched drive is left, it is the session's."""
+        with self._lock:
+            if key in self.faults or self.state is SessionState.DISPOSED:
+                return
+            self.faults[key] = e
+            for call in self._drive_faulted:
+                call(key, e)
+            if self.cursors.keys() <= self.faults.keys():
+                self.latch(e)
+
     def on_fault(self, call: Callable[[BaseException], None]) -> None:
         """Called once, at once if the fault is there already."""
         with self._lock:
@@ -243,16 +290,17 @@ class WatchSession:
                     call(e)
 
     def stop(self) -> dict[str, Cursor]:
-        """Ends the streams; their cursors are where the next watch goes on."""
+        """Ends the stream; the cursors of all drives, of failed ones where they stood, are where the next watch goes on."""
+        self._need(SessionState.WATCHING, SessionState.FAULTED)
+        self._end_streams()  # without the lock, which a batch that is under way may need
         with self._lock:
-            self._need(SessionState.WATCHING)
-            self._end_streams()
-            self.state = SessionState.PARKED
+            if self.state is SessionState.WATCHING:
+                self.state = SessionState.PARKED
             return dict(self.cursors)
 
     def dispose(self) -> None:
+        self._end_streams()
         with self._lock:
-            self._end_streams()
             if self.state is not SessionState.DISPOSED:
                 self.spark.streams.removeListener(self._listener)
             self.state = SessionState.DISPOSED
