@@ -4,7 +4,11 @@ A page is cut into leaf blocks: runs of text between block-level tags, with the
 Two-state linear-chain fields over a page's blocks tell main text from the rest by ancestor, text and position features; Viterbi
 decodes them. The field is trained on labelled pages, which ``labelled_pages`` composes from many layouts, with known
 labels for all their blocks: their articles have plain, shouting, symbol-laden and link-laden paragraphs, so that the
-field learns layout instead of taste.
+field learns layout instead of taste, and their bodies, wrappers and boxes have class names that mislead or say nothing.
+
+Class names count by distance: those of the innermost elements apart from those further out. Names of elements that hold the article
+(the article or main element with most text, or else the container with most) say nothing about its blocks and are ignored, but for
+those that name main text.
 
 Scripts, styles, heads, templates, form controls, drawings, fallbacks of media and comments of the markup are never text; formulas are.
 A drawing, medium or template that is closed by '/>' or not at all has no content. Character references are decoded, white space
@@ -35,7 +39,7 @@ from inodeon.llm import crf
 from inodeon.llm.common import map_arrow
 
 #: Training pages and the seed of their layouts.
-TRAIN_PAGES = 400
+TRAIN_PAGES = 800
 SEED = 11
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)", re.S)
@@ -70,12 +74,19 @@ HINTS = {
     "byline": ("byline", "author", "meta", "date", "published"),
 }
 _HINT_OF = {word: group for group, words in HINTS.items() for word in words}
+#: Hints of what isn't main text.
+_AWAY = frozenset(HINTS) - {"main", "byline", "head"}
+#: Elements that group blocks, and those whose own text counts as theirs.
+_GROUPS = frozenset("html body article section main div nav aside header footer form td dialog details".split()) | {""}
+_OWN_TEXT = frozenset("html body article section main nav aside header footer form".split()) | {""}
+#: How many of the innermost elements have near hints, and how many more have far ones.
+NEAR, FAR = 3, 7
 _PARAGRAPH_END = re.compile(r"[.!?…:;\"'”»)]$")
 
 
-@dataclass(frozen=True)
+@dataclass(eq=False)
 class Element:
-    """An open element: its tag, the one around it, and what is known of all around it; so pages may be nested to any depth."""
+    """An open element: its tag, the one around it, the tags of all around it, and its own hints; so pages may be nested to any depth."""
 
     tag: str
     around: Element | None
@@ -85,10 +96,7 @@ class Element:
 
     def inside(self, tag: str, hints: frozenset[str]) -> Element:
         tags = self.tags | {tag} if tag in _TAGS and tag not in self.tags else self.tags
-        return Element(tag, self, tags, self.hints if hints <= self.hints else self.hints | hints, self.depth + 1)
-
-
-_PAGE = Element("", None, frozenset(), frozenset(), 0)
+        return Element(tag, self, tags, hints, self.depth + 1)
 
 
 @dataclass
@@ -99,7 +107,11 @@ class Block:
 
     @property
     def hints(self) -> frozenset[str]:
-        return self.where.hints
+        """Hints of all elements around it."""
+        out, at = frozenset(), self.where
+        while at is not None:
+            out, at = out | at.hints, at.around
+        return out
 
     @property
     def path(self) -> tuple[str, ...]:
@@ -168,6 +180,7 @@ def _tags(page: str) -> list[Tag]:
 
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order; every one has some text."""
+    page_itself = Element("", None, frozenset(), frozenset(), 0)
     stack: list[Element] = []
     open_tags: Counter[str] = Counter()
     media_at: list[int] = []  # places of media in the stack
@@ -183,7 +196,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if where is None:
             if raw.isspace():
                 return
-            where = stack[-1] if stack else _PAGE
+            where = stack[-1] if stack else page_itself
         parts.append(raw)
         if links:
             linked += len(raw)
@@ -247,7 +260,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in VOID or attributes.endswith("/") or (tag in MEDIA and not token.paired):
             continue
         hints = frozenset(_HINT_OF[w] for m in _HINT.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()) if w in _HINT_OF) if "=" in attributes else frozenset()
-        stack.append((stack[-1] if stack else _PAGE).inside(tag, hints))
+        stack.append((stack[-1] if stack else page_itself).inside(tag, hints))
         open_tags[tag] += 1
         hidden += tag in HIDDEN
         if tag in MEDIA:
@@ -258,28 +271,126 @@ def leaf_blocks(page: str) -> list[Block]:
     return blocks
 
 
+@dataclass
+class Layout:
+    """Where a page's text is: plain and linked characters by element, the element that holds the article, and those around it."""
+
+    plain: dict[Element, int]
+    linked: dict[Element, int]
+    anchor: Element | None
+    wrappers: set[Element]
+    named: bool
+    most: int
+
+
+def _container(b: Block) -> Element:
+    """The nearest element above a block that groups blocks; text that stands in one directly is its own."""
+    at = b.where
+    if at.tag not in _OWN_TEXT and at.around is not None:
+        at = at.around
+        while at.tag not in _GROUPS and at.around is not None:
+            at = at.around
+    return at
+
+
+def layout(blocks: list[Block]) -> Layout:
+    plain: dict[Element, int] = {}
+    linked: dict[Element, int] = {}
+    for b in blocks:  # each element is walked over once
+        at: Element | None = b.where
+        while at is not None and at not in plain:
+            plain[at] = linked[at] = 0
+            at = at.around
+        plain[b.where] += max(len(b.text) - b.linked, 0)
+        linked[b.where] += min(b.linked, len(b.text))
+    direct: dict[Element, int] = {}
+    for b in blocks:
+        group = _container(b)
+        direct[group] = direct.get(group, 0) + max(len(b.text) - b.linked, 0)
+    for at in sorted(plain, key=lambda e: -e.depth):
+        if at.around is not None:
+            plain[at.around] += plain[at]
+            linked[at.around] += linked[at]
+    known = [e for e in plain if e.tag in ("article", "main") and not e.tags & {"nav", "aside", "footer"} and plain[e]]
+    anchor = max(known, key=lambda e: (plain[e], -e.depth), default=None)
+    named = anchor is not None
+    if not named and direct:
+        anchor = max(direct, key=lambda e: direct[e])
+    wrappers: set[Element] = set()
+    at = anchor if named else anchor.around if anchor is not None else None
+    while at is not None:
+        wrappers.add(at)
+        at = at.around
+    whole = sum(len(b.text) for b in blocks)
+    wrappers |= {e for e in plain if plain[e] + linked[e] == whole}  # what holds the whole page tells no blocks apart
+    return Layout(plain, linked, anchor, wrappers, named, max(direct.values(), default=0))
+
+
 def features(blocks: list[Block]) -> np.ndarray:
-    out = np.zeros((len(blocks), len(TAGS) + len(HINTS) + 12))
+    out = np.zeros((len(blocks), len(TAGS) + 2 * len(HINTS) + 23))
     n = max(1, len(blocks))
+    page = layout(blocks)
+    total = max(1, sum(len(b.text) for b in blocks))
+    held: dict[Element, bool] = {}
+
+    def in_anchor(e: Element) -> bool:
+        way = []
+        while e not in held:
+            if e is page.anchor or e.around is None:
+                held[e] = e is page.anchor
+                break
+            way.append(e)
+            e = e.around
+        for x in way:
+            held[x] = held[e]
+        return held[e]
+
     for i, b in enumerate(blocks):
         text, size = b.text, len(b.text)
         tags = b.where.tags
+        near: set[str] = set()
+        far: set[str] = set()
+        at: Element | None = b.where
+        for step in range(NEAR + FAR):
+            if at is None:
+                break
+            if at.hints and at.tag not in ("html", "body"):
+                (near if step < NEAR else far).update(at.hints & {"main"} if at in page.wrappers else at.hints)
+            at = at.around
         row = [float(t in tags) for t in TAGS]
-        row += [float(h in b.hints) for h in HINTS]
+        row += [float(h in near) for h in HINTS] + [float(h in far) for h in HINTS]
         words = text.count(" ") + 1
+        group = _container(b)
+        mass, links = page.plain.get(group, 0), page.linked.get(group, 0)
+        inside = in_anchor(b.where)
+        bad = bool((near | far) & _AWAY)
+        only_link = b.linked >= size
+        rights = "©" in text or "copyright" in text.lower() or "all rights reserved" in text.lower()
+        own = inside and page.named and not bad
         row += [
             math.log1p(size),
             math.log1p(words),
             min(1.0, b.linked / size),
-            float(b.linked >= size),
+            float(only_link),
             float(_PARAGRAPH_END.search(text) is not None),
             min(1.0, 20 * sum(map(text.count, ".,;:!?")) / size),
-            float("©" in text or "copyright" in text.lower() or "all rights reserved" in text.lower()),
+            float(rights),
             i / n,
             float(i == 0),
             float(i == n - 1),
             min(b.where.depth, 12) / 12,
             float(b.where.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", "li", "td")),
+            float(inside and page.named),
+            float(own),
+            float(own and "header" in tags),
+            float(own and rights),
+            float(own and size < 30),
+            float(inside and not page.named),
+            float(inside and only_link),
+            mass / total,
+            min(1.0, mass / max(1, page.most)),
+            links / max(1, mass + links),
+            float(n == 1),
         ]
         out[i] = row
     return out
@@ -290,10 +401,20 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str
     rng = random.Random(seed)
     syllables = "an ber con de er fi ga hin in jo ka lo men no or pa qui re sta ti un ver wi xo ya zu".split()
     marks = ["###", "***", "%%%", "&amp;&amp;&amp;", "$$$"]
+    hints = [w for words in HINTS.values() for w in words]
 
     def word() -> str:
         return "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
 
+    def unknown() -> str:
+        return rng.choice([f"{word()}-{word()}", f"{word()}__{word()}", f"c{rng.randint(1, 999)}", word().capitalize() + str(rng.randint(1, 9))])
+
+    def misleading() -> str:
+        """Class names of elements that hold the article: states of the page, and names that say nothing."""
+        word_ = rng.choice(hints)
+        some = [f"no-{word_}", f"has-{word_}", f"with-{word_}", f"{word_}-left", f"{word_}-open", f"{word_}-{word()}", word_, unknown(), unknown(), "page", "wrapper", "container"]
+        return " ".join(rng.sample(some, rng.randint(1, 3)))
+
     def sentence(low: int, high: int) -> str:
         return " ".join(word() for _ in range(rng.randint(low, high))).capitalize() + "."
 
@@ -313,42 +434,60 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str
 
     def links(tag: str, attrs: str, low: int = 3, high: int = 8) -> tuple[str, int]:
         n = rng.randint(low, high)
-        return f"<{tag}{attrs}><ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n)) + f"</ul></{tag}>", n
+        if rng.random() < 0.2:  # in one line
+            return f"<{tag}{attrs}>" + rng.choice([" | ", " ", " &middot; "]).join(f'<a href="/{word()}">{word()}</a>' for _ in range(n)) + f"</{tag}>", 1
+        return f"<{tag}{attrs}><ul>" + "".join(f'<li><a href="/{word()}">{word()}{" " + word() if rng.random() < 0.3 else ""}</a></li>' for _ in range(n)) + f"</ul></{tag}>", n
+
+    def called(names: tuple[str, ...]) -> str:
+        name = rng.choice(names)
+        return f'{rng.choice(["class", "id"])}="{rng.choice([name, name, f"{word()}-{name}", f"{name} {unknown()}", f"{name}-{word()}"])}"'
 
     def box(tag: str, names: tuple[str, ...], n: int, low: int = 2, high: int = 12) -> tuple[str, int]:
-        cls = rng.choice(names)
         inner = "".join(f"<p>{sentence(low, high)}</p>" if n > 1 else sentence(low, high) for _ in range(n))
-        return f'<{tag} {rng.choice(["class", "id"])}="{cls}">{inner}</{tag}>', n
+        return f"<{tag} {called(names)}>{inner}</{tag}>", n
+
+    def comments() -> tuple[str, int]:
+        n, one = rng.randint(1, 5), rng.choice(["div", "li", "article"])
+        some = "".join(f'<{one} class="{rng.choice(["comment", "comment-body", "reply", unknown()])}"><p>{" ".join(sentence(2, 20) for _ in range(rng.choice([1, 1, 3])))}</p></{one}>' for _ in range(n))
+        head = rng.random() < 0.4
+        return f'<{(tag := rng.choice(["section", "div"]))} {called(("comments", "replies", "discussion"))}>{f"<h3>{sentence(1, 3)}</h3>" if head else ""}{some}</{tag}>', n + head
 
     out = []
     for _ in range(count):
         style = rng.choice(["plain", "plain", "plain", "shout", "marks", "bars", "links"])
+        if rng.random() < 0.02:  # text without layout
+            out.append((rng.choice(["{}", "<html><body>{}</body></html>", "<pre>{}</pre>"]).format(prose("plain") + " " + prose("plain")), [1]))
+            continue
         parts: list[tuple[str, list[int]]] = []
         add = lambda made: parts.append((made[0], [0] * made[1]))  # noqa: B023, E731
         if rng.random() < 0.2:
             add(box("div", HINTS["notice"], rng.randint(1, 2)))
         if rng.random() < 0.4:
-            add((f"<header><div class='logo'>{word()}</div><p>{sentence(2, 5)}</p></header>", 2))
-        if rng.random() < 0.8:
-            add(links("nav", ""))
-        elif rng.random() < 0.5:
-            add(links("div", ' class="menu"'))
+            tag, name = rng.choice([("header", "class='site'"), ("div", called(HINTS["head"]))])
+            add((f"<{tag} {name}><div class='logo'>{word()}</div><p>{sentence(2, 5)}</p></{tag}>", 2))
+        if rng.random() < 0.7:
+            add(links("nav", "" if rng.random() < 0.5 else f' class="{unknown()}"'))
+        elif rng.random() < 0.7:
+            add(links("div", f" {called(HINTS['menu'])}" if rng.random() < 0.8 else f' class="{unknown()}"'))
         if rng.random() < 0.5:
             add(box("div", HINTS["advert"], 1))
         aside = rng.random()
-        if aside < 0.15:
+        if aside < 0.1:
             add(links("aside", ""))
+        elif aside < 0.2:
+            add(box("div", HINTS["side"], rng.randint(1, 3)))
         body = ""
         labels: list[int] = []
+        block = rng.choice(["p", "p", "p", "p", "div"])  # paragraphs may be plain boxes
         if rng.random() < 0.85:
             body += f"<h1>{prose(style) if rng.random() < 0.5 else sentence(2, 9)}</h1>"
             labels.append(1)
         if rng.random() < 0.1:
             body += f'<div class="byline">{word()} {word()}</div>'
             labels.append(0)
-        if rng.random() < 0.15:
+        if body and rng.random() < 0.25:
             body = f"<header>{body}</header>"  # an article's own header, with its title
-        loose = rng.random() < 0.3
+        loose = block == "p" and rng.random() < 0.3
         for k in range(rng.choice([1, 2, 3, 5, 8, 15])):
             roll = rng.random()
             if roll < 0.06:
@@ -358,41 +497,62 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str
                 n = rng.randint(2, 4)
                 body += "<ul>" + "".join(f"<li>{prose(style)}</li>" for _ in range(n)) + "</ul>"
                 labels += [1] * n
-            elif roll < 0.14:
-                made = box(rng.choice(["div", "aside"]), HINTS["advert"] + HINTS["side"], 1)
+            elif roll < 0.14:  # sources, further reading within the text
+                n = rng.randint(1, 4)
+                list_ = rng.choice(["ul", "ol"])
+                body += f"<{list_}>" + "".join(f'<li><a href="/{word()}">{sentence(2, 8)}</a></li>' for _ in range(n)) + f"</{list_}>"
+                labels += [1] * n
+            elif roll < 0.18:
+                made = box(rng.choice(["div", "aside"]), HINTS["advert"] + HINTS["side"][:10], 1)
                 body += made[0]
                 labels += [0] * made[1]
-            elif roll < 0.17:
+            elif roll < 0.21:
                 body += f"<blockquote>{prose(style)}</blockquote>"
                 labels.append(1)
-            elif roll < 0.19:
+            elif roll < 0.23:
                 body += f"<figure><img src='x'><figcaption>{sentence(2, 8)}</figcaption></figure>"
                 labels.append(1)
+            elif roll < 0.26:  # license lines and code belong to an article's text too
+                line = rng.choice(["All rights reserved.", f"Copyright {word()}.", f"&copy; {word()} {word()}", f'{word()} = "{rng.getrandbits(160):x}"'])
+                body += f"<{block}>{line}</{block}>"
+                labels.append(1)
+            elif roll < 0.28:
+                n = rng.randint(1, 3)
+                body += "<table>" + "".join(f"<tr><td>{sentence(1, 3)}</td><td>{sentence(1, 6)}</td></tr>" for _ in range(n)) + "</table>"
+                labels += [1] * (2 * n)
             else:
-                body += f"<p>{prose(style)}" if loose else f"<p>{prose(style)}</p>"
+                body += f"<p>{prose(style)}" if loose else f"<{block}>{prose(style)}</{block}>"
                 labels.append(1)
         shell = rng.random()
-        if shell < 0.6:
-            body = f"<article>{body}</article>"
-        elif shell < 0.75:
+        if shell < 0.5:
+            body = f'<article{f""" class="{misleading()}" """ if rng.random() < 0.3 else ""}>{body}</article>'
+        elif shell < 0.65:
             body = f"<main>{body}</main>"
-        else:
+        elif shell < 0.8:
             body = f'<div class="{rng.choice(HINTS["main"][1:7])}">{body}</div>'
+        elif shell < 0.95:
+            body = f'<div class="{unknown()}">{body}</div>'
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            body = f'<{(tag := rng.choice(["div", "div", "section"]))} class="{misleading()}">{body}</{tag}>'
         parts.append((body, labels))
-        if rng.random() < 0.25:
-            tag, name = rng.choice([("section", "comments"), ("div", "comments"), ("div", "replies")])
-            add(box(tag, (name,), rng.randint(2, 5), 2, 20))
+        if rng.random() < 0.3:
+            add(comments())
         if aside > 0.8:
             add(box("aside", HINTS["side"], rng.randint(1, 3)))
         elif aside > 0.7:
-            add(links("div", ' class="related"'))
+            add(links("div", f" {called(('related', 'more', 'popular'))}"))
+        elif aside > 0.6:
+            add(box("div", HINTS["side"], rng.randint(1, 3)))
         if rng.random() < 0.15:
             add((f"<form><label>{sentence(1, 3)}</label><input name='q'><button>{word()}</button></form>", 1))
         if rng.random() < 0.8:
-            add((f"<footer>&copy; {word()}.example.com &middot; {sentence(2, 9)}</footer>", 1))
+            tag, name = rng.choice([("footer", ""), ("footer", ""), ("div", called(HINTS["foot"]))])
+            add((f"<{tag} {name}>&copy; {word()}.example.com &middot; {sentence(2, 9)}</{tag}>", 1))
         inner = "".join(p for p, _ in parts)
-        wrap = rng.random() < 0.3
-        page = f"<!DOCTYPE html><html><head><title>{sentence(2, 6)}</title><style>p{{margin:0}}</style></head><body>{'<div>' if wrap else ''}{inner}{'</div>' if wrap else ''}</body></html>"
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            inner = f'<div class="{misleading()}">{inner}</div>'
+        states = f' class="{misleading()}"' if rng.random() < 0.5 else ""
+        page = f"<!DOCTYPE html><html><head><title>{sentence(2, 6)}</title><style>p{{margin:0}}</style></head><body{states}>{inner}</body></html>"
         out.append((page, [x for _, own in parts for x in own]))
     return out
 
