@@ -5,11 +5,11 @@ the smallest value of the first round that reaches it. Rounds of the second half
 place is filled after twice as many rounds at the latest; sets of more than some thousand shingles need one round. Two sets agree at each
 place with the probability of their resemblance, and the share of places that agree is concentrated about it as that of independent hashes.
 
-``BANDS`` bands of ``ROWS`` places make buckets. A pair at the threshold of 0.85 meets in none of them with a probability of 2 in
-a million, one of 0.9 in 4 of a hundred million, and one of 0.4 meets in one of nine cases. Links are confirmed on the pair's full sets. Only
-what connects is looked for: members of a bucket are compared with the bucket's first one, then with its last one, and after that only
-members that are still in different components with each other; so copies don't become all pairs, and no pair that shares a bucket and could join two
-components is left out.
+``BANDS`` bands of ``ROWS`` places make buckets. A pair at the threshold of 0.85 meets in none of them with a probability of 3 in
+a million, one of 0.9 in 2 of ten thousand million, and one of 0.4 meets in one of forty cases. Links are confirmed on the pair's full sets. Only
+what connects is looked for: members of a bucket are compared with its hub, the one that shares most buckets with others, and after that only those that
+are still in different components with each other; so copies don't become all pairs, and no pair that shares a bucket and could join two components
+is left out, but for those that agree at so few places of their sketches as one in a million pairs at the threshold does.
 
 A text's identity is its MD5, a shingle's 64 bits made of its words' hashes.
 
@@ -21,7 +21,6 @@ rows are kept; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +28,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inodeon.llm.common import cut, fresh_dir, map_arrow, small_enough, text_bytes
+from inodeon.llm.common import fresh_dir, map_arrow, small_enough, text_bytes
 from inodeon.llm.graph import connected_components
 
 SHINGLE = 5
 #: A link takes so many hundredths of the union in common.
 PERCENT = 85
-ROWS, BANDS = 6, 28
+ROWS, BANDS = 8, 40
 COORDINATES = ROWS * BANDS
 SEED = 11
+#: Bits of each place by which sketches are compared as wholes, and how likely a pair at the threshold is thrown out by that.
+PLANES = 4
+MISS = 1e-6
+WORDS = -(-COORDINATES // 64)
 #: Keys of texts, 16 bytes each, that may be broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 _PART = 65_536
@@ -93,17 +96,47 @@ def buckets(places: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
+def planes(places: np.ndarray) -> np.ndarray:
+    """Some bits of each place, as bit sets: the first bit of all places in the first words, and so on."""
+    low = _mixed(places)
+    bits = np.zeros((PLANES, 64 * WORDS), dtype=np.uint8)
+    for k in range(PLANES):
+        bits[k, : len(places)] = low >> np.uint64(k) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel()
+
+
+def least_agreement(size: int = COORDINATES) -> int:
+    """At how many places a pair at the threshold agrees at least, but for a chance of ``MISS``."""
+    p = PERCENT / 100 + (1 - PERCENT / 100) / 2**PLANES
+    below, k = 0.0, 0
+    while (below := below + math.comb(size, k) * p**k * (1 - p) ** (size - k)) <= MISS:
+        k += 1
+    return k
+
+
+def _agree(a: Column, b: Column) -> Column:
+    """Whether two sketches agree at enough places to be looked at."""
+    differ = F.lit(0)
+    for w in range(WORDS):
+        word = F.lit(0).cast("long")
+        for k in range(PLANES):
+            word = word.bitwiseOR(F.get(a, F.lit(k * WORDS + w)).bitwiseXOR(F.get(b, F.lit(k * WORDS + w))))
+        differ = differ + F.bit_count(word)
+    return differ <= COORDINATES - least_agreement()
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tid, n, buckets)`` of every row, written once: the text's identity, the size of its set, and the buckets."""
+    """``(doc_id, tid, n, buckets, planes)`` of every row, written once: the text's identity, the size of its set, the buckets, and bits of the sketch."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_hashes(t.as_buffer().to_pybytes()) for t in batch.column(2)]
-        found = [buckets(sketch(s)).view(np.int64) if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "tid", "n", "buckets"])
+        places = [sketch(s) if len(s) else None for s in sets]
+        found = [pa.array([None if p is None else of(p).view(np.int64) for p in places], pa.list_(pa.int64())) for of in (buckets, planes)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), *found], ["doc_id", "tid", "n", "buckets", "planes"])
 
     out = fresh_dir(docs.sparkSession, "sketches")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _identity(), text_bytes().alias("b"))
-    map_arrow(rows, run, "doc_id long, tid binary, n long, buckets array<long>").write.parquet(out)
+    map_arrow(rows, run, "doc_id long, tid binary, n long, buckets array<long>, planes array<long>").write.parquet(out)
     return docs.sparkSession.read.parquet(out)
 
 
@@ -115,75 +148,81 @@ def _sizes_allow(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of identities whose full sets resemble each other enough."""
+def _written(df: DataFrame, name: str) -> DataFrame:
+    out = fresh_dir(df.sparkSession, name)
+    df.write.parquet(out)
+    return df.sparkSession.read.parquet(out)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(cid, hashes)``, written once: the full sets of the texts ``(tid, cid)`` that are wanted."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_hashes(t.as_buffer().to_pybytes()).view(np.int64) for t in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["cid", "hashes"])
+
+    keyed = docs.select(_identity(), text_bytes().alias("b"))
+    chosen = keyed.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_KEYS) else wanted, "tid")
+    return _written(map_arrow(chosen.groupBy("cid").agg(F.first("b").alias("b")), run, "cid long, hashes array<long>"), "sets")
+
+
+def _resemble(a: str, b: str) -> Column:
+    """Whether two full sets have enough in common; their hashes are distinct."""
+    common = F.size(F.array_intersect(a, b))
+    return 100 * common >= PERCENT * (F.size(a) + F.size(b) - common)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, have = None, None
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for k, a in enumerate(batch.column(0)):
-                if a != last:
-                    last, have = a, shingle_hashes(batch.column(2)[k].as_buffer().to_pybytes())
-                other = shingle_hashes(batch.column(3)[k].as_buffer().to_pybytes())
-                both = len(np.intersect1d(have, other, assume_unique=True))
-                keep[k] = 100 * both >= PERCENT * (len(have) + len(other) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+def _apart(crowded: DataFrame, known: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of texts that share a bucket, are not its hub and are in different components.
 
-    rows = pairs.join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return cut(rows.mapInArrow(run, "a binary, b binary"))
+    Most members of a bucket are in one component, the others are compared with them and with each other; of all that is compared
+    only the links leave the join.
+    """
+    rows = crowded.join(known.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
+    rest = rows.where("cid <> hub").select("bucket", "cid", "n", "label")
+    counts = rest.groupBy("bucket", "label").agg(F.count("*").alias("members"))
+    main = counts.groupBy("bucket").agg(F.max(F.struct("members", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    rest = rest.join(main, "bucket").withColumn("odd", F.col("label") != F.col("main")).drop("main")
+    rest = _written(rest, "apart").join(sketches, "cid").join(sets, "cid")
+    odd = rest.where("odd").select("bucket", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("planes").alias("planes_a"), F.col("hashes").alias("hashes_a"))
+    open_ = (F.col("label") != F.col("label_a")) & (~F.col("odd") | (F.col("a") < F.col("cid")))
+    pairs = odd.join(rest, (odd["bucket"] == rest["bucket"]) & open_ & _sizes_allow("n", "n_a") & _agree(F.col("planes"), F.col("planes_a")) & _resemble("hashes", "hashes_a"))
+    return _written(pairs.select("a", F.col("cid").alias("b")).distinct(), "links")
 
 
-def _components(crowded: DataFrame, texts: DataFrame) -> DataFrame:
+def _components(crowded: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """``(node, root)`` of all texts that a confirmed link joins to others; crowded are the rows of buckets with several texts."""
-    links, known = None, None
-    for pivot in ("first", "last"):
-        rows = _labelled(crowded, known)
-        pairs = rows.where((F.col("label") != F.col(f"{pivot}_label")) & _sizes_allow("n", f"{pivot}.n"))
-        found = _confirmed(pairs.select(F.col(f"{pivot}.tid").alias("a"), F.col("tid").alias("b")).distinct(), texts)
-        links = found if links is None else cut(links.unionByName(found))
-        known = connected_components(links)
-    rows = _labelled(crowded, known)
-    apart = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    rows = cut(rows.join(apart, "bucket", "left_semi").where("tid <> first.tid and tid <> last.tid").select("bucket", "tid", "n", "label"))
-    # most members have the label of most, the others are compared with them and with each other
-    counts = rows.groupBy("bucket", "label").agg(F.count("*").alias("members"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("members", "label"))["label"].alias("main"))
-    rows = rows.join(main, "bucket").withColumn("odd", F.col("label") != F.col("main"))
-    odd = rows.where("odd").select("bucket", F.col("tid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    pairs = odd.join(rows, "bucket").where((F.col("label") != F.col("label_a")) & _sizes_allow("n", "n_a") & (~F.col("odd") | (F.col("a") < F.col("tid"))))
-    found = _confirmed(cut(pairs.select("a", F.col("tid").alias("b")).distinct()), texts)
-    return known if found.isEmpty() else connected_components(links.unionByName(found))
-
-
-def _labelled(crowded: DataFrame, known: DataFrame | None) -> DataFrame:
-    """The rows of buckets with the components of their text and of the bucket's first and last one, as far as known."""
-    if known is None:
-        return crowded.withColumns({"label": F.col("tid"), "first_label": F.col("first.tid"), "last_label": F.col("last.tid")})
-    rows = crowded.join(known.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("label", F.coalesce("root", "tid")).drop("root")
-    ends = crowded.select("bucket", "first", "last").distinct()
-    for end in ("first", "last"):
-        ends = ends.withColumn("tid", F.col(f"{end}.tid")).join(known.select(F.col("node").alias("tid"), "root"), "tid", "left")
-        ends = ends.withColumn(f"{end}_label", F.coalesce("root", "tid")).drop("root", "tid")
-    return rows.join(ends.select("bucket", "first_label", "last_label"), "bucket")
+    pairs = crowded.where((F.col("cid") != F.col("hub")) & _sizes_allow("n", "hub_n")).select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    full = sets.join(sketches, "cid")
+    pairs = pairs.join(full.select(F.col("cid").alias("b"), F.col("planes").alias("planes_b"), F.col("hashes").alias("hashes_b")), "b")
+    pairs = pairs.join(full.withColumnRenamed("cid", "a"), "a").where(_agree(F.col("planes"), F.col("planes_b")) & _resemble("hashes", "hashes_b"))
+    links = _written(pairs.select("a", "b"), "links")
+    known = connected_components(links)
+    more = _apart(crowded, known, sketches, sets)
+    if more.isEmpty():
+        return known
+    # the components are joined by the few links that are left
+    roots = known.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti").withColumn("root", F.col("node")))
+    ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+    joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document ``(doc_id, n_shingles, component_id, kept)``."""
-    spark = docs.sparkSession
     rows = _sketched(docs)
-    classes = cut(rows.where("n > 0").groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("buckets").alias("buckets")))
-    entries = classes.select(F.explode("buckets").alias("bucket"), "tid", "n")
-    crowds = entries.groupBy("bucket").agg(F.min(F.struct("tid", "n")).alias("first"), F.max(F.struct("tid", "n")).alias("last")).where("first.tid <> last.tid")
-    crowded = cut(entries.join(crowds, "bucket"))
-    wanted = cut(crowded.select("tid").distinct())
-    keyed = docs.select(_identity(), text_bytes().alias("text"))
-    chosen = keyed.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_KEYS) else wanted, "tid", "left_semi")
-    out = fresh_dir(spark, "candidates")
-    chosen.groupBy("tid").agg(F.first("text").alias("text")).write.parquet(out)
-    known = _components(crowded, spark.read.parquet(out))
-    named = classes.select("tid", "first_id").join(known.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    # texts are numbered once, in a table that all later steps read
+    classes = rows.where("n > 0").groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("buckets").alias("buckets"), F.first("planes").alias("planes"))
+    classes = _written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    entries = classes.select(F.explode("buckets").alias("bucket"), "cid", "n")
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = _written(entries.join(sizes, "bucket"), "buckets")
+    ranked = shared.join(shared.groupBy("cid").agg(F.sum("members").alias("shares")), "cid")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("shares", "cid", "n")).alias("top"))
+    crowded = _written(shared.drop("members").join(hubs.select("bucket", F.col("top.cid").alias("hub"), F.col("top.n").alias("hub_n")), "bucket"), "hubs")
+    wanted = _written(classes.join(crowded.select("cid").distinct(), "cid", "left_semi").select("tid", "cid"), "wanted")
+    known = _components(crowded, classes.select("cid", "planes"), _sets(docs, wanted))
+    named = classes.select("tid", "cid", "first_id").join(known.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_text = named.join(smallest, "root").select("tid", "component_id")
     linked = rows.where("n > 0").select("doc_id", "tid", "n").join(of_text, "tid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
