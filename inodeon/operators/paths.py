@@ -1,12 +1,16 @@
 """Full paths from parent references.
 
-Three plans give the same paths: pointer doubling over the whole forest, a frontier that walks only the wanted rows up, and a
-recursive query. The walk starts at a record and goes on to its parent until it reaches the root, a record it has
+Three plans give the same paths: pointer doubling over the whole forest, a frontier that only looks up the ancestors of the wanted rows,
+and a recursive query. The walk starts at a record and goes on to its parent until it reaches the root, a record it has
 seen, one without a name or one that is missing; paths have at most so many components and UTF-16 units.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +20,12 @@ from inodeon.model import MAX_DEPTH, MAX_UNITS, ROOT
 
 #: Up to so many wanted rows the frontier is used, which touches only their ancestors.
 FRONTIER_ROWS = 200_000
-#: Levels of the frontier that run in one job; then the rows that have arrived leave it.
-FRONTIER_STEP = 8
+#: Ancestors that may be sent to all tasks; 16 bytes and a name each.
+CLOSED_IDS = 1_000_000
+#: Links, 16 bytes each, that are taken as a whole instead of level by level.
+WHOLE_LINKS = 4_000_000
+#: Rows whose chains are laid out at once.
+CHAIN_ROWS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -100,45 +108,84 @@ def components_by_doubling(hierarchy: DataFrame, max_depth: int | None = MAX_DEP
     return _with_own(hierarchy, chains, max_depth)
 
 
-def components_by_frontier(wanted: DataFrame, hierarchy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The same for the wanted records only: one join a level for their different parents, which carry ids; names come last.
+def ancestors(starts: np.ndarray, links: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """``(ids, parents)``, ids ascending, of all records on the way up from some ids; None if they are more than ``CLOSED_IDS``.
 
-    ``wanted`` has record numbers, or with ``parent`` and ``name`` what the hierarchy says of them.
+    ``links`` (cur, parent) of few rows come as a whole; else each level joins the different ids that are new, which are broadcast,
+    until none is.
     """
-    # every level joins the whole hierarchy: read it once, dealt out and sorted by record as all of them need it; without the names where ids do
-    step = hierarchy.select(F.col("record_number").alias("cur"), "parent", "name").repartition("cur").sortWithinPartitions("cur").persist(StorageLevel.DISK_ONLY)
-    if {"parent", "name"} <= set(wanted.columns):
-        own = wanted.select("record_number", "parent", "name")
-    else:
-        own = checkpointed(wanted.select(F.col("record_number").alias("cur")).join(step, "cur").withColumnRenamed("cur", "record_number"))
-    way = own.where(F.col("parent") != ROOT).select(F.col("parent").alias("start")).distinct()
-    way = way.select("start", F.col("start").alias("cur"), F.array().cast("array<bigint>").alias("ids"))
-    links = step.select("cur", "parent")
-    chains: DataFrame | None = None
-    depth = 1
-    while depth < max_depth:
-        for _ in range(min(FRONTIER_STEP, max_depth - depth)):
-            joined = way.join(links, "cur", "left")
-            go = F.col("parent").isNotNull() & ~F.array_contains("ids", F.col("cur"))
-            way = joined.select(
-                "start",
-                F.when(go & (F.col("parent") != ROOT), F.col("parent")).alias("cur"),
-                F.when(go, F.concat(F.array("cur"), "ids")).otherwise(F.col("ids")).alias("ids"),
-            )
-            depth += 1
-        way = checkpointed(way)
-        arrived = way.where("cur is null").select("start", "ids")
-        chains = arrived if chains is None else chains.unionByName(arrived)
-        way = way.where("cur is not null")
-        if way.isEmpty():
+    spark = links.sparkSession
+    if links.count() <= WHOLE_LINKS:
+        found = links.toArrow()
+        ids, first = np.unique(found.column("cur").to_numpy(), return_index=True)
+        parents = found.column("parent").to_numpy()[first]
+        keep, new = np.zeros(len(ids), dtype=bool), np.unique(starts)
+        while len(new) and len(ids):
+            at = np.minimum(np.searchsorted(ids, new), len(ids) - 1)
+            at = at[(ids[at] == new) & ~keep[at]]
+            keep[at] = True
+            new = np.unique(parents[at])
+        return (ids[keep], parents[keep]) if keep.sum() <= CLOSED_IDS else None
+    ids, parents, looked, new = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.unique(starts)
+    while len(new):
+        if len(ids) + len(new) > CLOSED_IDS:
+            return None
+        looked = np.union1d(looked, new)
+        level = links.join(F.broadcast(spark.createDataFrame(pa.table({"cur": new}))), "cur").toArrow()
+        ids, parents = (np.concatenate((x, level.column(c).to_numpy())) for x, c in ((ids, "cur"), (parents, "parent")))
+        new = np.setdiff1d(level.column("parent").to_numpy(), looked)
+    ids, first = np.unique(ids, return_index=True)
+    return ids, parents[first]
+
+
+def components_by_frontier(wanted: DataFrame, hierarchy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame | None:
+    """The same for few wanted records only, or None if their ancestors are too many: the closed set of their ancestors goes to all tasks.
+
+    ``wanted`` has record numbers, or with ``parent`` and ``name`` what the hierarchy says of them. Ids and parents, then the names of the
+    ancestors, at most ``CLOSED_IDS`` rows of each, pass the driver.
+    """
+    spark = hierarchy.sparkSession
+    own = wanted.select("record_number", "parent", "name") if {"parent", "name"} <= set(wanted.columns) else hierarchy.join(wanted.select("record_number"), "record_number", "left_semi")
+    own = checkpointed(own.select("record_number", "parent", "name"))
+    starts = own.where(F.col("parent") != ROOT).select("parent").distinct().toArrow().column("parent").to_numpy()
+    closed = ancestors(starts.astype(np.int64), hierarchy.select(F.col("record_number").alias("cur"), "parent"))
+    if closed is None:
+        return None
+    ids, parents = closed
+    known = F.broadcast(spark.createDataFrame(pa.table({"record_number": ids})))
+    named = hierarchy.join(known, "record_number").select("record_number", "name").toArrow()
+    names = pa.array(named.column("name").to_pylist(), pa.string()).take(pa.array(np.unique(named.column("record_number").to_numpy(), return_index=True)[1]))
+    tree = spark.sparkContext.broadcast((ids, parents, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, CHAIN_ROWS):
+                part = batch.slice(first, CHAIN_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), _chains(part, *tree.value, max_depth)], ["record_number", "components"])
+
+    return own.mapInArrow(run, "record_number long, components array<string>")
+
+
+def _chains(rows: pa.RecordBatch, ids: np.ndarray, parents: np.ndarray, names: pa.Array, max_depth: int) -> pa.ListArray:
+    """Names from the uppermost ancestor down to each row's own; a walk ends before an id that it has seen, or that is unknown."""
+    start, cur = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    going = np.ones(len(start), dtype=bool)
+    places: list[np.ndarray] = []  # of the ancestors at each level, -1 beyond the end
+    while len(places) < max_depth - 1 and len(ids):
+        at = np.minimum(np.searchsorted(ids, cur), len(ids) - 1)
+        going &= (ids[at] == cur) & (cur != start)
+        for level in places:
+            going &= at != level
+        if not going.any():
             break
-    chains = way.select("start", "ids") if chains is None else chains.unionByName(way.select("start", "ids"))
-    each = chains.select("start", F.posexplode("ids").alias("pos", "cur"))
-    names = each.select("cur").distinct().join(step.select("cur", "name"), "cur")
-    named = each.join(names, "cur").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "cur", "name"))).alias("all"))
-    found = checkpointed(_with_own(own, named.select("start", F.col("all.cur").alias("ids"), F.col("all.name").alias("names")), max_depth))
-    step.unpersist()
-    return found
+        places.append(np.where(going, at, -1))
+        cur = parents[at]
+    above = np.stack(places[::-1], axis=1) if places else np.empty((len(start), 0), dtype=np.int64)
+    # each row's own name stands behind those of all ancestors
+    full = np.concatenate((above, len(names) + np.arange(len(start))[:, None]), axis=1)
+    lengths = (full >= 0).sum(axis=1)
+    values = pa.concat_arrays([names.cast(pa.string()), rows.column(2).cast(pa.string())]).take(pa.array(full[full >= 0]))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), values)
 
 
 def components_by_recursion(wanted: DataFrame, hierarchy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -161,22 +208,28 @@ def components_by_recursion(wanted: DataFrame, hierarchy: DataFrame, max_depth:
 def resolve_paths(wanted: DataFrame, records: DataFrame, drive: str = "", plan: str = "auto", max_depth: int = MAX_DEPTH, max_units: int | None = MAX_UNITS) -> DataFrame:
     """``wanted`` with ``full_path``: null for the root, with ``X:\\`` in front if the drive is known."""
     hierarchy = lookup(records)
-    if plan == "auto":
-        # few rows are kept, so that what finds them runs once
-        few = checkpointed(wanted.limit(FRONTIER_ROWS + 1))
-        plan = "frontier" if few.count() <= FRONTIER_ROWS else "doubling"
-        wanted = few if plan == "frontier" else wanted
-    if plan == "frontier":
-        # records bring their own parent and name, so that these need no look up
-        known = {"parent_record_number", "file_name"} <= set(wanted.columns)
-        starts = lookup(wanted) if known else wanted.select("record_number").where(F.col("record_number") != ROOT)
-        found = components_by_frontier(starts.distinct(), hierarchy, max_depth)
-    elif plan == "recursion":
+    found, kept = None, False
+    if plan in ("auto", "frontier"):
+        # the records are read once, for what finds the wanted ones and for their ancestors
+        kept = not records.is_cached
+        if kept:
+            records.persist(StorageLevel.MEMORY_AND_DISK)
+        if plan == "frontier" or wanted.count() <= FRONTIER_ROWS:
+            wanted = checkpointed(wanted)
+            # records bring their own parent and name, so that these need no look up
+            known = {"parent_record_number", "file_name"} <= set(wanted.columns)
+            starts = lookup(wanted) if known else wanted.select("record_number").where(F.col("record_number") != ROOT)
+            found = components_by_frontier(starts.distinct(), hierarchy, max_depth)
+            found = None if found is None else checkpointed(found)
+        plan = plan if found is not None else "doubling"
+    if plan == "recursion":
         found = components_by_recursion(wanted.select("record_number").distinct(), hierarchy, max_depth)
     elif plan == "doubling":
         found = components_by_doubling(hierarchy, max_depth)
-    else:
+    elif found is None:
         raise ValueError(f"unknown plan {plan!r}")
+    if kept:
+        records.unpersist()
     path = capped_path(F.col("components"), max_units)
     prefixed = F.concat(F.lit(drive + ":" + SEPARATOR), path) if drive else path
     found = found.select("record_number", F.when(path != "", prefixed).alias("full_path"))

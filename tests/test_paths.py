@@ -74,3 +74,19 @@ def test_small_forests(spark):
     assert got == {5: None, 100: "C:\\Users", 200: "C:\\Users\\test", 300: "C:\\Users\\test\\file.txt"}
     with pytest.raises(ValueError, match="unknown plan"):
         paths.resolve_paths(rows, rows, plan="none")
+
+
+def test_frontier_level_by_level_and_beyond_its_bound(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(5, 5, ".")] + [(i, rng.choice([5, rng.randint(6, i), rng.randint(6, 400)]) if i > 6 else 5, f"n{i}" if i % 17 else "") for i in range(6, 400)]
+    rows += [(500, 501, "a"), (501, 502, "b"), (502, 500, "c"), (600, 600, "self"), (700, 9999, "gone")]
+    records = spark.createDataFrame(rows, "record_number long, parent_record_number long, file_name string")
+    wanted = records.where("record_number % 3 = 0 or record_number >= 500")
+    want = {r.record_number: r.full_path for r in paths.resolve_paths(wanted, records, plan="doubling").collect()}
+    for whole, closed in ((4_000_000, 1_000_000), (0, 1_000_000), (0, 10), (4_000_000, 10)):
+        monkeypatch.setattr(paths, "WHOLE_LINKS", whole)
+        monkeypatch.setattr(paths, "CLOSED_IDS", closed)
+        assert {r.record_number: r.full_path for r in paths.resolve_paths(wanted, records, drive="").collect()} == want
+    assert not records.is_cached
