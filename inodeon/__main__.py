@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inodeon.model import MatchFlags
 from inodeon.operators import match, stats
@@ -23,15 +22,18 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--skip-prefix", choices=("true", "false", "auto"), default="auto")
     parser.add_argument("--out", help="write all rows there as Parquet instead of showing some")
     parser.add_argument("--rows", type=int, default=25, help="rows to show")
-    parser.add_argument("--report", action="store_true", help="what the slices of a scan took, instead of a search")
+    parser.add_argument("--report", action="store_true", help="what a scan took in all its tasks, instead of a search")
     return parser.parse_args(argv)
 
 
 def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     options = {"layout": "volume" if args.volume else "image", "skipPrefix": args.skip_prefix}
     if args.report:
-        timed = mft.timed_scan(spark, args.image, **options)
-        return stats.report(timed.withColumn("ms", F.col("io_ms") + F.col("parse_ms")), "first", "records", "ms")
+        rows, seen = mft.measured_image(spark, args.image, **options)
+        rows.write.format("noop").mode("overwrite").save()
+        spent = seen.get
+        timed = spark.createDataFrame([(args.image, spent["total_records"], spent["io_ms"] + spent["fixup_ms"] + spent["parse_ms"])], "image string, records long, ms double")
+        return stats.report(timed, "image", "records", "ms")
     records = mft.read_image(spark, args.image, drive=args.drive, **options)
     if args.text is None:
         return match.first_names(records, args.rows)

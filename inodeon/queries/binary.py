@@ -125,10 +125,13 @@ def s08_fixup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r06_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices of a scan, with what they took; times differ from run to run, so only their order is compared."""
-    timed = mft.timed_scan(spark, _image(spark, sf_dir), recordsPerPartition=4096)
-    whole = (F.col("io_ms") >= 0) & (F.col("fixup_ms") > 0) & (F.col("parse_ms") > 0)
-    return timed.select("first", "records", "used", whole.alias("timed"))
+    """What a search for a name finds, and what the very scan that it ran came to; times differ from run to run, so only their presence is compared."""
+    rows, seen = mft.measured_image(spark, _image(spark, sf_dir), recordsPerPartition=4096)
+    found = match.find_by_name(rows, ".git").groupBy("parent_record_number").agg(F.count("*").alias("n")).agg(F.sum("n").alias("found"), F.count("*").alias("parents"))
+    found = paths.checkpointed(found)
+    totals = seen.get
+    timed = all(totals[k] > 0 for k in ("io_ms", "fixup_ms", "parse_ms"))
+    return found.select(*(F.lit(totals[k]).cast("long").alias(k) for k in ("total_records", "used_records", "bytes")), "found", "parents", F.lit(timed).alias("timed"))
 
 
 def s04_volume_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,11 +209,9 @@ def u17_warm_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s22_skip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image behind a prefix of 20 bytes, found by looking."""
-    path = _folder(spark, "prefixed") + "/table.mft"
-    n = min(mft.CHUNK, read(spark, sf_dir, "supplier").count())
-    with files.create(path) as out:
-        out.write(b"\0" * mft.PREFIX + synthetic.image(0, n))
+    """An image whose files have a prefix of 20 bytes, found by looking."""
+    path = _folder(spark, "prefixed")
+    mft.write_image(spark, path, read(spark, sf_dir, "supplier").count(), prefix=True)
     return mft.read_image(spark, path, skipPrefix="auto").select("record_number", "file_name")
 
 
@@ -505,7 +506,7 @@ ORACLE_SQL: dict[str, str] = {
     "s21_synth_counts": SYNTH_SQL,
     "s05_image_scan": f"WITH {IMAGE_SQL} SELECT *, true AS fixup_ok FROM image",
     "s08_fixup": f"WITH {IMAGE_SQL} SELECT record_number % 10 AS digit, record_number % {TORN} <> {TORN - 1} AS fixup_ok, count(*) AS n, max(record_number) AS last FROM image GROUP BY 1, 2",
-    "r06_timings": f"WITH {IMAGE_SQL} SELECT s.first, least(4096, n - s.first)::BIGINT AS records, (SELECT count(*) FROM image WHERE record_number // 4096 = s.first // 4096) AS used, true AS timed FROM (SELECT unnest(range(0, n, 4096)) AS first, n FROM (SELECT count(*) AS n FROM orders)) s",
+    "r06_timings": f"WITH {IMAGE_SQL} SELECT (SELECT count(*) FROM orders) AS total_records, count(*) AS used_records, (SELECT count(*) * 1024 FROM orders) AS bytes, count(*) FILTER (file_name = '.git') AS found, count(DISTINCT parent_record_number) FILTER (file_name = '.git') AS parents, true AS timed FROM image",
     "s22_skip_prefix": f"WITH {IMAGE_SQL} SELECT record_number, file_name FROM image WHERE record_number < (SELECT count(*) FROM supplier)",
     "u08_stream_with_cursor": _J + "SELECT batch, count(*) AS n_entries, max(usn) + 1 AS next_usn FROM (SELECT usn, (usn > (SELECT max(usn) // 2 FROM jrn))::BIGINT AS batch FROM jrn) GROUP BY batch",
     "u11_session_watch": _J + "SELECT CASE record_number % 2 WHEN 0 THEN 'C' ELSE 'D' END AS drive, usn, record_number, file_name FROM jrn WHERE usn > (SELECT max(usn) // 2 FROM jrn)",

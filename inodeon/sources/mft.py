@@ -18,7 +18,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan, StringContains, WriterCommitMessage
 
 from inodeon.model import MFT_RECORDS, RECORD_SIZE
@@ -26,6 +27,8 @@ from inodeon.sources import files, ntfs, synthetic
 
 PREFIX = 20
 CHUNK = 8192
+#: With ``measured``, the first row of every chunk says what the chunk took; a chunk without live records has such a row without a record.
+MEASURES = "slots long, bytes long, io_ms double, fixup_ms double, parse_ms double"
 
 
 @dataclass
@@ -44,7 +47,8 @@ class MftSource(DataSource):
         return "mft"
 
     def schema(self) -> str:
-        return MFT_RECORDS
+        measured = {k.lower(): v for k, v in self.options.items()}.get("measured", "false").lower() == "true"
+        return f"{MFT_RECORDS}, {MEASURES}" if measured else MFT_RECORDS
 
     def reader(self, schema: object) -> DataSourceReader:
         options = dict(self.options)
@@ -64,6 +68,7 @@ class MftReader(DataSourceReader):
         self.per_partition = int(get("recordsperpartition", "65536"))
         self.drive = get("drive", "")
         self.skip = get("skipprefix", "false").lower()
+        self.measured = get("measured", "false").lower() == "true"
         self.filters: list[Filter] = []
 
     def extents(self) -> list[tuple[str, int | None, int, int]]:
@@ -73,10 +78,12 @@ class MftReader(DataSourceReader):
         if self.layout != "image":
             raise ValueError(f"unknown layout {self.layout!r}")
         if files.is_folder(self.path):
-            names = files.names(self.path, ".mft")
-            return [(f"{self.path}/{n}", int(n.removeprefix("part-").removesuffix(".mft")), 0, files.size(f"{self.path}/{n}")) for n in names]
-        start = PREFIX if self.skip == "true" or self.skip == "auto" and has_prefix(self.path) else 0
-        return [(self.path, None, start, files.size(self.path) - start)]
+            parts = [(f"{self.path}/{n}", int(n.removeprefix("part-").removesuffix(".mft")), size) for n, size in files.sizes(self.path, ".mft")]
+        else:
+            parts = [(self.path, None, files.size(self.path))]
+        # all parts of an image are written alike
+        start = PREFIX if self.skip == "true" or self.skip == "auto" and parts and has_prefix(parts[0][0]) else 0
+        return [(path, first, start, size - start) for path, first, size in parts]
 
     def partitions(self) -> list[Slice]:
         out, after = [], 0
@@ -91,7 +98,16 @@ class MftReader(DataSourceReader):
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         for at in range(0, part.count, CHUNK):
             n = min(CHUNK, part.count - at)
-            yield self._batch(ntfs.decode(self._raw(part, at, n), part.first + at, self.record_size))
+            marks = [time.perf_counter()]
+            raw = self._raw(part, at, n)
+            marks.append(time.perf_counter())
+            spent: list[float] = []
+            batch = self._batch(ntfs.decode(raw, part.first + at, self.record_size, spent))
+            marks.append(time.perf_counter())
+            if self.measured:
+                io, decoded = (1000 * (b - a) for a, b in zip(marks, marks[1:]))
+                batch = _measured(batch, [n, len(raw), io, 1000 * sum(spent), decoded - 1000 * sum(spent)])
+            yield batch
 
     def _raw(self, part: Slice, at: int, n: int) -> bytes:
         raw = files.read_range(part.path, part.offset + at * self.record_size, n * self.record_size)
@@ -124,6 +140,30 @@ class MftReader(DataSourceReader):
         return batch
 
 
+def _measured(batch: pa.RecordBatch, values: list) -> pa.RecordBatch:
+    """The batch with the measures of its chunk in its first row."""
+    names = [m.split()[0] for m in MEASURES.split(", ")]
+    rows = max(1, batch.num_rows)
+    own = [c if batch.num_rows else pa.nulls(1, c.type) for c in batch.columns]
+    kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
+    more = [pa.concat_arrays([pa.array([v], t), pa.nulls(rows - 1, t)]) for v, t in zip(values, kinds)]
+    return pa.RecordBatch.from_arrays([*own, *more], [*batch.schema.names, *names])
+
+
+def measured_image(spark: SparkSession, path: str, **options: object) -> tuple[DataFrame, Observation]:
+    """The live records, and what the scan that reads them comes to, once an action has run over them.
+
+    The observation has total_records, used_records, bytes, io_ms, fixup_ms and parse_ms, summed over all tasks of that one pass, whatever
+    is made of the records after it.
+    """
+    seen = Observation()
+    rows = read_image(spark, path, measured=True, **options)
+    names = [m.split()[0] for m in MEASURES.split(", ")]
+    sums = [F.coalesce(F.sum(n), F.lit(0)).alias("total_records" if n == "slots" else n) for n in names]
+    rows = rows.observe(seen, *sums, F.count("record_number").alias("used_records"))
+    return rows.where("record_number is not null").drop(*names), seen
+
+
 class PushingReader(MftReader):
     """A reader that takes over predicates; Spark accepts one only where its setting allows."""
 
@@ -188,19 +228,22 @@ class Part(WriterCommitMessage):
 class ImageWriter(DataSourceWriter):
     """Synthetic images: rows ``(first long, count long)``, one file ``part-<first>.mft`` for each.
 
-    With ``tornEvery`` k, every k-th record has a torn sector: its last word isn't the record's mark.
+    With ``tornEvery`` k, every k-th record has a torn sector: its last word isn't the record's mark. With ``prefix`` true, 20 bytes stand before
+    the first record of each file.
     """
 
     def __init__(self, options: dict[str, str]) -> None:
         get = {k.lower(): v for k, v in options.items()}.get
         self.path = get("path") or ""
         self.torn = int(get("tornevery", "0"))
+        self.prefix = get("prefix", "false").lower() == "true"
 
     def write(self, rows: Iterator) -> Part:
         last = ""
         for first, count in rows:
             last = f"{self.path}/part-{first:012d}.mft"
             with files.create(last) as out:
+                out.write(b"\0" * PREFIX * self.prefix)
                 for at in range(first, first + count, CHUNK):
                     raw = bytearray(synthetic.image(at, min(at + CHUNK, first + count)))
                     if self.torn:
@@ -227,32 +270,6 @@ def write_image(spark: SparkSession, folder: str, n: int, per_file: int = CHUNK,
     writer.mode("append").save()
 
 
-def timed_scan(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    """``(first, records, used, io_ms, fixup_ms, parse_ms)`` by slice of a scan: what its reads, its fixups and all its decoding took."""
-    reader = MftReader({"path": path, **{k: str(v) for k, v in options.items()}})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, count, offset, file in zip(*(c.to_pylist() for c in batch.columns)):
-                part, spent, used = Slice(first, count, offset, file), [0.0, 0.0, 0.0], 0
-                for at in range(0, count, CHUNK):
-                    n = min(CHUNK, count - at)
-                    marks = [time.perf_counter()]
-                    raw = reader._raw(part, at, n)
-                    marks.append(time.perf_counter())
-                    ntfs.apply_fixups(np.frombuffer(raw, dtype=np.uint8).reshape(n, -1).copy())
-                    marks.append(time.perf_counter())
-                    used += len(ntfs.decode(raw, first + at, reader.record_size)["record_number"])
-                    marks.append(time.perf_counter())
-                    spent = [s + b - a for s, a, b in zip(spent, marks, marks[1:])]
-                values = [first, count, used, *(s * 1000 for s in spent)]
-                yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(("first", "records", "used", "io_ms", "fixup_ms", "parse_ms"), values)})
-
-    slices = [(s.first, s.count, s.offset, s.path) for s in reader.partitions()]
-    frame = spark.createDataFrame(slices, "first long, records long, offset long, path string").repartition(max(1, len(slices)), "first")
-    return frame.mapInArrow(run, "first long, records long, used long, io_ms double, fixup_ms double, parse_ms double")
-
-
 def write_volume(path: str, n: int) -> None:
     """A volume of n synthetic records whose table lies in four runs out of order, the last two of them named by an extension record."""
     cluster, total = 4096, -(-n * RECORD_SIZE // 4096)

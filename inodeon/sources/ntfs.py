@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ def strings(units: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.array([raw[2 * (e - n) : 2 * e].decode("utf-16-le", "replace") for n, e in zip(lengths.tolist(), ends.tolist())], pa.string())
 
 
-def decode(raw: bytes, first: int, record_size: int = RECORD_SIZE) -> dict[str, object]:
+def decode(raw: bytes, first: int, record_size: int = RECORD_SIZE, spent: list[float] | None = None) -> dict[str, object]:
     """Columns of the live records among ``raw``: base records in use that have a name outside the DOS namespace.
 
     The name is the first resident one; attributes come from the standard information if it stands before that name, else
@@ -71,7 +72,10 @@ def decode(raw: bytes, first: int, record_size: int = RECORD_SIZE) -> dict[str,
     base = _word(records, np.full(n, 0x20), 8) & np.uint64(REFERENCE_MASK)
     live = np.flatnonzero(magic & ((flags & 1) != 0) & (base == 0))
     records, number, flags = records[live], first + live, flags[live]
+    began = time.perf_counter()
     fixed = apply_fixups(records) if len(records) else np.zeros(0, dtype=bool)
+    if spent is not None:  # the seconds that fixups took
+        spent.append(time.perf_counter() - began)
     m = len(records)
     at = _word(records, np.full(m, 0x14), 2).astype(np.int64) if m else np.zeros(0, dtype=np.int64)
     name_at, standard = np.full(m, -1), np.full(m, -1, dtype=np.int64)

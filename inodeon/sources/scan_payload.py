@@ -10,12 +10,12 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from inodeon.model import SCAN_RECORDS
 from inodeon.sources import files, ntfs
@@ -25,26 +25,46 @@ MAGIC, VERSION = 0x4D4C5343, 1
 HEADER, ROW = struct.Struct("<IiiQQ"), struct.Struct("<QQQqIIiiii")
 FIELDS = np.dtype([("record", "<u8"), ("parent", "<u8"), ("size", "<u8"), ("ticks", "<i8"), ("attributes", "<u4"), ("directory", "<u4"), ("name_at", "<i4"), ("name", "<i4"), ("path_at", "<i4"), ("path", "<i4")])
 LIMIT = 2**31 - 1
-#: Rows of a file at most, and rows that are read at once.
-FILE_ROWS = 1 << 19
+#: Bytes at which a file ends, well below the format's limit, since a task holds a file; rows of a file that are looked at and read at once.
+FILE_BYTES = 64 << 20
+BATCH_ROWS = 1 << 13
 SLICE_ROWS = 1 << 16
 _SCHEMA = pa.schema([("record_number", pa.int64()), ("parent_record_number", pa.int64()), ("size", pa.decimal128(20, 0)), ("last_write_ticks", pa.int64()), ("attributes", pa.int64()), ("is_directory", pa.bool_()), ("name", pa.string()), ("path", pa.string())])
 
 
-def encode(rows: list[tuple]) -> bytes:
-    """``(record, parent, size, ticks, attributes, is_directory, name, path)`` rows as one file."""
-    heap, table = bytearray(), bytearray()
-    base = HEADER.size + ROW.size * len(rows)
-    for record, parent, size, ticks, attributes, directory, name, path in rows:
-        places = []
-        for text in (name or "", path or ""):
-            raw = text.encode("utf-16-le")
-            places += [base + len(heap), len(raw)]
-            heap += raw
-        if base + len(heap) > LIMIT:
-            raise ValueError("a scan payload can't be larger than 2 GiB; write more partitions")
-        table += ROW.pack(record, parent, int(size), ticks, attributes, int(directory), *places)
-    return HEADER.pack(MAGIC, VERSION, len(rows), len(table), len(heap)) + table + heap
+def heap_of(names: pa.Array, paths: pa.Array) -> tuple[bytes, np.ndarray]:
+    """Both columns' texts as UTF-16, each row's name and then its path, and the ends of all of them in bytes; nulls are empty."""
+    n = len(names)
+    both = pa.concat_arrays([pc.fill_null(c.cast(pa.large_string()), "") for c in (names, paths)])
+    both = both.take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
+    _, offsets, data = both.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[both.offset : both.offset + 2 * n + 1] if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    # a character's first byte says whether it takes one unit or two
+    units = np.r_[0, np.cumsum(((raw & 0xC0) != 0x80).astype(np.int64) + (raw >= 0xF0))]
+    return raw.tobytes().decode("utf-8").encode("utf-16-le"), 2 * units[ends[1:] - ends[0]]
+
+
+def encode(batches: list[pa.RecordBatch]) -> bytes:
+    """Rows of the payload's columns as one file."""
+    rows = pa.Table.from_batches(batches, _SCHEMA).combine_chunks() if batches else _SCHEMA.empty_table()
+    n = rows.num_rows
+    column = lambda name: rows.column(name).combine_chunks() if n else pa.array([], _SCHEMA.field(name).type)
+    heap, ends = heap_of(column("name"), column("path"))
+    base = HEADER.size + ROW.size * n
+    if base + len(heap) > LIMIT:
+        raise ValueError("a scan payload can't be larger than 2 GiB; write smaller batches")
+    table = np.zeros(n, dtype=FIELDS)
+    numbers = {"record": "record_number", "parent": "parent_record_number", "ticks": "last_write_ticks", "attributes": "attributes"}
+    for field, name in numbers.items():
+        table[field] = pc.fill_null(column(name), 0).to_numpy(zero_copy_only=False)
+    table["size"] = pc.fill_null(column("size"), 0).cast(pa.uint64()).to_numpy(zero_copy_only=False)
+    table["directory"] = pc.fill_null(column("is_directory"), False).to_numpy(zero_copy_only=False)
+    sizes = np.diff(np.r_[0, ends])
+    for k, field in enumerate(("name", "path")):
+        table[f"{field}_at"] = base + ends[k::2] - sizes[k::2]
+        table[field] = sizes[k::2]
+    return HEADER.pack(MAGIC, VERSION, n, table.nbytes, len(heap)) + table.tobytes() + heap
 
 
 def _texts(heap: bytes, at: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -105,7 +125,7 @@ class PayloadSource(DataSource):
     def reader(self, schema: object) -> DataSourceReader:
         return PayloadReader(self.options["path"])
 
-    def writer(self, schema: object, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: object, overwrite: bool) -> DataSourceArrowWriter:
         return PayloadWriter(self.options["path"])
 
 
@@ -121,20 +141,37 @@ class PayloadReader(DataSourceReader):
         yield decode(part.path, part.first, part.count)
 
 
-class PayloadWriter(DataSourceWriter):
-    """Tasks write under temporary names; only a committed job's files get their own."""
+class PayloadWriter(DataSourceArrowWriter):
+    """Tasks write under temporary names; only a committed job's files get their own.
+
+    A file ends with the batch that brings it to ``FILE_BYTES``, by rows and by twice the UTF-8 bytes of its texts, which UTF-16 doesn't exceed.
+    """
 
     def __init__(self, path: str) -> None:
         self.path = path.rstrip("/")
 
-    def write(self, rows: Iterator) -> Written:
-        paths, own = [], True
-        while own:
-            own = [tuple(r) for r in islice(rows, FILE_ROWS)]
-            if own or not paths:
-                paths.append(f"{self.path}/{uuid.uuid4().hex}.scan.tmp")
-                with files.create(paths[-1]) as out:
-                    out.write(encode(own))
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        paths: list[str] = []
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def put() -> None:
+            paths.append(f"{self.path}/{uuid.uuid4().hex}.scan.tmp")
+            with files.create(paths[-1]) as out:
+                out.write(encode(held))
+            held.clear()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                texts = sum(pc.sum(pc.binary_length(part.column(c))).as_py() or 0 for c in ("name", "path"))
+                held.append(pa.RecordBatch.from_arrays([part.column(f.name).cast(f.type) for f in _SCHEMA], schema=_SCHEMA))
+                size += ROW.size * part.num_rows + 2 * texts
+                if size >= FILE_BYTES:
+                    put()
+                    size = 0
+        if held or not paths:
+            put()
         return Written(paths)
 
     def commit(self, messages: list[Written | None]) -> None:

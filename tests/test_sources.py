@@ -1,6 +1,8 @@
 import struct
+from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,10 +212,16 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
 SCAN = [(5, 5, 0, 0, 0x10, True, "C:", "C:\\"), (100, 5, 2048, 638000000000000000, 0x20, False, "nöte.txt", "C:\\nöte.txt"), (7, 5, 2**64 - 1, 1, 0x20, False, "\U0001f600", "")]
 
 
+def payload(rows):
+    columns = list(zip(*rows))
+    columns[2] = [Decimal(v) for v in columns[2]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, scan_payload._SCHEMA)], schema=scan_payload._SCHEMA)
+
+
 def test_payload(spark, tmp_path, monkeypatch):
-    assert len(scan_payload.encode([(1, 0, 512, 100, 0x20, False, "ab", "X:\\ab")])) == 98
+    assert len(scan_payload.encode([payload([(1, 0, 512, 100, 0x20, False, "ab", "X:\\ab")])])) == 98 and len(scan_payload.encode([])) == 28
     place = tmp_path / "one.scan"
-    place.write_bytes(scan_payload.encode(SCAN))
+    place.write_bytes(scan_payload.encode([payload(SCAN[:1]), payload(SCAN[1:])]))
     rows = lambda first, count: [tuple(int(v) if k == 2 else v for k, v in enumerate(r.values())) for r in scan_payload.decode(str(place), first, count).to_pylist()]
     assert scan_payload.row_count(str(place)) == len(SCAN) and rows(0, len(SCAN)) == SCAN
     assert rows(1, 2) == SCAN[1:3] and rows(0, 0) == []
@@ -313,8 +321,26 @@ def test_folder_of_parts_with_torn_sectors(spark, tmp_path):
     live = np.flatnonzero(~r["zeroed"] & (r["base_reference"] == 0))
     assert sorted(got) == live.tolist()
     assert all(got[i].fixup_ok == (i % 7 != 6) for i in live) and got[int(live[-1])].file_name == r["file_name"][live[-1]]
-    timed = mft.timed_scan(spark, folder, recordsPerPartition=250).collect()
-    assert sum(t.records for t in timed) == 1000 and sum(t.used for t in timed) == len(live) and all(t.parse_ms > 0 for t in timed)
+    rows, seen = mft.measured_image(spark, folder, recordsPerPartition=250)
+    assert rows.where("file_name = '.git'").count() == rows.where("file_name = '.git'").count() > 0
+    timed = seen.get
+    assert timed["total_records"] == 1000 and timed["used_records"] == len(live) and timed["bytes"] == 1000 * 1024 and timed["parse_ms"] > 0 < timed["fixup_ms"]
+
+
+def test_measured_chunks_without_records(spark, tmp_path):
+    (tmp_path / "zero.mft").write_bytes(b"\0" * 10240)
+    rows, seen = mft.measured_image(spark, str(tmp_path / "zero.mft"))
+    assert rows.count() == 0 and seen.get["total_records"] == 10 and seen.get["used_records"] == 0
+
+
+def test_payload_files_end_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan_payload, "FILE_BYTES", 4000)
+    monkeypatch.setattr(scan_payload, "BATCH_ROWS", 16)
+    some = [(i, 5, i, 0, 0x20, False, None if i % 9 == 0 else "n\u00f6\U0001f600" * (i % 5), f"C:\\{i}") for i in range(300)]
+    done = scan_payload.PayloadWriter(str(tmp_path)).write(iter([payload(some[:200]), payload(some[200:])]))
+    assert len(done.paths) > 5
+    got = [r for p in done.paths for r in scan_payload.decode(p, 0, scan_payload.row_count(p)).to_pylist()]
+    assert [(r["record_number"], r["name"], r["path"]) for r in got] == [(i, name or "", path) for i, _, _, _, _, _, name, path in some]
 
 
 def test_prefix_is_found(spark, image, tmp_path):
@@ -416,3 +442,11 @@ def test_command_line(spark, image, tmp_path):
     assert "1000 records in" in cli.result(spark, cli.arguments([image, "--report"])).first().line
     with pytest.raises(SystemExit):
         cli.arguments([])
+
+
+def test_prefixed_parts_of_more_than_a_chunk(spark, tmp_path):
+    mft.write_image(spark, str(tmp_path / "image"), 9000, prefix=True)
+    got = {r.record_number: r.file_name for r in mft.read_image(spark, str(tmp_path / "image"), skipPrefix="auto").select("record_number", "file_name").collect()}
+    r = synthetic.rows(0, 9000)
+    live = np.flatnonzero(~r["zeroed"] & (r["base_reference"] == 0)).tolist()
+    assert sorted(got) == live and all(got[i] == r["file_name"][i] for i in live)
