@@ -5,9 +5,9 @@ one has none). It is a plain ``array<long>`` in ascending order, so sketches of
 their union, and three estimates follow from one or two sketches: resemblance, containment and the number of distinct shingles. All of
 it is DataFrame expressions; a sketch of fewer than K hashes is complete and its estimates are exact.
 
-Neighbours in the order of ids are found without a global sort of texts: keys alone are dealt out in ranges and every so many of them heads a
-bucket; texts then go to their buckets in one shuffle, and the text of each head also to the bucket before. Buckets have a bounded number of
-rows however sparse, dense or repeated the ids are.
+Neighbours in the order of ids are found without a global sort of texts. Rows of one doc_id and text are one row with a number at first. Their keys
+alone are put in order, in ranges that Spark draws, and get numbers; every ``BUCKET_ROWS`` numbers are a bucket, and the text of each bucket's first
+row also goes to the bucket before. So buckets have a bounded number of rows whatever the input, however sparse, dense or repeated the ids.
 
 Edge cases: a null text counts as empty; two empty sketches have resemblance 1, an empty and a non-empty one 0; equal
 texts have equal sketches; repeated rows are rows of their own; rows of one doc_id are ordered among themselves by a hash of the text; an empty
@@ -16,18 +16,16 @@ table gives an empty result; other columns are ignored. Rows without a doc_id co
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inodeon.llm.common import cut, text_hash
+from inodeon.llm.common import in_order, text_hash
 
 SHINGLE = 5
 K = 128
-#: Different rows of a bucket, about, and buckets at most: their heads' keys, 24 bytes each, are what every task gets.
+#: Different rows of a bucket, and repeats of a row that one task makes at once.
 BUCKET_ROWS = 512
-MAX_HEADS = 65_536
+REPEATS = 1024
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -83,60 +81,50 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"d": at, "h": text_hash("text")})
 
 
-def _heads(keys: DataFrame, bucket_rows: int) -> DataFrame:
-    """``(d, h, parts)``: every ``bucket_rows``-th different key in order, and each key of so many rows that it takes several parts."""
-    different = cut(keys.groupBy("d", "h").agg(F.count("*").alias("n")))
-    rows = max(bucket_rows, -(-(different.agg(F.sum("n")).first()[0] or 0) // MAX_HEADS))
-    # the low 33 bits of this number count the rows of a partition
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = different.repartitionByRange("d", "h").sortWithinPartitions("d", "h").withColumn("place", place)
-    parts = F.greatest(F.floor(F.col("n") / rows), F.lit(1)).cast("int")
-    return cut(ranged.where((F.col("place") % rows == 0) | (F.col("n") >= 2 * rows)).select("d", "h", parts.alias("parts")))
-
-
-def _bucketed(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """The rows with ``spot``: struct<bucket, parts, head>, the number of the last head that isn't behind the row, its parts, and whether it has the row's key."""
-    steps = F.sequence(F.lit(1), F.lit(MAX_HEADS.bit_length() + 8))
-    # at most half as many again as MAX_HEADS, and one for each partition; as a constant, tasks get them with their code
-    listed = sorted((r["d"], r["h"], r["parts"]) for r in heads.collect())
-    every = F.from_json(F.lit(json.dumps([dict(zip(("d", "h", "parts"), r)) for r in listed])), "array<struct<d:long,h:long,parts:int>>")
-
-    def search(known: Column) -> Column:
-        def half(at: Column, _: Column) -> Column:
-            middle = F.floor((at["low"] + at["high"] + 1) / 2).cast("int")
-            head = F.get(known, middle - 1)
-            not_behind = (head["d"] < F.col("d")) | ((head["d"] == F.col("d")) & (head["h"] <= F.col("h")))
-            return F.when(not_behind, F.struct(middle.alias("low"), at["high"].alias("high"))).otherwise(F.struct(at["low"].alias("low"), (middle - 1).alias("high")))
+def _successors(docs: DataFrame, bucket_rows: int) -> DataFrame:
+    """The different rows ``(doc_id, text, sk)`` with next_text and next_sk, those of the next row in descending order of doc_id, around the end.
 
-        last = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(known).alias("high")), half, lambda at: at["low"])
-        return F.element_at(F.transform(F.array(last), lambda i: F.struct(i.alias("bucket"), F.get(known, i - 1).alias("at"), F.size(known).alias("of"), F.get(known, (i - 2 + F.size(known)) % F.size(known))["parts"].alias("before"))), 1)
-
-    found = F.element_at(F.transform(F.array(every), search), 1)
-    return rows.withColumn("spot", found).withColumn("head", (F.col("spot.at.d") == F.col("d")) & (F.col("spot.at.h") == F.col("h")))
+    ``times`` says how many rows each of these is: a row that is there n times is followed by its like n - 1 times.
+    """
+    rows = _keyed(docs)
+    order = in_order(rows.groupBy("d", "h").agg(F.count("*").alias("n")), F.col("d"), F.col("h"))
+    total, most = order.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    order = order.drop("n")
+    different = rows.groupBy("d", "h").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    at = F.col("place") - 1
+    bucket = F.floor(at / bucket_rows)
+    spot = lambda b, p, ghost: F.struct(b.cast("long").alias("bucket"), p.cast("long").alias("at"), F.lit(ghost).alias("ghost"))
+    head = F.when((at % bucket_rows == 0) & (at > 0), F.array(spot(bucket - 1, at, True))).when(at == 0, F.array(spot(F.lit((max(total, 1) - 1) // bucket_rows), F.lit(total), True)))
+    spots = F.concat(F.array(spot(bucket, at, False)), F.coalesce(head, F.array().cast("array<struct<bucket:long,at:long,ghost:boolean>>")))
+    dealt = different.join(order, ["d", "h"]).select("doc_id", "text", "n", F.explode(spots).alias("spot")).select("doc_id", "text", "n", "spot.*")
+    # sketches are made where rows arrive, so that they don't travel
+    every = with_sketch(dealt.repartition("bucket"), "text", "sk")
+    by = Window.partitionBy("bucket").orderBy("at")
+    nexts = every.withColumns({"next_text": F.lead("text").over(by), "next_sk": F.lead("sk").over(by)})
+    alike = F.struct(F.col("text").alias("next_text"), F.col("sk").alias("next_sk"), (F.col("n") - 1).alias("times"))
+    after = F.struct("next_text", "next_sk", F.lit(1).cast("long").alias("times"))
+    ways = F.when((F.col("n") > 1) & (F.col("n") <= REPEATS), F.array(after, alike)).otherwise(F.array(after))
+    found = nexts.where("not ghost").select("doc_id", "text", "sk", F.explode(ways).alias("way")).select("doc_id", "text", "sk", "way.*")
+    if most <= REPEATS:
+        return found
+    # what is there very often is dealt out in parts
+    often = different.where(F.col("n") > REPEATS).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / REPEATS))))
+    often = often.withColumn("times", F.least(F.lit(REPEATS).cast("long"), F.col("n") - 1 - F.col("part") * REPEATS)).repartition("part", "d", "h")
+    often = with_sketch(often, "text", "sk")
+    return found.unionByName(often.select("doc_id", "text", "sk", F.col("text").alias("next_text"), F.col("sk").alias("next_sk"), "times"))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Each row as many times as its ``times`` says."""
+    return rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("k", "times")
 
 
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The rows ``(doc_id, text, sk)`` with next_text and next_sk, those of the next row in descending order of doc_id, around the end.
+    """All rows ``(doc_id, text, sk)`` with next_text and next_sk, those of the next row in descending order of doc_id, around the end.
 
-    Of rows with equal keys, which are alike, all but one are followed by their like. A key of very many rows is spread over the parts of
-    its bucket.
+    Of rows with equal doc_id and text, which are alike, all but one are followed by their like.
     """
-    rows = _keyed(docs)
-    spots = _bucketed(rows, _heads(rows.select("d", "h"), bucket_rows))
-    parts = F.col("spot.at.parts")
-    part = F.when(F.col("head") & (parts > 1), F.floor(F.rand(7) * parts).cast("int")).otherwise(parts - 1)
-    own = spots.select("doc_id", "text", "d", "h", F.col("spot.bucket").alias("bucket"), part.alias("part"), F.lit(0).alias("ghost"))
-    # a head's text also goes to the last part of the bucket before, and to all but the last part of its own
-    one = spots.where("head").groupBy("d", "h").agg(F.first("text").alias("text"), F.first("spot").alias("spot"))
-    wrapped = F.when(F.col("spot.bucket") > 1, F.col("spot.bucket") - 1).otherwise(F.col("spot.of"))
-    before = F.struct(wrapped.alias("bucket"), (F.col("spot.before") - 1).alias("part"))
-    repeats = F.when(parts > 1, F.transform(F.sequence(F.lit(0), parts - 2), lambda i: F.struct(F.col("spot.bucket").alias("bucket"), i.alias("part"))))
-    ghosts = one.select("d", "h", "text", F.explode(F.concat(F.array(before), F.coalesce(repeats, F.array().cast("array<struct<bucket:int,part:int>>")))).alias("to"))
-    ghosts = ghosts.select(F.lit(None).cast("long").alias("doc_id"), "text", "d", "h", F.col("to.bucket").alias("bucket"), F.col("to.part").alias("part"), F.lit(1).alias("ghost"))
-    every = with_sketch(own.unionByName(ghosts), "text", "sk")
-    order = Window.partitionBy("bucket", "part").orderBy("ghost", "d", "h")
-    nexts = every.withColumns({"next_text": F.lead("text").over(order), "next_sk": F.lead("sk").over(order)})
-    return nexts.where("ghost = 0").select("doc_id", "text", "sk", "next_text", "next_sk")
+    return _repeated(_successors(docs, bucket_rows))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -147,9 +135,9 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and how alike it finds the edited and the next text."""
-    rows = with_next(docs.select("doc_id", "text"))
+    rows = _successors(docs.select("doc_id", "text"), BUCKET_ROWS)
     rows = with_sketch(rows.withColumn("edited", edited(F.col("text"), F.col("next_text"))), "edited", "edited_sk")
-    return rows.select(
+    made = rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -157,4 +145,6 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         written(F.col("edited_sk")).alias("edited_fingerprint"),
         resemblance(F.col("sk"), F.col("edited_sk")).alias("near_edited"),
         resemblance(F.col("sk"), F.col("next_sk")).alias("near_next"),
+        "times",
     )
+    return _repeated(made)

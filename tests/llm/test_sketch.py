@@ -72,3 +72,19 @@ def test_repeated_and_empty(spark):
     out = sketch.fingerprint_edits(frame(spark, rows)).collect()
     assert len(out) == 4
     assert sketch.fingerprint_edits(frame(spark, [])).count() == 0
+
+
+def test_very_many_repeats_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "REPEATS", 16)
+    rows = [(i * i, f"text {i}") for i in range(100)]
+    against_order(spark, rows + [(77, "one id")] * 90 + [(None, "no id")] * 17 + [(3, "two")] * 16, 16)
+    against_order(spark, [(None, "no id")] * 50, 4)
+
+
+def test_texts_of_a_million_characters(spark):
+    long = " ".join(f"word{i % 5000}x{i}" for i in range(90_000))
+    rows = [(3, long, "en", "s", 1, "e", "k"), (2, long[: len(long) // 2], "en", "s", 1, "e", "k"), (1, "short", "en", "s", 1, "e", "k")]
+    got = {r.doc_id: r for r in sketch.fingerprint_edits(frame(spark, rows)).collect()}
+    half = len(long) // 2
+    edit = long[: len(long) - half] + rows[1][1][:half]
+    assert got[3].edited_sha256 == hashlib.sha256(edit.encode()).hexdigest() and abs(got[3].near_next - alike(shingles(long), shingles(rows[1][1]))) < 0.15
