@@ -17,6 +17,7 @@ from inodeon.operators import match, paths
 from inodeon.plans.virtual import JRN_SQL, PATHS_SQL, VOL_SQL, journal, read, volume
 from inodeon.sources import files, frames, mft, ntfs, scan_payload, synthetic, usn_journal
 from inodeon.streaming.batchlog import BatchLog
+from inodeon.streaming.inventory import LiveInventory
 from inodeon.streaming.session import Drive, WatchSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +143,26 @@ def s04_volume_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_number", "parent_record_number", "flags", "file_name", "fixup_ok")
 
 
+def s12_point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scattered records of a volume in several runs, by number; some numbers are beyond its end."""
+    path = _folder(spark, "volume") + "/disk.img"
+    n = read(spark, sf_dir, "customer").count()
+    mft.write_volume(path, n)
+    wanted = read(spark, sf_dir, "orders").select((F.col("o_custkey").cast("long") * 7 % (2 * n)).alias("record_number"))
+    return mft.point_reads(spark, wanted, path, layout="volume").select("record_number", "parent_record_number", "flags", "file_name", "fixup_ok")
+
+
+def a09_live_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume with the changes of a stream in two runs, each entry arriving twice."""
+    folder, live = _folder(spark, "journal"), LiveInventory(spark, _folder(spark, "live"))
+    half = journal(spark, sf_dir).agg(F.expr("max(usn) div 2")).first()[0]
+    for part in (f"usn <= {half}", f"usn > {half}"):
+        _written_journal(spark, sf_dir, part, folder)
+        again = [usn_journal.stream_journal(spark, folder, journal_id=JOURNAL_ID, drive="C") for _ in range(2)]
+        live.follow(again[0].unionByName(again[1]), {"availableNow": True}).awaitTermination()
+    return live.records(volume(spark, sf_dir).withColumn("drive", F.lit("C"))).select("record_number", "file_name", "parent_record_number")
+
+
 def p05_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes of the live records, from their standard information."""
     return mft.read_image(spark, _image(spark, sf_dir)).select("record_number", "file_attributes")
@@ -492,6 +513,8 @@ QUERIES: dict[str, Query] = {
     "u07_bounded_batches": u07_bounded_batches,
     "k05_committed_batches": k05_committed_batches,
     "s17_split_segment": s17_split_segment,
+    "s12_point_reads": s12_point_reads,
+    "a09_live_inventory": a09_live_inventory,
 }
 
 _J = f"WITH {JRN_SQL} "
@@ -512,6 +535,8 @@ ORACLE_SQL: dict[str, str] = {
     "u11_session_watch": _J + "SELECT CASE record_number % 2 WHEN 0 THEN 'C' ELSE 'D' END AS drive, usn, record_number, file_name FROM jrn WHERE usn > (SELECT max(usn) // 2 FROM jrn)",
     "u12_error_isolation": _J + "SELECT chr((67 + record_number % 6)::INTEGER) AS drive, count(*) AS n_entries, NULL::VARCHAR AS message FROM jrn WHERE record_number % 6 IN (0, 2) GROUP BY 1 UNION ALL VALUES ('D', 0, 'JournalWrapped'), ('F', 0, 'JournalNotActive'), ('G', 0, 'JournalError'), ('H', 0, 'JournalDeleting')",
     "s04_volume_scan": f"WITH {IMAGE_SQL} SELECT *, true AS fixup_ok FROM image WHERE record_number < (SELECT count(*) FROM customer)",
+    "s12_point_reads": f"WITH {IMAGE_SQL} SELECT *, true AS fixup_ok FROM image WHERE record_number < (SELECT count(*) FROM customer) AND record_number IN (SELECT o_custkey * 7 % (2 * (SELECT count(*) FROM customer)) FROM orders)",
+    "a09_live_inventory": f"WITH {VOL_SQL}, {JRN_SQL}, l AS (SELECT * FROM jrn QUALIFY row_number() OVER (PARTITION BY record_number ORDER BY usn DESC) = 1) SELECT coalesce(v.record_number, l.record_number) AS record_number, coalesce(l.file_name, v.file_name) AS file_name, coalesce(l.parent_record_number, v.parent_record_number) AS parent_record_number FROM vol v FULL JOIN l ON v.record_number = l.record_number WHERE coalesce((l.reason & 512) = 0, true)",
     "p05_attributes": ATTRIBUTES_SQL,
     "u13_late_subscriber": _J + "SELECT 'D' AS drive, usn, record_number FROM jrn WHERE record_number % 2 = 1",
     "u16_rescan": f"WITH {IMAGE_SQL}, {JRN_SQL} SELECT 'C' AS drive, (SELECT count(*) FROM image WHERE (flags & 2) <> 0 AND record_number <> 5) AS directories, (SELECT max(usn) // 2 + 1 FROM jrn) AS first_usn, (SELECT max(usn) + 1 FROM jrn) AS next_usn",

@@ -27,6 +27,10 @@ from inodeon.sources import files, ntfs, synthetic
 
 PREFIX = 20
 CHUNK = 8192
+#: Records of a neighbourhood, bytes that are rather read than skipped, and bytes of one read at most, when single records are looked up.
+NEIGHBOURS = 65_536
+GAP = 32 << 10
+READ_BYTES = 8 << 20
 #: With ``measured``, the first row of every chunk says what the chunk took; a chunk without live records has such a row without a record.
 MEASURES = "slots long, bytes long, io_ms double, fixup_ms double, parse_ms double"
 
@@ -253,6 +257,48 @@ class ImageWriter(DataSourceWriter):
         return Part(last)
 
 
+def point_reads(spark: SparkSession, wanted: DataFrame, path: str, **options: object) -> DataFrame:
+    """The live records among some ``record_number``s, and with each what was ``bytes_read`` for it and others at once (on the first one only).
+
+    Numbers are dealt out by neighbourhoods of ``NEIGHBOURS`` records, so that those close to each other are looked up by one task; the pieces of the
+    table, by the sums of their lengths, say where each lies, and numbers whose records are at most ``GAP`` bytes apart are read at once, ``READ_BYTES`` at most.
+    """
+    reader = MftReader({"path": path, **{k: str(v) for k, v in options.items()}})
+    size = reader.record_size
+    pieces, after = [], 0
+    for file, first, offset, length in reader.extents():
+        first = after if first is None else first
+        after = first + length // size
+        pieces.append((first, after, offset, file))
+    starts = np.array([p[0] for p in pieces], dtype=np.int64)
+
+    def reads(numbers: np.ndarray) -> Iterator[tuple[str, int, np.ndarray]]:
+        """``(file, offset, numbers)``: numbers that are read at once, and where the first of them lies."""
+        piece = np.searchsorted(starts, numbers, "right") - 1
+        inside = np.array([k >= 0 and n < pieces[k][1] for k, n in zip(piece.tolist(), numbers.tolist())], dtype=bool)
+        piece, numbers = piece[inside], numbers[inside]
+        cuts = np.flatnonzero((np.diff(piece) != 0) | (np.diff(numbers) > GAP // size) | (np.diff(numbers // (READ_BYTES // size)) != 0)) + 1
+        for own, some in zip(np.split(numbers, cuts), np.split(piece, cuts)):
+            if len(own):
+                first, _, offset, file = pieces[some[0]]
+                yield file, offset + (int(own[0]) - first) * size, own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, offset, numbers in reads(batch.column(0).to_numpy()) if pieces else ():
+                length = int(numbers[-1] - numbers[0] + 1) * size
+                raw = np.frombuffer(files.read_range(file, offset, length), dtype=np.uint8).reshape(-1, size)
+                found = ntfs.decode(raw[numbers - numbers[0]].tobytes(), 0, size)
+                rows = len(found["record_number"])
+                found["record_number"] = numbers[found["record_number"]]
+                out = reader._batch(found)
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([length] + [0] * (rows - 1) if rows else [], pa.int64())], [*out.schema.names, "bytes_read"])
+
+    numbers = wanted.where("record_number >= 0").select(F.col("record_number").cast("long").alias("record_number")).distinct()
+    dealt = numbers.repartition(F.floor(F.col("record_number") / NEIGHBOURS)).sortWithinPartitions("record_number")
+    return dealt.mapInArrow(run, f"{MFT_RECORDS}, bytes_read long")
+
+
 def write_synthetic(path: str, n: int) -> None:
     """One image file of n synthetic records, a chunk at a time."""
     with files.create(path) as out:

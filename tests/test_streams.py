@@ -119,3 +119,37 @@ def test_log_keeps_each_batch_once_and_compacts(spark, tmp_path):
     assert sorted((r.drive, r.usn) for r in again.rows().collect()) == [("C", 1), ("C", 2), ("D", 5)]
     assert again.cursors() == {"C": (7, 3), "D": (7, 6)} and again.errors() == {"D": "gone"}
     assert [r.usn for r in again.rows(drive="D").collect()] == [5]
+
+
+def test_point_reads_read_little_and_miss_nothing(spark, tmp_path):
+    from inodeon.sources import mft, synthetic
+
+    path = str(tmp_path / "disk.img")
+    mft.write_volume(path, 5000)
+    rows = synthetic.rows(0, 5000)
+    live = set((~rows["zeroed"] & (rows["base_reference"] == 0)).nonzero()[0].tolist())
+    wanted = [0, 5, 77, 78, 79, 1200, 1249, 1250, 1251, 2499, 2500, 2501, 3000, 4998, 4999, 5000, 10**9, -3, 77]
+    frame = spark.createDataFrame([(n,) for n in wanted], "record_number long")
+    got = mft.point_reads(spark, frame, path, layout="volume").collect()
+    assert {r.record_number for r in got} == live & set(wanted) and len(got) == len(live & set(wanted))
+    assert all(r.file_name == rows["file_name"][r.record_number] for r in got if r.record_number > 5)
+    assert sum(r.bytes_read for r in got) < 60 * 1024
+    many = mft.point_reads(spark, spark.range(0, 5000, 2).withColumnRenamed("id", "record_number"), path, layout="volume").collect()
+    assert {r.record_number for r in many} == {n for n in live if n % 2 == 0} and sum(r.bytes_read for r in many) <= 5000 * 1024
+
+
+def test_live_inventory_takes_late_and_repeated_entries_once(spark, tmp_path):
+    from inodeon.streaming.inventory import LiveInventory
+
+    entry = lambda record, usn, name, reason=2: (record, 5, usn, 1, reason, 0, name)
+    first = [entry(1, 10, "a"), entry(2, 11, "b"), entry(1, 12, "a2"), entry(3, 13, "c", 0x200), entry(9, 14, "new", 0x100)]
+    usn_journal.append_segment(str(tmp_path / "j"), 7, 10, 15, first)
+    scan = spark.createDataFrame([("C", i, 5, f"old{i}") for i in range(1, 5)], "drive string, record_number long, parent_record_number long, file_name string")
+    live = LiveInventory(spark, str(tmp_path / "live"))
+    assert live.changes() is None and live.records(scan).count() == 4
+    for segment in ([], [entry(1, 8, "older"), entry(3, 20, "c", 0x100)], [entry(3, 13, "c", 0x200), entry(4, 21, "d", 0x80000200)]):
+        if segment:
+            usn_journal.append_segment(str(tmp_path / "j"), 7, max(15, segment[-1][2]), segment[-1][2] + 1, segment)
+        live.follow(usn_journal.stream_journal(spark, str(tmp_path / "j"), 1 if segment else 0, 7 if segment else 0, "C"), {"availableNow": True}).awaitTermination()
+    again = LiveInventory(spark, str(tmp_path / "live"))
+    assert {(r.record_number, r.file_name) for r in again.records(scan).collect()} == {(1, "a2"), (2, "b"), (3, "c"), (9, "new")}
