@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inodeon.llm.common import cut, text_hash
+from inodeon.llm.common import cut, fresh_dir, text_hash
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -130,11 +130,18 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _with_pieces(spotted: DataFrame) -> DataFrame:
-    """The rows with identifiers, ``base`` of them found once, and their ``pieces``; they have ``body`` and ``base``."""
-    # the number keeps the filter, and with it another search for identifiers, from moving below the search
-    kept = spotted.withColumn("number", F.monotonically_increasing_id()).where((F.size("base") > 0) & (F.col("number") >= 0)).drop("number")
-    return kept.withColumn("blocks", F.regexp_extract_all(F.col("body"), F.lit(f"(?s).{{1,{BLOCK}}}+"), 0)).withColumn("pieces", _pieces()).drop("blocks")
+def _spotted(docs: DataFrame, row: Column) -> DataFrame:
+    """``(row, h, base, pieces)`` of every row, written once: the hash of its text, its identifiers, and what stands between them.
+
+    ``pieces`` is null where there are no identifiers. Everything that follows reads this table, so that patterns are matched once.
+    """
+    rows = with_base_spans(docs.select(F.coalesce("text", F.lit("")).alias("body"), row.alias("row")), "body")
+    some = F.size("base") > 0
+    rows = rows.withColumn("blocks", F.when(some, F.regexp_extract_all(F.col("body"), F.lit(f"(?s).{{1,{BLOCK}}}+"), 0)))
+    rows = rows.withColumn("pieces", F.when(some, _pieces())).select("row", text_hash("body").alias("h"), "base", "pieces")
+    out = fresh_dir(docs.sparkSession, "spotted")
+    rows.write.parquet(out)
+    return docs.sparkSession.read.parquet(out)
 
 
 def _pieces() -> Column:
@@ -194,17 +201,16 @@ def _beginnings(term: Column) -> Column:
     return F.explode(F.transform(F.sequence(F.lit(1), F.length(term)), lambda i: F.substring(term, F.lit(1), i)))
 
 
-def revealing_terms(docs: DataFrame) -> DataFrame:
+def revealing_terms(docs: DataFrame, spotted: DataFrame) -> DataFrame:
     """``(h, swaps)`` of the texts with revealing terms: by the hash of the text, its ``struct<term, kind, swap>`` by term.
 
-    Texts of equal rows are looked at once and weigh as many rows as there are.
+    ``spotted`` says what identifiers the documents have. Texts of equal rows are looked at once and weigh as many rows as there are.
     """
     body = docs.select(F.coalesce("text", F.lit("")).alias("body"))
     n = docs.count()
-    spotted = _with_pieces(with_base_spans(body, "body"))
     names = F.array_distinct(F.transform("base", _entity))
     terms = F.array_distinct(F.flatten(F.transform("pieces", lambda p: _terms(p["inner"]))))
-    spotted = spotted.select(text_hash("body").alias("h"), names.alias("entities"), terms.alias("terms"))
+    spotted = spotted.where(F.size("base") > 0).select("h", names.alias("entities"), terms.alias("terms"))
     texts = cut(spotted.groupBy("h").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
 
     # entities in exactly the same texts, by two hashes of that set, are one
@@ -255,13 +261,13 @@ def _with_swaps(docs: DataFrame, row: Column) -> tuple[DataFrame, DataFrame]:
 
     Only rows with identifiers are dealt out.
     """
-    swaps = cut(revealing_terms(docs)).withColumnRenamed("h", "_h")
-    rows = with_base_spans(docs.select(F.coalesce("text", F.lit("")).alias("body"), row.alias("row")), "body")
-    found = _with_pieces(rows).withColumn("h", text_hash("body")).drop("body")
+    rows = _spotted(docs, row)
+    swaps = cut(revealing_terms(docs, rows)).withColumnRenamed("h", "_h")
+    found = rows.where(F.size("base") > 0)
     found = found.join(swaps, found["h"] == swaps["_h"], "left")
     # as many steps as it takes to halve the list down to one
     halves = F.sequence(F.lit(1), F.ceil(F.log2(F.size("swaps") + 1.0)).cast("int") + 1)
-    return rows.where(F.size("base") == 0).select("row", "body"), found.withColumn("halves", halves)
+    return rows.where(F.size("base") == 0).select("row"), found.withColumn("halves", halves)
 
 
 def _term_spans() -> Column:

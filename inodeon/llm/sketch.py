@@ -24,7 +24,7 @@ from inodeon.llm.common import in_order, text_hash
 SHINGLE = 5
 K = 128
 #: Different rows of a bucket, and repeats of a row that one task makes at once.
-BUCKET_ROWS = 512
+BUCKET_ROWS = 64
 REPEATS = 1024
 _WHITE = r"[\x20\x09-\x0D]+"
 
