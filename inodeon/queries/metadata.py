@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from inodeon.functions import text as tx
 from inodeon.model import ATTRIBUTES, REASONS, MatchFlags, ScanProfile
 from inodeon.operators import journal as jr
 from inodeon.operators import match, paths, stats
-from inodeon.plans.virtual import JRN_SQL, NATION, PATHS_SQL, VOL_SQL, journal, read, volume
+from inodeon.operators.pathindex import PathIndex
+from inodeon.plans.virtual import CUSTOMER, JRN_SQL, NATION, PATHS_SQL, REGION, VOL_SQL, journal, read, volume
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,6 +225,47 @@ def h06(spark, sf):
     return found.select("record_number", paths.name_of_path(F.col("full_path")).alias("name"))
 
 
+#: Directories whose names change (nations) and that move below another one (some customers), in Spark and in SQL.
+MOVED_SQL = f"""changed AS (
+  SELECT ({NATION} + n_nationkey)::BIGINT AS record_number, ({REGION} + n_regionkey)::BIGINT AS parent, n_name || ' (old)' AS name FROM nation WHERE n_regionkey = 1
+  UNION ALL SELECT ({CUSTOMER} + c_custkey)::BIGINT, ({NATION} + (c_nationkey + 1) % 25)::BIGINT, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 5
+), moved AS (
+  SELECT v.record_number, coalesce(c.parent, v.parent_record_number) AS parent, coalesce(c.name, v.file_name) AS name, v.parent_record_number AS old_parent, c.record_number IS NOT NULL AS top FROM vol v LEFT JOIN changed c USING (record_number)
+), old AS (
+  SELECT record_number, top AS hit FROM moved WHERE old_parent = 5 AND record_number <> 5
+  UNION ALL SELECT m.record_number, o.hit OR m.top FROM moved m JOIN old o ON m.old_parent = o.record_number
+), again AS (
+  SELECT record_number, name AS path FROM moved WHERE parent = 5 AND record_number <> 5
+  UNION ALL SELECT m.record_number, a.path || chr(92) || m.name FROM moved m JOIN again a ON m.parent = a.record_number
+)"""
+
+
+def _changes(spark, sf):
+    nations, customers = read(spark, sf, "nation"), read(spark, sf, "customer")
+    c = F.col
+    renamed = nations.where("n_regionkey = 1").select((c("n_nationkey") + NATION).cast("long").alias("record_number"), (c("n_regionkey") + REGION).cast("long").alias("parent_record_number"), F.concat("n_name", F.lit(" (old)")).alias("file_name"))
+    moved = customers.where("c_mktsegment = 'BUILDING' and c_nationkey < 5")
+    return renamed.unionByName(moved.select((c("c_custkey") + CUSTOMER).cast("long").alias("record_number"), ((c("c_nationkey") + 1) % 25 + NATION).cast("long").alias("parent_record_number"), c("c_name").alias("file_name")))
+
+
+def _index(spark, sf):
+    return PathIndex(spark, f"{paths.shared_folder(spark)}/path-index-{uuid.uuid4().hex}").build(volume(spark, sf))
+
+
+@query("h02_renamed_subtrees", f"WITH RECURSIVE {VOL_SQL}, {MOVED_SQL} SELECT record_number, path AS full_path FROM again JOIN old USING (record_number) WHERE hit")
+def h02_renamed(spark, sf):
+    """The paths of all below directories that were renamed or moved; only these subtrees are resolved anew."""
+    return _index(spark, sf).renamed(_changes(spark, sf)).select("record_number", "full_path")
+
+
+@query("h02_subtree_range", f"WITH RECURSIVE {VOL_SQL}, {MOVED_SQL} SELECT record_number, path AS full_path FROM again WHERE path = 'AMERICA' OR starts_with(path, 'AMERICA' || chr(92))")
+def h02_subtree(spark, sf):
+    """All below one region after the changes, as a range of the index."""
+    after = _index(spark, sf).apply(_changes(spark, sf), f"{paths.shared_folder(spark)}/path-index-{uuid.uuid4().hex}")
+    region = read(spark, sf, "region").where("r_name = 'AMERICA'").select("r_regionkey").first()[0]
+    return after.below(REGION + region).select("record_number", "full_path")
+
+
 FOREST = [(0, 0, "$MFT"), (1, 0, "$MFT"), (5, 5, "."), (10, 20, "a"), (20, 10, "b"), (30, 10, "tail"), (40, 999, "orphan"), (41, 40, "child"), (50, 50, "self"), (60, 5, "top"), (61, 60, "leaf")]
 
 
