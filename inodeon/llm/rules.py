@@ -213,7 +213,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: fl
     held = stats.where(~fails_base()).join(known, "doc_id")
     levels = [sum((value > c).cast("int") for c in LADDERS[rule]).alias(rule) for rule, value in rule_values().items()]
     counts = (
-        held.select(F.coalesce("lang", F.lit("")).alias("stratum"), (F.xxhash64("doc_id", F.lit(SEED)) % 2 == 0).alias("decides"), "quality", *levels)
+        held.select(F.col("lang").alias("stratum"), (F.xxhash64("doc_id", F.lit(SEED)) % 2 == 0).alias("decides"), "quality", *levels)
         .groupBy("stratum", "decides", *LADDERS)
         .agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     )
@@ -225,7 +225,8 @@ def cutoffs(stats: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: fl
         numbers = lambda half: (half[list(LADDERS)].to_numpy(), half["good"].to_numpy())
         steps = proposed(*numbers(first), first["bad"].to_numpy(), limit)
         chosen = certified(steps, *numbers(second), level, limit)
-        out: dict[str, object] = {"stratum": pdf["stratum"].iloc[0]}
+        stratum = pdf["stratum"].iloc[0]
+        out: dict[str, object] = {"stratum": None if pd.isna(stratum) else stratum}
         out |= {rule: ladder[chosen[r]] if r in chosen else None for r, (rule, ladder) in enumerate(LADDERS.items())}
         return pd.DataFrame([out]).astype({rule: "float64" for rule in LADDERS})
 
@@ -237,7 +238,7 @@ def verdicts(stats: DataFrame, chosen: DataFrame) -> DataFrame:
     """``stats`` with base_failed and kept."""
     chosen = chosen.select(F.col("stratum").alias("_stratum"), *(F.col(r).alias(f"_{r}") for r in LADDERS))
     side = F.broadcast(chosen) if small_enough(chosen, MAX_STRATA) else chosen
-    joined = stats.join(side, F.coalesce("lang", F.lit("")) == F.col("_stratum"), "left")
+    joined = stats.join(side, F.col("lang").eqNullSafe(F.col("_stratum")), "left")
     rejected = F.lit(False)
     for rule, value in rule_values().items():
         rejected = rejected | F.coalesce(value > F.col(f"_{rule}"), F.lit(False))

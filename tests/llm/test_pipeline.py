@@ -28,8 +28,8 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert {r.doc_id for r in last} == set(kept["mix_sources"]) and all(r.lossless for r in last)
 
 
-def test_eleven_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_queries_of_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "pii", "mix_sources", "sentencepiece"]
 
 
