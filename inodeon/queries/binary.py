@@ -174,10 +174,9 @@ def p22_utf16_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [n.encode("utf-16-le") for n in batch.column(1).to_pylist()]
-            units = np.frombuffer(b"".join(raw), dtype="<u2")
-            lengths = np.array([len(r) // 2 for r in raw], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ntfs.strings(units, lengths), pa.array(lengths)], ["c_custkey", "name", "units"])
+            raw, ends = ntfs.units_of(batch.column(1))
+            lengths = np.diff(np.r_[0, ends])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ntfs.strings(np.frombuffer(raw, dtype="<u2"), lengths), pa.array(lengths)], ["c_custkey", "name", "units"])
 
     rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.concat("c_name", tail).alias("name"))
     return rows.mapInArrow(run, "c_custkey long, name string, units long")
@@ -279,15 +278,15 @@ def _written_journal(spark: SparkSession, sf_dir: str, where: str = "true", fold
 def _written_journals(spark: SparkSession, sf_dir: str, drive: F.Column, where: str = "true", folder: str = "") -> str:
     """The same in a folder of each drive's own below one folder, all drives by one job."""
     folder = folder or _folder(spark, "journal")
-    rows = journal(spark, sf_dir).where(where).select("usn", "record_number", "parent_record_number", timestamp_to_filetime(F.col("ts").cast("timestamp")).alias("filetime"), "reason", "file_name")
+    rows = journal(spark, sf_dir).where(where).select("usn", "record_number", "parent_record_number", timestamp_to_filetime(F.col("ts").cast("timestamp")).alias("filetime"), "reason", F.lit(32).cast("long").alias("file_attributes"), "file_name")
 
-    def write(pdf):
-        entries = [(int(r.record_number), int(r.parent_record_number), int(r.usn), int(r.filetime), int(r.reason), 32, r.file_name) for r in pdf.sort_values("usn").itertuples()]
-        first = int(pdf["segment"].iloc[0]) * SEGMENT
-        usn_journal.append_segment(f"{folder}/{pdf['drive'].iloc[0]}", JOURNAL_ID, max(first, entries[0][2]), entries[-1][2] + 1, entries)
-        return pdf[["segment"]].head(1)
+    def write(entries: pa.Table) -> pa.Table:
+        entries = entries.sort_by("usn")
+        first, usn = entries.column("segment")[0].as_py() * SEGMENT, entries.column("usn")
+        usn_journal.append_segment(f"{folder}/{entries.column('drive')[0].as_py()}", JOURNAL_ID, max(first, usn[0].as_py()), usn[-1].as_py() + 1, entries)
+        return entries.select(["segment"]).slice(0, 1)
 
-    rows.withColumns({"segment": F.expr(f"usn div {SEGMENT}"), "drive": drive}).groupBy("drive", "segment").applyInPandas(write, "segment long").count()
+    rows.withColumns({"segment": F.expr(f"usn div {SEGMENT}"), "drive": drive}).groupBy("drive", "segment").applyInArrow(write, "segment long").count()
     return folder
 
 

@@ -14,7 +14,7 @@ from inodeon.model import ATTRIBUTES, REASONS, MatchFlags, ScanProfile
 from inodeon.operators import journal as jr
 from inodeon.operators import match, paths, stats
 from inodeon.operators.pathindex import PathIndex
-from inodeon.plans.virtual import CUSTOMER, JRN_SQL, NATION, PATHS_SQL, REGION, VOL_SQL, journal, read, volume
+from inodeon.plans.virtual import CUSTOMER, JRN_SQL, NATION, ORDER, PATHS_SQL, REGION, VOL_SQL, journal, read, volume
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -266,13 +266,14 @@ def h02_subtree(spark, sf):
     return after.below(REGION + region).select("record_number", "full_path")
 
 
-FOREST = [(0, 0, "$MFT"), (1, 0, "$MFT"), (5, 5, "."), (10, 20, "a"), (20, 10, "b"), (30, 10, "tail"), (40, 999, "orphan"), (41, 40, "child"), (50, 50, "self"), (60, 5, "top"), (61, 60, "leaf")]
-
-
 @query(
     "h02_cycle_orphan",
-    "WITH RECURSIVE f(r, p, n) AS (VALUES " + ", ".join(f"({r}::BIGINT, {p}::BIGINT, '{n}')" for r, p, n in FOREST) + """),
-    walk AS (
+    f"""WITH RECURSIVE f AS (
+      SELECT ({CUSTOMER} + c_custkey)::BIGINT AS r, ({CUSTOMER} + c_custkey // 5 * 5 + (c_custkey + 1) % 5)::BIGINT AS p, c_name AS n FROM customer
+      UNION ALL SELECT ({ORDER} + o_orderkey)::BIGINT,
+        (CASE o_orderkey % 7 WHEN 0 THEN {9 * ORDER} + o_orderkey WHEN 1 THEN {ORDER} + o_orderkey WHEN 2 THEN 5 ELSE {CUSTOMER} + o_custkey END)::BIGINT, 'Order#' || o_orderkey::VARCHAR FROM orders
+      UNION ALL SELECT 5::BIGINT, 5::BIGINT, '.'
+    ), walk AS (
       SELECT r AS s, p AS cur, [r] AS ids, n AS path, 1 AS d FROM f WHERE r <> 5
       UNION ALL
       SELECT w.s, f.p, list_append(w.ids, f.r), f.n || chr(92) || w.path, w.d + 1 FROM walk w JOIN f ON f.r = w.cur
@@ -281,7 +282,14 @@ FOREST = [(0, 0, "$MFT"), (1, 0, "$MFT"), (5, 5, "."), (10, 20, "a"), (20, 10, "
     SELECT s AS record_number, arg_max(path, d) AS full_path FROM walk GROUP BY s UNION ALL SELECT 5::BIGINT, NULL""",
 )
 def h02_cycle(spark, sf):
-    rows = spark.createDataFrame([(r, p, 3, n) for r, p, n in FOREST], "record_number long, parent_record_number long, flags int, file_name string")
+    """Customers that are each other's parents in rounds of five, with orders below them; other orders' parents are missing, themselves, or the root."""
+    c, number = F.col, F.lit(1).cast("long")
+    customers = read(spark, sf, "customer").select((c("c_custkey") + CUSTOMER * number).alias("record_number"), (F.expr("c_custkey div 5 * 5 + (c_custkey + 1) % 5") + CUSTOMER * number).alias("parent_record_number"), c("c_name").alias("file_name"))
+    kind, own = c("o_orderkey") % 7, c("o_orderkey") + ORDER * number
+    parent = F.when(kind == 0, c("o_orderkey") + 9 * ORDER * number).when(kind == 1, own).when(kind == 2, F.lit(5)).otherwise(c("o_custkey") + CUSTOMER * number)
+    orders = read(spark, sf, "orders").select(own.alias("record_number"), parent.alias("parent_record_number"), F.concat(F.lit("Order#"), c("o_orderkey").cast("string")).alias("file_name"))
+    root = spark.range(5, 6).select(c("id").alias("record_number"), c("id").alias("parent_record_number"), F.lit(".").alias("file_name"))
+    rows = customers.unionByName(orders).unionByName(root)
     return paths.resolve_paths(rows, rows, plan="doubling").select("record_number", "full_path")
 
 

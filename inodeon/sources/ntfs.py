@@ -59,6 +59,18 @@ def strings(units: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.array([raw[2 * (e - n) : 2 * e].decode("utf-16-le", "replace") for n, e in zip(lengths.tolist(), ends.tolist())], pa.string())
 
 
+def units_of(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """Texts laid end to end as UTF-16, and the ends of all of them in units; nulls are empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    # a character's first byte says whether it takes one unit or two
+    units = np.r_[0, np.cumsum(((raw & 0xC0) != 0x80).astype(np.int64) + (raw >= 0xF0))]
+    return raw.tobytes().decode("utf-8").encode("utf-16-le"), units[ends[1:] - ends[0]]
+
+
 def decode(raw: bytes, first: int, record_size: int = RECORD_SIZE, spent: list[float] | None = None) -> dict[str, object]:
     """Columns of the live records among ``raw``: base records in use that have a name outside the DOS namespace.
 

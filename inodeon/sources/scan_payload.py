@@ -35,14 +35,9 @@ _SCHEMA = pa.schema([("record_number", pa.int64()), ("parent_record_number", pa.
 def heap_of(names: pa.Array, paths: pa.Array) -> tuple[bytes, np.ndarray]:
     """Both columns' texts as UTF-16, each row's name and then its path, and the ends of all of them in bytes; nulls are empty."""
     n = len(names)
-    both = pa.concat_arrays([pc.fill_null(c.cast(pa.large_string()), "") for c in (names, paths)])
-    both = both.take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
-    _, offsets, data = both.buffers()
-    ends = np.frombuffer(offsets, dtype=np.int64)[both.offset : both.offset + 2 * n + 1] if n else np.zeros(1, np.int64)
-    raw = np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]]
-    # a character's first byte says whether it takes one unit or two
-    units = np.r_[0, np.cumsum(((raw & 0xC0) != 0x80).astype(np.int64) + (raw >= 0xF0))]
-    return raw.tobytes().decode("utf-8").encode("utf-16-le"), 2 * units[ends[1:] - ends[0]]
+    both = pa.concat_arrays([c.cast(pa.large_string()) for c in (names, paths)])
+    heap, ends = ntfs.units_of(both.take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel())))
+    return heap, 2 * ends
 
 
 def encode(batches: list[pa.RecordBatch]) -> bytes:

@@ -57,15 +57,33 @@ _SCHEMA = pa.schema(
 _DRIVES_SCHEMA = _SCHEMA.append(pa.field("error", pa.string()))
 
 
+#: The fixed part of a record, in the format's order.
+RECORD = np.dtype([("length", "<u4"), ("major", "<u2"), ("minor", "<u2"), ("record", "<u8"), ("parent", "<u8"), ("usn", "<i8"), ("filetime", "<i8"), ("reason", "<u4"), ("source", "<u4"), ("security", "<u4"), ("attributes", "<u4"), ("name", "<u2"), ("name_at", "<u2")])
+_ENTRY = ("record_number", "parent_record_number", "usn", "filetime", "reason", "file_attributes", "file_name")
+
+
+def encode_columns(next_usn: int, entries: pa.Table) -> bytes:
+    """A read buffer of the entries' columns, in their order."""
+    names, ends = ntfs.units_of(entries.column("file_name").combine_chunks() if entries.num_rows else pa.array([], pa.string()))
+    sizes = 2 * np.diff(np.r_[0, ends])
+    fixed = np.zeros(entries.num_rows, dtype=RECORD)
+    lengths = (HEADER + sizes + 7) // 8 * 8
+    fixed["length"], fixed["major"], fixed["name"], fixed["name_at"] = lengths, 2, sizes, HEADER
+    for field, name in zip(("record", "parent", "usn", "filetime", "reason", "attributes"), _ENTRY):
+        fixed[field] = entries.column(name).to_numpy()
+    starts = np.cumsum(lengths) - lengths
+    out = np.zeros(int(lengths.sum()), dtype=np.uint8)
+    out[(starts[:, None] + np.arange(HEADER)).ravel()] = fixed.view(np.uint8)
+    place = np.repeat(starts + HEADER - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    out[place] = np.frombuffer(names, dtype=np.uint8)
+    return struct.pack("<q", next_usn) + out.tobytes()
+
+
 def encode_buffer(next_usn: int, entries: list[tuple[int, int, int, int, int, int, str]]) -> bytes:
     """A read buffer of ``(record, parent, usn, filetime, reason, attributes, name)`` entries."""
-    out = [struct.pack("<q", next_usn)]
-    for record, parent, usn, filetime, reason, attributes, name in entries:
-        raw = name.encode("utf-16-le")
-        length = (HEADER + len(raw) + 7) // 8 * 8
-        body = struct.pack("<IHHQQqqIIIIHH", length, 2, 0, record, parent, usn, filetime, reason, 0, 0, attributes, len(raw), HEADER) + raw
-        out.append(body.ljust(length, b"\0"))
-    return b"".join(out)
+    columns = list(zip(*entries)) if entries else [()] * len(_ENTRY)
+    kinds = (pa.uint64(), pa.uint64(), *[pa.int64()] * 4, pa.string())
+    return encode_columns(next_usn, pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], list(_ENTRY)))
 
 
 def _places(raw: bytes, at: int, stop: int) -> list[int]:
@@ -172,12 +190,12 @@ def query_cursor(folder: str) -> tuple[int, int]:
     return known[-1].journal_id, _next_usn(known[-1])
 
 
-def append_segment(folder: str, journal_id: int, first: int, next_usn: int, entries: list) -> str:
-    """A new segment; it appears whole, under a name that shows its place, also if several tasks write it."""
+def append_segment(folder: str, journal_id: int, first: int, next_usn: int, entries: list | pa.Table) -> str:
+    """A new segment of entries or their columns; it appears whole, under a name that shows its place, also if several tasks write it."""
     path = f"{folder.rstrip('/')}/{journal_id:020d}-{first:020d}.usn"
     own = f"{path}.{uuid.uuid4().hex}.tmp"
     with files.create(own) as out:
-        out.write(encode_buffer(next_usn, entries))
+        out.write(encode_columns(next_usn, entries) if isinstance(entries, pa.Table) else encode_buffer(next_usn, entries))
     files.rename(own, path)
     return path
 
