@@ -143,6 +143,25 @@ def s04_volume_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_number", "parent_record_number", "flags", "file_name", "fixup_ok")
 
 
+def _skipping(spark: SparkSession, sf_dir: str, text: str, flags: MatchFlags) -> DataFrame:
+    """What a search finds in an image of the volume with an index of names, and whether less than half of the slots were read for it."""
+    path = _folder(spark, "indexed")
+    mft.write_records(spark, volume(spark, sf_dir), path, 2048)
+    mft.index_names(spark, path, 128)
+    found, seen = mft.search_image(spark, path, text, flags)
+    found = paths.checkpointed(found.select("record_number", "parent_record_number", "file_name"))
+    slots = mft.slots_of(path)
+    return found.withColumn("skipped", F.lit(2 * seen.get["total_records"] < slots))
+
+
+def p08_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _skipping(spark, sf_dir, "order#1003", MatchFlags.EXACT)
+
+
+def p09_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _skipping(spark, sf_dir, "mer#0000000", MatchFlags.CONTAINS)
+
+
 def s12_point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scattered records of a volume in several runs, by number; some numbers are beyond its end."""
     path = _folder(spark, "volume") + "/disk.img"
@@ -513,6 +532,8 @@ QUERIES: dict[str, Query] = {
     "k05_committed_batches": k05_committed_batches,
     "s17_split_segment": s17_split_segment,
     "s12_point_reads": s12_point_reads,
+    "p08_skipping": p08_skipping,
+    "p09_skipping": p09_skipping,
     "a09_live_inventory": a09_live_inventory,
 }
 
@@ -534,6 +555,8 @@ ORACLE_SQL: dict[str, str] = {
     "u11_session_watch": _J + "SELECT CASE record_number % 2 WHEN 0 THEN 'C' ELSE 'D' END AS drive, usn, record_number, file_name FROM jrn WHERE usn > (SELECT max(usn) // 2 FROM jrn)",
     "u12_error_isolation": _J + "SELECT chr((67 + record_number % 6)::INTEGER) AS drive, count(*) AS n_entries, NULL::VARCHAR AS message FROM jrn WHERE record_number % 6 IN (0, 2) GROUP BY 1 UNION ALL VALUES ('D', 0, 'JournalWrapped'), ('F', 0, 'JournalNotActive'), ('G', 0, 'JournalError'), ('H', 0, 'JournalDeleting')",
     "s04_volume_scan": f"WITH {IMAGE_SQL} SELECT *, true AS fixup_ok FROM image WHERE record_number < (SELECT count(*) FROM customer)",
+    "p08_skipping": f"WITH {VOL_SQL} SELECT record_number, parent_record_number, file_name, true AS skipped FROM vol WHERE lower(file_name) = 'order#1003'",
+    "p09_skipping": f"WITH {VOL_SQL} SELECT record_number, parent_record_number, file_name, true AS skipped FROM vol WHERE contains(lower(file_name), 'mer#0000000')",
     "s12_point_reads": f"WITH {IMAGE_SQL} SELECT *, true AS fixup_ok FROM image WHERE record_number < (SELECT count(*) FROM customer) AND record_number IN (SELECT o_custkey * 7 % (2 * (SELECT count(*) FROM customer)) FROM orders)",
     "a09_live_inventory": f"WITH {VOL_SQL}, {JRN_SQL}, l AS (SELECT * FROM jrn QUALIFY row_number() OVER (PARTITION BY record_number ORDER BY usn DESC) = 1) SELECT coalesce(v.record_number, l.record_number) AS record_number, coalesce(l.file_name, v.file_name) AS file_name, coalesce(l.parent_record_number, v.parent_record_number) AS parent_record_number FROM vol v FULL JOIN l ON v.record_number = l.record_number WHERE coalesce((l.reason & 512) = 0, true)",
     "p05_attributes": ATTRIBUTES_SQL,

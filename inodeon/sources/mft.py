@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import time
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan, StringContains, WriterCommitMessage
 
-from inodeon.model import MFT_RECORDS, RECORD_SIZE
-from inodeon.sources import files, ntfs, synthetic
+from inodeon.model import MFT_RECORDS, RECORD_SIZE, MatchFlags
+from inodeon.sources import files, nameindex, ntfs, synthetic
 
 PREFIX = 20
 CHUNK = 8192
@@ -73,6 +74,8 @@ class MftReader(DataSourceReader):
         self.drive = get("drive", "")
         self.skip = get("skipprefix", "false").lower()
         self.measured = get("measured", "false").lower() == "true"
+        name, part = get("nameis"), get("namecontains")
+        self.search = nameindex.Search(name, True) if name is not None else nameindex.Search(part, False) if part is not None else None
         self.filters: list[Filter] = []
 
     def extents(self) -> list[tuple[str, int | None, int, int]]:
@@ -99,9 +102,31 @@ class MftReader(DataSourceReader):
             after = first + total
         return out
 
+    def chunks(self, part: Slice) -> Iterator[tuple[int, int]]:
+        """``(at, n)``: the records of a slice that are to be read, at most CHUNK at once; those that an index rules out are left."""
+        step = nameindex.per_entry(part.path) if self.search and self.layout == "image" else 0
+        # entries count from the file's first record, which stands where the prefix ends
+        begin = part.offset // self.record_size
+        if not step or begin % step:
+            yield from ((at, min(CHUNK, part.count - at)) for at in range(0, part.count, CHUNK))
+            return
+        known = nameindex.entries(part.path, begin // step, -(-part.count // step))
+        ahead: tuple[int, int] | None = None
+        for at, e in zip(range(0, part.count, step), known):
+            if not self.search.possible(e):
+                continue
+            n = min(step, part.count - at)
+            if ahead and sum(ahead) == at and ahead[1] + n <= CHUNK:
+                ahead = (ahead[0], ahead[1] + n)
+                continue
+            if ahead:
+                yield ahead
+            ahead = (at, n)
+        if ahead:
+            yield ahead
+
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        for at in range(0, part.count, CHUNK):
-            n = min(CHUNK, part.count - at)
+        for at, n in self.chunks(part):
             marks = [time.perf_counter()]
             raw = self._raw(part, at, n)
             marks.append(time.perf_counter())
@@ -168,6 +193,65 @@ def measured_image(spark: SparkSession, path: str, **options: object) -> tuple[D
     return rows.where("record_number is not null").drop(*names), seen
 
 
+def index_names(spark: SparkSession, path: str, per_entry: int = CHUNK, **options: object) -> None:
+    """Writes an index of names beside every file of an image, a task a file; an image in one file is read by one task."""
+    reader = MftReader({"path": path, **{k: str(v) for k, v in options.items()}})
+    if reader.layout != "image":
+        raise ValueError("a volume's table has no index of names")
+    pieces = [(file, offset, length // reader.record_size) for file, _, offset, length in reader.extents()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, offset, total in zip(*(c.to_pylist() for c in batch.columns)):
+                whole, made = Slice(0, total, offset, file), []
+                for at in range(0, total, per_entry):
+                    found = ntfs.decode(reader._raw(whole, at, min(per_entry, total - at)), at, reader.record_size)
+                    made.append(nameindex.entry(found["name_fold"]))
+                nameindex.write(file, per_entry, made)
+            yield batch.select(["count"])
+
+    spark.createDataFrame(pieces, "path string, offset long, count long").repartition(max(1, len(pieces)), "path").mapInArrow(run, "count long").count()
+
+
+def search_image(spark: SparkSession, path: str, text: str, flags: MatchFlags = MatchFlags.EXACT, **options: object) -> tuple[DataFrame, Observation]:
+    """The records whose name matches, and what the scan for them came to: chunks that the index of names rules out are not read."""
+    folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    own = {"nameIs" if flags & MatchFlags.EXACT else "nameContains": folded}
+    rows, seen = measured_image(spark, path, **own, **options)
+    return rows.where(F.col("name_fold") == folded if flags & MatchFlags.EXACT else F.col("name_fold").contains(folded)), seen
+
+
+def write_records(spark: SparkSession, rows: DataFrame, folder: str, per_file: int = CHUNK) -> None:
+    """An image of the rows ``(record_number, parent_record_number, flags, file_attributes, file_name)``, in files of neighbouring numbers, a task each.
+
+    Slots of numbers that no row has are empty.
+    """
+
+    def write(part: pa.Table) -> pa.Table:
+        part = part.sort_by("record_number")
+        number = part.column("record_number").to_numpy()
+        first = int(number[0])
+        at = number - first
+        n = int(at[-1]) + 1
+        found = {"record_number": np.arange(first, first + n), "zeroed": np.ones(n, dtype=bool), "base_reference": np.zeros(n, np.int64), "file_size": np.zeros(n, np.int64)}
+        found["zeroed"][at] = False
+        for name in ("parent_record_number", "flags", "file_attributes"):
+            found[name] = np.zeros(n, np.int64)
+            found[name][at] = part.column(name).to_numpy()
+        names = np.full(n, "", dtype=object)
+        names[at] = part.column("file_name").to_pylist()
+        path = f"{folder}/part-{first:012d}.mft"
+        own = f"{path}.{uuid.uuid4().hex}.tmp"
+        with files.create(own) as out:
+            out.write(ntfs.encode(found | {"file_name": names}))
+        files.rename(own, path)
+        return part.select(["record_number"]).slice(0, 1)
+
+    kinds = {"record_number": "long", "parent_record_number": "long", "flags": "long", "file_attributes": "long", "file_name": "string"}
+    cast = rows.select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items()), F.floor(F.col("record_number") / per_file).alias("file"))
+    cast.groupBy("file").applyInArrow(write, "record_number long").count()
+
+
 class PushingReader(MftReader):
     """A reader that takes over predicates; Spark accepts one only where its setting allows."""
 
@@ -389,6 +473,12 @@ class Volume:
         self.close()
 
 
+def slots_of(path: str, **options: object) -> int:
+    """All slots of an image or volume, as its files say."""
+    reader = MftReader({"path": path, **{k: str(v) for k, v in options.items()}})
+    return sum(length // reader.record_size for *_, length in reader.extents())
+
+
 def total_records(path: str, record_size: int = RECORD_SIZE) -> int:
     """All slots of an image; a tail shorter than a record doesn't count."""
     return files.size(path) // record_size

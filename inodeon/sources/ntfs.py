@@ -71,6 +71,46 @@ def units_of(texts: pa.Array) -> tuple[bytes, np.ndarray]:
     return raw.tobytes().decode("utf-8").encode("utf-16-le"), units[ends[1:] - ends[0]]
 
 
+def encode(found: dict[str, np.ndarray], record_size: int = RECORD_SIZE) -> bytes:
+    """The on-disk bytes of records' columns: header, standard information, one name, end mark, and update sequence words; zeroed ones stay empty."""
+    n = len(found["record_number"])
+    out = np.zeros((n, record_size), dtype=np.uint8)
+    every = np.arange(n)
+
+    def put(at: int | np.ndarray, width: int, value: int | np.ndarray) -> None:
+        value = np.broadcast_to(np.asarray(value), n).astype(np.int64).view(np.uint64)
+        for i in range(width):
+            out[every, at + i] = (value >> np.uint64(8 * i) & np.uint64(0xFF)).astype(np.uint8)
+
+    sectors = record_size // SECTOR
+    first = (0x30 + 2 * (sectors + 1) + 7) // 8 * 8
+    out[:, :4] = np.frombuffer(b"FILE", dtype=np.uint8)
+    for at, width, value in ((0x04, 2, 0x30), (0x06, 2, sectors + 1), (0x14, 2, first), (0x16, 2, found["flags"]), (0x20, 8, found["base_reference"])):
+        put(at, width, value)
+    for at, width, value in ((0, 4, STANDARD), (4, 4, 0x18 + 48), (0x10, 4, 48), (0x14, 2, 0x18), (0x18 + 32, 4, found["file_attributes"])):
+        put(first + at, width, value)
+    name_at = first + 0x18 + 48
+    names, ends = units_of(pa.array(found["file_name"], pa.string()))
+    units = np.diff(np.r_[0, ends])
+    size = 66 + 2 * units
+    length = (0x18 + size + 7) // 8 * 8
+    v = name_at + 0x18
+    for at, width, value in ((name_at, 4, NAME), (name_at + 4, 4, length), (name_at + 0x10, 4, size), (name_at + 0x14, 2, 0x18)):
+        put(at, width, value)
+    for at, width, value in ((0, 8, found["parent_record_number"]), (48, 8, found["file_size"]), (56, 4, found["file_attributes"]), (64, 1, units), (65, 1, 3)):
+        put(v + at, width, value)
+    place = np.repeat(every * record_size + v + 66 - 2 * (ends - units), 2 * units) + np.arange(len(names))
+    out.reshape(-1)[place] = np.frombuffer(names, dtype=np.uint8)
+    put(name_at + length, 4, END)
+    put(0x30, 2, found["record_number"] & 0xFFFF)
+    for s in range(sectors):
+        end = (s + 1) * SECTOR
+        out[:, 0x32 + 2 * s : 0x34 + 2 * s] = out[:, end - 2 : end]
+        out[:, end - 2 : end] = out[:, 0x30:0x32]
+    out[found["zeroed"]] = 0
+    return out.tobytes()
+
+
 def decode(raw: bytes, first: int, record_size: int = RECORD_SIZE, spent: list[float] | None = None) -> dict[str, object]:
     """Columns of the live records among ``raw``: base records in use that have a name outside the DOS namespace.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from inodeon.sources import ntfs
+
 # Fixed values of the generator, which its results depend on.
 FILE_NAMES = ("README.md", "index.html", "main.cpp", "package.json", "Makefile", "config.yaml", "data.bin", "icon.png", "setup.py", "app.js", "style.css", "test.go", "build.gradle", "Cargo.toml", "Program.cs", "pom.xml")
 DIR_NAMES = ("src", "bin", "obj", "node_modules", ".git", "build", "docs", "tests", "lib", "include", "assets", "scripts", "config", "data", "temp", "cache")
@@ -99,47 +101,5 @@ def records(spark: SparkSession, n: int, partitions: int | None = None) -> DataF
 
 
 def image(start: int, stop: int, record_size: int = 1024) -> bytes:
-    """The on-disk bytes of the records: header, standard information, one name, end mark, and update sequence words."""
-    found = rows(start, stop)
-    out = bytearray((stop - start) * record_size)
-    put = lambda at, width, value: out.__setitem__(slice(at, at + width), int(value).to_bytes(width, "little"))
-    for i in range(stop - start):
-        if found["zeroed"][i]:
-            continue
-        at = i * record_size
-        out[at : at + 4] = b"FILE"
-        put(at + 0x04, 2, 0x30)
-        sectors = record_size // 512
-        put(at + 0x06, 2, sectors + 1)
-        first = (0x30 + 2 * (sectors + 1) + 7) // 8 * 8
-        put(at + 0x14, 2, first)
-        put(at + 0x16, 2, found["flags"][i])
-        put(at + 0x20, 8, found["base_reference"][i])
-        p = at + first
-        put(p, 4, 0x10)
-        put(p + 4, 4, 0x18 + 48)
-        put(p + 0x10, 4, 48)
-        put(p + 0x14, 2, 0x18)
-        put(p + 0x18 + 32, 4, found["file_attributes"][i])
-        p += 0x18 + 48
-        name = found["file_name"][i].encode("utf-16-le")
-        size = 66 + len(name)
-        put(p, 4, 0x30)
-        put(p + 4, 4, (0x18 + size + 7) // 8 * 8)
-        put(p + 0x10, 4, size)
-        put(p + 0x14, 2, 0x18)
-        v = p + 0x18
-        put(v, 8, found["parent_record_number"][i])
-        put(v + 48, 8, found["file_size"][i])
-        put(v + 56, 4, found["file_attributes"][i])
-        out[v + 64] = len(name) // 2
-        out[v + 65] = 3
-        out[v + 66 : v + 66 + len(name)] = name
-        put(p + (0x18 + size + 7) // 8 * 8, 4, 0xFFFFFFFF)
-        mark = (int(found["record_number"][i]) & 0xFFFF).to_bytes(2, "little")
-        out[at + 0x30 : at + 0x32] = mark
-        for s in range(sectors):
-            end = at + (s + 1) * 512
-            out[at + 0x32 + 2 * s : at + 0x34 + 2 * s] = out[end - 2 : end]
-            out[end - 2 : end] = mark
-    return bytes(out)
+    """The on-disk bytes of the records."""
+    return ntfs.encode(rows(start, stop), record_size)
