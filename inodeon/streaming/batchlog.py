@@ -24,23 +24,21 @@ COMPACT = 64
 
 @dataclass
 class Committed:
-    """A batch of the log: where its rows are, and by drive the folder's slot, the number of rows, the cursor, and the error if it failed."""
+    """A batch of the log: where its rows are, and by drive the number of rows, the cursor, and the error if it failed."""
 
     number: int
     path: str
-    slots: dict[str, int] = field(default_factory=dict)
     entries: dict[str, int] = field(default_factory=dict)
     cursors: dict[str, list[int]] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
 
 
 class BatchLog:
-    """The log in a folder; many drives share it, their rows lie apart."""
+    """The log in a folder; many drives share it. A task's file holds few drives, so that its statistics say whether one of them is in it."""
 
-    def __init__(self, spark: SparkSession, folder: str, drives: list[str]) -> None:
+    def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
-        self.slots = {k: i for i, k in enumerate(sorted(drives))}
 
     def _manifest(self, number: int) -> str:
         return f"{self.folder}/manifest/{number:020d}.json"
@@ -62,12 +60,10 @@ class BatchLog:
         if files.exists(self._manifest(number)):
             return Committed(**self._read(number)["batch"])
         batch = Committed(number, f"{self.folder}/rows/{number:020d}-{uuid.uuid4().hex}")
-        slot = F.create_map(*(F.lit(x) for pair in self.slots.items() for x in pair))[F.col("drive")]
-        rows.withColumn("slot", slot).write.partitionBy("slot").parquet(batch.path)
+        rows.write.parquet(batch.path)
         kept = self.spark.read.schema(rows.schema).parquet(batch.path)
         ends = kept.groupBy("drive").agg(F.count("usn").alias("n"), F.max("usn").alias("usn"), F.max("journal_id").alias("journal_id"), F.max("error").alias("error"))
         for r in ends.collect():  # a row a drive
-            batch.slots[r["drive"]] = self.slots[r["drive"]]
             if r["n"]:
                 batch.entries[r["drive"]] = r["n"]
                 batch.cursors[r["drive"]] = [int(r["journal_id"]), r["usn"] + 1]
@@ -82,10 +78,12 @@ class BatchLog:
 
     def rows(self, batches: list[Committed] | None = None, drive: str | None = None) -> DataFrame | None:
         """The entries of committed batches, of one drive if given; None if there are none."""
-        paths = []
-        for b in self.batches() if batches is None else batches:
-            paths += [f"{b.path}/slot={b.slots[k]}" for k in ([drive] if drive else b.entries) if k in b.entries]
-        return self.spark.read.parquet(*paths).where("error is null").drop("error") if paths else None
+        known = self.batches() if batches is None else batches
+        paths = [b.path for b in known if (drive in b.entries if drive else b.entries)]
+        if not paths:
+            return None
+        found = self.spark.read.parquet(*paths).where("error is null").drop("error")
+        return found.where(F.col("drive") == drive) if drive else found
 
     def cursors(self) -> dict[str, Cursor]:
         """Where each drive's next read begins, as its last committed batch says."""

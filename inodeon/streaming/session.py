@@ -180,7 +180,7 @@ class WatchSession:
             if not given:
                 raise self.fault or RuntimeError("No drives to watch")
             place = f"{self.checkpoint_dir}/run-{len(self._logs)}"
-            log = BatchLog(self.spark, f"{place}/log", list(given))
+            log = BatchLog(self.spark, f"{place}/log")
             stream = usn_journal.stream_drives(self.spark, given, f"{place}/position.json", max_usn)
             self._watched, self._logs = set(given), [*self._logs, log]
             # Spark asks a source once with availableNow; bounded batches are drained instead
@@ -201,12 +201,13 @@ class WatchSession:
         done = log.commit(number, batch)
         for key, message in done.errors.items():
             self.latch_drive(key, JournalError(message))
+        rows = log.rows([done]) if deliver else None
         for key, cursor in done.cursors.items():
             if key in self.faults and key not in done.errors:
                 continue
             try:
                 if deliver:
-                    deliver(key, log.rows([done], key), (cursor[0], cursor[1]))
+                    deliver(key, rows.where(F.col("drive") == key), (cursor[0], cursor[1]))
             except Exception as e:  # noqa: BLE001 - a consumer of one drive
                 self.latch_drive(key, e)
                 continue

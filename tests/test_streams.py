@@ -106,7 +106,7 @@ def test_bounded_batches_skip_long_gaps(spark, tmp_path):
 
 
 def test_log_keeps_each_batch_once_and_compacts(spark, tmp_path):
-    log = BatchLog(spark, str(tmp_path), ["C", "D"])
+    log = BatchLog(spark, str(tmp_path))
     schema = "drive string, journal_id decimal(20,0), usn long, error string"
     frame = lambda *rows: spark.createDataFrame([(k, j and Decimal(j), u, e) for k, j, u, e in rows], schema)
     assert log.batches() == [] and log.rows() is None and log.cursors() == {}
@@ -114,7 +114,7 @@ def test_log_keeps_each_batch_once_and_compacts(spark, tmp_path):
     log.commit(COMPACT - 2, frame(("C", 7, 99, None)))  # the same batch again
     log.commit(COMPACT - 1, frame(("C", 7, 2, None), ("D", 7, 5, None)))
     log.commit(COMPACT, frame())
-    again = BatchLog(spark, str(tmp_path), ["C", "D"])
+    again = BatchLog(spark, str(tmp_path))
     assert [b.number for b in again.batches()] == [COMPACT - 2, COMPACT - 1, COMPACT]
     assert sorted((r.drive, r.usn) for r in again.rows().collect()) == [("C", 1), ("C", 2), ("D", 5)]
     assert again.cursors() == {"C": (7, 3), "D": (7, 6)} and again.errors() == {"D": "gone"}
