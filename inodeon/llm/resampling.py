@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inodeon.llm.common import fresh_dir, in_order, text_bytes
+from inodeon.llm.common import fresh_dir, in_order, small_batches, text_bytes
 
 BUCKETS = 10_000
 SEED = 7
@@ -151,6 +151,11 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_wor
 
     ``target`` has a ``text``. rank numbers the drawn by falling score, then doc_id; it is null for the others.
     """
+    with small_batches(docs.sparkSession):
+        return _resample(docs, target, percent, min_words, seed)
+
+
+def _resample(docs: DataFrame, target: DataFrame, percent: int, min_words: int, seed: int) -> DataFrame:
     matrix = count_matrix(docs)
     wanted = count_matrix(target.select(F.lit(None).cast("long").alias("doc_id"), "text"))
     gain = gains(column_sums(matrix), column_sums(wanted))
