@@ -41,7 +41,7 @@ LONG = 64
 #: Characters of a very long word whose lattice is held at once; a power of two.
 SEGMENT = 1 << 16
 #: Bytes of text whose distinct words are filtered at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Trie steps for the most frequent characters of the vocabulary are looked up in a table, the others by bisection.
 TABLE = 128
 _WORD = re.compile(rb" +[^ \n]*|\n|[^ \n]+")
