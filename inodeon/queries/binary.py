@@ -458,7 +458,7 @@ def k05_committed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s17_split_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every segment of the journal is read in ranges of 4 KB by different tasks."""
+    """Every segment of the journal is cut into ranges of 4 KB for different tasks; if there are many, each task has some."""
     found = usn_journal.read_journal(spark, _written_journal(spark, sf_dir), drive="C", range_bytes=4096)
     return found.select("drive", F.col("journal_id").cast("long").alias("journal_id"), "usn", "record_number", "parent_record_number", "filetime", "reason", "file_name")
 

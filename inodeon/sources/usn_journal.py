@@ -11,7 +11,8 @@ drive's cursor, and what fails on one drive is a row with an ``error`` instead o
 **Ranges.** A segment is read in ranges of bytes by different tasks. Records can only be told by following lengths from the segment's start, so a task
 follows the lengths from every place before its range where a record could begin, as far back as the longest record reaches. Those chains run into
 each other or into something that is no record; the true one is always among them, so once all that are left enter the range at one place, that is
-where its first record begins. While they don't, the task begins further back, at last at the segment's start.
+where its first record begins. While they don't, the task begins further back, at last at the segment's start. Each range has a task of its own as long as they
+are few; beyond that neighbouring ranges, and small segments, are read by one task in one go, so that the number of tasks doesn't grow with that of ranges.
 
 **Bounded batches.** A source isn't told where its query stands when it is asked for the latest offset, so a limited stream keeps its place in the
 file ``position``, written before a batch is read. With the trigger ``availableNow`` Spark asks once only, for one batch; ``drain`` reads all in bounded ones.
@@ -24,7 +25,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal
 from typing import Any
 
@@ -47,8 +48,10 @@ MAX_RECORD = 1 << 17
 LOOK_BACK = MAX_RECORD
 #: Drives whose journals are looked up at once.
 LISTINGS = 16
-#: Bytes of small slices that one task of a stream over many drives reads.
+#: Bytes of small slices that one task of a stream over many drives reads at least.
 PACK_BYTES = 1 << 20
+#: Ranges beyond so many are read by a task together, RANGE_BYTES at most.
+TASKS = 256
 _SCHEMA = pa.schema(
     [("drive", pa.string()), ("journal_id", pa.decimal128(20, 0))]
     + [(c, pa.int64()) for c in ("record_number", "parent_record_number", "usn", "filetime", "reason", "file_attributes")]
@@ -254,6 +257,21 @@ def packed(slices: list[SegmentSlice], size: int) -> list[SliceGroup]:
     return groups
 
 
+def dealt(slices: list[SegmentSlice], least: int = 0) -> list[SliceGroup]:
+    """The slices in groups of at least so many bytes, about ``TASKS`` groups if none gets larger than ``RANGE_BYTES``; neighbours of a segment become one slice."""
+    total = sum(part.hi - part.lo + 4096 for part in slices)
+    groups = packed(slices, max(least, min(RANGE_BYTES, total // TASKS)))
+    for group in groups:
+        merged: list[SegmentSlice] = []
+        for part in group.parts:
+            if merged and not part.error and (merged[-1].path, merged[-1].hi) == (part.path, part.lo):
+                merged[-1] = replace(merged[-1], hi=part.hi)
+            else:
+                merged.append(part)
+        group.parts = merged
+    return groups
+
+
 class UsnSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -307,7 +325,11 @@ class _Reading:
             for lo in range(8, max(s.size, 9), self.range_bytes)
         ]
 
-    def read(self, part: SegmentSlice) -> Iterator[pa.RecordBatch]:
+    def read(self, group: SliceGroup) -> Iterator[pa.RecordBatch]:
+        for part in group.parts:
+            yield from self.read_slice(part)
+
+    def read_slice(self, part: SegmentSlice) -> Iterator[pa.RecordBatch]:
         raw, at, stop = _range(part)
         while True:
             # as many records at once as fit in a part of the range
@@ -349,8 +371,8 @@ def _range(part: SegmentSlice) -> tuple[bytes, int, int]:
 
 
 class UsnReader(_Reading, DataSourceReader):
-    def partitions(self) -> list[SegmentSlice]:
-        return self.slices(self.drive, self.path, self.journal, self.start, 1 << 62)
+    def partitions(self) -> list[SliceGroup]:
+        return dealt(self.slices(self.drive, self.path, self.journal, self.start, 1 << 62))
 
 
 class _Limited(_Reading, DataSourceStreamReader):
@@ -394,12 +416,12 @@ class UsnStreamReader(_Limited):
         start = (self.known_position() or self.initialOffset())["next_usn"] if self.max_usn else 0
         return {"journal_id": str(known[-1].journal_id), "next_usn": bounded_end(known, start, self.max_usn)}
 
-    def partitions(self, start: dict, end: dict) -> list[SegmentSlice]:
+    def partitions(self, start: dict, end: dict) -> list[SliceGroup]:
         if int(start["journal_id"]) and start["journal_id"] != end["journal_id"]:
             raise JournalError(f"{self.path}: the journal was created anew ({end['journal_id']} instead of {start['journal_id']}); a full rescan is needed")
         found = self.slices(self.drive, self.path, int(end["journal_id"]), start["next_usn"], end["next_usn"])
         self.planned(end)
-        return found
+        return dealt(found)
 
 
 class UsnDrivesReader(_Limited):
@@ -438,17 +460,13 @@ class UsnDrivesReader(_Limited):
                 except (JournalError, OSError) as e:  # gone since the offset was taken
                     found.append(SegmentSlice(drive, "", 0, 0, 0, error=f"{type(e).__name__}: {e}"))
         self.planned(end)
-        return packed(found, PACK_BYTES)
-
-    def read(self, group: SliceGroup) -> Iterator[pa.RecordBatch]:
-        for part in group.parts:
-            yield from self._read_one(part)
+        return dealt(found, PACK_BYTES)
 
-    def _read_one(self, part: SegmentSlice) -> Iterator[pa.RecordBatch]:
+    def read_slice(self, part: SegmentSlice) -> Iterator[pa.RecordBatch]:
         error = part.error
         if not error:
             try:
-                for batch in super().read(part):
+                for batch in super().read_slice(part):
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.string())], schema=_DRIVES_SCHEMA)
                 return
             except OSError as e:  # a file that is gone is that drive's matter

@@ -38,6 +38,20 @@ def test_ranges_read_each_record_once(seed, monkeypatch, tmp_path):
         assert size > 5000 or len(parts) > 20
 
 
+def test_many_ranges_are_read_by_few_tasks(tmp_path):
+    names = tricky_names(random.Random(1), 3000)
+    for first in (0, 1000, 2000):
+        usn_journal.append_segment(str(tmp_path), 7, first, first + 1000, [(8 * i, 5, i, 1, 2, 0, names[i]) for i in range(first, first + 1000)])
+    for size, many in ((64, True), (256, True), (100_000, False)):
+        reader = usn_journal.UsnReader({"path": str(tmp_path), "rangeBytes": str(size)})
+        ranges, parts = reader.slices("", str(tmp_path), 0, 0, 1 << 62), reader.partitions()
+        assert usn_journal.TASKS // 2 < len(parts) < 2 * usn_journal.TASKS < len(ranges) if many else len(parts) == len(ranges)
+        spans = [(s.path, s.lo, s.hi) for p in parts for s in p.parts]
+        assert sum(hi - lo for _, lo, hi in spans) == sum(r.hi - r.lo for r in ranges) and {(r.path, r.lo) for r in ranges if r.lo == 8} <= {x[:2] for x in spans}
+        got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert [r["usn"] for r in got] == list(range(3000)) and [r["file_name"] for r in got] == names
+
+
 def test_range_without_a_record_and_cut_tail(tmp_path):
     usn_journal.append_segment(str(tmp_path), 7, 0, 3, [(1, 5, i, 1, 2, 0, "n" * 250) for i in range(3)])
     (path,) = tmp_path.glob("*.usn")
