@@ -7,6 +7,7 @@ seen, one without a name or one that is missing; paths have at most so many comp
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,20 +190,28 @@ def _chains(rows: pa.RecordBatch, ids: np.ndarray, parents: np.ndarray, names: p
 
 
 def components_by_recursion(wanted: DataFrame, hierarchy: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The same as one recursive query, for few rows; the session's recursion limits hold."""
+    """The same as one recursive query, which walks up from the different parents of the wanted rows only; these join their parent's chain once.
+
+    ``LIMIT ALL`` lifts the session's limit of rows of a recursion; its levels end with ``max_depth``.
+    """
     spark = wanted.sparkSession
-    wanted.select("record_number").createOrReplaceTempView("_wanted")
-    hierarchy.createOrReplaceTempView("_hierarchy")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, cur, ids, names, depth) AS (
-          SELECT w.record_number, h.parent, array(h.record_number), array(h.name), 1
-          FROM _wanted w JOIN _hierarchy h ON h.record_number = w.record_number
+    own = hierarchy.join(wanted.select("record_number"), "record_number", "left_semi")
+    starts, known = f"_starts_{uuid.uuid4().hex}", f"_hierarchy_{uuid.uuid4().hex}"
+    parents = hierarchy.select(F.col("parent").alias("record_number")).distinct()
+    # all that a walk can come by has children
+    checkpointed(hierarchy.join(parents, "record_number", "left_semi")).createOrReplaceTempView(known)
+    own.select("parent").distinct().createOrReplaceTempView(starts)
+    chains = spark.sql(f"""
+        WITH RECURSIVE walk(start, cur, ids, names, depth) MAX RECURSION LEVEL {max_depth + 1} AS (
+          SELECT h.record_number, h.parent, array(h.record_number), array(h.name), 1
+          FROM {starts} s JOIN {known} h ON h.record_number = s.parent
           UNION ALL
           SELECT k.start, h.parent, array_prepend(k.ids, h.record_number), array_prepend(k.names, h.name), k.depth + 1
-          FROM walk k JOIN _hierarchy h ON h.record_number = k.cur
+          FROM walk k JOIN {known} h ON h.record_number = k.cur
           WHERE k.depth < {max_depth} AND NOT array_contains(k.ids, h.record_number)
         )
-        SELECT start AS record_number, max_by(names, depth) AS components FROM walk GROUP BY start""")
+        SELECT start, max_by(ids, depth) AS ids, max_by(names, depth) AS names FROM (SELECT * FROM walk LIMIT ALL) GROUP BY start""")
+    return _with_own(own, chains, max_depth)
 
 
 def resolve_paths(wanted: DataFrame, records: DataFrame, drive: str = "", plan: str = "auto", max_depth: int = MAX_DEPTH, max_units: int | None = MAX_UNITS) -> DataFrame:

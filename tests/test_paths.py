@@ -60,6 +60,21 @@ def test_plans_against_the_walk(spark, plan):
     assert got == {i: walk(nodes, i) for i in keep}
 
 
+def test_recursion_beyond_the_session_s_row_limit(spark):
+    nodes = forest(3)
+    rows = spark.createDataFrame([(i, p, 3, n) for i, (p, n) in nodes.items()], ROWS)
+    limits = {"spark.sql.cteRecursionRowLimit": "100", "spark.sql.cteRecursionLevelLimit": "100"}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.record_number: r.full_path for r in paths.resolve_paths(rows, rows, plan="recursion").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: walk(nodes, i) for i in nodes}
+
+
 def test_managed_walk_has_no_caps(spark):
     nodes = forest(2)
     rows = spark.createDataFrame([(i, p, 3, n) for i, (p, n) in nodes.items()], ROWS)
