@@ -73,16 +73,26 @@ def _with_own(rows: DataFrame, chains: DataFrame, max_depth: int | None) -> Data
     ``chains`` has ``(start, ids, names)`` of parents, root to leaf. A record that its parent's chain comes back to cuts the chain there.
     """
     joined = rows.join(chains.withColumnRenamed("start", "parent"), "parent", "left")
+    return joined.select("record_number", _behind("name", max_depth).alias("components"))
+
+
+def _behind(name: str, max_depth: int | None) -> Column:
+    """The components of a row that has its parent's ``ids`` and ``names``."""
     kept = F.size("ids") - F.array_position("ids", F.col("record_number")).cast("int")
     kept = kept if max_depth is None else F.least(kept, F.lit(max_depth - 1))
     above = F.when(F.col("ids").isNotNull() & (kept > 0), F.slice("names", F.greatest(F.size("ids") - kept + 1, F.lit(1)), kept)).otherwise(F.array().cast("array<string>"))
-    return joined.select("record_number", F.array_append(above, F.col("name")).alias("components"))
+    return F.array_append(above, F.col(name))
 
 
 def components_by_doubling(hierarchy: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
-    """``(record_number, components)`` for every named record but the root.
+    """``(record_number, components)`` for every named record but the root."""
+    return _with_own(hierarchy, chains_by_doubling(hierarchy, max_depth), max_depth)
+
 
-    Only records that are somebody's parent take part in the rounds; files join theirs once at the end. After k rounds a row holds its lowest
+def chains_by_doubling(hierarchy: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+    """``(start, ids, names)``, root to leaf, for every named record but the root that has children.
+
+    Only records that are somebody's parent take part in the rounds; files join theirs once afterwards. After k rounds a row holds its lowest
     2**k ancestors and a pointer to the next one; rows that have arrived, or go round in a cycle, leave the left side of the joins, and
     those below the root, which may be very many, never meet on its key. Without a ``max_depth`` the rounds go on until all have left.
     """
@@ -105,8 +115,7 @@ def components_by_doubling(hierarchy: DataFrame, max_depth: int | None = MAX_DEP
         at = checkpointed(moved.unionByName(at.where(~going)))
     # the walk stops before the first id that comes again: of a cycle, as many as there are different ones
     kept = F.size(F.array_distinct("ids"))
-    chains = at.select(F.col("record_number").alias("start"), F.slice("ids", -kept, kept).alias("ids"), F.slice("names", -kept, kept).alias("names"))
-    return _with_own(hierarchy, chains, max_depth)
+    return at.select(F.col("record_number").alias("start"), F.slice("ids", -kept, kept).alias("ids"), F.slice("names", -kept, kept).alias("names"))
 
 
 def ancestors(starts: np.ndarray, links: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
@@ -218,6 +227,8 @@ def resolve_paths(wanted: DataFrame, records: DataFrame, drive: str = "", plan:
     """``wanted`` with ``full_path``: null for the root, with ``X:\\`` in front if the drive is known."""
     hierarchy = lookup(records)
     found, kept = None, False
+    # records that bring their own parent and name need no look up
+    known = {"parent_record_number", "file_name"} <= set(wanted.columns)
     if plan in ("auto", "frontier"):
         # the records are read once, for what finds the wanted ones and for their ancestors
         kept = not records.is_cached
@@ -225,14 +236,20 @@ def resolve_paths(wanted: DataFrame, records: DataFrame, drive: str = "", plan:
             records.persist(StorageLevel.MEMORY_AND_DISK)
         if plan == "frontier" or wanted.count() <= FRONTIER_ROWS:
             wanted = checkpointed(wanted)
-            # records bring their own parent and name, so that these need no look up
-            known = {"parent_record_number", "file_name"} <= set(wanted.columns)
             starts = lookup(wanted) if known else wanted.select("record_number").where(F.col("record_number") != ROOT)
             found = components_by_frontier(starts.distinct(), hierarchy, max_depth)
             found = None if found is None else checkpointed(found)
         plan = plan if found is not None else "doubling"
     if plan == "recursion":
         found = components_by_recursion(wanted.select("record_number").distinct(), hierarchy, max_depth)
+    elif plan == "doubling" and known:
+        if kept:  # while what was read is still there
+            wanted = checkpointed(wanted)
+        # only the wanted rows join their parent's chain, with all that they have
+        chains = chains_by_doubling(hierarchy, max_depth).withColumnRenamed("start", "parent_record_number")
+        own = F.when((F.col("record_number") != ROOT) & (F.length("file_name") > 0), _behind("file_name", max_depth))
+        joined = wanted.join(chains, "parent_record_number", "left").withColumn("components", own)
+        rest = [c for c in wanted.columns if c != "record_number"]
     elif plan == "doubling":
         found = components_by_doubling(hierarchy, max_depth)
     elif found is None:
@@ -241,8 +258,10 @@ def resolve_paths(wanted: DataFrame, records: DataFrame, drive: str = "", plan:
         records.unpersist()
     path = capped_path(F.col("components"), max_units)
     prefixed = F.concat(F.lit(drive + ":" + SEPARATOR), path) if drive else path
-    found = found.select("record_number", F.when(path != "", prefixed).alias("full_path"))
-    return wanted.join(found, "record_number", "left")
+    full_path = F.when(path != "", prefixed).alias("full_path")
+    if found is None:
+        return joined.select("record_number", *rest, full_path)
+    return wanted.join(found.select("record_number", full_path), "record_number", "left")
 
 
 def managed_paths(starts: DataFrame, records: DataFrame, drive: str, max_depth: int | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Data source ``mft``: file record tables in image files and volumes, read in parallel by ranges of records.
 
 Options: ``path``, a file or a folder of ``part-<first record>.mft`` files; ``layout`` image (default) or volume; ``recordSize`` (1024),
-``recordsPerPartition`` (65536), ``drive``; ``skipPrefix`` true for images with 20 bytes before the first record, auto to look whether there
+``recordsPerPartition`` (65536; if there are many such parts, a task reads several), ``drive``; ``skipPrefix`` true for images with 20 bytes before the first record, auto to look whether there
 are. With ``pushFilters`` true, for which
 ``spark.sql.python.filterPushdown.enabled`` must be set, predicates on ``name_fold``, ``in_use``, ``is_directory`` and ``record_number``
 are taken over by the reader. Spark keeps what was pushed with the loaded frame, also for other uses of that frame; so load one
@@ -32,6 +32,9 @@ CHUNK = 8192
 NEIGHBOURS = 65_536
 GAP = 32 << 10
 READ_BYTES = 8 << 20
+#: Slices beyond so many are read by a task together, and files written, as long as a task has no more than so many records.
+TASKS = 128
+TASK_RECORDS = 65_536
 #: With ``measured``, the first row of every chunk says what the chunk took; a chunk without live records has such a row without a record.
 MEASURES = "slots long, bytes long, io_ms double, fixup_ms double, parse_ms double"
 
@@ -46,6 +49,27 @@ class Slice(InputPartition):
     path: str
 
 
+@dataclass
+class Group(InputPartition):
+    """Neighbouring slices that one task reads."""
+
+    parts: list[Slice]
+
+
+def dealt(slices: list[Slice]) -> list[Group]:
+    """The slices in groups; each has its own as long as they are few."""
+    room = min(TASK_RECORDS, sum(s.count for s in slices) // TASKS)
+    groups: list[Group] = []
+    left = 0
+    for s in slices:
+        if s.count > left:
+            groups.append(Group([]))
+            left = room
+        groups[-1].parts.append(s)
+        left -= s.count
+    return groups
+
+
 class MftSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -92,7 +116,10 @@ class MftReader(DataSourceReader):
         start = PREFIX if self.skip == "true" or self.skip == "auto" and parts and has_prefix(parts[0][0]) else 0
         return [(path, first, start, size - start) for path, first, size in parts]
 
-    def partitions(self) -> list[Slice]:
+    def partitions(self) -> list[Group]:
+        return dealt(self.slices())
+
+    def slices(self) -> list[Slice]:
         out, after = [], 0
         for path, first, offset, length in self.extents():
             first = after if first is None else first
@@ -125,7 +152,11 @@ class MftReader(DataSourceReader):
         if ahead:
             yield ahead
 
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+    def read(self, group: Group) -> Iterator[pa.RecordBatch]:
+        for part in group.parts:
+            yield from self.read_slice(part)
+
+    def read_slice(self, part: Slice) -> Iterator[pa.RecordBatch]:
         for at, n in self.chunks(part):
             marks = [time.perf_counter()]
             raw = self._raw(part, at, n)
@@ -194,7 +225,7 @@ def measured_image(spark: SparkSession, path: str, **options: object) -> tuple[D
 
 
 def index_names(spark: SparkSession, path: str, per_entry: int = CHUNK, **options: object) -> None:
-    """Writes an index of names beside every file of an image, a task a file; an image in one file is read by one task."""
+    """Writes an index of names beside every file of an image, a task for each file or, if they are many, for some; an image in one file is read by one task."""
     reader = MftReader({"path": path, **{k: str(v) for k, v in options.items()}})
     if reader.layout != "image":
         raise ValueError("a volume's table has no index of names")
@@ -210,7 +241,8 @@ def index_names(spark: SparkSession, path: str, per_entry: int = CHUNK, **option
                 nameindex.write(file, per_entry, made)
             yield batch.select(["count"])
 
-    spark.createDataFrame(pieces, "path string, offset long, count long").repartition(max(1, len(pieces)), "path").mapInArrow(run, "count long").count()
+    tasks = min(len(pieces), max(TASKS, -(-sum(total for *_, total in pieces) // TASK_RECORDS)))
+    spark.createDataFrame(pieces, "path string, offset long, count long").repartition(max(1, tasks), "path").mapInArrow(run, "count long").count()
 
 
 def search_image(spark: SparkSession, path: str, text: str, flags: MatchFlags = MatchFlags.EXACT, **options: object) -> tuple[DataFrame, Observation]:
@@ -391,9 +423,11 @@ def write_synthetic(path: str, n: int) -> None:
 
 
 def write_image(spark: SparkSession, folder: str, n: int, per_file: int = CHUNK, **options: object) -> None:
-    """A folder of image files with n synthetic records, one task for each file."""
+    """A folder of image files with n synthetic records, a task for each file or, if they are many, for some."""
     spark.dataSource.register(MftSource)
-    ranges = spark.range(0, n, per_file, max(1, -(-n // per_file))).selectExpr("id as first", f"least({per_file}L, {n} - id) as count")
+    parts = -(-n // per_file)
+    tasks = min(parts, max(TASKS, -(-n // TASK_RECORDS)))
+    ranges = spark.range(0, n, per_file, max(1, tasks)).selectExpr("id as first", f"least({per_file}L, {n} - id) as count")
     writer = ranges.write.format("mft").option("path", folder)
     for k, v in options.items():
         writer = writer.option(k, str(v))

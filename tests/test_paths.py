@@ -105,3 +105,15 @@ def test_frontier_level_by_level_and_beyond_its_bound(spark, monkeypatch):
         monkeypatch.setattr(paths, "CLOSED_IDS", closed)
         assert {r.record_number: r.full_path for r in paths.resolve_paths(wanted, records, drive="").collect()} == want
     assert not records.is_cached
+
+
+def test_doubling_joins_the_wanted_rows_only(spark, monkeypatch):
+    nodes = forest(5)
+    rows = spark.createDataFrame([(i, p, 3, n) for i, (p, n) in nodes.items()], ROWS)
+    want = {i: walk(nodes, i) for i in nodes if i % 3}
+    monkeypatch.setattr(paths, "FRONTIER_ROWS", 10)
+    monkeypatch.setattr(paths, "_with_own", None)
+    for plan in ("doubling", "auto"):
+        got = paths.resolve_paths(rows.where("record_number % 3 <> 0"), rows, plan=plan)
+        assert {r.record_number: r.full_path for r in got.collect()} == want and got.columns == ["record_number", "parent_record_number", "flags", "file_name", "full_path"]
+    assert not rows.is_cached

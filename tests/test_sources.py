@@ -450,3 +450,24 @@ def test_prefixed_parts_of_more_than_a_chunk(spark, tmp_path):
     r = synthetic.rows(0, 9000)
     live = np.flatnonzero(~r["zeroed"] & (r["base_reference"] == 0)).tolist()
     assert sorted(got) == live and all(got[i] == r["file_name"][i] for i in live)
+
+
+def test_many_slices_and_files_take_few_tasks(spark, tmp_path):
+    path = str(tmp_path / "image")
+    mft.write_image(spark, path, 2000, per_file=5)
+    assert len(list((tmp_path / "image").glob("*.mft"))) == 400
+    reader = mft.MftReader({"path": path, "recordsPerPartition": "3"})
+    parts = reader.partitions()
+    assert len(reader.slices()) == 800 and mft.TASKS // 2 < len(parts) < 2 * mft.TASKS
+    assert [s for g in parts for s in g.parts] == reader.slices()
+    live = [n for g in parts for b in reader.read(g) for n in b.column("record_number").to_pylist()]
+    rows = synthetic.rows(0, 2000)
+    assert live == (~rows["zeroed"] & (rows["base_reference"] == 0)).nonzero()[0].tolist()
+    few = mft.MftReader({"path": path, "recordsPerPartition": "3"})
+    few.extents = lambda: [(f"{path}/part-000000000000.mft", 0, 0, 5 * 1024)]
+    assert [len(g.parts) for g in few.partitions()] == [1, 1]
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("index", "index")
+    mft.index_names(spark, path)
+    stages = [before.getStageInfo(i) for j in before.getJobIdsForGroup("index") for i in before.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= mft.TASKS and len(list((tmp_path / "image").glob("*.names"))) == 400
