@@ -294,18 +294,19 @@ def _written_journal(spark: SparkSession, sf_dir: str, where: str = "true", fold
     return _written_journals(spark, sf_dir, F.lit(""), where, folder)
 
 
-def _written_journals(spark: SparkSession, sf_dir: str, drive: F.Column, where: str = "true", folder: str = "") -> str:
-    """The same in a folder of each drive's own below one folder, all drives by one job."""
+def _written_journals(spark: SparkSession, sf_dir: str, drive: F.Column, where: str = "true", folder: str = "", drives: int = 1) -> str:
+    """The same in a folder of each drive's own below one folder, all drives by one job; with so many ``drives`` a segment spans as many times the USNs."""
+    width = SEGMENT * drives
     folder = folder or _folder(spark, "journal")
     rows = journal(spark, sf_dir).where(where).select("usn", "record_number", "parent_record_number", timestamp_to_filetime(F.col("ts").cast("timestamp")).alias("filetime"), "reason", F.lit(32).cast("long").alias("file_attributes"), "file_name")
 
     def write(entries: pa.Table) -> pa.Table:
         entries = entries.sort_by("usn")
-        first, usn = entries.column("segment")[0].as_py() * SEGMENT, entries.column("usn")
+        first, usn = entries.column("segment")[0].as_py() * width, entries.column("usn")
         usn_journal.append_segment(f"{folder}/{entries.column('drive')[0].as_py()}", JOURNAL_ID, max(first, usn[0].as_py()), usn[-1].as_py() + 1, entries)
         return entries.select(["segment"]).slice(0, 1)
 
-    rows.withColumns({"segment": F.expr(f"usn div {SEGMENT}"), "drive": drive}).groupBy("drive", "segment").applyInArrow(write, "segment long").count()
+    rows.withColumns({"segment": F.expr(f"usn div {width}"), "drive": drive}).groupBy("drive", "segment").applyInArrow(write, "segment long").count()
     return folder
 
 
@@ -378,7 +379,7 @@ def u14_many_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hundred drives in one stream of bounded batches: one fails at once, one after its first batch, one after its second; all others are read whole."""
     step = journal(spark, sf_dir).agg(F.expr("max(usn) div 4")).first()[0]
     key = F.concat(F.lit("D"), F.lpad((F.col("record_number") % DRIVES).cast("string"), 3, "0"))
-    folder = _written_journals(spark, sf_dir, key)
+    folder = _written_journals(spark, sf_dir, key, drives=DRIVES)
     drives = {f"D{i:03d}": (JOURNAL_ID - (i == 7), 0) for i in range(DRIVES)}
     session = WatchSession(spark, _folder(spark, "many"))
 

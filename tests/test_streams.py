@@ -167,3 +167,17 @@ def test_live_inventory_takes_late_and_repeated_entries_once(spark, tmp_path):
         live.follow(usn_journal.stream_journal(spark, str(tmp_path / "j"), 1 if segment else 0, 7 if segment else 0, "C"), {"availableNow": True}).awaitTermination()
     again = LiveInventory(spark, str(tmp_path / "live"))
     assert {(r.record_number, r.file_name) for r in again.records(scan).collect()} == {(1, "a2"), (2, "b"), (3, "c"), (9, "new")}
+
+
+def test_segments_of_many_drives_are_no_smaller(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from inodeon.queries import binary
+
+    monkeypatch.setattr(binary, "SEGMENT", 10)
+    key = F.concat(F.lit("D"), (F.col("record_number") % 20).cast("string"))
+    folder = binary._written_journals(spark, "/root/testdata/sf0.001", key, folder=str(tmp_path), drives=20)
+    found = {k.name: len(list(k.glob("*.usn"))) for k in tmp_path.iterdir()}
+    n = binary.journal(spark, "/root/testdata/sf0.001").count()
+    assert 1 <= max(found.values()) <= -(-n // 200) and len(found) <= 20
+    assert sum(usn_journal.read_journal(spark, f"{folder}/{k}").count() for k in found) == n
