@@ -53,9 +53,13 @@ def lookup(records: DataFrame) -> DataFrame:
 
 
 def capped_path(components: Column, max_units: int | None = MAX_UNITS) -> Column:
-    """Components joined root to leaf; stops before the one with which the path and its end mark would exceed the units."""
+    """Components joined root to leaf; stops before the one with which the path and its end mark would exceed the units.
+
+    Units are counted one component after the other only where the bytes of the whole path, which are no fewer, don't show that it fits.
+    """
+    whole = F.array_join(components, SEPARATOR)
     if max_units is None:
-        return F.array_join(components, SEPARATOR)
+        return whole
 
     def step(acc: Column, c: Column) -> Column:
         sep = F.when(acc["units"] > 0, F.lit(1)).otherwise(F.lit(0))
@@ -64,7 +68,8 @@ def capped_path(components: Column, max_units: int | None = MAX_UNITS) -> Column
         return F.struct(F.when(stop, acc["units"]).otherwise(units).alias("units"), stop.alias("stop"), F.when(stop, acc["n"]).otherwise(acc["n"] + 1).alias("n"))
 
     start = F.struct(F.lit(0).alias("units"), F.lit(False).alias("stop"), F.lit(0).alias("n"))
-    return F.array_join(F.slice(components, F.lit(1), F.aggregate(components, start, step, lambda acc: acc["n"])), SEPARATOR)
+    capped = F.array_join(F.slice(components, F.lit(1), F.aggregate(components, start, step, lambda acc: acc["n"])), SEPARATOR)
+    return F.when(F.octet_length(whole) < max_units, whole).otherwise(capped)
 
 
 def _with_own(rows: DataFrame, chains: DataFrame, max_depth: int | None) -> DataFrame:

@@ -42,14 +42,30 @@ def heap_of(names: pa.Array, paths: pa.Array) -> tuple[bytes, np.ndarray]:
 
 def encode(batches: list[pa.RecordBatch]) -> bytes:
     """Rows of the payload's columns as one file."""
-    rows = pa.Table.from_batches(batches, _SCHEMA).combine_chunks() if batches else _SCHEMA.empty_table()
-    n = rows.num_rows
-    column = lambda name: rows.column(name).combine_chunks() if n else pa.array([], _SCHEMA.field(name).type)
-    heap, ends = heap_of(column("name"), column("path"))
+    return b"".join(_file([_piece(b) for b in batches]))
+
+
+def _file(pieces: list[tuple[np.ndarray, bytes]]) -> Iterator[bytes]:
+    """A file of pieces, one after another: the header, all tables, whose offsets begin to count at the file's start now, and all heaps."""
+    n, size = sum(len(table) for table, _ in pieces), sum(len(heap) for _, heap in pieces)
     base = HEADER.size + ROW.size * n
-    if base + len(heap) > LIMIT:
+    if base + size > LIMIT:
         raise ValueError("a scan payload can't be larger than 2 GiB; write smaller batches")
-    table = np.zeros(n, dtype=FIELDS)
+    yield HEADER.pack(MAGIC, VERSION, n, ROW.size * n, size)
+    for table, heap in pieces:
+        placed = table.copy()
+        for field in ("name_at", "path_at"):
+            placed[field] += base
+        base += len(heap)
+        yield placed.tobytes()
+    yield from (heap for _, heap in pieces)
+
+
+def _piece(rows: pa.RecordBatch) -> tuple[np.ndarray, bytes]:
+    """A batch's table, with offsets from the start of its heap, and the heap."""
+    column = rows.column
+    heap, ends = heap_of(column("name"), column("path"))
+    table = np.zeros(rows.num_rows, dtype=FIELDS)
     numbers = {"record": "record_number", "parent": "parent_record_number", "ticks": "last_write_ticks", "attributes": "attributes"}
     for field, name in numbers.items():
         table[field] = pc.fill_null(column(name), 0).to_numpy(zero_copy_only=False)
@@ -57,9 +73,9 @@ def encode(batches: list[pa.RecordBatch]) -> bytes:
     table["directory"] = pc.fill_null(column("is_directory"), False).to_numpy(zero_copy_only=False)
     sizes = np.diff(np.r_[0, ends])
     for k, field in enumerate(("name", "path")):
-        table[f"{field}_at"] = base + ends[k::2] - sizes[k::2]
+        table[f"{field}_at"] = ends[k::2] - sizes[k::2]
         table[field] = sizes[k::2]
-    return HEADER.pack(MAGIC, VERSION, n, table.nbytes, len(heap)) + table.tobytes() + heap
+    return table, heap
 
 
 def _texts(heap: bytes, at: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -133,13 +149,15 @@ class PayloadReader(DataSourceReader):
         return [Slice(p, at, min(SLICE_ROWS, n - at)) for p in found for n in [row_count(p)] for at in range(0, n, SLICE_ROWS)]
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        yield decode(part.path, part.first, part.count)
+        for at in range(0, part.count, BATCH_ROWS):
+            yield decode(part.path, part.first + at, min(BATCH_ROWS, part.count - at))
 
 
 class PayloadWriter(DataSourceArrowWriter):
     """Tasks write under temporary names; only a committed job's files get their own.
 
-    A file ends with the batch that brings it to ``FILE_BYTES``, by rows and by twice the UTF-8 bytes of its texts, which UTF-16 doesn't exceed.
+    Batches are encoded as they come, so that a task holds a file's bytes and no more. A file ends with the batch that brings it to ``FILE_BYTES``, by rows
+    and by twice the UTF-8 bytes of its texts, which UTF-16 doesn't exceed.
     """
 
     def __init__(self, path: str) -> None:
@@ -147,20 +165,21 @@ class PayloadWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         paths: list[str] = []
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[np.ndarray, bytes]] = []
         size = 0
 
         def put() -> None:
             paths.append(f"{self.path}/{uuid.uuid4().hex}.scan.tmp")
             with files.create(paths[-1]) as out:
-                out.write(encode(held))
+                for raw in _file(held):
+                    out.write(raw)
             held.clear()
 
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 texts = sum(pc.sum(pc.binary_length(part.column(c))).as_py() or 0 for c in ("name", "path"))
-                held.append(pa.RecordBatch.from_arrays([part.column(f.name).cast(f.type) for f in _SCHEMA], schema=_SCHEMA))
+                held.append(_piece(pa.RecordBatch.from_arrays([part.column(f.name).cast(f.type) for f in _SCHEMA], schema=_SCHEMA)))
                 size += ROW.size * part.num_rows + 2 * texts
                 if size >= FILE_BYTES:
                     put()

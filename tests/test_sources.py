@@ -471,3 +471,19 @@ def test_many_slices_and_files_take_few_tasks(spark, tmp_path):
     mft.index_names(spark, path)
     stages = [before.getStageInfo(i) for j in before.getJobIdsForGroup("index") for i in before.getJobInfo(j).stageIds]
     assert max(s.numTasks for s in stages if s) <= mft.TASKS and len(list((tmp_path / "image").glob("*.names"))) == 400
+
+
+def test_payload_is_encoded_and_read_a_batch_at_a_time(monkeypatch, tmp_path):
+    monkeypatch.setattr(scan_payload, "BATCH_ROWS", 2)
+    sizes = []
+    whole = scan_payload.heap_of
+    monkeypatch.setattr(scan_payload, "heap_of", lambda names, own: sizes.append(len(names)) or whole(names, own))
+    rows = [(i, 5, i, i, 0x20, i % 2 == 0, f"n\u00fc{i}" * (i % 4), f"X:\\n{i}") for i in range(9)]
+    done = scan_payload.PayloadWriter(str(tmp_path)).write(iter([payload(rows[:5]), payload(rows[5:])]))
+    scan_payload.PayloadWriter(str(tmp_path)).commit([done])
+    assert len(done.paths) == 1 and sizes == [2, 2, 1, 2, 2]
+    reader = scan_payload.PayloadReader(str(tmp_path))
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert [b.num_rows for b in batches] == [2, 2, 2, 2, 1]
+    got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert got == [(*r[:2], Decimal(r[2]), *r[3:]) for r in rows]
