@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -56,15 +57,19 @@ class Search:
     text: str
     exact: bool
 
-    def possible(self, entry: bytes) -> bool:
+    @cached_property
+    def asked(self) -> np.ndarray:
+        """The bits that an entry must have."""
         raw = self.text.encode()
+        return _bits({raw}, NAMES, NAME_HASHES) if self.exact else _bits(_runs(raw), RUNS, RUN_HASHES)
+
+    def possible(self, entry: bytes) -> bool:
+        raw, asked = self.text.encode(), self.asked
         filters = np.frombuffer(entry, dtype=np.uint8)
         names, runs = filters[2 * ZONE : 2 * ZONE + NAMES], filters[2 * ZONE + NAMES :]
         if self.exact:
             low, high = entry[:ZONE].rstrip(b"\0"), entry[ZONE : 2 * ZONE].rstrip(b"\0")
-            asked = _bits({raw}, NAMES, NAME_HASHES)
             return low <= raw[:ZONE] <= high and bool((names & asked == asked).all())
-        asked = _bits(_runs(raw), RUNS, RUN_HASHES)
         return entry[ZONE : 2 * ZONE].strip(b"\0") != b"" and bool((runs & asked == asked).all())
 
 
