@@ -1,7 +1,7 @@
 """A live inventory: a scan, and a stream that keeps the last change of every record as state.
 
 The state is a streaming aggregate, the greatest (usn, fields) of each drive's record, so that it combines before the shuffle and stays in the
-engine; entries that arrive again or late change nothing. It is checkpointed with the stream's offsets, and the inventory at any moment is the scan with
+engine; it is cut into few parts, as each costs some files a batch, whatever it holds. Entries that arrive again or late change nothing. It is checkpointed with the stream's offsets, and the inventory at any moment is the scan with
 what the state store says of its last committed batch: there is no second copy to keep in step. Records that are deleted stay in the state, so that older
 entries can't bring them back.
 """
@@ -18,6 +18,9 @@ from inodeon.sources import files
 
 KEYS = ("drive", "record_number")
 FIELDS = ("usn", "parent_record_number", "file_name", "reason")
+#: Parts of the state for each core, if the session's setting isn't less; a state that is there keeps the number that it began with.
+PARTS_PER_CORE = 2
+_PARTS = "spark.sql.shuffle.partitions"
 
 
 class LiveInventory:
@@ -31,7 +34,14 @@ class LiveInventory:
         """Starts to fold a stream of entries; the query is the caller's to await or stop."""
         last = entries.groupBy(*KEYS).agg(F.max(F.struct(*FIELDS)).alias("last"))
         writer = last.writeStream.outputMode("update").format("noop").option("checkpointLocation", self.checkpoint)
-        return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+        session = entries.sparkSession
+        whole = session.conf.get(_PARTS)
+        # a query takes the session's settings as they are when it starts
+        session.conf.set(_PARTS, str(min(int(whole), PARTS_PER_CORE * session.sparkContext.defaultParallelism)))
+        try:
+            return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+        finally:
+            session.conf.set(_PARTS, whole)
 
     def changes(self) -> DataFrame | None:
         """The last entry of every record that has changed, as of the last committed batch; None before the first."""

@@ -169,6 +169,28 @@ def test_live_inventory_takes_late_and_repeated_entries_once(spark, tmp_path):
     assert {(r.record_number, r.file_name) for r in again.records(scan).collect()} == {(1, "a2"), (2, "b"), (3, "c"), (9, "new")}
 
 
+def test_live_inventory_has_few_parts_of_state(spark, tmp_path):
+    from inodeon.streaming.inventory import PARTS_PER_CORE, LiveInventory
+
+    usn_journal.append_segment(str(tmp_path / "j"), 7, 0, 50, [(i, 5, i, 1, 2, 0, f"n{i}") for i in range(50)])
+    live, before = LiveInventory(spark, str(tmp_path / "live")), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for _ in range(2):
+            live.follow(usn_journal.stream_journal(spark, str(tmp_path / "j"), 0, 7, "C"), {"availableNow": True}).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert spark.read.format("state-metadata").load(live.checkpoint).first().numPartitions == PARTS_PER_CORE * spark.sparkContext.defaultParallelism < 40
+    assert sorted(r.record_number for r in live.changes().collect()) == list(range(50))
+
+
+def test_many_segments_take_few_tasks():
+    slices = [usn_journal.SegmentSlice("C", f"s{k}", 7, 0, 1 << 62, 8, 200_000) for k in range(1500)]
+    groups = usn_journal.dealt(slices)
+    assert len(groups) <= 40 and [p for g in groups for p in g.parts] == slices
+
+
 def test_segments_of_many_drives_are_no_smaller(spark, monkeypatch, tmp_path):
     from pyspark.sql import functions as F
 
