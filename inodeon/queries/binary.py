@@ -361,13 +361,12 @@ def u11_session_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two drives are armed, scanned and watched: what comes after the scan is delivered once, by drive."""
     image, out = _image(spark, sf_dir), _folder(spark, "delivered")
     half = journal(spark, sf_dir).agg(F.expr("max(usn) div 2")).first()[0]
-    letters = {"C": "record_number % 2 = 0", "D": "record_number % 2 = 1"}
-    folders = {k: _written_journal(spark, sf_dir, f"{w} and usn <= {half}") for k, w in letters.items()}
+    letters, key = "CD", F.when(F.col("record_number") % 2 == 0, "C").otherwise("D")
+    folder = _written_journals(spark, sf_dir, key, f"usn <= {half}")
     session = WatchSession(spark, out)
     try:
-        session.start([Drive(k, image, f, ScanProfile.DIRECTORY_INDEX) for k, f in folders.items()])
-        for k, w in letters.items():
-            _written_journal(spark, sf_dir, f"{w} and usn > {half}", folders[k])
+        session.start([Drive(k, image, f"{folder}/{k}", ScanProfile.DIRECTORY_INDEX) for k in letters])
+        _written_journals(spark, sf_dir, key, f"usn > {half}", folder)
         session.watch(lambda key, batch, cursor: batch.select("drive", "usn", "record_number", "file_name").write.mode("append").parquet(f"{out}/rows/{key}"), {"availableNow": True})
         session.await_end()
     finally:

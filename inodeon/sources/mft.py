@@ -32,9 +32,10 @@ CHUNK = 8192
 NEIGHBOURS = 65_536
 GAP = 32 << 10
 READ_BYTES = 8 << 20
-#: Slices beyond so many are read by a task together, and files written, as long as a task has no more than so many records.
-TASKS = 128
-TASK_RECORDS = 65_536
+#: Slices beyond so many are read by a task together, and files written, as long as a task has no more than so many records. A task of Python's costs
+#: some 0.3 s before it reads, and what shuffles behind it opens a file for each of its own partitions.
+TASKS = 36
+TASK_RECORDS = 262_144
 #: With ``measured``, the first row of every chunk says what the chunk took; a chunk without live records has such a row without a record.
 MEASURES = "slots long, bytes long, io_ms double, fixup_ms double, parse_ms double"
 

@@ -12,10 +12,12 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, fields
 from decimal import Decimal
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -27,6 +29,10 @@ from inodeon.sources import mft, usn_journal
 from inodeon.streaming.batchlog import BatchLog, Committed, Cursor
 
 Deliver = Callable[[str, DataFrame, Cursor], None]
+#: What a scan keeps of the records that it reads.
+SCANNED = ("record_number", "parent_record_number", "flags", "is_directory", "file_attributes", "file_name")
+#: Drives that are scanned at once, so that one's small steps leave no cores idle.
+SCANS = 2
 
 
 def drive_key(drive: str) -> str:
@@ -144,19 +150,28 @@ class WatchSession:
 
     def _scan(self, drives: dict[str, Drive], keep: tuple[str, ...]) -> ScanResult:
         result = ScanResult()
-        for key, drive in drives.items():
-            try:
-                result.armed[key] = usn_journal.query_cursor(drive.journal)
-                rows = mft.read_image(self.spark, drive.image, drive=key, layout=drive.layout)
-                kept = match.keep_profile(rows, drive.profile, keep)
-                scan = match.inventory(paths.resolve_paths(kept, rows, drive=key))
-                result.scans[key] = paths.checkpointed(scan)  # read now: the journal is caught up with after the scan
-                journal, end = usn_journal.query_cursor(drive.journal)
-                entries = usn_journal.read_journal(self.spark, drive.journal, result.armed[key][1], result.armed[key][0], key)
-                result.entries[key] = entries.where(F.col("usn") < end)
-                result.advanced[key] = (journal, end)
-            except Exception as e:  # noqa: BLE001 - one drive's failure is that drive's result
-                result.errors[key] = str(e)
+        with ThreadPoolExecutor(SCANS) as pool:
+            waiting = {key: pool.submit(inheritable_thread_target(self.spark)(self._scan_drive), key, drive, keep) for key, drive in drives.items()}
+        for key, found in waiting.items():
+            own = found.result()
+            for kept, of_drive in ((getattr(result, f.name), getattr(own, f.name)) for f in fields(ScanResult)):
+                kept.update(of_drive)
+        return result
+
+    def _scan_drive(self, key: str, drive: Drive, keep: tuple[str, ...]) -> ScanResult:
+        result = ScanResult()
+        try:
+            result.armed[key] = usn_journal.query_cursor(drive.journal)
+            rows = mft.read_image(self.spark, drive.image, drive=key, layout=drive.layout).select(*SCANNED)
+            kept = match.keep_profile(rows, drive.profile, keep)
+            scan = match.inventory(paths.resolve_paths(kept, rows, drive=key))
+            result.scans[key] = paths.checkpointed(scan)  # read now: the journal is caught up with after the scan
+            journal, end = usn_journal.query_cursor(drive.journal)
+            entries = usn_journal.read_journal(self.spark, drive.journal, result.armed[key][1], result.armed[key][0], key)
+            result.entries[key] = entries.where(F.col("usn") < end)
+            result.advanced[key] = (journal, end)
+        except Exception as e:  # noqa: BLE001 - one drive's failure is that drive's result
+            result.errors[key] = str(e)
         return result
 
     def watch(self, deliver: Deliver | None = None, trigger: dict[str, Any] | None = None, max_usn: int = 0) -> None:

@@ -473,6 +473,33 @@ def test_many_slices_and_files_take_few_tasks(spark, tmp_path):
     assert max(s.numTasks for s in stages if s) <= mft.TASKS and len(list((tmp_path / "image").glob("*.names"))) == 400
 
 
+def test_whole_slices_share_tasks():
+    slices = [mft.Slice(k * 65_536, 65_536, 0, f"part-{k}") for k in range(144)]
+    groups = mft.dealt(slices)
+    assert len(groups) == 36 and [p for g in groups for p in g.parts] == slices
+
+
+def test_drives_are_scanned_at_once(spark, image, tmp_path, monkeypatch):
+    """Two scans wait for each other; one drive's fault stays its own, and drives keep their order."""
+    import threading
+
+    for k in "CDE":
+        usn_journal.append_segment(str(tmp_path / k), 7, 0, 10, [(6, 5, i, 1, 2, 0, "x") for i in range(10)])
+    both, whole = threading.Barrier(2, timeout=60), paths.resolve_paths
+
+    def resolve(*args, **kwargs):
+        both.wait()
+        return whole(*args, **kwargs)
+
+    monkeypatch.setattr(paths, "resolve_paths", resolve)
+    s = WatchSession(spark, str(tmp_path / "watch"))
+    result = s.start([Drive("D", image, str(tmp_path / "D")), Drive("X", image, str(tmp_path / "none")), Drive("C", image, str(tmp_path / "C"))])
+    assert list(result.scans) == ["D", "C"] == list(result.advanced) and list(result.errors) == ["X"]
+    assert {k: v.where(f"path like '{k}:%'").count() for k, v in result.scans.items()} == {k: v.count() for k, v in result.scans.items()}
+    assert result.scans["C"].count() > 700
+    s.dispose()
+
+
 def test_payload_is_encoded_and_read_a_batch_at_a_time(monkeypatch, tmp_path):
     monkeypatch.setattr(scan_payload, "BATCH_ROWS", 2)
     sizes = []
